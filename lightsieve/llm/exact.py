@@ -14,6 +14,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lightsieve.operators.skew import splittable_join
 from lightsieve.session import materialize, shared_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -44,7 +45,7 @@ def deduplicate(
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.input_file_name().alias("locator"))
     feed = materialize(rows.select("id", digest(F.col("text")).alias("digest"), "locator", sha256_hex(F.col("text")).alias("sha")), "feed")
     state = _retained(spark, feed, bytes_per_trigger)
-    assigned = materialize(feed.drop("locator").join(state, "digest"), "assigned")
+    assigned = materialize(splittable_join(feed.drop("locator"), state, ["digest"]), "assigned")
 
     differing = _differing(rows, assigned, rows_per_salt)
     result = assigned.select("id", "keep_id", "group_size", "sha")

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lightsieve.operators.skew import splittable_join
 from lightsieve.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -129,7 +130,7 @@ def score_graph(edges: DataFrame, rounds: int, smoothing: float) -> tuple[DataFr
         if instances is not None:
             gained = unknown.join(instances, "value").groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("weight"))
             weights = seeds.unionByName(gained).groupBy("pattern", "kind").agg(F.sum("weight").alias("weight"))
-        patterns = materialize(weights.join(totals, "pattern").select("pattern", "kind", F.least(F.lit(0.999), F.col("weight") / (F.col("total") + smoothing)).alias("score")), "patterns")
+        patterns = materialize(splittable_join(weights, totals, ["pattern"]).select("pattern", "kind", F.least(F.lit(0.999), F.col("weight") / (F.col("total") + smoothing)).alias("score")), "patterns")
         instances = materialize(
             unknown.join(patterns, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("score"))))).alias("score")),
             "instances",

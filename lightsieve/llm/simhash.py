@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lightsieve.operators.components import connected_components
+from lightsieve.operators.skew import splittable_join
 from lightsieve.session import materialize
 
 BITS = 64
@@ -82,7 +83,7 @@ def links(fps: DataFrame) -> DataFrame:
     tables = F.array(*[F.struct(F.lit(t).alias("table"), F.lit(_signed(m)).alias("mask")) for t, m in enumerate(masks)])
     dealt = fps.select("fp", F.explode(tables).alias("t")).select("fp", "t.table", F.col("fp").bitwiseAND(F.col("t.mask")).alias("bucket"))
     shared = dealt.groupBy("table", "bucket").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    members = dealt.join(shared, ["table", "bucket"])
+    members = splittable_join(dealt, shared, ["table", "bucket"])
     flips = F.array(*[F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)) for i in range(BITS) if not m >> i & 1]) for m in masks])
     meeting = members.select("fp", F.explode(F.element_at(flips, F.col("table") + 1)).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("at"))
     met = meeting.groupBy("at").agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1)
@@ -106,5 +107,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component = connected_components(links(distinct.select("fp")))
     placed = distinct.join(component, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_fp = placed.join(named, "component").select("fp", "component_id")
-    return marked.join(of_fp, "fp").select(F.col("id").alias(id_col), hex64(F.col("fp")).alias("fingerprint"), "component_id")
+    of_fp = splittable_join(placed, named, ["component"]).select("fp", "component_id")
+    return splittable_join(marked, of_fp, ["fp"]).select(F.col("id").alias(id_col), hex64(F.col("fp")).alias("fingerprint"), "component_id")

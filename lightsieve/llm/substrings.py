@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lightsieve.operators.skew import splittable_join
 from lightsieve.session import materialize
 
 WINDOW = 35
@@ -154,11 +155,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chain = materialize(rows.select("key", "text").mapInArrow(_chain_rows, "key long, start int, n int, mini long, content long"), "chains", "zstd")
 
     met = chain.groupBy("mini").agg(F.count("*").alias("times"), F.min("content").alias("least"), F.max("content").alias("most"))
-    again = materialize(chain.join(met.filter("times > 1"), "mini").select("key", "start", "n", "mini", "content", (F.col("least") == F.col("most")).alias("straight")), "repeated", "zstd")
+    again = materialize(splittable_join(chain, met.filter("times > 1"), ["mini"]).select("key", "start", "n", "mini", "content", (F.col("least") == F.col("most")).alias("straight")), "repeated", "zstd")
 
     branching = again.filter("not straight").withColumn("ticket", F.xxhash64("key", "start"))
     variants = branching.groupBy("content").agg(F.count("*").alias("times"), F.min("ticket").alias("first"))
-    judged = branching.join(variants, "content")
+    judged = splittable_join(branching, variants, ["content"])
     known = again.filter("straight").select("key", "start", "n").unionByName(judged.filter("times > 1").select("key", "start", "n"))
     asked = (
         judged.filter("times = 1 or ticket = first")
@@ -167,7 +168,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     windows = rows.join(asked.hint("shuffle_hash"), "key").select("key", "text", "asked").mapInArrow(_window_rows, "key long, start int, known boolean, mini long, window long")
     equal = windows.groupBy("mini", "window").agg(F.count("*").alias("times"), F.max("known").alias("known")).filter("times > 1 or known").select("mini", "window")
-    resolved = windows.filter("not known").join(equal, ["mini", "window"]).select("key", "start", F.lit(1).alias("n"))
+    resolved = splittable_join(windows.filter("not known"), equal, ["mini", "window"]).select("key", "start", F.lit(1).alias("n"))
 
     spans = known.unionByName(resolved).groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
