@@ -17,7 +17,11 @@ from pyspark.sql import functions as F
 from lightsieve.operators.skew import splittable_join
 from lightsieve.session import materialize, shared_path
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # state is spread over as many stores as there are partitions; none of them reserves disk ahead
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def sha256_hex(text: Column) -> Column:
@@ -73,7 +77,7 @@ def _retained(spark: SparkSession, feed: DataFrame, bytes_per_trigger: int) -> D
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.select("digest", "keep_id", F.col("at.locator").alias("keep_locator"), "group_size").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    with _setting(spark, "spark.sql.streaming.stateStore.providerClass", ROCKSDB):
+    with _settings(spark, STATE_SETTINGS):
         query = state.writeStream.outputMode("update").option("checkpointLocation", shared_path(spark, "state")).foreachBatch(store).trigger(availableNow=True).start()
         query.awaitTermination()
     store(spark.createDataFrame([], state.schema), -1)
@@ -98,10 +102,12 @@ def _differing(rows: DataFrame, assigned: DataFrame, rows_per_salt: int) -> Data
 
 
 @contextmanager
-def _setting(spark: SparkSession, key: str, value: str):
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
+def _settings(spark: SparkSession, wanted: dict[str, str]):
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
