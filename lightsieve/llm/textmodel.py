@@ -88,17 +88,27 @@ def sigmoid(x):
 
 
 def fit_linear(rows: Sparse, gradient_of, steps: int = 150, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Adam on a linear score. gradient_of(scores) gives the derivative of the risk by each row's score."""
+    """Adam on a linear score. gradient_of(scores) gives the derivative of the risk by each row's score.
+
+    Steps shrink towards the end and the last third of them is averaged: a risk that switches between two
+    gradients has no single last step to trust.
+    """
     w, b = np.zeros(DIMENSIONS), 0.0
+    mean_w, mean_b, averaged = np.zeros(DIMENSIONS), 0.0, 0
     m, v = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)
     for t in range(1, steps + 1):
         g_score = gradient_of(rows.dot(w) + b)
         g = np.append(rows.back(g_score) + decay * w, g_score.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        shrink = min(1.0, 2 * (1 - t / (steps + 1)))
+        step = shrink * rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w -= step[:-1]
         b -= step[-1]
-    return w, float(b)
+        if 3 * t > 2 * steps:
+            averaged += 1
+            mean_w += (w - mean_w) / averaged
+            mean_b += (b - mean_b) / averaged
+    return mean_w, float(mean_b)
 
 
 def fold(id_col: Column, folds: int = 5) -> Column:
