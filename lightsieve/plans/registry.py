@@ -1,4 +1,6 @@
-"""The registered queries and their SQL."""
+"""The registered queries and their SQL for an independent engine."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from lightsieve.plans.oracle import ORACLE_SQL
+from lightsieve.plans.queries import QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
