@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter
 from typing import NamedTuple
@@ -52,35 +53,52 @@ class Sparse(NamedTuple):
     begin: np.ndarray
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(weights[self.place] * self.value, self.begin)
+        return np.add.reduceat(weights.astype(np.float32)[self.place] * self.value, self.begin).astype(np.float64)
 
     def back(self, gradient: np.ndarray) -> np.ndarray:
         return np.bincount(self.place, self.value * gradient[self.row].astype(np.float32), minlength=DIMENSIONS)
 
 
+class _Places(dict):
+    """Feature places of words, with a bound on how many are kept."""
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > 100_000:
+            self.clear()
+        found = self[word] = tuple(word_features(word))
+        return found
+
+
+def _row(text: str, places: _Places) -> tuple[np.ndarray, np.ndarray]:
+    """Different feature places of a text, ascending, and their values."""
+    counts = Counter(text.split())
+    if not counts:
+        return np.empty(0, np.int32), np.empty(0, np.float32)
+    found = [places[w] for w in counts]
+    place = np.fromiter(itertools.chain.from_iterable(found), np.int32)
+    each = np.repeat([_LOG[min(c, 4095)] for c in counts.values()], [len(f) for f in found])
+    place, at = np.unique(place, return_inverse=True)
+    return place, (np.bincount(at, each) / sum(counts.values()) ** 0.25).astype(np.float32)
+
+
 def sparse_rows(texts: list[str], least_docs: int = 8) -> Sparse:
-    """Features of fewer than least_docs of the texts get value 0, so nothing is learned for them."""
-    cache: dict[str, np.ndarray] = {}
-    places, values, sizes = [], [], []
+    """Features that at least least_docs of the texts have; rarer ones would only be learned by heart.
+
+    The texts are gone through twice, so that the rare features, most of all, are never held together.
+    """
+    places, seen = _Places(), np.zeros(DIMENSIONS, np.int32)
+    for text in texts:
+        seen[_row(text, places)[0]] += 1
+    parts, values, sizes = [], [], []
     for text in texts:
-        counts = Counter(text.split())
-        n = sum(counts.values())
-        parts = []
-        for w in counts:
-            found = cache.get(w)
-            if found is None:
-                found = cache[w] = np.array(word_features(w), np.int32)
-            parts.append(found)
-        place = np.concatenate([np.zeros(1, np.int32), *parts])
-        each = np.repeat(np.array([_LOG[min(c, 4095)] for c in counts.values()]), list(map(len, parts))) if parts else np.empty(0)
-        places.append(place)
-        values.append(np.concatenate([np.zeros(1, np.float32), each / max(n, 1) ** 0.25]))
-        sizes.append(len(place))
-    begin = np.concatenate([[0], np.cumsum(sizes)])[:-1].astype(np.int64)
-    place, value, row = np.concatenate(places), np.concatenate(values).astype(np.float32), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    seen = np.bincount(np.unique(place.astype(np.int64) * len(sizes) + row) // len(sizes), minlength=DIMENSIONS)
-    value[seen[place] < least_docs] = 0
-    return Sparse(place, value, row, begin)
+        place, value = _row(text, places)
+        often = seen[place] >= least_docs
+        parts.append(np.append(place[often], np.int32(0)))
+        values.append(np.append(value[often], np.float32(0)))
+        sizes.append(len(parts[-1]))
+    begin = np.cumsum([0, *sizes[:-1]]).astype(np.int64)
+    place, value = np.concatenate(parts), np.concatenate(values)
+    return Sparse(place, value, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), begin)
 
 
 def sigmoid(x):
