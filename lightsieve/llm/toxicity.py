@@ -40,17 +40,20 @@ def nnpu_gradient(positive: np.ndarray, prior: float):
     return gradient
 
 
-def decision_level(scores: np.ndarray, positive: np.ndarray) -> float:
-    """The level that maximises recall**2 / share of rows above it, which positives and unlabelled rows suffice for."""
+def decision_level(scores: np.ndarray, positive: np.ndarray, confirmed: float) -> float:
+    """The level that maximises recall**2 / share of all rows above it; positives and unlabelled rows suffice for that.
+
+    confirmed: the share of the confirmed positives among all rows, which the unlabelled rows lack.
+    """
     order = np.argsort(-scores, kind="stable")
     recall = np.cumsum(positive[order]) / positive.sum()
-    share = np.cumsum(~positive[order]) + 1.0
+    share = (np.cumsum(~positive[order]) + 1.0) / (~positive).sum() + confirmed * recall
     best = int(np.argmax(recall**2 / share))
     following = scores[order[min(best + 1, len(order) - 1)]]
     return float((scores[order[best]] + following) / 2)
 
 
-def _fit(texts: list[str], y: np.ndarray, aside: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+def _fit(texts: list[str], y: np.ndarray, aside: np.ndarray, prior: float, confirmed: float) -> tuple[np.ndarray, float]:
     """Weights and offset; the rows ``aside`` are not fitted but set the level that becomes the score 0.5."""
     fit = ~aside
     if not y[fit].any() or y[fit].all():
@@ -58,7 +61,7 @@ def _fit(texts: list[str], y: np.ndarray, aside: np.ndarray, prior: float) -> tu
     weights, offset = fit_linear(sparse_rows([t for t, f in zip(texts, fit) if f]), nnpu_gradient(y[fit], prior))
     if y[aside].any() and not y[aside].all():
         words = WordScores(weights)
-        offset -= decision_level(np.array([offset + words.of(t) for t, a in zip(texts, aside) if a]), y[aside])
+        offset -= decision_level(np.array([offset + words.of(t) for t, a in zip(texts, aside) if a]), y[aside], confirmed)
     return weights, offset
 
 
@@ -80,7 +83,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         others = bounded_sample(learn.join(known.filter("label = 1"), "id", "left_anti").select("id").distinct(), "id", most_unlabelled, "unlabelled")
         chosen = F.broadcast(positive.withColumn("y", F.lit(True)).unionByName(others.withColumn("y", F.lit(False))))  # bounded by the two limits
         rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, "id").select("text", "y", fold(F.col("id")).alias("fold")).toPandas()
-        weights, offset = _fit(rows["text"].tolist(), rows["y"].to_numpy(bool), (rows["fold"] == 1).to_numpy(), toxic / total)
+        weights, offset = _fit(rows["text"].tolist(), rows["y"].to_numpy(bool), (rows["fold"] == 1).to_numpy(), toxic / total, toxic / max(learn.count(), toxic))
     model = spark.sparkContext.broadcast((weights.astype(np.float32), offset))
 
     @F.pandas_udf("double")
