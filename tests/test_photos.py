@@ -129,10 +129,10 @@ def test_audit_after_fix(spark):
 
 def test_stream_resumes_and_deduplicates(spark, tmp_path):
     rows = spark.range(40).select(F.col("id").alias("path"), F.timestamp_seconds(F.col("id") * 60).alias("ts"), (F.col("id") % 3).alias("value"))
-    rows.filter("path < 20").repartition(2).write.parquet(str(tmp_path / "in"))
+    rows.filter("path < 20").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = lambda: streaming.once(streaming.stream_table(spark, str(tmp_path / "in"), 1), "path")
     assert streaming.run_available(stream(), "once", checkpoint=str(tmp_path / "c")).count() == 20
-    rows.filter("path >= 15").write.mode("append").parquet(str(tmp_path / "in"))
+    rows.filter("path >= 15").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     assert streaming.run_available(stream(), "once", checkpoint=str(tmp_path / "c")).count() == 40
     seen = []
     streaming.for_each_batch(streaming.stream_table(spark, str(tmp_path / "in"), 100), lambda batch, n: seen.append(batch.count()), str(tmp_path / "d"))
