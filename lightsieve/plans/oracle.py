@@ -232,4 +232,24 @@ ORACLE_SQL: dict[str, str] = {
         partner AS (SELECT id_a AS id FROM c WHERE cosine >= 0.3 UNION SELECT id_b FROM c WHERE cosine >= 0.3),
         s AS (SELECT g.*, count(*) OVER w AS n, count(CASE WHEN id % 2 = 0 THEN 1 END) OVER w AS n_has FROM g WHERE face_count >= 0 WINDOW w AS (PARTITION BY "group", face_count))
         SELECT id, "group", face_count FROM s WHERE n > 1 AND (face_count = 0 OR n_has < 2 OR id IN (SELECT id FROM partner))""",
+    "q61_four_signal_pairs": f"""WITH {HASHES},
+        c AS (SELECT a.id AS id_a, b.id AS id_b, 1 - bit_count(xor(ha.h, hb.h)) / 64.0::DOUBLE AS h, round({COS}, 6) AS f, 1 - abs(a.label - b.label) / 9.0::DOUBLE AS s
+              FROM raw a JOIN raw b ON a.block = b.block AND a.id < b.id JOIN packed ha ON ha.id = a.id JOIN packed hb ON hb.id = b.id)
+        SELECT id_a, id_b, CASE WHEN h >= 0.68 THEN 'hash' WHEN f >= 0.30 AND id_a % 2 = 0 THEN 'face' WHEN s >= 1.0 THEN 'background' END AS reason, round(0.30::DOUBLE * h + 0.40::DOUBLE * f + 0.30::DOUBLE * s, 5) AS similarity
+        FROM c WHERE id_a % 3 = id_b % 3 AND (h >= 0.68 OR f >= 0.32 OR 0.4::DOUBLE * h + 0.3::DOUBLE * f + 0.3::DOUBLE * s >= 0.60)""",
+    "q62_same_faces": """
+        WITH n AS (SELECT l_orderkey AS id, count(*) AS n FROM lineitem GROUP BY 1),
+        p AS (SELECT o_orderkey AS id_a, o_orderkey + 1 AS id_b, a.n AS n_faces FROM orders JOIN n a ON a.id = o_orderkey JOIN n b ON b.id = o_orderkey + 1 WHERE a.n = b.n),
+        best AS (SELECT id_a, id_b, n_faces, fa.l_linenumber * 1000 + fa.l_suppkey AS face, max(1 - abs(fa.l_quantity - fb.l_quantity) / 50) AS best
+                 FROM p JOIN lineitem fa ON fa.l_orderkey = id_a JOIN lineitem fb ON fb.l_orderkey = id_b GROUP BY 1, 2, 3, 4)
+        SELECT id_a, id_b, n_faces, count(*) FILTER (WHERE best >= 0.85) AS matched FROM best GROUP BY 1, 2, 3 HAVING count(*) FILTER (WHERE best >= 0.85) >= 0.8 * n_faces""",
+    "q63_batch_number": f"WITH {PHOTOS} SELECT album, ord, CAST((row_number() OVER (PARTITION BY album ORDER BY ord) - 1) // 25 AS BIGINT) AS batch FROM photos",
+    "q64_merge_last_wins": "SELECT user_id, event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY 1, 2",
+    "q65_batch_statistics": f"""WITH {PHOTOS}
+        SELECT album, count(*) FILTER (WHERE ok) AS successes, count(*) FILTER (WHERE NOT ok) AS failures, round(count(*) / ((max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6), 6) AS per_second FROM photos GROUP BY album""",
+    "q66_group_merge_votes": f"""WITH {HASHES},
+        g AS (SELECT id // 4 AS grp, id, h, row_number() OVER (PARTITION BY id // 4 ORDER BY id) AS rn FROM hashes QUALIFY rn <= 3)
+        SELECT a.grp AS group_a, b.grp AS group_b, round(avg(CASE WHEN 1 - bit_count(xor(a.h, b.h)) / 64.0::DOUBLE >= 0.5 THEN 1.0 ELSE 0.0 END), 6) AS ratio
+        FROM g a JOIN g b ON b.grp > a.grp AND b.grp <= a.grp + 20 GROUP BY 1, 2 HAVING avg(CASE WHEN 1 - bit_count(xor(a.h, b.h)) / 64.0::DOUBLE >= 0.5 THEN 1.0 ELSE 0.0 END) >= 0.7""",
+    "q67_directory_counts": f"SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, count(*) AS n_files, count(DISTINCT regexp_replace({PATH}, '/?[^/]*$', '')) AS n_dirs FROM pages GROUP BY 1",
 }

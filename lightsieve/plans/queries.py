@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lightsieve.config import Rules, Selection
 from lightsieve.functions import kernels
-from lightsieve.operators import audit, clustering, lookup, rules, selection, similarity
+from lightsieve.operators import audit, clustering, lookup, pairs, rules, selection, similarity
 from lightsieve.operators.components import connected_components
 from lightsieve.sources import photos as sources
 from lightsieve.session import table
@@ -453,3 +453,64 @@ def q60_verified_groups(spark, sf_dir):
     hashes = _hashes(spark, sf_dir)
     groups = hashes.select("id", "block", (F.col("id") % 3 - F.when(F.col("id") % 19 == 0, 1).otherwise(0)).alias("face_count")).withColumnRenamed("block", "group")
     return clustering.verified_groups(groups, hashes.filter("id % 2 = 0").select("id"), similarity.cosine_pairs(hashes.filter("id % 2 = 0"), 0.3))
+
+
+@query
+def q61_four_signal_pairs(spark, sf_dir):
+    """Signals with the thresholds that these embeddings reach; background is closeness of the labels."""
+    h = _hashes(spark, sf_dir)
+    side = lambda s: h.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "hash", "vector", "label")], "block")
+    both = side("a").join(side("b"), "block").filter("id_a < id_b")
+    hash_sim = similarity.hash_similarity(F.col("hash_a"), F.col("hash_b"))
+    face_sim = F.round(similarity.cosine(F.col("vector_a"), F.col("vector_b")), 6)
+    feature_sim = 1 - F.abs(F.col("label_a") - F.col("label_b")) / 9.0
+    scored = both.select("id_a", "id_b", hash_sim.alias("h"), face_sim.alias("f"), feature_sim.alias("s"))
+    rule = pairs.four_signals(F.col("id_a") % 3 == F.col("id_b") % 3, F.col("h"), F.col("f"), F.col("s"), 0.68, 0.32, 2.0, 0.60)
+    reason = pairs.pair_reason(F.col("h"), F.col("f"), F.col("id_a") % 2 == 0, F.col("s"), F.col("s"), 0.68, 0.30, 2.0, 1.0)
+    return scored.filter(rule).select("id_a", "id_b", reason.alias("reason"), F.round(pairs.comprehensive_similarity(F.col("h"), F.col("f"), F.col("s")), 5).alias("similarity"))
+
+
+@query
+def q62_same_faces(spark, sf_dir):
+    faces = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_linenumber") * 1000 + F.col("l_suppkey")).alias("face"), F.col("l_quantity").alias("vector"))
+    orders = table(spark, sf_dir, "orders")
+    neighbours = orders.select(F.col("o_orderkey").alias("id_a"), (F.col("o_orderkey") + 1).alias("id_b"))
+    return pairs.same_faces(neighbours, faces, lambda a, b: 1 - F.abs(a - b) / 50, 0.85, 0.80)
+
+
+@query
+def q63_batch_number(spark, sf_dir):
+    """Batches of 25 photos of an album in file order."""
+    w = Window.partitionBy("album").orderBy("ord")
+    return _photos(spark, sf_dir).select("album", "ord", F.floor((F.row_number().over(w) - 1) / 25).alias("batch"))
+
+
+@query
+def q64_merge_last_wins(spark, sf_dir):
+    """Results of several runs by user; of equal keys the last run's counts."""
+    e = table(spark, sf_dir, "events")
+    return e.groupBy("user_id", "event_type").agg(F.max_by("value", "event_id").alias("value"), F.max("event_id").alias("event_id"))
+
+
+@query
+def q65_batch_statistics(spark, sf_dir):
+    """Successes, failures and photos a second of each album's run."""
+    photos = _photos(spark, sf_dir)
+    span = (F.max(F.unix_micros("ts")) - F.min(F.unix_micros("ts"))) / 1e6
+    return photos.groupBy("album").agg(F.count_if("ok").alias("successes"), F.count_if(~F.col("ok")).alias("failures"), F.round(F.count("*") / span, 6).alias("per_second"))
+
+
+@query
+def q66_group_merge_votes(spark, sf_dir):
+    h = _hashes(spark, sf_dir).select(((F.col("id") / 4).cast("long")).alias("group"), F.col("id").alias("ord"), F.col("hash").alias("value"))
+    groups = h.select("group").distinct()
+    candidates = groups.select(F.col("group").alias("group_a"), F.explode(F.sequence(F.col("group") + 1, F.col("group") + 20)).alias("group_b"))
+    return pairs.merge_votes(h, candidates, lambda a, b: similarity.hash_similarity(a, b) >= 0.5, ratio_min=0.70).withColumn("ratio", F.round("ratio", 6))
+
+
+@query
+def q67_directory_counts(spark, sf_dir):
+    """Files and directories of each host."""
+    path = F.regexp_replace("url", r"\?.*$", "")
+    pages = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), sources.path_parts(path)["dir"].alias("dir"))
+    return pages.groupBy("host").agg(F.count("*").alias("n_files"), F.countDistinct("dir").alias("n_dirs"))

@@ -128,7 +128,7 @@ def test_audit_after_fix(spark):
 
 
 def test_stream_resumes_and_deduplicates(spark, tmp_path):
-    rows = spark.range(40).select(F.col("id").alias("path"), F.timestamp_seconds(F.col("id") * 60).alias("ts"), (F.col("id") % 3).alias("value"))
+    rows = spark.range(40).select(F.col("id").alias("path"), F.timestamp_seconds(F.col("id") * 60 + 1_700_000_000).alias("ts"), (F.col("id") % 3).alias("value"))
     rows.filter("path < 20").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = lambda: streaming.once(streaming.stream_table(spark, str(tmp_path / "in"), 1), "path")
     assert streaming.run_available(stream(), "once", checkpoint=str(tmp_path / "c")).count() == 20
@@ -146,3 +146,21 @@ def test_command_line(spark, tmp_path, sf_small, capsys):
     assert "FAIL: 1 violations" in capsys.readouterr().out
     assert __main__.main(["select", f"{sf_small}/events.parquet", str(tmp_path / "s"), "--pct", "30"]) == 0
     assert spark.read.parquet(str(tmp_path / "s")).count() > 0
+
+
+def test_greedy_face_matches(spark):
+    from lightsieve.operators import pairs
+
+    rows = [([1.0, 2.0], [2.1, 1.1]), ([1.0, 1.0], [1.0]), ([5.0], [1.0, 2.0]), ([], [1.0]), ([1.0, 1.2], [1.15, 0.9])]
+
+    def by_hand(left, right):
+        used = set()
+        for v in left:
+            free = [(1 - abs(v - w), -j) for j, w in enumerate(right) if j not in used]
+            if free and max(free)[0] >= 0.7:
+                used.add(-max(free)[1])
+        return len(used)
+
+    df = spark.createDataFrame(rows, "a array<double>, b array<double>")
+    got = [r[0] for r in df.coalesce(1).select(pairs.greedy_matches(F.col("a"), F.col("b"), lambda x, y: 1 - F.abs(x - y))).collect()]
+    assert sorted(got) == sorted(by_hand(*r) for r in rows)
