@@ -73,9 +73,8 @@ def people_coverage(photos: DataFrame, selected: DataFrame) -> DataFrame:
 
 def moment_coverage(photos: DataFrame, selected: DataFrame, s: Selection) -> DataFrame:
     """(album, moment, v, total, selected) for every album and every moment of the vocabulary."""
-    spark = photos.sparkSession
-    vocabulary = spark.createDataFrame(list(enumerate(dict.fromkeys(s.moments))), "v int, moment string")
-    grid = photos.select("album").distinct().join(F.broadcast(vocabulary))  # the vocabulary is a fixed list
+    vocabulary = F.array(*map(F.lit, dict.fromkeys(s.moments)))
+    grid = photos.select("album").distinct().select("album", F.posexplode(vocabulary).alias("v", "moment"))
     counted = lambda df, name: df.select("album", F.explode("moments").alias("moment")).groupBy("album", "moment").agg(F.count("*").alias(name))
     full = grid.join(counted(photos, "total"), ["album", "moment"], "left").join(counted(selected, "selected"), ["album", "moment"], "left")
     return full.fillna(0, ["total", "selected"])
