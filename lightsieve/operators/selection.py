@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lightsieve.config import Selection
+from lightsieve.session import materialize
 
 DEFAULT_SCORE = 45.0
 
@@ -125,15 +126,16 @@ def select_for_delivery(photos: DataFrame, s: Selection = Selection()) -> DataFr
     """
     photos = _scored(photos)
     target = targets(photos, s)
-    base = base_selection(photos, s)
+    # each phase reads the selection of the phases before it many times over, so it is written once
+    base = materialize(base_selection(photos, s), "base")
     recommended = recommendations(photos, base, s).filter(F.col("score") + F.col("boost") >= s.key_moment)
     first = recommended.withColumn("_f", F.row_number().over(Window.partitionBy("album", "ord").orderBy("kind", "k", "r"))).filter("_f = 1").drop("_f")
     coverage = _fill(first, _room(target, base), "kind", "k", "r")
     columns = ["album", "ord", "score", "tier"]
-    chosen = base.select(columns).unionByName(coverage.withColumn("tier", F.lit("coverage")).select(columns))
+    chosen = materialize(base.select(columns).unionByName(coverage.withColumn("tier", F.lit("coverage")).select(columns)), "covered")
     rest = photos.filter(F.col("ok") & (F.col("score") >= s.tier_3) & (F.col("score") < s.tier_2)).join(chosen.select("album", "ord"), ["album", "ord"], "left_anti")
     third = _fill(rest, _room(target, chosen), F.desc("score"), "ord")
-    chosen = chosen.unionByName(third.withColumn("tier", F.lit("tier_3")).select(columns))
+    chosen = materialize(chosen.unionByName(third.withColumn("tier", F.lit("tier_3")).select(columns)), "tiered")
     solo = photos.filter(F.size("faces") == 1).withColumn("person", F.element_at("faces", 1))
     shown = solo.join(chosen.select("album", "ord"), ["album", "ord"], "left_semi").select("album", "person").distinct()
     new = solo.filter(F.col("score") >= s.solo).join(chosen.select("album", "ord"), ["album", "ord"], "left_anti").join(shown, ["album", "person"], "left_anti")

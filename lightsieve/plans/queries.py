@@ -13,7 +13,7 @@ from lightsieve.functions import kernels
 from lightsieve.operators import audit, clustering, lookup, pairs, rules, selection, similarity
 from lightsieve.operators.components import connected_components
 from lightsieve.sources import photos as sources
-from lightsieve.session import table
+from lightsieve.session import materialize, table
 from lightsieve.streaming import photos as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,7 +38,7 @@ def _photos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _base(spark: SparkSession, sf_dir: str, s: Selection = AT_25) -> tuple[DataFrame, DataFrame]:
     photos = _photos(spark, sf_dir)
-    return photos, selection.base_selection(photos, s)
+    return photos, materialize(selection.base_selection(photos, s), "base")
 
 
 def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
