@@ -5,7 +5,7 @@ and a two-level softmax (group, then member) gives the probability. A document's
 log-probabilities of all its words, each masked in turn.
 
 All that is learned comes from all documents: word counts, the number of different rare words of each class, and the
-network, which every task trains on a seventh of the positions of each of its texts. The tasks' networks
+network, which every task trains on every position of its texts, each once over the rounds. The tasks' networks
 are averaged by Spark, row by row of the parameters, weighted by how often a row was updated.
 """
 
@@ -31,7 +31,6 @@ MEMBERS = 32
 GROUPS = OUTCOMES // MEMBERS
 WIDTH = 16
 OFFSETS = (-2, -1, 1, 2)
-MASK_EVERY = 7
 BATCH = 4096
 SCORE_WORDS = 1 << 15
 BLOCK_ROWS = 64
@@ -132,13 +131,18 @@ def train_step(table: np.ndarray, squares: np.ndarray, touched: np.ndarray, cont
     table -= rate * gradient / (np.sqrt(squares) + 1e-6)
 
 
+def targets(n_words: int, round_no: int, rounds: int) -> np.ndarray:
+    """The places of a text that are masked in a round; over the rounds each place is masked once."""
+    return np.arange(round_no, n_words, rounds)
+
+
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     words = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD), F.lit(0))
     return docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def train(docs: DataFrame, text_col: str, vocabulary: dict[bytes, int], rounds: int, rate: float = 0.1) -> np.ndarray:
-    """The averaged network after ``rounds`` passes over all documents."""
+    """The averaged network after ``rounds`` passes over all documents, which mask each word once."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     table = new_network()
@@ -161,7 +165,9 @@ def train(docs: DataFrame, text_col: str, vocabulary: dict[bytes, int], rounds:
             for batch in batches:
                 for text in batch["text"]:
                     codes = coder.codes(text.as_py().split())
-                    at = np.arange((len(codes) + 3 * round_no) % MASK_EVERY, len(codes), MASK_EVERY)
+                    at = targets(len(codes), round_no, rounds)
+                    if not len(at):
+                        continue
                     waiting.append((contexts(codes, at), codes[at]))
                     size += len(at)
                     if size >= 16 * BATCH:

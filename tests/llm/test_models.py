@@ -109,3 +109,18 @@ def test_lm_probabilities_sum_to_one():
     net = lmscore.Network(lmscore.new_network())
     context = np.tile(np.array([[3, 7, lmscore.PAD, 1200]]), (lmscore.OUTCOMES, 1))
     assert np.exp(lmscore.log_probability(net, context, np.arange(lmscore.OUTCOMES))).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_lm_masks_every_position():
+    for n in (0, 1, 2, 3, 6, 7, 50):
+        for rounds in (1, 2, 3):
+            at = np.concatenate([lmscore.targets(n, k, rounds) for k in range(rounds)])
+            assert sorted(at) == list(range(n))
+
+
+def test_lm_training_reaches_the_ends_of_texts(spark):
+    """Texts of one to three words, too, teach the network, and so do the last words of a text."""
+    docs = spark.createDataFrame([(i, "a b c"[: 2 * (i % 3) + 1]) for i in range(30)], "doc_id long, text string")
+    table = lmscore.train(docs, "text", {b"a": 0, b"b": 1, b"c": 2}, 2)
+    inputs, start = lmscore.Network(table).inputs, lmscore.Network(lmscore.new_network()).inputs
+    assert all((inputs[o][lmscore.PAD] != start[o][lmscore.PAD]).any() for o in range(len(lmscore.OFFSETS)))
