@@ -4,8 +4,11 @@ A window network predicts each word from two words on either side: position-wise
 and a two-level softmax (group, then member) gives the probability. A document's score is the sum of the conditional
 log-probabilities of all its words, each masked in turn.
 
-All that is learned comes from all documents: word counts, the number of different rare words of each class, and the
-network, which every task trains on every position of its texts, each once over the rounds. The tasks' networks
+The network tells apart the most frequent words, more of them the larger the corpus is, and classes of all others. A
+word of a class has the class's probability times its own share of the class's occurrences: the shares of the next most
+frequent words are broadcast, all others are joined by shuffle from the full table of counts.
+
+All that is learned comes from all documents: word counts and the network, which every task trains on every position of its texts, each once over the rounds. The tasks' networks
 are averaged by Spark, row by row of the parameters, weighted by how often a row was updated.
 """
 
@@ -17,56 +20,75 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lightsieve.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
-VOCABULARY = 1024
+VOCABULARY = 1024  # at least; see vocabulary_size
 RARE_CLASSES = 256
 OUTCOMES = VOCABULARY + RARE_CLASSES
-PAD = OUTCOMES
+PAD = -1  # the last input row
 MEMBERS = 32
-GROUPS = OUTCOMES // MEMBERS
+HEAD_WORDS = 100_000
 WIDTH = 16
 OFFSETS = (-2, -1, 1, 2)
 BATCH = 4096
 SCORE_WORDS = 1 << 15
 BLOCK_ROWS = 64
-_IN_ROWS = len(OFFSETS) * (OUTCOMES + 1)
-_ROWS = _IN_ROWS + GROUPS + OUTCOMES
 
 
 class Network(NamedTuple):
-    """Views of one parameter matrix of _ROWS rows; the last column of the output rows is their bias."""
+    """Views of one parameter matrix of n_rows(outcomes) rows; the last column of the output rows is their bias."""
 
     table: np.ndarray
 
+    @property
+    def outcomes(self) -> int:
+        return (len(self.table) - len(OFFSETS)) * MEMBERS // (MEMBERS * (len(OFFSETS) + 1) + 1)
+
+    @property
+    def in_rows(self) -> int:
+        return len(OFFSETS) * (self.outcomes + 1)
+
     @property
     def inputs(self) -> np.ndarray:
-        return self.table[:_IN_ROWS, :WIDTH].reshape(len(OFFSETS), OUTCOMES + 1, WIDTH)
+        return self.table[: self.in_rows, :WIDTH].reshape(len(OFFSETS), self.outcomes + 1, WIDTH)
 
     @property
     def groups(self) -> np.ndarray:
-        return self.table[_IN_ROWS : _IN_ROWS + GROUPS]
+        return self.table[self.in_rows : self.in_rows + self.outcomes // MEMBERS]
 
     @property
     def members(self) -> np.ndarray:
-        return self.table[_IN_ROWS + GROUPS :].reshape(GROUPS, MEMBERS, WIDTH + 1)
+        return self.table[self.in_rows + self.outcomes // MEMBERS :].reshape(-1, MEMBERS, WIDTH + 1)
+
+
+def n_rows(outcomes: int) -> int:
+    return len(OFFSETS) * (outcomes + 1) + outcomes // MEMBERS + outcomes
+
 
+def vocabulary_size(n_words: int) -> int:
+    """How many words have an outcome of their own: a quarter of the root of the corpus's words, VOCABULARY at least."""
+    return max(VOCABULARY, int(n_words**0.5) // 4 // MEMBERS * MEMBERS)
 
-def new_network(seed: int = 11) -> np.ndarray:
-    table = np.zeros((_ROWS, WIDTH + 1), np.float32)
-    table[:, :WIDTH] = np.random.default_rng(seed).normal(0, 0.1, (_ROWS, WIDTH))
+
+def new_network(outcomes: int = OUTCOMES, seed: int = 11) -> np.ndarray:
+    table = np.zeros((n_rows(outcomes), WIDTH + 1), np.float32)
+    table[:, :WIDTH] = np.random.default_rng(seed).normal(0, 0.1, (len(table), WIDTH))
     return table
 
 
 class Coder(dict):
     """Word to outcome: frequent words have their own, others share one by their first two letters."""
 
+    def __init__(self, words: dict[bytes, int], own: int):
+        super().__init__(words)
+        self.own = own
+
     def __missing__(self, word: bytes) -> int:
-        return VOCABULARY + zlib.crc32(word.decode(errors="replace")[:2].encode()) % RARE_CLASSES
+        return self.own + zlib.crc32(word.decode(errors="replace")[:2].encode()) % RARE_CLASSES
 
     def codes(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
@@ -120,12 +142,14 @@ def train_step(table: np.ndarray, squares: np.ndarray, touched: np.ndarray, cont
         g.members[k][:] = p.T @ h[rows]
         back[rows] += p @ net.members[k]
     back = back[:, :WIDTH] * (1 - h[:, :WIDTH] ** 2)
+    width, groups = net.outcomes + 1, len(net.groups)
     for o in range(len(OFFSETS)):
+        place = context[:, o] % width  # PAD to the last row
         for column in range(WIDTH):
-            g.inputs[o][:, column] = np.bincount(context[:, o], back[:, column], OUTCOMES + 1)
-        touched[o * (OUTCOMES + 1) : (o + 1) * (OUTCOMES + 1)] += np.bincount(context[:, o], minlength=OUTCOMES + 1)
-    touched[_IN_ROWS : _IN_ROWS + GROUPS] += n
-    touched[_IN_ROWS + GROUPS :] += np.repeat(np.bincount(group, minlength=GROUPS), MEMBERS)
+            g.inputs[o][:, column] = np.bincount(place, back[:, column], width)
+        touched[o * width : (o + 1) * width] += np.bincount(place, minlength=width)
+    touched[net.in_rows : net.in_rows + groups] += n
+    touched[net.in_rows + groups :] += np.repeat(np.bincount(group, minlength=groups), MEMBERS)
     gradient /= n**0.5
     squares += gradient**2
     table -= rate * gradient / (np.sqrt(squares) + 1e-6)
@@ -141,18 +165,18 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def train(docs: DataFrame, text_col: str, vocabulary: dict[bytes, int], rounds: int, rate: float = 0.1) -> np.ndarray:
+def train(docs: DataFrame, text_col: str, vocabulary: dict[bytes, int], rounds: int, rate: float = 0.1, own: int = VOCABULARY) -> np.ndarray:
     """The averaged network after ``rounds`` passes over all documents, which mask each word once."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    table = new_network()
+    table = new_network(own + RARE_CLASSES)
     sent_vocabulary = spark.sparkContext.broadcast(vocabulary)
     for round_no in range(rounds):
         sent = spark.sparkContext.broadcast(table)
 
         def local(batches: Iterator[pa.RecordBatch], sent=sent, round_no=round_no) -> Iterator[pa.RecordBatch]:
-            coder, table = Coder(sent_vocabulary.value), sent.value.copy()
-            squares, touched = np.full_like(table, 0.1), np.zeros(_ROWS)
+            coder, table = Coder(sent_vocabulary.value, own), sent.value.copy()
+            squares, touched = np.full_like(table, 0.1), np.zeros(len(table))
             waiting: list[tuple[np.ndarray, np.ndarray]] = []
             size = 0
 
@@ -176,7 +200,7 @@ def train(docs: DataFrame, text_col: str, vocabulary: dict[bytes, int], rounds:
             if size:
                 learn()
             if touched.any():
-                starts = range(0, _ROWS, BLOCK_ROWS)
+                starts = range(0, len(table), BLOCK_ROWS)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(starts, pa.int32()), pa.array([table[s : s + BLOCK_ROWS].tobytes() for s in starts]), pa.array([touched[s : s + BLOCK_ROWS].tobytes() for s in starts])], names=["block", "rows", "touched"]
                 )
@@ -196,40 +220,60 @@ def train(docs: DataFrame, text_col: str, vocabulary: dict[bytes, int], rounds:
     return table
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
+def class_of(word: Column) -> Column:
+    return F.pmod(F.crc32(F.substring(word, 1, 2).cast("binary")), F.lit(RARE_CLASSES))
+
+
+def rare_shares(counts: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(word, n, class, share) of the words that are not frequent; share is the log of their part of their class's occurrences."""
+    rare = counts.join(F.broadcast(frequent.select("word")), "word", "left_anti").withColumn("class", class_of(F.col("word")))
+    totals = rare.groupBy("class").agg(F.sum("n").alias("total"))  # RARE_CLASSES rows
+    return rare.join(F.broadcast(totals), "class").select("word", "n", "class", F.log(F.col("n") / F.col("total")).alias("share"))
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, head_words: int = HEAD_WORDS) -> DataFrame:
     """(id_col, n_words, log_prob, mean_log_prob), one row for each input row.
 
     log_prob sums natural logs over all words of the whole text. Null and wordless texts have no words, sum 0 and a
-    null mean. A rare word has the probability of its class, shared evenly by the different rare words the corpus has
-    in that class. Rows that repeat are scored one by one, and count in training as often as they occur.
+    null mean. A rare word has the probability of its class times its share of the occurrences of the class's words.
+    Rows that repeat are scored one by one, and count in training as often as they occur.
+
+    The shares of ``head_words`` rare words are broadcast; those of all others are joined by shuffle.
     """
     spark = docs.sparkSession
     counts = materialize(word_counts(docs, text_col), "word-counts")
-    frequent = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY)
+    own = vocabulary_size(counts.agg(F.sum("n")).first()[0] or 0)
+    frequent = counts.orderBy(F.desc("n"), "word").limit(own)
     vocabulary = {r["word"].encode(): i for i, r in enumerate(frequent.collect())}
-    rare = counts.join(F.broadcast(frequent.select("word")), "word", "left_anti")  # VOCABULARY rows
-    kinds = dict(rare.groupBy(F.pmod(F.crc32(F.substring("word", 1, 2).cast("binary")), F.lit(RARE_CLASSES)).alias("class")).count().collect())
-    share = np.zeros(OUTCOMES)
-    for k, n in kinds.items():
-        share[VOCABULARY + k] = -np.log(n)
-    sent = spark.sparkContext.broadcast((train(docs, text_col, vocabulary, rounds), vocabulary, share))
+    shares = materialize(rare_shares(counts, frequent), "rare-words")
+    head = {}
+    for r in shares.orderBy(F.desc("n"), "word").limit(head_words).toLocalIterator():
+        word = r["word"].encode()
+        head[word] = r["share"]
+        vocabulary[word] = own + r["class"]
+    sent = spark.sparkContext.broadcast((train(docs, text_col, vocabulary, rounds, own=own), vocabulary, head))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, vocabulary, share = sent.value
-        net, coder = Network(table), Coder(vocabulary)
+        table, vocabulary, head = sent.value
+        net, coder = Network(table), Coder(vocabulary, own)
         for batch in batches:
             sizes, sums = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            tails: list[list[str]] = []
             waiting: list[tuple[np.ndarray, ...]] = []
 
             def settle() -> None:
                 context, target, doc = (np.concatenate(x) for x in zip(*waiting))
-                sums[:] += np.bincount(doc, log_probability(net, context, target) + share[target], len(sums))
+                sums[:] += np.bincount(doc, log_probability(net, context, target), len(sums))
 
             size = 0
             for d, text in enumerate(batch["text"]):
-                codes = coder.codes(text.as_py().split())
+                words = text.as_py().split()
+                codes = coder.codes(words)
                 sizes[d] = len(codes)
+                rare = [words[i] for i in np.flatnonzero(codes >= own)]
+                sums[d] += sum(head[w] for w in rare if w in head)
+                tails.append([w.decode(errors="replace") for w in rare if w not in head])
                 for i in range(0, len(codes), SCORE_WORDS):
                     at = np.arange(i, min(i + SCORE_WORDS, len(codes)))
                     waiting.append((contexts(codes, at), codes[at], np.full(len(at), d)))
@@ -239,8 +283,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         waiting, size = [], 0
             if size:
                 settle()
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], names=[id_col, "n_words", "log_prob"])
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(tails, pa.list_(pa.string()))], names=["id", "n_words", "log_prob", "tail"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    scored = rows.mapInArrow(score, f"{id_col} {kind}, n_words long, log_prob double")
-    return scored.withColumn("mean_log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")))
+    scored = rows.mapInArrow(score, f"id {kind}, n_words long, log_prob double, tail array<string>")
+    scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    of_tail = scored.select("row", F.explode("tail").alias("word")).join(shares.select("word", "share"), "word").groupBy("row").agg(F.sum("share").alias("share"))
+    total = scored.drop("tail").join(of_tail, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("share", F.lit(0.0)))
+    return total.select(F.col("id").alias(id_col), "n_words", "log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).alias("mean_log_prob"))

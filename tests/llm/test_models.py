@@ -124,3 +124,29 @@ def test_lm_training_reaches_the_ends_of_texts(spark):
     table = lmscore.train(docs, "text", {b"a": 0, b"b": 1, b"c": 2}, 2)
     inputs, start = lmscore.Network(table).inputs, lmscore.Network(lmscore.new_network()).inputs
     assert all((inputs[o][lmscore.PAD] != start[o][lmscore.PAD]).any() for o in range(len(lmscore.OFFSETS)))
+
+
+def test_lm_rare_words_have_their_own_probability(spark):
+    """The same network and contexts: a rare word scores by its count, whether its share is broadcast or joined."""
+    frequent = " ".join(f"{chr(97 + i // 676 % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(lmscore.VOCABULARY))
+    rows = [(i, frequent) for i in range(12)] + [(100 + i, "zzmany") for i in range(9)] + [(200, "zzonce"), (None, "zzonce")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    by_limit = []
+    for head_words in (1, 100):
+        found = lmscore.score_documents(docs, head_words=head_words).toPandas()
+        assert len(found) == len(rows)
+        by_limit.append(found)
+        score = found.set_index("doc_id")["log_prob"]
+        assert score[100] - score[200] == pytest.approx(np.log(9 / 2), abs=1e-5)
+        assert found[found["doc_id"].isna()]["log_prob"].iloc[0] == pytest.approx(score[200], abs=1e-9)
+    a, b = (f.sort_values(["doc_id", "log_prob"])["log_prob"].to_numpy() for f in by_limit)
+    assert np.allclose(a, b, atol=1e-5)
+
+
+def test_lm_vocabulary_grows_with_the_corpus():
+    sizes = [lmscore.vocabulary_size(n) for n in (0, 10**6, 10**8, 4 * 10**9)]
+    assert sizes[0] == sizes[1] == lmscore.VOCABULARY < sizes[2] < sizes[3]
+    for n in sizes:
+        outcomes = n + lmscore.RARE_CLASSES
+        net = lmscore.Network(lmscore.new_network(outcomes))
+        assert net.outcomes == outcomes and net.inputs.shape[1] == outcomes + 1 and net.members.shape[0] * lmscore.MEMBERS == outcomes
