@@ -9,35 +9,46 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lightsieve.llm import decontam, exact, mixing, quality, simhash
 from lightsieve.session import materialize, table
 
 
-def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among ids."""
-    return docs.join(ids, "doc_id", "left_semi").select(docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs, written once with a row key: decisions are of rows, since ids may repeat or be null."""
+    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+
+
+def _of(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of keyed whose _row is among rows."""
+    return keyed.join(rows, "_row", "left_semi").drop("_row").select([c for c in keyed.columns if c != "_row"])
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier rejects go."""
-    scored = quality.score_quality(docs, table(spark, sf_dir, "labels"))
-    return _of(docs, scored.filter("keep").select("doc_id"))
+    """Rows that the co-trained classifier rejects go; those of null or repeated id are scored one by one."""
+    scored = quality.score_quality(docs, table(spark, sf_dir, "labels"), row_col="_row")
+    return scored.filter("keep").select("_row.*")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest doc_id stays."""
-    return _of(docs, exact.deduplicate(docs).filter("kept").select("doc_id"))
+    """Of equal texts one row stays: of the largest doc_id, null being the least, that of the largest row key."""
+    keyed = _keyed(docs)
+    found = exact.deduplicate(keyed.withColumn("_key", F.struct("doc_id", "_row")), "_key")
+    return _of(keyed, found.filter("kept").select("_key._row"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the one with the smallest doc_id stays."""
-    return _of(docs, simhash.near_duplicates(docs).filter("doc_id = component_id").select("doc_id"))
+    """Of each group of near copies one row stays: of the smallest doc_id, null being the last, that of the smallest row key."""
+    keyed = _keyed(docs)
+    found = simhash.near_duplicates(keyed.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")), "_key")
+    return _of(keyed, found.filter(F.col("_key").eqNullSafe(F.col("component_id"))).select("_key._row"))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold too much of a benchmark item go."""
-    return _of(docs, decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("not contaminated").select("doc_id"))
+    """Rows that hold too much of a benchmark item go, whatever other rows of their id hold."""
+    keyed = _keyed(docs)
+    return _of(keyed, decontam.decontaminate(keyed, table(spark, sf_dir, "benchmark"), "_row").filter("not contaminated").select("_row"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

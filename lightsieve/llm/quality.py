@@ -94,13 +94,14 @@ def calibrate(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a / scale), float(b)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", chars_col: str = "n_chars", label_col: str = "quality", most_labelled: int = MOST_LABELLED, most_pool: int = MOST_POOL) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", chars_col: str = "n_chars", label_col: str = "quality", most_labelled: int = MOST_LABELLED, most_pool: int = MOST_POOL, row_col: str | None = None) -> DataFrame:
     """(id_col, held_out, text_score, meta_score, score, keep), one row for each input row.
 
     Scores are probabilities of label 1; keep is score >= 0.5. The fit sees at most most_labelled labelled and
     most_pool other documents. Labels of fold 0 are held out, those of fold 1 serve calibration alone. Null and empty
     texts are scored by their metadata and the words' offset; null metadata are values of their own. Without labels
     of both kinds everything scores 1. Null ids are never learned from; rows that repeat an id are scored one by one.
+    With ``row_col`` the whole input row is given out, too, as a struct of that name.
     """
     spark = docs.sparkSession
     text, meta = F.coalesce(F.col(text_col), F.lit("")), (F.col(lang_col), F.col(source_col), F.col(chars_col).cast("double"))
@@ -125,8 +126,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
                 out = sigmoid(np.stack([*logits, np.stack([*logits, np.ones(len(w))], axis=1) @ fitted["both"]], axis=1))
             yield pd.DataFrame(out, columns=["text_score", "meta_score", "score"])
 
-    scored = docs.select(F.col(id_col), F.coalesce(fold(F.col(id_col)) == 0, F.lit(False)).alias("held_out"), score(text, *meta).alias("s"))
-    return scored.select(id_col, "held_out", "s.*").withColumn("keep", F.col("score") >= 0.5)
+    whole = [F.struct(*docs.columns).alias(row_col)] if row_col else []
+    scored = docs.select(F.col(id_col), F.coalesce(fold(F.col(id_col)) == 0, F.lit(False)).alias("held_out"), score(text, *meta).alias("s"), *whole)
+    return scored.select(id_col, "held_out", "s.*", *([row_col] if row_col else [])).withColumn("keep", F.col("score") >= 0.5)
 
 
 def _plain(values: pd.Series) -> list:

@@ -1,6 +1,10 @@
 """The pipeline's stages against plain versions, each on what the stage before kept."""
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from lightsieve.llm import quality
 from lightsieve.session import materialize
 from tests.llm import brute
 
@@ -41,3 +45,30 @@ def test_extra_columns_and_nulls(spark):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "component_id"]
     assert sorted(r["doc_id"] for r in docs.collect()) == [2, 4]
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").count() == 2
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_null_and_repeated_ids(spark, sf_small, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    item = spark.read.parquet(f"{sf_small}/benchmark.parquet").orderBy(F.length("text").desc()).first()["text"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    words = ["alpha beta gamma delta", "one two three four five", "red green blue black white", "north south east west far"]
+    rows = [(None, words[0]), (None, words[1]), (None, words[1]), (5, words[2]), (5, words[2]), (None, words[2]), (7, words[3]), (7, item), (None, item)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema)
+    if name == "quality classifier":
+        docs = spark.read.parquet(f"{sf_small}/documents.parquet").withColumn("doc_id", F.expr("case doc_id % 3 when 0 then null when 1 then 1 else doc_id end"))
+        scored = quality.score_quality(docs, spark.read.parquet(f"{sf_small}/labels.parquet"))
+        wanted = sorted((-1 if r["doc_id"] is None else r["doc_id"]) for r in scored.filter("keep").collect())
+        found = materialize(stage(spark, docs, sf_small), "stage")
+        assert found.columns == docs.columns and -1 in wanted
+        assert sorted((-1 if r["doc_id"] is None else r["doc_id"]) for r in found.collect()) == wanted
+        return
+    found = materialize(stage(spark, docs, sf_small), "stage").collect()
+    if name == "mixing sources":
+        assert len(found) == len(rows)
+        return
+    kept = sorted(((r["doc_id"] or 0, r["text"]) for r in found))
+    if name == "benchmark decontamination":
+        assert kept == sorted((i or 0, t) for i, t in rows if t != item)
+    else:
+        assert kept == sorted([(0, words[0]), (0, words[1]), (5, words[2]), (7, words[3]), (7, item)])
