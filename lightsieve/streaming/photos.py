@@ -29,14 +29,33 @@ def run_available(stream: DataFrame, label: str, mode: str = "append", checkpoin
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def run_latest(stream: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """Processes what there is in update mode; of each key the row of the last micro-batch that changed it.
+
+    The aggregate must have no watermark: then no row is too late, in whatever order the files come, and its state
+    keeps every key.
+    """
+    spark = stream.sparkSession
+    out = shared_path(spark, label)
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    stream.writeStream.outputMode("update").option("checkpointLocation", shared_path(spark, f"{label}-state")).foreachBatch(store).trigger(availableNow=True).start().awaitTermination()
+    store(spark.createDataFrame([], stream.schema), -1)
+    values = [c for c in stream.columns if c not in keys]
+    updates = spark.read.schema(stream.schema.add("batch", "long")).parquet(out)
+    return updates.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("last")).select(*keys, "last.*")
+
+
 def for_each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Calls work once for each micro-batch; a failed batch is tried again by the next run, none is skipped."""
     stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def tumbling_counts(photos: DataFrame, width: str = "1 hour", ts: str = "ts", value: str = "value") -> DataFrame:
-    """(window_start, n, total), from batch or stream alike."""
-    timed = photos.withWatermark(ts, LATE) if photos.isStreaming else photos
+def tumbling_counts(photos: DataFrame, width: str = "1 hour", ts: str = "ts", value: str = "value", late: str | None = LATE) -> DataFrame:
+    """(window_start, n, total), from batch or stream alike; without ``late`` a stream drops no row and keeps all windows."""
+    timed = photos.withWatermark(ts, late) if photos.isStreaming and late else photos
     return timed.groupBy(F.window(ts, width).alias("w")).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("window_start"), "n", "total")
 
 

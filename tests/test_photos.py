@@ -164,3 +164,23 @@ def test_greedy_face_matches(spark):
     df = spark.createDataFrame(rows, "a array<double>, b array<double>")
     got = [r[0] for r in df.coalesce(1).select(pairs.greedy_matches(F.col("a"), F.col("b"), lambda x, y: 1 - F.abs(x - y))).collect()]
     assert sorted(got) == sorted(by_hand(*r) for r in rows)
+
+
+def test_stream_counts_every_row_of_many_files(spark, tmp_path):
+    """30 files, the latest events first: more than one micro-batch, and most rows are far behind the largest event time."""
+    import os
+    import time
+
+    from lightsieve.plans.queries import QUERIES
+
+    start = time.time() - 3600
+    events = spark.range(120).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1_700_000_000) + (F.col("id") % 30) * 1200).cast("timestamp_ntz").alias("ts"), F.col("id").cast("double").alias("value"))
+    for i in range(30):
+        events.filter(f"event_id % 30 = {29 - i}").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+        for f in (tmp_path / "events.parquet").glob("part-*"):
+            if f.stat().st_mtime > start + 1800:
+                os.utime(f, (start + i, start + i))
+    found = {r["window_start"]: (r["n"], r["total"]) for r in QUERIES["q54_stream_equals_batch"](spark, str(tmp_path)).collect()}
+    hour = F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("w")
+    assert found == {r["w"]: (r["n"], r["t"]) for r in events.groupBy(hour).agg(F.count("*").alias("n"), F.sum("value").alias("t")).collect()}
+    assert sum(n for n, _ in found.values()) == 120
