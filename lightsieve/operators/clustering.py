@@ -5,39 +5,67 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lightsieve.session import materialize
+from lightsieve.operators.similarity import cosine_pairs
+from lightsieve.session import discard, materialize
 
 
-def leader_clusters(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """(id, leader, group_id, group_size) of groups of two or more; groups are numbered by leader rank in a block.
+def leader_clusters(nodes: DataFrame, edges: DataFrame, start: int = 0) -> DataFrame:
+    """(id, leader, group_id, group_size) of groups of two or more; groups are numbered from start + 1 by leader rank.
 
-    nodes: (id, rank, block), ranks unique in a block. edges: (id_a, id_b). In rank order a node leads unless a
-    leader is its neighbour, and joins its first leader otherwise. In rounds: an undecided node leads when no
-    undecided neighbour comes before it; its neighbours are decided then.
+    nodes: (id, rank), rank of any ordered type and without ties. edges: (id_a, id_b). In rank order a node leads
+    unless a leader is its neighbour, and joins its first leader otherwise. In rounds: an undecided node leads when
+    no undecided neighbour comes before it; its neighbours are decided then. Each round decides one node of every
+    part at least, so the rounds end; a chain of links in rank order takes half as many rounds as it has nodes.
     """
     ranks = nodes.select("id", "rank")
     both = edges.select(F.col("id_a").alias("id"), F.col("id_b").alias("other")).unionByName(edges.select(F.col("id_b").alias("id"), F.col("id_a").alias("other"))).distinct()
     links = materialize(both.join(ranks, "id").join(ranks.select(F.col("id").alias("other"), F.col("rank").alias("other_rank")), "other"), "links")
     undecided = materialize(links.select("id", "rank").distinct(), "undecided")
     leaders = None
-    for _ in range(most_rounds):
-        if undecided.isEmpty():
-            break
+    while not undecided.isEmpty():
         open_links = links.join(undecided.select("id"), "id", "left_semi").join(undecided.select(F.col("id").alias("other")), "other", "left_semi")
         blocked = open_links.filter("other_rank < rank").select("id").distinct()
         new = materialize(undecided.join(blocked, "id", "left_anti"), "leaders")
         leaders = new if leaders is None else leaders.unionByName(new)
         led = links.join(new.select(F.col("id").alias("other")), "other", "left_semi").select("id")
-        undecided = materialize(undecided.join(new.select("id").unionByName(led).distinct(), "id", "left_anti"), "undecided")
-    else:
-        raise RuntimeError(f"clusters did not settle in {most_rounds} rounds")
+        before, undecided = undecided, materialize(undecided.join(new.select("id").unionByName(led).distinct(), "id", "left_anti"), "undecided")
+        discard(before)
     if leaders is None:
         leaders = undecided
     first = links.join(leaders.select(F.col("id").alias("other")), "other", "left_semi").join(leaders.select("id"), "id", "left_anti").groupBy("id").agg(F.min_by("other", "other_rank").alias("leader"))
     members = first.unionByName(leaders.select("id", F.col("id").alias("leader")))
-    sized = members.join(members.groupBy("leader").agg(F.count("*").alias("group_size")).filter("group_size > 1"), "leader")
-    placed = sized.join(nodes.select(F.col("id").alias("leader"), F.col("rank").alias("leader_rank"), "block"), "leader")
-    return placed.select("block", "id", "leader", F.dense_rank().over(Window.partitionBy("block").orderBy("leader_rank")).alias("group_id"), "group_size")
+    sizes = members.groupBy("leader").agg(F.count("*").alias("group_size")).filter("group_size > 1")
+    placed = numbered(sizes.join(ranks.withColumnRenamed("id", "leader"), "leader"), "rank", "group_id", start)
+    return members.join(placed.select("leader", "group_id", "group_size"), "leader").select("id", "leader", "group_id", "group_size")
+
+
+def numbered(rows: DataFrame, order: str, name: str, start: int = 0) -> DataFrame:
+    """Adds start + 1, start + 2, ... in the order of a column without ties.
+
+    Rows are dealt by ranges of it and numbered inside a range; only the ranges' sizes are summed up in one place.
+    """
+    dealt = materialize(rows.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # one row a partition
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    return dealt.withColumn("_place", place).join(offsets, "_range").withColumn(name, (F.lit(start) + F.col("_before") + F.col("_place")).cast("long")).drop("_range", "_place", "_before")
+
+
+def group_records(members: DataFrame, group: str, ident: str, score: str) -> DataFrame:
+    """(group, best, similar, scores, group_size): one record a group, as reports carry it.
+
+    similar: the other members by id; scores: map of id to score. A record lists a whole group, so it belongs to
+    groups that fit into one row (duplicate groups of photos); for others use best_of_group.
+    """
+    scored = members.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(ident).alias("id"), F.col(score).alias("score")))).alias("m"))
+    top = F.aggregate("m", F.element_at("m", 1), lambda a, x: F.when(x["score"] > a["score"], x).otherwise(a))
+    return scored.withColumn("top", top).select(
+        group,
+        F.col("top.id").alias("best"),
+        F.transform(F.filter("m", lambda x: x["id"] != F.col("top.id")), lambda x: x["id"]).alias("similar"),
+        F.map_from_entries("m").alias("scores"),
+        F.size("m").alias("group_size"),
+    )
 
 
 def best_of_group(rows: DataFrame, group: str, ident: str, score: str) -> DataFrame:
@@ -58,15 +86,24 @@ def without_duplicates(docs: DataFrame) -> DataFrame:
     return keyed.join(groups, "text_hash", "left").filter("best is null or best = doc_id").select(docs.columns)
 
 
-def verified_groups(groups: DataFrame, embeddings: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Members of (group, face_count) subgroups that a similar partner confirms.
+def verified_groups(members: DataFrame, embeddings: DataFrame, threshold: float, start: int = 0) -> DataFrame:
+    """(id, group, face_count, verified_id): groups that faces confirm, numbered anew from start + 1.
 
-    groups: (id, group, face_count); embeddings: (id) of members that have one; pairs: (id_a, id_b) of similar ones.
-    Face count 0 keeps the whole hash group, unknown counts (below 0) go; with fewer than two embeddings a subgroup
-    stays unverified.
+    members: (id, group, rank, face_count); embeddings: (id, vector) of members that have one. A group is split by
+    face count; unknown counts (below 0) and subgroups of one go. Without faces (0) a subgroup stays as it is, and so
+    does one with fewer than two embeddings. In all others leader clustering over the cosine, inside the subgroup
+    and by rank, makes the groups; members without embedding or without partner are dropped.
     """
-    counted = groups.filter("face_count >= 0").join(embeddings.select("id", F.lit(True).alias("has")), "id", "left")
-    w = Window.partitionBy("group", "face_count")
-    sized = counted.withColumn("n", F.count("*").over(w)).withColumn("n_has", F.count("has").over(w)).filter("n > 1")
-    partner = pairs.select(F.col("id_a").alias("id")).unionByName(pairs.select(F.col("id_b").alias("id"))).distinct().withColumn("confirmed", F.lit(True))
-    return sized.join(partner, "id", "left").filter("face_count = 0 or n_has < 2 or confirmed").select("id", "group", "face_count")
+    has = embeddings.filter("vector is not null").select("id", "vector")
+    counted = members.filter("face_count >= 0").join(has, "id", "left")
+    sizes = counted.groupBy("group", "face_count").agg(F.count("*").alias("n"), F.count("vector").alias("n_has"), F.min("rank").alias("first")).filter("n > 1")
+    sized = materialize(counted.join(sizes, ["group", "face_count"]), "subgroups")
+    as_is = F.expr("face_count = 0 or n_has < 2")
+    compared = sized.filter(~as_is & F.col("vector").isNotNull())
+    pairs = cosine_pairs(compared, threshold, ["group", "face_count"])
+    clusters = leader_clusters(compared.select("id", "rank"), pairs).select("id", "leader")
+    led = compared.select("id", "group", "face_count").join(clusters, "id").join(compared.select(F.col("id").alias("leader"), F.col("rank").alias("lead")), "leader").drop("leader")
+    kept = sized.filter(as_is).select("id", "group", "face_count", F.col("first").alias("lead"))
+    named = led.select("id", "group", "face_count", "lead").unionByName(kept)
+    order = numbered(named.select("lead").distinct(), "lead", "verified_id", start)
+    return named.join(order, "lead").select("id", "group", "face_count", "verified_id")

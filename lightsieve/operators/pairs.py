@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lightsieve.operators import tiles
+
 
 def weighted_hash_similarity(a: Column, d: Column, w: Column) -> Column:
     """From the Hamming distances of three 64-bit hashes."""
@@ -27,18 +31,44 @@ def pair_reason(hash_sim: Column, face_sim: Column, faces_verified: Column, feat
     return F.when(hash_sim >= hash_min, "hash").when((face_sim >= face_min) & faces_verified, "face").when(feature_sim >= feature_min, "feature").when(background_sim >= background_min, "background")
 
 
-def same_faces(pairs: DataFrame, faces: DataFrame, similarity: Callable[[Column, Column], Column], match_min: float = 0.85, share_min: float = 0.80) -> DataFrame:
-    """Pairs (id_a, id_b, matched, n_faces) of equal face counts where enough left faces have a match on the right.
+def signal_pairs(photos: DataFrame, rule: Callable[..., np.ndarray], tile_rows: int = tiles.TILE_ROWS) -> DataFrame:
+    """(id_a, id_b, h, f, s) of the pairs of one face count that a rule of four_signals' form takes, in tiles.
+
+    photos: (id, face_count, hash, vector, feature). h: share of equal bits; f: cosine, to 6 digits; s: 1 less the
+    distance of the features (0 to 1). rule(same, h, f, s) works on matrices.
+    """
+
+    def kernel(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
+        (ha, va, sa), (hb, vb, sb) = ((tiles.sign_matrix(t["hash"]), tiles.unit(tiles.matrix(t["vector"])), t["feature"].to_numpy()) for t in (left, right))
+
+        def signals(rows: slice) -> tuple[np.ndarray, ...]:
+            return (ha[rows] @ hb.T).astype(float) / 128 + 0.5, np.round(va[rows] @ vb.T, 6), 1 - np.abs(sa[rows][:, None] - sb[None, :])
+
+        i, j, found = tiles.pairs_where(left, right, same, signals, lambda h, f, s: rule(True, h, f, s)) if len(ha) and len(hb) else ([], [], ([], [], []))
+        i, j = pa.array(i, pa.int64()), pa.array(j, pa.int64())
+        return pa.table([left["id"].take(i), right["id"].take(j), *(pa.array(x, pa.float64()) for x in found)], names=["id_a", "id_b", "h", "f", "s"])
+
+    kind = photos.schema["id"].dataType.simpleString()
+    near = tiles.self_pairs(photos.select("id", "face_count", "hash", "vector", "feature").dropna(), kernel, f"id_a {kind}, id_b {kind}, h double, f double, s double", ["face_count"], tile_rows)
+    return near.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "h", "f", "s")
+
 
-    faces: (id, face, vector). Each pair meets only its own faces, by equi joins on the photo.
+def matched_faces(left: Column, right: Column, similarity: Callable[[Column, Column], Column], match_min: float = 0.85) -> Column:
+    """How many left faces have a match among the right ones, each by its best."""
+    best = F.transform(left, lambda a: F.array_max(F.transform(right, lambda b: similarity(a, b))))
+    return F.size(F.filter(best, lambda x: x >= match_min))
+
+
+def same_faces(photos: DataFrame, similarity: Callable[[Column, Column], Column], match_min: float = 0.85, share_min: float = 0.80) -> DataFrame:
+    """(id_a, id_b, n_faces, matched) of the pairs of an album with equal face counts that show the same faces.
+
+    photos: (id, album, faces array). The test is part of the join, so pairs that fail are never rows; Spark splits
+    the partitions of large albums.
     """
-    counts = faces.groupBy("id").agg(F.count("*").alias("n"))
-    even = pairs.join(counts.select(F.col("id").alias("id_a"), F.col("n").alias("n_faces")), "id_a").join(counts.select(F.col("id").alias("id_b"), F.col("n").alias("_nb")), "id_b").filter("n_faces = _nb")
-    left = even.join(faces.select(F.col("id").alias("id_a"), F.col("face").alias("_fa"), F.col("vector").alias("_va")), "id_a")
-    both = left.join(faces.select(F.col("id").alias("id_b"), F.col("vector").alias("_vb")), "id_b")
-    best = both.groupBy("id_a", "id_b", "n_faces", "_fa").agg(F.max(similarity(F.col("_va"), F.col("_vb"))).alias("best"))
-    matched = best.groupBy("id_a", "id_b", "n_faces").agg(F.count_if(F.col("best") >= match_min).alias("matched"))
-    return matched.filter(F.col("matched") >= share_min * F.col("n_faces"))
+    side = lambda s: photos.filter(F.size("faces") > 0).select(F.col("id").alias(f"id_{s}"), "album", F.size("faces").alias("n_faces"), F.col("faces").alias(f"_{s}")).alias(s)
+    matched = matched_faces(F.col("_a"), F.col("_b"), similarity, match_min)
+    on = (F.col("a.album") == F.col("b.album")) & (F.col("a.n_faces") == F.col("b.n_faces")) & (F.col("id_a") < F.col("id_b")) & (matched >= share_min * F.col("a.n_faces"))
+    return side("a").join(side("b"), on).select("id_a", "id_b", F.col("a.n_faces").cast("long").alias("n_faces"), matched.cast("long").alias("matched"))
 
 
 def greedy_matches(left: Column, right: Column, similarity: Callable[[Column, Column], Column], match_min: float = 0.70) -> Column:
@@ -53,12 +83,33 @@ def greedy_matches(left: Column, right: Column, similarity: Callable[[Column, Co
     return F.when((F.size(left) > 0) & (F.size(right) > 0), F.size(matched)).otherwise(0)
 
 
-def merge_votes(groups: DataFrame, candidates: DataFrame, vote: Callable[[Column, Column], Column], samples: int = 3, ratio_min: float = 0.70) -> DataFrame:
-    """(group_a, group_b, ratio) of candidate group pairs whose samples, at most 3 x 3 a pair, agree.
+def merge_votes(groups: DataFrame, least_similarity: float, samples: int = 3, ratio_min: float = 0.70, tile_rows: int = tiles.TILE_ROWS) -> DataFrame:
+    """(group_a, group_b, ratio) of all pairs of groups whose samples, at most 3 x 3 a pair, agree often enough.
 
-    groups: (group, ord, value); a group's samples are its first members by ord.
+    groups: (group, ord, hash); a group's samples are its first members by ord. Two samples agree when enough of
+    their bits do. All groups meet all groups, in tiles.
     """
     first = groups.withColumn("_rn", F.row_number().over(Window.partitionBy("group").orderBy("ord"))).filter(F.col("_rn") <= samples)
-    side = lambda s: first.select(F.col("group").alias(f"group_{s}"), F.col("value").alias(f"_v{s}"))
-    votes = candidates.join(side("a"), "group_a").join(side("b"), "group_b")
-    return votes.groupBy("group_a", "group_b").agg(F.avg(vote(F.col("_va"), F.col("_vb")).cast("double")).alias("ratio")).filter(F.col("ratio") >= ratio_min)
+    rows = first.groupBy(F.col("group").alias("id")).pivot("_rn", list(range(1, samples + 1))).agg(F.first("hash"))
+    names = [str(k) for k in range(1, samples + 1)]
+
+    def kernel(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
+        def side(t: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+            return [(tiles.sign_matrix(t[c].fill_null(0)), np.asarray(t[c].is_valid())) for c in names]
+
+        a, b = side(left), side(right)
+
+        def ratio(at: slice) -> tuple[np.ndarray]:
+            yes, total = 0.0, 0.0
+            for x, in_x in a:
+                for y, in_y in b:
+                    both = in_x[at][:, None] & in_y[None, :]
+                    yes, total = yes + (both & (x[at] @ y.T >= 128 * least_similarity - 64)), total + both
+            return (yes / total,)
+
+        i, j, (found,) = tiles.pairs_where(left, right, same, ratio, lambda r: r >= ratio_min) if left.num_rows and right.num_rows else ([], [], ([],))
+        return pa.table([left["id"].take(pa.array(i, pa.int64())), right["id"].take(pa.array(j, pa.int64())), pa.array(found, pa.float64())], names=["group_a", "group_b", "ratio"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    near = tiles.self_pairs(rows, kernel, f"group_a {kind}, group_b {kind}, ratio double", tile_rows=tile_rows)
+    return near.select(F.least("group_a", "group_b").alias("group_a"), F.greatest("group_a", "group_b").alias("group_b"), "ratio")

@@ -1,14 +1,18 @@
 """Similarity joins over hashes, embeddings and texts.
 
-Pair joins take a block column: pairs are sought inside a block (an album, a label), so the join is an equi join
-that Spark can shuffle. Tight thresholds add bands: hashes that differ in d bits at most agree in one of d + 1 bands.
+All rows are compared. Tight thresholds go by bands, an equi join: hashes that differ in d bits at most agree in one
+of d + 1 bands. Wide ones, for which nearly every pair would share a band, go by tiles.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lightsieve.operators import tiles
+
 BITS = 64
 
 
@@ -33,89 +37,179 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.when(length > 0, dot(a, b) / length), F.lit(0.0))
 
 
-def _both(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    return tuple(df.select(*[F.col(c).alias(f"{c}_{side}") for c in columns]) for side in "ab")
+def hash_pairs(hashes: DataFrame, threshold: float, least_width_ratio: float = 0.5, tile_rows: int = tiles.TILE_ROWS) -> DataFrame:
+    """(id_a, id_b, similarity) of all similar pairs, the first in rank order as id_a, from (id, rank, hash, width).
+
+    Exact over all rows, in tiles. rank may be of any ordered type; null hashes are similar to none.
+    """
 
+    def kernel(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
+        a, b = tiles.sign_matrix(left["hash"]), tiles.sign_matrix(right["hash"])
+        i, j, (found,) = tiles.pairs_where(left, right, same, lambda rows: ((a[rows] @ b.T).astype(float) / (2 * BITS) + 0.5,), lambda s: s >= threshold) if len(a) and len(b) else ([], [], ([],))
+        return pa.table([left["id"].take(pa.array(i, pa.int64())), right["id"].take(pa.array(j, pa.int64())), pa.array(found, pa.float64())], names=["id_a", "id_b", "similarity"])
 
-def hash_pairs(hashes: DataFrame, threshold: float, block: str = "block", least_width_ratio: float = 0.5) -> DataFrame:
-    """(id_a, id_b, similarity) with rank_a < rank_b, from (id, rank, hash, width, block)."""
-    a, b = _both(hashes, ["id", "rank", "hash", "width", block])
+    kind = hashes.schema["id"].dataType.simpleString()
+    rows = hashes.filter("hash is not null")
+    near = tiles.self_pairs(rows.select("id", "hash"), kernel, f"id_a {kind}, id_b {kind}, similarity double", tile_rows=tile_rows)
+    side = lambda s: rows.select(F.col("id").alias(f"id_{s}"), F.col("rank").alias(f"rank_{s}"), F.col("width").alias(f"width_{s}"))
+    both = near.join(side("a"), "id_a").join(side("b"), "id_b")
     widths = F.least(F.col("width_a") / F.col("width_b"), F.col("width_b") / F.col("width_a"))
-    on = (F.col(f"{block}_a") == F.col(f"{block}_b")) & (F.col("rank_a") < F.col("rank_b")) & (widths >= least_width_ratio) & (hash_similarity(F.col("hash_a"), F.col("hash_b")) >= threshold)
-    return a.join(b, on).select("id_a", "id_b", hash_similarity(F.col("hash_a"), F.col("hash_b")).alias("similarity"))
+    first = F.col("rank_a") < F.col("rank_b")
+    return both.filter(widths >= least_width_ratio).select(F.when(first, F.col("id_a")).otherwise(F.col("id_b")).alias("id_a"), F.when(first, F.col("id_b")).otherwise(F.col("id_a")).alias("id_b"), "similarity")
 
 
-def bands(hash_col: Column, most_differing: int) -> Column:
-    """array<struct<band, bits>> of most_differing + 1 disjoint bands."""
-    n = most_differing + 1
-    edges = [BITS * i // n for i in range(n + 1)]
-    parts = [F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(hash_col, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("bits")) for i, (lo, hi) in enumerate(zip(edges, edges[1:]))]
-    return F.array(*parts)
+def covering_masks(radius: int) -> list[int]:
+    """2 ** (radius + 1) - 1 masks of about half the bits each; any ``radius`` positions lie outside one of them.
+
+    Each position gets a nonzero vector of radius + 1 bits; the mask of a vector v holds the positions whose vector
+    has an odd inner product with v. The vectors of ``radius`` positions do not span the space, so some v is
+    orthogonal to all of them.
+    """
+    vectors = range(1, 1 << (radius + 1))
+    dealt = [vectors[i * 0x9E3779B1 % len(vectors)] for i in range(BITS)]
+    return [sum(1 << i for i in range(BITS) if (dealt[i] & v).bit_count() % 2) for v in vectors]
 
 
 def banded_pairs(hashes: DataFrame, most_differing: int) -> DataFrame:
     """(hash_a, hash_b, differing) of different hashes, hash_a < hash_b, that differ in most_differing bits at most.
 
-    Pairs of hash values, so that copies of a hash, however many, count once; join the rows back by hash.
+    Pairs of hash values, so that copies of a hash, however many, count once; join the rows back by hash. The bands
+    are covering masks: each keeps about 32 bits, so a bucket holds few values even among many millions, and no pair
+    within the radius is missed.
     """
-    dealt = hashes.select("hash").distinct().select("hash", F.explode(bands(F.col("hash"), most_differing)).alias("b")).select("hash", "b.band", "b.bits")
+    masks = [m - (1 << BITS) if m >> (BITS - 1) else m for m in covering_masks(most_differing)]
+    tables = F.array(*[F.struct(F.lit(t).alias("band"), F.lit(m).alias("mask")) for t, m in enumerate(masks)])
+    dealt = hashes.select("hash").distinct().select("hash", F.explode(tables).alias("b")).select("hash", "b.band", F.col("hash").bitwiseAND(F.col("b.mask")).alias("bits"))
+    shared = dealt.groupBy("band", "bits").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    dealt = dealt.join(shared, ["band", "bits"])
     a, b = dealt.withColumnRenamed("hash", "hash_a"), dealt.withColumnRenamed("hash", "hash_b")
     near = a.join(b, ["band", "bits"]).filter((F.col("hash_a") < F.col("hash_b")) & (hamming(F.col("hash_a"), F.col("hash_b")) <= most_differing))
     return near.select("hash_a", "hash_b", hamming(F.col("hash_a"), F.col("hash_b")).alias("differing")).distinct()
 
 
 def token_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, hash): each bit of a document is the majority over the first 64 bits of its tokens' MD5."""
+    """(id, hash): each bit of a document is the majority over the first 64 bits of its tokens' MD5.
+
+    Two counters share a long, so 32 sums do; a document may have up to 2 ** 31 tokens.
+    """
     tokens = docs.select(F.col(id_col).alias("id"), F.explode(F.split(text_col, " ")).alias("t")).select("id", F.md5(F.col("t").cast("binary")).alias("m"))
-    halves = tokens.select("id", F.conv(F.substring("m", 1, 8), 16, 10).cast("long").alias("hi"), F.conv(F.substring("m", 9, 8), 16, 10).cast("long").alias("lo"))
-    bit = lambda i: F.shiftright(F.col("lo" if i < 32 else "hi"), i % 32).bitwiseAND(F.lit(1))
-    votes = halves.groupBy("id").agg(F.count("*").alias("n"), *[F.sum(bit(i)).alias(f"b{i}") for i in range(BITS)])
-    packed = None
+    half = lambda at: F.conv(F.substring("m", at, 8), 16, 10).cast("long")
+    bits = tokens.select("id", F.shiftleft(half(1), 32).bitwiseOR(half(9)).alias("h"))
+    votes = bits.groupBy("id").agg(F.count("*").alias("n"), *[F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(0x1_0000_0001))).alias(f"s{i}") for i in range(BITS // 2)])
+    packed = F.lit(0).cast("long")
     for i in range(BITS):
-        value = F.when(F.col(f"b{i}") * 2 > F.col("n"), F.lit((1 << i) if i < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long")
-        packed = value if packed is None else packed.bitwiseOR(value)
+        count = F.col(f"s{i}").bitwiseAND(F.lit(0xFFFF_FFFF)) if i < 32 else F.shiftrightunsigned(f"s{i - 32}", 32)
+        packed = packed.bitwiseOR(F.when(count * 2 > F.col("n"), F.lit((1 << i) if i < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long"))
     return votes.select("id", packed.alias("hash"))
 
 
-def cosine_pairs(vectors: DataFrame, threshold: float, block: str = "block") -> DataFrame:
-    """(id_a, id_b, cosine) inside a block, id_a < id_b."""
-    a, b = _both(vectors, ["id", "vector", block])
-    pairs = a.join(b, (F.col(f"{block}_a") == F.col(f"{block}_b")) & (F.col("id_a") < F.col("id_b")))
-    return pairs.select("id_a", "id_b", cosine(F.col("vector_a"), F.col("vector_b")).alias("cosine")).filter(F.col("cosine") >= threshold)
+def cosine_pairs(vectors: DataFrame, threshold: float, keys: list[str] | None = None, tile_rows: int = tiles.TILE_ROWS) -> DataFrame:
+    """(id_a, id_b, cosine) of all pairs of equal keys, id_a < id_b, exact and in tiles; null vectors are similar to none."""
+
+    def kernel(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
+        a, b = tiles.unit(tiles.matrix(left["vector"])), tiles.unit(tiles.matrix(right["vector"]))
+        i, j, (found,) = tiles.pairs_where(left, right, same, lambda rows: (a[rows] @ b.T,), lambda s: s >= threshold) if len(a) and len(b) else ([], [], ([],))
+        return pa.table([left["id"].take(pa.array(i, pa.int64())), right["id"].take(pa.array(j, pa.int64())), pa.array(found, pa.float64())], names=["id_a", "id_b", "cosine"])
 
+    kind = vectors.schema["id"].dataType.simpleString()
+    rows = vectors.filter("vector is not null").select("id", "vector", *(keys or []))
+    near = tiles.self_pairs(rows.withColumn("_size", F.size("vector")), kernel, f"id_a {kind}, id_b {kind}, cosine double", [*(keys or []), "_size"], tile_rows)
+    return near.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "cosine")
 
-def mutual_nearest(left: DataFrame, right: DataFrame, block: str = "block") -> DataFrame:
-    """(id_a, id_b, cosine): pairs of a block where each is the other's nearest; ties go to the smaller id."""
-    a = left.select(F.col("id").alias("id_a"), F.col("vector").alias("va"), block)
-    b = right.select(F.col("id").alias("id_b"), F.col("vector").alias("vb"), block)
-    scored = a.join(b, block).select("id_a", "id_b", cosine(F.col("va"), F.col("vb")).alias("cosine"))
-    best_b = F.row_number().over(Window.partitionBy("id_a").orderBy(F.desc("cosine"), "id_b"))
-    best_a = F.row_number().over(Window.partitionBy("id_b").orderBy(F.desc("cosine"), "id_a"))
-    return scored.withColumn("rb", best_b).withColumn("ra", best_a).filter("ra = 1 and rb = 1").select("id_a", "id_b", "cosine")
 
+def mutual_nearest(left: DataFrame, right: DataFrame, tile_rows: int = tiles.TILE_ROWS) -> DataFrame:
+    """(id_a, id_b, cosine): pairs where each is the other's nearest; ties (to 12 digits) go to the smaller id.
+
+    A tile gives out the best partner of each of its rows, and the best of those is an aggregate: no pairs are ranked.
+    """
 
-def without_near(new: DataFrame, existing: DataFrame, most_differing: int, block: str = "block") -> DataFrame:
-    """Rows of new with no existing hash of their block within most_differing bits."""
-    e = existing.select(F.col("hash").alias("_h"), F.col(block).alias("_b"))
-    return new.join(e, (F.col(block) == F.col("_b")) & (hamming(F.col("hash"), F.col("_h")) <= most_differing), "left_anti")
+    def kernel(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
+        left, right = left.sort_by("id"), right.sort_by("id")
+        a, b = tiles.unit(tiles.matrix(left["vector"])), tiles.unit(tiles.matrix(right["vector"]))
+        if not len(a) or not len(b):
+            return pa.table({"side": pa.array([], pa.int32()), "id": left["id"].slice(0, 0), "other": left["id"].slice(0, 0), "cosine": pa.array([], pa.float64())})
+        best_b, value_b = np.empty(len(a), int), np.empty(len(a))
+        best_a, value_a = np.zeros(len(b), int), np.full(len(b), -2.0)
+        for rows in tiles.chunks(len(a)):
+            s = np.round(a[rows] @ b.T, 12)
+            best_b[rows], value_b[rows] = s.argmax(axis=1), s.max(axis=1)
+            better = s.max(axis=0) > value_a
+            best_a[better], value_a[better] = s.argmax(axis=0)[better] + rows.start, s.max(axis=0)[better]
+        own = pa.chunked_array([*left["id"].chunks, *right["id"].chunks])
+        other = pa.chunked_array([*right["id"].take(pa.array(best_b)).chunks, *left["id"].take(pa.array(best_a)).chunks])
+        return pa.table([pa.array(np.repeat([0, 1], [len(a), len(b)]), pa.int32()), own, other, pa.array(np.concatenate([value_b, value_a]))], names=["side", "id", "other", "cosine"])
+
+    kind = left.schema["id"].dataType.simpleString()
+    rows = lambda df: df.filter("vector is not null").select("id", "vector", F.size("vector").alias("_size"))
+    best = tiles.cross_pairs(rows(left), rows(right), kernel, f"side int, id {kind}, other {kind}, cosine double", ["_size"], tile_rows)
+    # of equal cosines the smallest other id: the greatest cosine first, then the least id among those that have it
+    top = best.groupBy("side", "id").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "other")).alias("t")).select("side", "id", "t.other", (-F.col("t.c")).alias("cosine"))
+    a = top.filter("side = 0").select(F.col("id").alias("id_a"), F.col("other").alias("id_b"), "cosine")
+    b = top.filter("side = 1").select(F.col("other").alias("id_a"), F.col("id").alias("id_b"))
+    return a.join(b, ["id_a", "id_b"])
+
+
+def without_near(new: DataFrame, existing: DataFrame, most_differing: int, tile_rows: int = tiles.TILE_ROWS) -> DataFrame:
+    """Rows of new with no existing hash within most_differing bits."""
+
+    def kernel(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
+        a, b = tiles.sign_matrix(left["hash"]), tiles.sign_matrix(right["hash"])
+        near = np.zeros(len(a), bool)
+        if len(b):
+            for rows in tiles.chunks(len(a)):
+                near[rows] = (a[rows] @ b.T).max(axis=1) >= BITS - 2 * most_differing
+        return pa.table([left["id"].filter(pa.array(near))], names=["id"])
+
+    kind = new.schema["id"].dataType.simpleString()
+    rows = lambda df: df.filter("hash is not null").select("id", "hash")
+    near = tiles.cross_pairs(rows(new), rows(existing), kernel, f"id {kind}", tile_rows=tile_rows).distinct()
+    return new.join(near, "id", "left_anti")
 
 
 def containing(docs: DataFrame, items: DataFrame, text_col: str = "text", item_text: str = "text", anchor_words: int = 3) -> DataFrame:
-    """Documents whose text contains the text of some item, as a semi join on anchors.
+    """Documents whose text contains the text of some item, as an equi join on anchors; rows that repeat stay.
 
-    The words of an item after its first stand in the document between the same spaces, so documents and items meet
-    at equal sequences of words 2 to anchor_words + 1; the substring test decides. Items without such words are
-    tested one by one.
+    The words of an item after its first and before its last stand in a document between the same spaces. Items with
+    anchor_words such words meet documents at the first of them, shorter ones at a single word; the substring test
+    decides. Items of one or two words have none: each is bound to the start or end of document words, so they meet
+    at a document's words by the characters that they begin with (one word: anywhere in it). The empty item is in
+    every text.
     """
     words = F.split(F.col(item_text), " ")
-    marked = items.filter(F.col(item_text).isNotNull()).select(F.col(item_text).alias("_item"), F.when(F.size(words) >= anchor_words + 2, F.array_join(F.slice(words, 2, anchor_words), " ")).alias("_anchor"))
+    n = F.size(words)
+    anchor = F.when(n >= anchor_words + 2, F.array_join(F.slice(words, 2, anchor_words), " ")).when(n >= 3, F.element_at(words, 2))
+    marked = items.filter(F.col(item_text).isNotNull()).select(F.col(item_text).alias("_item"), F.when(n >= anchor_words + 2, "many").when(n >= 3, "one").when(n == 2, "two").otherwise("part").alias("_how"), anchor.alias("_anchor")).distinct()
+    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
     spots = F.split(F.col(text_col), " ")
-    sequences = F.transform(F.sequence(F.lit(1), F.greatest(F.size(spots) - anchor_words + 1, F.lit(1))), lambda i: F.array_join(F.slice(spots, i, anchor_words), " "))
-    keyed = docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_anchor", F.explode(F.array_distinct(sequences)))
-    hits = keyed.join(marked.filter("_anchor is not null"), "_anchor").filter(F.contains(F.col(text_col), F.col("_item")))
-    found = hits.dropDuplicates(["_row"]).select(docs.columns)
-    short = marked.filter("_anchor is null").select("_item")
-    if short.isEmpty():
-        return found
-    left = docs.join(short, F.contains(F.col(text_col), F.col("_item")), "left_semi")
-    return found.unionByName(left).distinct()
+    sequences = spots  # word by word: each split array is walked once, not once a place
+    for k in range(1, anchor_words):
+        sequences = F.zip_with(sequences, F.slice(spots, k + 1, F.size(spots)), lambda a, b: F.concat(a, F.lit(" "), b))
+    sequences = F.filter(sequences, lambda x: x.isNotNull())
+    kinds = {r["_how"] for r in marked.select("_how").distinct().collect()}  # four values at most
+    parts = []
+    if "many" in kinds:
+        parts.append(_at(keyed, F.array_distinct(sequences), marked.filter("_how = 'many'"), text_col))
+    if "one" in kinds:
+        parts.append(_at(keyed, F.array_distinct(spots), marked.filter("_how = 'one'"), text_col))
+    if "two" in kinds:
+        # "b c" crosses one space: the document has adjacent words of which the first ends in b, the second begins with c
+        tails = F.flatten(F.transform(F.array_distinct(spots), lambda w: F.transform(F.sequence(F.lit(0), F.length(w)), lambda k: F.substring(w, F.length(w) - k + 1, k))))
+        two = marked.filter("_how = 'two'").withColumn("_anchor", F.element_at(F.split("_item", " "), 1))
+        parts.append(_at(keyed, F.array_distinct(tails), two, text_col))
+    if "part" in kinds:
+        # an item without a space lies inside one word; grams of its own length are cut from the different words
+        part = marked.filter("_how = 'part'").withColumn("_anchor", F.col("_item"))
+        lengths = [r[0] for r in part.select(F.length("_item")).distinct().collect()]  # as many as items have lengths
+        of_length = lambda w, k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - k + 1)), lambda i: F.substring(w, i, F.lit(k)))
+        grams = F.flatten(F.transform(F.array_distinct(spots), lambda w: F.flatten(F.array(*[of_length(w, k) for k in lengths]))))
+        parts.append(_at(keyed, F.array_distinct(grams), part, text_col))
+    found = None
+    for part in parts:
+        found = part if found is None else found.unionByName(part)
+    return keyed.join(found.distinct(), "_row", "left_semi").select(docs.columns) if found is not None else docs.limit(0)
+
+
+def _at(keyed: DataFrame, spots: Column, items: DataFrame, text_col: str) -> DataFrame:
+    """(_row) of the documents that contain an item whose anchor is among their spots."""
+    at = keyed.select("_row", text_col, F.explode(spots).alias("_anchor")).join(items.select("_item", "_anchor"), "_anchor")
+    return at.filter(F.contains(F.col(text_col), F.col("_item"))).select("_row")

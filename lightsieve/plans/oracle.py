@@ -52,16 +52,33 @@ def _select(pct: int) -> str:
 
 
 BITS = "(SELECT sum(CASE WHEN {e}[i + 1] > 0 THEN CAST(1 AS HUGEINT) << CAST(i AS INTEGER) ELSE 0 END) FROM range(64) t(i))"
-HASHES = """raw AS (SELECT vec_id AS id, (label + 1) * 100 AS width, vec_id % 4 AS block, label, embedding FROM embeddings),
+HASHES = """raw AS (SELECT vec_id AS id, (label + 1) * 100 AS width, label, embedding, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
     bit AS (SELECT id, unnest(range(64)) AS i, unnest(embedding) AS x FROM raw),
     packed AS (SELECT id, CAST(sum(CASE WHEN x > 0 THEN CAST(1 AS HUGEINT) << CAST(i AS INTEGER) ELSE 0 END) AS UBIGINT) AS h FROM bit GROUP BY id),
-    hashes AS (SELECT raw.*, h, row_number() OVER (PARTITION BY block ORDER BY width DESC, id) AS rank FROM raw JOIN packed USING (id))"""
+    hashes AS (SELECT raw.*, h, row_number() OVER (ORDER BY width DESC, id) AS rank FROM raw JOIN packed USING (id))"""
 PAIRS = HASHES + """,
-    allpairs AS (SELECT a.id AS id_a, b.id AS id_b, a.block, a.rank AS rank_a, b.rank AS rank_b, 1 - bit_count(xor(a.h, b.h)) / 64.0::DOUBLE AS similarity
-                 FROM hashes a JOIN hashes b ON a.block = b.block AND a.rank < b.rank
+    allpairs AS (SELECT a.id AS id_a, b.id AS id_b, a.rank AS rank_a, b.rank AS rank_b, 1 - bit_count(xor(a.h, b.h)) / 64.0::DOUBLE AS similarity
+                 FROM hashes a JOIN hashes b ON a.rank < b.rank
                  WHERE least(a.width / b.width, b.width / a.width) >= 0.5)"""
-COS = """list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE))
-    / (sqrt(list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * a.embedding[i]::DOUBLE))) * sqrt(list_sum(list_transform(range(1, 65), lambda i: b.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE))))"""
+COS = "list_cosine_similarity(a.x, b.x)"
+
+
+def _leaders(name: str, nodes: str, edges: str) -> str:
+    """Greedy leaders by rank inside each block. nodes: (block, rank, id); edges: (rank_a, rank_b), rank_a < rank_b, inside a block. Gives {name}(block, id, lr, group_size)."""
+    return f"""
+        {name}_n AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY rank) AS step FROM ({nodes})),
+        {name}_e AS ({edges}),
+        {name}_a AS (SELECT n.block, n.rank, n.step, n.id, coalesce(list(e.rank_a) FILTER (WHERE e.rank_a IS NOT NULL), []) AS before FROM {name}_n n LEFT JOIN {name}_e e ON e.rank_b = n.rank GROUP BY ALL),
+        {name}_w AS (
+            SELECT block, CAST(0 AS BIGINT) AS step, CAST([] AS BIGINT[]) AS leaders FROM (SELECT DISTINCT block FROM {name}_n)
+            UNION ALL
+            SELECT w.block, a.step, CASE WHEN list_has_any(w.leaders, a.before) THEN w.leaders ELSE list_append(w.leaders, a.rank) END
+            FROM {name}_w w JOIN {name}_a a ON a.block = w.block AND a.step = w.step + 1),
+        {name}_f AS (SELECT block, arg_max(leaders, step) AS leaders FROM {name}_w GROUP BY block),
+        {name} AS (SELECT a.block, a.id, CASE WHEN list_contains(leaders, a.rank) THEN a.rank ELSE list_min(list_intersect(leaders, a.before)) END AS lr, count(*) OVER (PARTITION BY a.block, lr) AS group_size
+                   FROM {name}_a a JOIN {name}_f f ON f.block = a.block QUALIFY group_size > 1)"""
+
+
 PATH = "regexp_replace(url, '\\?.*$', '')"
 GROUPS = "grp AS (SELECT md5(text) AS text_hash, min(doc_id) AS best, count(*) AS group_size FROM documents GROUP BY 1)"
 DELIVERY = GROUPS + """,
@@ -128,20 +145,10 @@ ORACLE_SQL: dict[str, str] = {
         s AS (SELECT h, CAST(CASE WHEN h >= 9223372036854775808 THEN h::HUGEINT - 18446744073709551616 ELSE h::HUGEINT END AS BIGINT) AS hash FROM f)
         SELECT a.hash AS hash_a, b.hash AS hash_b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS differing FROM s a JOIN s b ON a.hash < b.hash WHERE bit_count(xor(a.h, b.h)) <= 6""",
     "q22_cosine_pairs": f"""WITH {HASHES},
-        c AS (SELECT a.id AS id_a, b.id AS id_b, {COS} AS cosine FROM raw a JOIN raw b ON a.block = b.block AND a.id < b.id)
+        c AS (SELECT a.id AS id_a, b.id AS id_b, {COS} AS cosine FROM raw a JOIN raw b ON a.id < b.id)
         SELECT id_a, id_b, round(cosine, 6) AS cosine FROM c WHERE cosine >= 0.35""",
-    "q23_leader_clusters": f"""WITH RECURSIVE {PAIRS},
-        edge AS (SELECT * FROM allpairs WHERE similarity >= 0.66),
-        adj AS (SELECT h.block, h.rank, h.id, coalesce(list(e.rank_a) FILTER (WHERE e.rank_a IS NOT NULL), []) AS before FROM hashes h LEFT JOIN edge e ON e.id_b = h.id GROUP BY ALL),
-        walk AS (
-            SELECT block, CAST(0 AS BIGINT) AS rank, CAST([] AS BIGINT[]) AS leaders FROM (SELECT DISTINCT block FROM hashes)
-            UNION ALL
-            SELECT w.block, a.rank, CASE WHEN list_has_any(w.leaders, a.before) THEN w.leaders ELSE list_append(w.leaders, a.rank) END
-            FROM walk w JOIN adj a ON a.block = w.block AND a.rank = w.rank + 1),
-        fin AS (SELECT block, arg_max(leaders, rank) AS leaders FROM walk GROUP BY block),
-        joined AS (SELECT a.block, a.id, CASE WHEN list_contains(leaders, a.rank) THEN a.rank ELSE list_min(list_intersect(leaders, a.before)) END AS lr FROM adj a JOIN fin f ON f.block = a.block),
-        sized AS (SELECT j.*, count(*) OVER (PARTITION BY j.block, lr) AS group_size FROM joined j QUALIFY group_size > 1)
-        SELECT s.id, h.id AS leader, dense_rank() OVER (PARTITION BY s.block ORDER BY lr) AS group_id, group_size FROM sized s JOIN hashes h ON h.block = s.block AND h.rank = lr""",
+    "q23_leader_clusters": f"""WITH RECURSIVE {PAIRS}, {_leaders("g", "SELECT 0 AS block, rank, id FROM hashes", "SELECT rank_a, rank_b FROM allpairs WHERE similarity >= 0.66")}
+        SELECT g.id, h.id AS leader, dense_rank() OVER (ORDER BY lr) AS group_id, group_size FROM g JOIN hashes h ON h.rank = lr""",
     "q24_best_of_group": """
         WITH s AS (SELECT label, vec_id, p_retailprice, count(*) OVER (PARTITION BY label) AS group_size, row_number() OVER (PARTITION BY label ORDER BY p_retailprice DESC, vec_id) AS rn
                    FROM embeddings JOIN part ON vec_id = p_partkey)
@@ -149,10 +156,10 @@ ORACLE_SQL: dict[str, str] = {
     "q25_duplicate_filter": f"WITH {GROUPS} SELECT doc_id, lang FROM documents JOIN grp ON text_hash = md5(text) WHERE group_size = 1 OR best = doc_id",
     "q26_face_count_split": "SELECT md5(text) AS text_hash, lang, min(doc_id) AS best, count(*) AS group_size FROM documents GROUP BY 1, 2 HAVING count(*) > 1",
     "q27_mutual_nearest": f"""WITH {HASHES},
-        c AS (SELECT a.id AS id_a, b.id AS id_b, {COS} AS cosine FROM raw a JOIN raw b ON a.block = b.block WHERE a.label < 5 AND b.label >= 5),
+        c AS (SELECT a.id AS id_a, b.id AS id_b, round({COS}, 12) AS cosine FROM raw a JOIN raw b ON a.label < 5 AND b.label >= 5),
         r AS (SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY cosine DESC, id_b) AS rb, row_number() OVER (PARTITION BY id_b ORDER BY cosine DESC, id_a) AS ra FROM c)
         SELECT id_a, id_b, round(cosine, 6) AS cosine FROM r WHERE ra = 1 AND rb = 1""",
-    "q28_uniqueness_anti": f"WITH {HASHES} SELECT id FROM hashes a WHERE label < 5 AND NOT EXISTS (SELECT 1 FROM hashes b WHERE b.label >= 5 AND b.block = a.block AND bit_count(xor(a.h, b.h)) <= 22)",
+    "q28_uniqueness_anti": f"WITH {HASHES} SELECT id FROM hashes a WHERE label < 5 AND NOT EXISTS (SELECT 1 FROM hashes b WHERE b.label >= 5 AND bit_count(xor(a.h, b.h)) <= 20)",
     "q29_qc_duplicate_leak": f"WITH {DELIVERY} SELECT text_hash, count(*) AS n_delivered, min(doc_id) AS first FROM delivered JOIN member USING (doc_id) GROUP BY text_hash HAVING count(*) > 1",
     "q30_qc_orphans": f"""WITH {DELIVERY}
         SELECT doc_id, lang FROM delivered d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) AND NOT EXISTS (SELECT 1 FROM member m WHERE m.doc_id = d.doc_id)""",
@@ -200,7 +207,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT l_orderkey, l_linenumber, round(least((least(r * 1.15, 1) * 0.15 + least(f * 1.15, 1) * 0.2 + least(c * 1.15, 1) * 0.15 + least(h * 1.15, 1) * 0.2 + least(n * 1.15, 1) * 0.15 + least(e * 1.15, 1) * 0.15) * 1.1, 1), 6) AS quality,
                round(e, 6) AS exposure FROM s""",
     "q44_rate_window": """
-        SELECT event_id, count(*) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY epoch_us(ts) RANGE BETWEEN 600000000 PRECEDING AND CURRENT ROW) AS in_window FROM events""",
+        SELECT a.event_id, count(*) AS in_window FROM events a JOIN events b ON b.user_id = a.user_id AND epoch_us(b.ts) BETWEEN epoch_us(a.ts) - 60000000 AND epoch_us(a.ts) GROUP BY a.event_id""",
     "q45_backoff_table": "SELECT l_linenumber AS attempt, count(*) AS n, least(pow(2, l_linenumber - 1), 60) AS delay, count(*) * least(pow(2, l_linenumber - 1), 60) AS waited FROM lineitem GROUP BY l_linenumber",
     "q46_priority_order": "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderdate, o_orderkey) AS place FROM orders",
     "q47_incremental_anti": "SELECT event_id, event_type FROM events WHERE event_id % 4 <> 0 AND event_type <> 'view'",
@@ -226,30 +233,33 @@ ORACLE_SQL: dict[str, str] = {
         FROM events GROUP BY user_id""",
     "q59_exposure_routing": f"""WITH {BLUR}
         SELECT event_id, CASE WHEN event_id % 100 > 30 THEN 'exposure' WHEN status = 'BLURRY' AND confidence >= 90 AND combined < 40 THEN 'blur' ELSE 'clear' END AS category FROM b""",
-    "q60_verified_groups": f"""WITH {HASHES},
-        g AS (SELECT id, block AS "group", id % 3 - CASE WHEN id % 19 = 0 THEN 1 ELSE 0 END AS face_count FROM raw),
-        c AS (SELECT a.id AS id_a, b.id AS id_b, {COS} AS cosine FROM raw a JOIN raw b ON a.block = b.block AND a.id < b.id WHERE a.id % 2 = 0 AND b.id % 2 = 0),
-        partner AS (SELECT id_a AS id FROM c WHERE cosine >= 0.3 UNION SELECT id_b FROM c WHERE cosine >= 0.3),
-        s AS (SELECT g.*, count(*) OVER w AS n, count(CASE WHEN id % 2 = 0 THEN 1 END) OVER w AS n_has FROM g WHERE face_count >= 0 WINDOW w AS (PARTITION BY "group", face_count))
-        SELECT id, "group", face_count FROM s WHERE n > 1 AND (face_count = 0 OR n_has < 2 OR id IN (SELECT id FROM partner))""",
+    "q60_verified_groups": f"""WITH RECURSIVE {PAIRS}, {_leaders("g", "SELECT 0 AS block, rank, id FROM hashes", "SELECT rank_a, rank_b FROM allpairs WHERE similarity >= 0.62")},
+        m AS (SELECT g.id, dense_rank() OVER (ORDER BY lr) AS grp, h.rank, h.x, CASE WHEN h.embedding[2] > 1.5 THEN -1 ELSE h.label % 2 END AS face_count, h.label <> 9 AS has FROM g JOIN hashes h ON h.id = g.id),
+        s AS (SELECT *, count(*) OVER w AS n, count(CASE WHEN has THEN 1 END) OVER w AS n_has, min(rank) OVER w AS first FROM m WHERE face_count >= 0 WINDOW w AS (PARTITION BY grp, face_count)),
+        t AS (SELECT *, grp * 2 + face_count AS block FROM s WHERE n > 1),
+        {_leaders("v", "SELECT block, rank, id FROM t WHERE face_count > 0 AND n_has >= 2 AND has",
+                  f"SELECT a.rank AS rank_a, b.rank AS rank_b FROM t a JOIN t b ON a.block = b.block AND a.rank < b.rank AND a.has AND b.has WHERE {COS} >= 0.1")},
+        u AS (SELECT id, lr AS lead FROM v UNION ALL SELECT id, first FROM t WHERE face_count = 0 OR n_has < 2)
+        SELECT u.id, t.grp AS "group", t.face_count, dense_rank() OVER (ORDER BY lead) AS verified_id FROM u JOIN t ON t.id = u.id""",
     "q61_four_signal_pairs": f"""WITH {HASHES},
-        c AS (SELECT a.id AS id_a, b.id AS id_b, 1 - bit_count(xor(ha.h, hb.h)) / 64.0::DOUBLE AS h, round({COS}, 6) AS f, 1 - abs(a.label - b.label) / 9.0::DOUBLE AS s
-              FROM raw a JOIN raw b ON a.block = b.block AND a.id < b.id JOIN packed ha ON ha.id = a.id JOIN packed hb ON hb.id = b.id)
+        c AS (SELECT a.id AS id_a, b.id AS id_b, 1 - bit_count(xor(a.h, b.h)) / 64.0::DOUBLE AS h, round({COS}, 6) AS f, 1 - abs(a.label / 9.0::DOUBLE - b.label / 9.0::DOUBLE) AS s
+              FROM hashes a JOIN hashes b ON a.label % 3 = b.label % 3 AND a.id < b.id)
         SELECT id_a, id_b, CASE WHEN h >= 0.68 THEN 'hash' WHEN f >= 0.30 AND id_a % 2 = 0 THEN 'face' WHEN s >= 1.0 THEN 'background' END AS reason, round(0.30::DOUBLE * h + 0.40::DOUBLE * f + 0.30::DOUBLE * s, 5) AS similarity
-        FROM c WHERE id_a % 3 = id_b % 3 AND (h >= 0.68 OR f >= 0.32 OR 0.4::DOUBLE * h + 0.3::DOUBLE * f + 0.3::DOUBLE * s >= 0.60)""",
+        FROM c WHERE h >= 0.68 OR f >= 0.32 OR 0.4::DOUBLE * h + 0.3::DOUBLE * f + 0.3::DOUBLE * s >= 0.60""",
     "q62_same_faces": """
-        WITH n AS (SELECT l_orderkey AS id, count(*) AS n FROM lineitem GROUP BY 1),
-        p AS (SELECT o_orderkey AS id_a, o_orderkey + 1 AS id_b, a.n AS n_faces FROM orders JOIN n a ON a.id = o_orderkey JOIN n b ON b.id = o_orderkey + 1 WHERE a.n = b.n),
-        best AS (SELECT id_a, id_b, n_faces, fa.l_linenumber * 1000 + fa.l_suppkey AS face, max(1 - abs(fa.l_quantity - fb.l_quantity) / 50) AS best
-                 FROM p JOIN lineitem fa ON fa.l_orderkey = id_a JOIN lineitem fb ON fb.l_orderkey = id_b GROUP BY 1, 2, 3, 4)
+        WITH line AS (SELECT *, row_number() OVER () AS face FROM lineitem),
+        n AS (SELECT o_orderkey AS id, any_value(o_custkey) AS album, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1),
+        p AS (SELECT a.id AS id_a, b.id AS id_b, a.n AS n_faces FROM n a JOIN n b ON a.album = b.album AND a.n = b.n AND a.id < b.id),
+        best AS (SELECT id_a, id_b, n_faces, fa.face, max(1 - abs(fa.l_quantity - fb.l_quantity) / 50) AS best
+                 FROM p JOIN line fa ON fa.l_orderkey = id_a JOIN line fb ON fb.l_orderkey = id_b GROUP BY 1, 2, 3, 4)
         SELECT id_a, id_b, n_faces, count(*) FILTER (WHERE best >= 0.85) AS matched FROM best GROUP BY 1, 2, 3 HAVING count(*) FILTER (WHERE best >= 0.85) >= 0.8 * n_faces""",
     "q63_batch_number": f"WITH {PHOTOS} SELECT album, ord, CAST((row_number() OVER (PARTITION BY album ORDER BY ord) - 1) // 25 AS BIGINT) AS batch FROM photos",
     "q64_merge_last_wins": "SELECT user_id, event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY 1, 2",
     "q65_batch_statistics": f"""WITH {PHOTOS}
         SELECT album, count(*) FILTER (WHERE ok) AS successes, count(*) FILTER (WHERE NOT ok) AS failures, round(count(*) / ((max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6), 6) AS per_second FROM photos GROUP BY album""",
-    "q66_group_merge_votes": f"""WITH {HASHES},
-        g AS (SELECT id // 4 AS grp, id, h, row_number() OVER (PARTITION BY id // 4 ORDER BY id) AS rn FROM hashes QUALIFY rn <= 3)
-        SELECT a.grp AS group_a, b.grp AS group_b, round(avg(CASE WHEN 1 - bit_count(xor(a.h, b.h)) / 64.0::DOUBLE >= 0.5 THEN 1.0 ELSE 0.0 END), 6) AS ratio
-        FROM g a JOIN g b ON b.grp > a.grp AND b.grp <= a.grp + 20 GROUP BY 1, 2 HAVING avg(CASE WHEN 1 - bit_count(xor(a.h, b.h)) / 64.0::DOUBLE >= 0.5 THEN 1.0 ELSE 0.0 END) >= 0.7""",
+    "q66_group_merge_votes": f"""WITH RECURSIVE {PAIRS}, {_leaders("g", "SELECT 0 AS block, rank, id FROM hashes", "SELECT rank_a, rank_b FROM allpairs WHERE similarity >= 0.66")},
+        m AS (SELECT dense_rank() OVER (ORDER BY lr) AS grp, h.h, row_number() OVER (PARTITION BY lr ORDER BY h.rank) AS rn FROM g JOIN hashes h ON h.id = g.id QUALIFY rn <= 3),
+        v AS (SELECT a.grp AS group_a, b.grp AS group_b, avg(CASE WHEN 1 - bit_count(xor(a.h, b.h)) / 64.0::DOUBLE >= 0.5 THEN 1.0 ELSE 0.0 END) AS ratio FROM m a JOIN m b ON b.grp > a.grp GROUP BY 1, 2)
+        SELECT group_a, group_b, round(ratio, 6) AS ratio FROM v WHERE ratio >= 0.7""",
     "q67_directory_counts": f"SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, count(*) AS n_files, count(DISTINCT regexp_replace({PATH}, '/?[^/]*$', '')) AS n_dirs FROM pages GROUP BY 1",
 }

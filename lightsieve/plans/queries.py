@@ -42,9 +42,9 @@ def _base(spark: SparkSession, sf_dir: str, s: Selection = AT_25) -> tuple[DataF
 
 
 def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, rank, hash, width, block, vector) of the embeddings; rank by width, widest first, then id."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), similarity.sign_bits(F.col("embedding")).alias("hash"), ((F.col("label") + 1) * 100).alias("width"), (F.col("vec_id") % 4).alias("block"), F.col("embedding").alias("vector"), "label")
-    return e.withColumn("rank", F.row_number().over(Window.partitionBy("block").orderBy(F.desc("width"), "id")))
+    """(id, rank, hash, width, vector, label) of the embeddings; ranked by width, widest first, then id."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), similarity.sign_bits(F.col("embedding")).alias("hash"), ((F.col("label") + 1) * 100).alias("width"), F.col("embedding").alias("vector"), "label")
+    return e.withColumn("rank", F.struct((-F.col("width")).alias("narrower"), "id"))
 
 
 def _utc(ts: Column) -> Column:
@@ -224,7 +224,7 @@ def q27_mutual_nearest(spark, sf_dir):
 @query
 def q28_uniqueness_anti(spark, sf_dir):
     hashes = _hashes(spark, sf_dir)
-    return similarity.without_near(hashes.filter("label < 5"), hashes.filter("label >= 5"), 22).select("id")
+    return similarity.without_near(hashes.filter("label < 5"), hashes.filter("label >= 5"), 20).select("id")
 
 
 def _delivery(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -347,8 +347,9 @@ def q43_quality_weighted(spark, sf_dir):
 
 @query
 def q44_rate_window(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", F.to_date("ts").alias("day"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    trailing = Window.partitionBy("day").orderBy("us").rangeBetween(-600_000_000, 0)
+    """Requests of each user in the 60 seconds up to each of them, across midnight too."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    trailing = Window.partitionBy("user_id").orderBy("us").rangeBetween(-60_000_000, 0)
     return e.select("event_id", F.count("*").over(trailing).alias("in_window"))
 
 
@@ -449,32 +450,29 @@ def q59_exposure_routing(spark, sf_dir):
 
 @query
 def q60_verified_groups(spark, sf_dir):
+    """Hash groups, confirmed by faces: the label's parity stands for the face count, unknown where the second dimension is above 1.5; label 9 has no face embedding."""
     hashes = _hashes(spark, sf_dir)
-    groups = hashes.select("id", "block", (F.col("id") % 3 - F.when(F.col("id") % 19 == 0, 1).otherwise(0)).alias("face_count")).withColumnRenamed("block", "group")
-    return clustering.verified_groups(groups, hashes.filter("id % 2 = 0").select("id"), similarity.cosine_pairs(hashes.filter("id % 2 = 0"), 0.3))
+    groups = clustering.leader_clusters(hashes, similarity.hash_pairs(hashes, 0.62)).select("id", F.col("group_id").alias("group"))
+    faces = F.when(F.element_at("vector", 2) > 1.5, -1).otherwise(F.col("label") % 2)
+    members = materialize(groups.join(hashes.select("id", "rank", faces.alias("face_count")), "id"), "members")
+    return clustering.verified_groups(members, hashes.filter("label <> 9").select("id", "vector"), 0.1)
 
 
 @query
 def q61_four_signal_pairs(spark, sf_dir):
-    """Signals with the thresholds that these embeddings reach; background is closeness of the labels."""
-    h = _hashes(spark, sf_dir)
-    side = lambda s: h.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "hash", "vector", "label")], "block")
-    both = side("a").join(side("b"), "block").filter("id_a < id_b")
-    hash_sim = similarity.hash_similarity(F.col("hash_a"), F.col("hash_b"))
-    face_sim = F.round(similarity.cosine(F.col("vector_a"), F.col("vector_b")), 6)
-    feature_sim = 1 - F.abs(F.col("label_a") - F.col("label_b")) / 9.0
-    scored = both.select("id_a", "id_b", hash_sim.alias("h"), face_sim.alias("f"), feature_sim.alias("s"))
-    rule = pairs.four_signals(F.col("id_a") % 3 == F.col("id_b") % 3, F.col("h"), F.col("f"), F.col("s"), 0.68, 0.32, 2.0, 0.60)
+    """Signals with the thresholds that these embeddings reach; label % 3 stands for the face count, background is closeness of the labels."""
+    photos = _hashes(spark, sf_dir).select("id", (F.col("label") % 3).alias("face_count"), "hash", "vector", (F.col("label") / 9.0).alias("feature"))
+    found = pairs.signal_pairs(photos, lambda same, h, f, s: pairs.four_signals(same, h, f, s, 0.68, 0.32, 2.0, 0.60))
     reason = pairs.pair_reason(F.col("h"), F.col("f"), F.col("id_a") % 2 == 0, F.col("s"), F.col("s"), 0.68, 0.30, 2.0, 1.0)
-    return scored.filter(rule).select("id_a", "id_b", reason.alias("reason"), F.round(pairs.comprehensive_similarity(F.col("h"), F.col("f"), F.col("s")), 5).alias("similarity"))
+    return found.select("id_a", "id_b", reason.alias("reason"), F.round(pairs.comprehensive_similarity(F.col("h"), F.col("f"), F.col("s")), 5).alias("similarity"))
 
 
 @query
 def q62_same_faces(spark, sf_dir):
-    faces = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_linenumber") * 1000 + F.col("l_suppkey")).alias("face"), F.col("l_quantity").alias("vector"))
-    orders = table(spark, sf_dir, "orders")
-    neighbours = orders.select(F.col("o_orderkey").alias("id_a"), (F.col("o_orderkey") + 1).alias("id_b"))
-    return pairs.same_faces(neighbours, faces, lambda a, b: 1 - F.abs(a - b) / 50, 0.85, 0.80)
+    """Orders of a customer are the photos of an album, their lines the faces."""
+    faces = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_quantity")).alias("faces"))
+    photos = table(spark, sf_dir, "orders").join(faces, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("album"), "faces")
+    return pairs.same_faces(photos, lambda a, b: 1 - F.abs(a - b) / 50, 0.85, 0.80)
 
 
 @query
@@ -501,10 +499,10 @@ def q65_batch_statistics(spark, sf_dir):
 
 @query
 def q66_group_merge_votes(spark, sf_dir):
-    h = _hashes(spark, sf_dir).select(((F.col("id") / 4).cast("long")).alias("group"), F.col("id").alias("ord"), F.col("hash").alias("value"))
-    groups = h.select("group").distinct()
-    candidates = groups.select(F.col("group").alias("group_a"), F.explode(F.sequence(F.col("group") + 1, F.col("group") + 20)).alias("group_b"))
-    return pairs.merge_votes(h, candidates, lambda a, b: similarity.hash_similarity(a, b) >= 0.5, ratio_min=0.70).withColumn("ratio", F.round("ratio", 6))
+    """Pairs of hash groups that samples of three vote to merge."""
+    hashes = _hashes(spark, sf_dir)
+    groups = clustering.leader_clusters(hashes, similarity.hash_pairs(hashes, 0.66)).join(hashes, "id")
+    return pairs.merge_votes(groups.select(F.col("group_id").alias("group"), F.col("rank").alias("ord"), "hash"), 0.5).withColumn("ratio", F.round("ratio", 6))
 
 
 @query

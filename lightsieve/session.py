@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,18 +43,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir of the session.
 
-    Only a session that names none (tests on one machine) gets a temporary folder, removed at exit.
+    Only a local session that names none (tests on one machine) gets a temporary folder, removed at exit. Executors of
+    a cluster could not see such a folder, so there the setting must be given.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-shared-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
+def _run_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/lightsieve/{spark.sparkContext.applicationId}"
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/lightsieve/{label}-{uuid.uuid4().hex}"
+    return f"{_run_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
@@ -63,4 +71,26 @@ def materialize(df: DataFrame, label: str, compression: str | None = None) -> Da
     if compression:
         writer = writer.option("compression", compression)
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[written] = path
+    return written
+
+
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def discard(*materialized: DataFrame) -> None:
+    """Deletes what materialize() wrote, once no plan reads it any more; frames of other origin are left alone."""
+    for df in materialized:
+        if path := _paths.pop(df, None):
+            _delete(df.sparkSession, path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all that this application has written to the shared folder; results not yet computed are lost with it."""
+    _delete(spark, _run_dir(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
