@@ -1,11 +1,15 @@
 """Classifiers and the language model on whole small tables, and on odd rows."""
 
+import zlib
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lightsieve.llm import lmscore, quality, textmodel, toxicity
+from tests.llm.brute import WS_WORD
 from tests.llm.test_contracts import SCHEMA, odd_rows
 
 
@@ -88,47 +92,112 @@ def test_lm_scores(spark, tables, odd):
     assert lmscore.score_documents(odd.limit(0)).count() == 0
 
 
+SHAPE = lmscore.Shape(1280, 32)
+
+
 def test_lm_learns_both_sides():
     """Every second word is the successor of the one before; the network must use its neighbours."""
     r = np.random.default_rng(1)
     first = r.integers(0, 200, 30_000)
     codes = np.stack([first, (first * 7 + 1) % 200], axis=1).ravel().astype(np.int32)
     at = np.arange(1, len(codes), 2)
-    context, target = lmscore.contexts(codes, at), codes[at]
-    table = lmscore.new_network()
-    squares, touched = np.full_like(table, 0.1), np.zeros(len(table))
-    before = lmscore.log_probability(lmscore.Network(table), context[-2000:], target[-2000:]).mean()
+    context, target = lmscore.windows(codes, np.array([len(codes)]), SHAPE.pad)[:, at], codes[at]
+    net = lmscore.Network(lmscore.new_network(SHAPE), SHAPE)
+    squares, touched = np.full_like(net.table, 0.1), np.zeros(SHAPE.rows)
+    before = lmscore.log_probability(net, context[:, -2000:], target[-2000:]).mean()
     for _ in range(6):
         for i in range(0, 28_000, 1024):
-            lmscore.train_step(table, squares, touched, context[i : i + 1024], target[i : i + 1024], 0.3)
-    after = lmscore.log_probability(lmscore.Network(table), context[-2000:], target[-2000:]).mean()
+            lmscore.train_step(net, squares, touched, context[:, i : i + 1024], target[i : i + 1024], 0.3)
+    after = lmscore.log_probability(net, context[:, -2000:], target[-2000:]).mean()
     assert before < -6 and after > -3
 
 
-def test_lm_probabilities_sum_to_one():
-    net = lmscore.Network(lmscore.new_network())
-    context = np.tile(np.array([[3, 7, lmscore.PAD, 1200]]), (lmscore.OUTCOMES, 1))
-    assert np.exp(lmscore.log_probability(net, context, np.arange(lmscore.OUTCOMES))).sum() == pytest.approx(1, abs=1e-3)
+def test_lm_gradient():
+    """A step moves every parameter as the numeric derivative of the summed loss says."""
+    shape = lmscore.Shape(12, 4)
+    r = np.random.default_rng(2)
+    codes = r.integers(0, 12, 40).astype(np.int16)
+    context = lmscore.windows(codes, np.array([25, 15]), shape.pad)
+    net = lmscore.Network(lmscore.new_network(shape).astype(np.float64), shape)
+    loss = lambda: -lmscore.log_probability(net, context, codes).sum()
+    squares, numeric = np.full_like(net.table, 1e12), np.zeros_like(net.table)
+    for i in range(net.table.shape[0]):
+        for j in range(net.table.shape[1]):
+            if i < shape.in_rows and j == lmscore.WIDTH:
+                continue  # inputs have no bias
+            for sign in (1, -1):
+                net.table[i, j] += sign * 1e-2
+                numeric[i, j] += sign * loss() / 2e-2
+                net.table[i, j] -= sign * 1e-2
+    before = net.table.copy()
+    lmscore.train_step(net, squares, np.zeros(shape.rows), context, codes, 1e6)
+    assert np.allclose((before - net.table) * 40**0.5, numeric, atol=2e-2)
 
 
-def test_lm_masks_every_position():
-    for n in (0, 1, 2, 3, 6, 7, 50):
-        for rounds in (1, 2, 3):
-            at = np.concatenate([lmscore.targets(n, k, rounds) for k in range(rounds)])
-            assert sorted(at) == list(range(n))
+def test_lm_probabilities_sum_to_one():
+    net = lmscore.Network(lmscore.new_network(SHAPE), SHAPE)
+    context = np.tile(np.array([[3], [7], [SHAPE.pad], [1200]]), (1, SHAPE.outcomes))
+    assert np.exp(lmscore.log_probability(net, context, np.arange(SHAPE.outcomes))).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_lm_words_are_ascii_space_separated(spark):
+    texts = ["", " a\tb\x0bc\x0cd\r\ne ", "x\u00a0y\x1cz\x85w", "one", "   ", "\u3000p q"]
+    import pyarrow as pa
+
+    sizes, words = lmscore.split_words(pa.array(texts))
+    expected = [WS_WORD.findall(t) for t in texts]
+    assert sizes.tolist() == [len(e) for e in expected] and words.to_pylist() == sum(expected, [])
+
+
+def test_lm_score_against_a_plain_loop(spark, odd, monkeypatch):
+    """The network that Spark trained, applied word by word with probabilities written out."""
+    kept = {}
+    trained = lmscore.train
+    monkeypatch.setattr(lmscore, "train", lambda coded, shape, *a, **k: kept.setdefault("net", (trained(coded, shape, *a, **k), shape))[0])
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(40)
+    docs = docs.unionByName(odd.select(F.col("doc_id") + 10**6, "text").toDF("doc_id", "text").filter("doc_id is not null").dropDuplicates(["doc_id"]))
+    texts = {r["doc_id"]: WS_WORD.findall(r["text"] or "") for r in docs.collect()}
+    found = {r["doc_id"]: r for r in lmscore.score_documents(docs, head_words=50, vocabulary=64).collect()}
+    table, shape = kept["net"]
+    counts = Counter(w for t in texts.values() for w in t)
+    own = {w: i for i, w in enumerate(sorted((w for w in counts if len(w) <= lmscore.MOST_LETTERS), key=lambda w: (-counts[w], w.encode()))[: shape.outcomes - lmscore.RARE_CLASSES])}
+    class_of = lambda w: zlib.crc32(w[:2].encode()) % lmscore.RARE_CLASSES
+    totals = Counter()
+    for w, n in counts.items():
+        if w not in own:
+            totals[class_of(w)] += n
+    net = lmscore.Network(table.astype(float), shape)
+
+    def log_softmax(z):
+        return z - z.max() - np.log(np.exp(z - z.max()).sum())
+
+    assert set(found) == set(texts)
+    for i, text in list(texts.items()):
+        codes = [own.get(w, len(own) + class_of(w) if len(own) == shape.outcomes - lmscore.RARE_CLASSES else shape.outcomes - lmscore.RARE_CLASSES + class_of(w)) for w in text]
+        total = 0.0
+        for at, w in enumerate(text[:400] if len(text) > 400 else text):
+            h = np.tanh(sum(net.inputs[o][codes[at + d] if 0 <= at + d < len(codes) else shape.pad] for o, d in enumerate(lmscore.OFFSETS)))
+            h = np.append(h, 1.0)
+            group, member = divmod(codes[at], shape.members)
+            total += log_softmax(net.groups @ h)[group] + log_softmax(net.members[group] @ h)[member]
+            if w not in own:
+                total += np.log(counts[w] / totals[class_of(w)])
+        assert found[i]["n_words"] == len(text)
+        if len(text) <= 400:
+            assert found[i]["log_prob"] == pytest.approx(total, rel=1e-4, abs=1e-3)
 
 
 def test_lm_training_reaches_the_ends_of_texts(spark):
     """Texts of one to three words, too, teach the network, and so do the last words of a text."""
     docs = spark.createDataFrame([(i, "a b c"[: 2 * (i % 3) + 1]) for i in range(30)], "doc_id long, text string")
-    table = lmscore.train(docs, "text", {b"a": 0, b"b": 1, b"c": 2}, 2)
-    inputs, start = lmscore.Network(table).inputs, lmscore.Network(lmscore.new_network()).inputs
-    assert all((inputs[o][lmscore.PAD] != start[o][lmscore.PAD]).any() for o in range(len(lmscore.OFFSETS)))
+    coded = lmscore.encode(docs, "doc_id", "text", spark.sparkContext.broadcast(lmscore.Coder({"a": 0, "b": 1, "c": 2}, {}, 1024)), np.int16)
+    inputs, start = (lmscore.Network(t, SHAPE).inputs for t in (lmscore.train(coded, SHAPE, 2, np.int16), lmscore.new_network(SHAPE)))
+    assert all((inputs[o][SHAPE.pad] != start[o][SHAPE.pad]).any() for o in range(len(lmscore.OFFSETS)))
 
 
 def test_lm_rare_words_have_their_own_probability(spark):
     """The same network and contexts: a rare word scores by its count, whether its share is broadcast or joined."""
-    frequent = " ".join(f"{chr(97 + i // 676 % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(lmscore.VOCABULARY))
+    frequent = " ".join(f"{chr(97 + i // 676 % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(SHAPE.outcomes - lmscore.RARE_CLASSES))
     rows = [(i, frequent) for i in range(12)] + [(100 + i, "zzmany") for i in range(9)] + [(200, "zzonce"), (None, "zzonce")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     by_limit = []
@@ -144,9 +213,6 @@ def test_lm_rare_words_have_their_own_probability(spark):
 
 
 def test_lm_vocabulary_grows_with_the_corpus():
-    sizes = [lmscore.vocabulary_size(n) for n in (0, 10**6, 10**8, 4 * 10**9)]
-    assert sizes[0] == sizes[1] == lmscore.VOCABULARY < sizes[2] < sizes[3]
-    for n in sizes:
-        outcomes = n + lmscore.RARE_CLASSES
-        net = lmscore.Network(lmscore.new_network(outcomes))
-        assert net.outcomes == outcomes and net.inputs.shape[1] == outcomes + 1 and net.members.shape[0] * lmscore.MEMBERS == outcomes
+    shapes = [lmscore.shape_for(n) for n in (0, 10**6, 10**8, 4 * 10**9)]
+    assert shapes[0] == shapes[1] and shapes[1].outcomes < shapes[2].outcomes < shapes[3].outcomes
+    assert all(s.outcomes % s.members == 0 and s.outcomes - lmscore.RARE_CLASSES >= lmscore.VOCABULARY and 0.5 < s.groups / s.members < 2 for s in shapes)
