@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lightsieve.llm.textmodel import pieces
 from lightsieve.session import materialize
 
 VOCABULARY = 1024  # at least; see vocabulary_size
@@ -177,16 +178,6 @@ def windows(codes: np.ndarray, sizes: np.ndarray, pad: int) -> np.ndarray:
     return np.stack([padded[at + o] for o in OFFSETS])
 
 
-def pieces(column: pa.Array, most: int) -> Iterator[slice]:
-    """Slices of a string or binary column of about ``most`` bytes each, one row at least."""
-    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
-    begin = 0
-    while begin < len(ends):
-        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + most, side="right")))
-        yield slice(begin, end)
-        begin = end
-
-
 def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
     """(words of each text, all words one after the other). Words are what space and 0x09 to 0x0D separate."""
     lists = pc.ascii_split_whitespace(texts)
