@@ -2,8 +2,9 @@
 
 The stream carries one small record a document: digest, stable identifier and content locator (the file that
 holds the row). The state, kept in RocksDB without expiry, retains for each digest the largest identifier with
-its locator and the number of records. Digest hits are then checked byte by byte against the retained text; texts
-that share a digest and differ are grouped by their full content instead. Built-in functions only.
+its locator and the number of records. The texts of digest hits are then compared in full, by the least and the
+greatest of each digest, which are taken in every task before the shuffle; texts that share a digest and differ are
+grouped by their full content instead. Built-in functions only.
 """
 
 from __future__ import annotations
@@ -34,36 +35,39 @@ def deduplicate(
     text_col: str = "text",
     digest: Callable[[Column], Column] = sha256_hex,
     bytes_per_trigger: int = 8 << 30,
-    rows_per_salt: int = 256,
 ) -> DataFrame:
-    """(id_col, keep_id, group_size, kept, text_sha256), one row for each input row.
+    """(id_col, keep_id, group_size, kept, text_sha256, keep_locator), one row for each input row.
 
     Null counts as the empty text. Of equal texts the largest id stays; null ids stay only where a group has no
     other id, and then all of them are kept. Rows that repeat both id and text count in group_size, and each is
-    marked as the kept document is. Other columns are ignored, whatever their names.
+    marked as the kept document is. keep_locator names the file that holds the kept row. Texts are digested and
+    compared whole, however long. An empty table gives no rows. Other columns are ignored, whatever their names.
 
     ``digest`` may be weak: hits are checked on full bytes. ``bytes_per_trigger`` sets the size of a micro-batch.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.input_file_name().alias("locator"))
-    feed = materialize(rows.select("id", digest(F.col("text")).alias("digest"), "locator", sha256_hex(F.col("text")).alias("sha")), "feed")
-    state = _retained(spark, feed, bytes_per_trigger)
-    assigned = materialize(splittable_join(feed.drop("locator"), state, ["digest"]), "assigned")
-
-    differing = _differing(rows, assigned, rows_per_salt)
-    result = assigned.select("id", "keep_id", "group_size", "sha")
-    if not differing.isEmpty():
-        result = assigned.join(differing, "digest", "left_anti").select("id", "keep_id", "group_size", "sha")
-        again = rows.withColumn("digest", digest(F.col("text"))).join(differing, "digest", "left_semi")
-        groups = again.groupBy("text").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-        result = result.unionByName(again.join(groups, "text").select("id", "keep_id", "group_size", sha256_hex(F.col("text")).alias("sha")))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.input_file_name().alias("locator")).withColumn("digest", digest(F.col("text")))
+    feed = materialize(rows.select("id", "digest", "locator", sha256_hex(F.col("text")).alias("sha")), "feed")
+    state = materialize(_retained(spark, feed, bytes_per_trigger), "state-rows")
+    differing = _differing(rows, state)
+
+    columns = ("id", "keep_id", "group_size", "sha", "keep_locator")
+    assigned = splittable_join(feed.drop("locator"), state, ["digest"])
+    if differing.isEmpty():
+        result = assigned.select(*columns)
+    else:
+        again = rows.join(differing, "digest", "left_semi")
+        groups = again.groupBy("text").agg(F.max("id").alias("keep_id"), F.max(F.struct("id", "locator"))["locator"].alias("keep_locator"), F.count("*").alias("group_size"))
+        result = assigned.join(differing, "digest", "left_anti").select(*columns)
+        result = result.unionByName(splittable_join(again.drop("locator"), groups, ["text"]).withColumn("sha", sha256_hex(F.col("text"))).select(*columns))
     return result.select(
         F.col("id").alias(id_col),
         "keep_id",
         "group_size",
         F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.col("sha").alias("text_sha256"),
+        "keep_locator",
     )
 
 
@@ -87,18 +91,10 @@ def _retained(spark: SparkSession, feed: DataFrame, bytes_per_trigger: int) -> D
     return updates.groupBy("digest").agg(last).select("digest", "last.*")
 
 
-def _differing(rows: DataFrame, assigned: DataFrame, rows_per_salt: int) -> DataFrame:
-    """Digests with a text that is not the retained one. Large groups are salted: each salt gets a copy of the retained text."""
-    hits = assigned.filter("group_size > 1").withColumn("is_kept", F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id").alias("hit_id"), "digest", "keep_id", "keep_locator", "group_size", "is_kept")
-    texts = rows.join(hits, F.col("id").eqNullSafe(F.col("hit_id")))
-    salts = F.greatest(F.lit(1), F.ceil(F.col("group_size") / rows_per_salt)).cast("int")
-    retained = (
-        texts.filter("is_kept and locator = keep_locator")
-        .select("digest", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("text").alias("kept_text"))
-    )
-    others = texts.filter("not is_kept").select("digest", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"), "text")
-    differ = others.join(retained, ["digest", "salt"]).filter("text <> kept_text").select("digest")
-    return materialize(differ.distinct(), "differing")
+def _differing(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """Digests that stand for several texts. Of the texts of a hit only the least and the greatest go on from a task."""
+    hits = splittable_join(rows.select("digest", "text"), state.filter("group_size > 1").select("digest"), ["digest"], "left_semi")
+    return materialize(hits.groupBy("digest").agg(F.min("text").alias("least"), F.max("text").alias("most")).filter("least <> most").select("digest"), "differing")
 
 
 @contextmanager

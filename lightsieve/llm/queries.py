@@ -26,7 +26,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
     kinds = F.transform("base", lambda s: s["kind"])
-    count = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    count = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.BASE)]
     return found.select("doc_id", *count, F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"), pii.span_text(F.array_sort(F.concat("base", "found"))).alias("spans"))
 
 
@@ -47,7 +47,7 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.deduplicate(table(spark, sf_dir, "documents"))
+    return exact.deduplicate(table(spark, sf_dir, "documents")).drop("keep_locator")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

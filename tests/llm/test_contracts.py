@@ -66,6 +66,23 @@ def test_pii_learns_a_context(spark):
     assert all(len(found[i]["base"]) == 1 for i in range(40))
 
 
+def test_pii_finds_keys_in_other_writing(spark):
+    """Printed keys are seeds; what stands in their place elsewhere is found by the learned pattern."""
+    r = random.Random(4)
+    key = lambda: "".join(r.choice("0123456789abcdef") for _ in range(40))
+    rows = [(i, f'w{r.random()} and so token = "{key()}" it goes') for i in range(30)] + [(100, 'AND SO TOKEN = "AF90-77" it goes'), (101, "the year 2024 was long")]
+    found = {x["doc_id"]: [(s["value"], pii.KINDS[s["kind"]]) for s in x["found"]] for x in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[100] == [("AF90-77", "secret")] and found[101] == [] and all(len(found[i]) == 1 and found[i][0][1] == "secret" for i in range(30))
+
+
+def test_pii_of_one_long_table(spark):
+    """100,000 numbers and mail addresses in one text: running sums, no copies of what was found before."""
+    text = " ".join(f"{i} m{i}@h.org" for i in range(50_000))
+    found = pii.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert [(s["start"], s["end"]) for s in found["base"]][:2] == [(2, 10), (13, 21)] and len(found["base"]) == 50_000
+    assert all(text[s["start"] : s["end"]] == s["value"] for s in found["base"])
+
+
 def test_simhash(both):
     for docs, rows, _, _ in both:
         assert by_id(simhash.near_duplicates(docs), "fingerprint", "component_id") == brute.near_components(rows)
@@ -111,7 +128,7 @@ def test_exact(both):
 def test_exact_over_many_batches_and_with_colliding_digests(both):
     for docs, rows, _, _ in both:
         weak = lambda text: F.substring(F.sha2(text, 256), 1, 1)
-        found = exact.deduplicate(docs.repartition(6), digest=weak, bytes_per_trigger=1, rows_per_salt=3)
+        found = exact.deduplicate(docs.repartition(6), digest=weak, bytes_per_trigger=1)
         assert by_id(found, "keep_id", "group_size", "kept", "text_sha256") == brute.deduplicate(rows)
 
 
