@@ -4,18 +4,23 @@ Seeds induce lexical patterns, the words around them. Spark scores the graph of
 pattern is as sure as the share of its occurrences that are known instances of a kind, an instance as sure as its
 patterns make it together. Occurrences of sure instances in sure patterns are added to the seeds.
 
-Built-in functions only. Positions of matches are summed up from the lengths of what a text is split into.
+Built-in functions only. Positions of matches are running sums of the lengths of what a text is split into, taken by
+doubling steps, so a text of many matches costs no more than sorting them would.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lightsieve.operators.skew import splittable_join
 from lightsieve.session import materialize
 
-KINDS = ("email", "ip", "card", "phone")
+#: base kinds, then kinds that are only seeds of the method
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE = KINDS[:4]
 CHECKED = ("ip", "card", "phone")
 
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -26,26 +31,46 @@ PATTERNS = {
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    # keys as programs print them: 32 hex digits or more, letters among them
+    "secret": r"(?<![0-9A-Za-z])(?=[0-9]*+[a-f])[0-9a-f]{32,}+(?![0-9A-Za-z])",
 }
-#: what may be an identifier that the patterns miss: a word with a digit or an at sign
-CANDIDATE = r"(?:(?<![^\s])|\G)[^\s0-9@]*+[0-9@][^\s]*+"
+#: what may be an identifier that the patterns miss: a run without spaces, quotes, brackets and marks, with a digit or an at sign
+_MARKS = r"\s\"'<>()\[\]{},;!?|*%$&"
+CANDIDATE = rf"(?:(?<![^{_MARKS}])|\G)[^{_MARKS}0-9@]*+[0-9@][^{_MARKS}]*+"
 CONTEXT_CHARS = 80
+_MATCH = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
+
+
+def running(values: Column, both: Callable[[Column, Column], Column]) -> Column:
+    """Running sums (or maxima, ...) of an array, each element included, in log2(size) passes over it."""
+    n = F.size(values)
+
+    def double(acc: Column, k: Column) -> Column:
+        shift = F.pow(F.lit(2), k).cast("int")
+        earlier = F.concat(F.array_repeat(F.lit(None).cast("int"), shift), F.slice(acc, 1, F.size(acc) - shift))
+        return F.zip_with(acc, earlier, lambda a, b: F.when(b.isNull(), a).otherwise(both(a, b)))
+
+    return F.when(n < 2, values).otherwise(F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(n)).cast("int") - 1), values, double))
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> of the non-overlapping matches, in code points, end exclusive."""
+    """Non-overlapping matches in code points, end exclusive, with what stands around them.
+
+    left and right: CONTEXT_CHARS characters at most on either side, back to the start of the match before and up to
+    the end of the one after it.
+    """
     between = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["between"])
-        end = start + F.length(pair["value"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value")))).alias("out"))
-
-    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, v: F.struct(b.alias("between"), v.alias("value")))
-    walked = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, walked).otherwise(none)
+    n = F.size(found)
+    sizes = F.zip_with(F.slice(between, 1, n), found, lambda b, v: (F.length(b) + F.length(v)).cast("int"))
+    ends = running(sizes, lambda a, b: a + b)
+    value = F.zip_with(found, ends, lambda v, e: F.struct((e - F.length(v)).alias("start"), e.alias("end"), v.alias("value")))
+    before = F.concat(F.array(F.lit("")), F.slice(found, 1, n - 1))
+    left = F.zip_with(before, F.slice(between, 1, n), lambda v, b: F.right(F.concat(v, b), F.lit(CONTEXT_CHARS)))
+    after = F.concat(F.slice(found, 2, n), F.array(F.lit("")))
+    right = F.zip_with(F.slice(between, 2, n), after, lambda b, v: F.left(F.concat(b, v), F.lit(CONTEXT_CHARS)))
+    whole = F.zip_with(F.zip_with(value, left, lambda m, x: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), x.alias("left"))), right, lambda m, x: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), m["left"].alias("left"), x.alias("right")))
+    return F.when(n > 0, whole.cast(_MATCH)).otherwise(F.array().cast(_MATCH))
 
 
 def _digits(value: Column) -> Column:
@@ -80,29 +105,36 @@ def _check(kind: str):
 
 
 def _of_kind(kind: Column):
-    return lambda m: F.struct(kind.alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"))
+    return lambda m: F.struct(kind.alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), m["left"].alias("left"), m["right"].alias("right"))
 
 
-def base_spans(text: Column) -> Column:
-    """array<struct<kind (place in KINDS), start, end, value>>, by kind and start."""
+def seed_spans(text: Column, kinds: tuple[str, ...] = KINDS) -> Column:
+    """array<struct<kind (place in KINDS), start, end, value, left, right>>, by kind and start."""
     need = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
     parts = []
-    for k, kind in enumerate(KINDS):
+    for kind in kinds:
         found = matches(text, PATTERNS[kind])
         if kind in need:
-            found = F.when(need[kind], found).otherwise(none)
+            found = F.when(need[kind], found).otherwise(F.array().cast(_MATCH))
         if kind in CHECKED:
             found = F.filter(found, _check(kind))
-        parts.append(F.transform(found, _of_kind(F.lit(k))))
+        parts.append(F.transform(found, _of_kind(F.lit(KINDS.index(kind)))))
     return F.concat(*parts)
 
 
-def contexts(text: Column, start: Column, end: Column) -> Column:
+def clear_of(candidates: Column, spans: Column) -> Column:
+    """The candidates that no span overlaps, found in one order of both by their starts."""
+    mark = lambda is_span: lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(is_span).alias("span"), m["value"].alias("value"), m["left"].alias("left"), m["right"].alias("right"))
+    both = F.array_sort(F.concat(F.transform(candidates, mark(False)), F.transform(spans, mark(True))))
+    ends = running(F.transform(both, lambda m: F.when(m["span"], m["end"]).otherwise(-1).cast("int")), lambda a, b: F.greatest(a, b))
+    starts = F.reverse(running(F.reverse(F.transform(both, lambda m: F.when(m["span"], m["start"]).otherwise(2**31 - 1).cast("int"))), lambda a, b: F.least(a, b)))
+    kept = F.zip_with(F.zip_with(both, ends, lambda m, e: F.struct(m.alias("m"), e.alias("e"))), starts, lambda x, s: F.when(~x["m"]["span"] & (x["e"] <= x["m"]["start"]) & (s >= x["m"]["end"]), x["m"]))
+    return F.filter(kept, lambda m: m.isNotNull())
+
+
+def contexts(left: Column, right: Column) -> Column:
     """The lexical patterns of a place: the two words before it, and the word on either side."""
-    at = F.greatest(F.lit(0), start - CONTEXT_CHARS)
-    left = F.lower(F.substring(text, at + 1, start - at))
-    right = F.lower(F.substring(text, end + 1, F.lit(CONTEXT_CHARS)))
+    left, right = F.lower(left), F.lower(right)
     before2 = F.regexp_extract(left, r"(\S+\s+\S+)\s*$", 1)
     before, after = F.regexp_extract(left, r"(\S+)\s*$", 1), F.regexp_extract(right, r"^\s*(\S+)", 1)
     found = F.array(
@@ -139,39 +171,38 @@ def score_graph(edges: DataFrame, rounds: int, smoothing: float) -> tuple[DataFr
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, smoothing: float = 4.0, sure: float = 0.8) -> DataFrame:
-    """(id_col, base, found): spans by fixed patterns and by learned ones, array<struct<kind, start, end, value>>.
+    """(id_col, base, found): spans by fixed patterns and by the method, array<struct<kind, start, end, value>>.
 
-    One row for each input row, repeated ones too. Null texts count as empty, empty texts have no spans. Learned
-    spans never overlap fixed ones. With no seeds at all nothing is learned. Other columns are ignored.
+    One row for each input row, repeated ones and those without id too. Null texts count as empty, empty texts have
+    no spans, long ones are searched whole; an empty table gives no rows. ``found`` holds the seeds of the kinds
+    beyond the base ones and what learned patterns find, none of which overlaps a seed. With no seeds at all nothing
+    is learned. Other columns are ignored, whatever their names.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
-    clear = F.filter(matches(F.col("text"), CANDIDATE), lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    rows = rows.withColumn("other", clear)
-    places = F.concat(
-        F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), contexts(F.col("text"), s["start"], s["end"]).alias("patterns"))),
-        F.transform("other", lambda s: F.struct(F.lit(None).cast("int").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), contexts(F.col("text"), s["start"], s["end"]).alias("patterns"))),
-    )
-    marked = materialize(rows.select("row", "id", places.alias("places")), "places")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text.alias("text"))
+    rows = rows.select("row", "id", seed_spans(F.col("text")).alias("seeds"), F.when(F.col("text").rlike("[0-9@]"), matches(F.col("text"), CANDIDATE)).otherwise(F.array().cast(_MATCH)).alias("candidates"))
+    place = lambda kind: lambda s: F.struct(kind(s).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), contexts(s["left"], s["right"]).alias("patterns"))
+    places = F.concat(F.transform("seeds", place(lambda s: s["kind"])), F.transform("other", place(lambda s: F.lit(None).cast("int"))))
+    marked = materialize(rows.withColumn("other", clear_of(F.col("candidates"), F.col("seeds"))).select("row", "id", places.alias("places")), "places")
 
-    place = marked.select("row", F.explode("places").alias("p")).select("row", "p.*")
-    at = place.select("row", "kind", "start", "end", "value", F.explode("patterns").alias("pattern"))
+    at = marked.select("row", F.explode("places").alias("p")).select("row", "p.*").withColumn("pattern", F.explode("patterns")).drop("patterns")
     edges = materialize(at.groupBy("pattern", "value", "kind").agg(F.count("*").alias("n")), "edges")
     patterns, instances = score_graph(edges, rounds, smoothing)
     sure_instances = instances.filter(F.col("score") >= sure).select("value", F.col("kind").alias("found_kind"))
     sure_patterns = patterns.filter(F.col("score") >= sure).select("pattern", F.col("kind").alias("found_kind"))
-    found = (
-        at.filter("kind is null")
-        .join(sure_patterns, "pattern")
+    learned = splittable_join(at.filter("kind is null"), sure_patterns.groupBy("pattern").agg(F.collect_set("found_kind").alias("kinds")), ["pattern"])  # len(KINDS) at most
+    learned = (
+        learned.withColumn("found_kind", F.explode("kinds"))
         .join(sure_instances, ["value", "found_kind"])
         .groupBy("row", "start", "end", "value")
         .agg(F.min("found_kind").alias("kind"))
         .groupBy("row")
-        .agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end", "value"))).alias("found"))
+        .agg(F.collect_list(F.struct("kind", "start", "end", "value")).alias("learned"))
     )
     spans = "array<struct<kind:int,start:int,end:int,value:string>>"
-    base = F.transform(F.filter("places", lambda p: p["kind"].isNotNull()), lambda p: _of_kind(p["kind"])(p))
-    return marked.select("row", "id", base.alias("base")).join(found, "row", "left").select(F.col("id").alias(id_col), F.col("base").cast(spans).alias("base"), F.coalesce("found", F.array().cast(spans)).alias("found"))
+    of_kinds = lambda low, high: F.transform(F.filter("places", lambda p: p["kind"].between(low, high)), lambda p: F.struct(p["kind"].alias("kind"), p["start"].alias("start"), p["end"].alias("end"), p["value"].alias("value"))).cast(spans)
+    joined = marked.select("row", "id", of_kinds(0, len(BASE) - 1).alias("base"), of_kinds(len(BASE), len(KINDS)).alias("more")).join(learned, "row", "left")
+    return joined.select(F.col("id").alias(id_col), "base", F.array_sort(F.concat("more", F.coalesce("learned", F.array().cast(spans)))).alias("found"))
 
 
 def span_text(spans: Column) -> Column:
