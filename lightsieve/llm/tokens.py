@@ -56,11 +56,11 @@ def pre_tokens(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
 
     Texts of single spaces alone are cut by Arrow, all others by the pattern.
     """
-    irregular = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " ")), pc.match_substring(texts, MARK))
-    lists = pc.split_pattern(pc.if_else(pc.or_(irregular, pc.equal(texts, "")), pa.scalar(None, pa.string()), texts), " ")
-    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-    doc, words = np.repeat(np.arange(len(texts)), sizes), [lists.flatten()]
-    slow = np.flatnonzero(irregular.to_numpy(zero_copy_only=False))
+    irregular = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " ")), pc.match_substring(texts, MARK)).to_numpy(zero_copy_only=False)
+    plain = np.flatnonzero(~irregular & (pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0))
+    lists = pc.split_pattern(texts.take(pa.array(plain)), " ")
+    doc, words = np.repeat(plain, pc.list_value_length(lists).to_numpy(zero_copy_only=False)), [lists.flatten()]
+    slow = np.flatnonzero(irregular)
     if len(slow):
         found = [[p[1:] for p in PRE_TOKEN.findall(" " + texts[int(i)].as_py())] for i in slow]
         doc = np.concatenate([doc, np.repeat(slow, [len(f) for f in found])])

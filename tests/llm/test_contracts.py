@@ -2,10 +2,11 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lightsieve.llm import decontam, exact, mixing, pii, queries, simhash, substrings, tokens
+from lightsieve.llm import decontam, exact, lmscore, mixing, pii, queries, simhash, substrings, textmodel, tokens
 from lightsieve.operators.components import connected_components
 from tests.llm import brute
 
@@ -163,6 +164,24 @@ def test_tokens(both):
             assert found == {i: (len((t or "").encode()), n := len(model.encode(t or "")), n > 4096) for i, t in rows}
 
 
+def test_pieces_of_a_batch_are_whole(both):
+    """Slices of a batch, cut anywhere, give the words and pre-tokens of their texts."""
+    for _, rows, _, _ in both:
+        column = pa.array([t or "" for _, t in rows], pa.string())
+        for most in (1, 3000, 1 << 20):
+            words, pre, n = [], [], 0
+            for part in textmodel.pieces(column, most):
+                assert part.start == n and part.stop > n
+                n = part.stop
+                sizes, found = lmscore.split_words(column[part])
+                assert len(sizes) == part.stop - part.start
+                words += found.to_pylist()
+                doc, found = tokens.pre_tokens(column[part])
+                pre += sorted(zip((doc + part.start).tolist(), found.to_pylist()))
+            assert n == len(column) and words == [w for t in column.to_pylist() for w in brute.WS_WORD.findall(t)]
+            assert sorted(pre) == sorted((i, p[1:]) for i, t in enumerate(column.to_pylist()) if t for p in tokens.PRE_TOKEN.findall(" " + t))
+
+
 def test_substrings(both):
     for docs, rows, _, _ in both:
         assert by_id(substrings.remove_repeats(docs), "n_words", "n_removed", "kept_sha256") == brute.remove_repeats(rows)
