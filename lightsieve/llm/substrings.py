@@ -1,14 +1,19 @@
-"""Removal of long repeated word sequences by de Bruijn compaction.
+"""Removal of long repeated word sequences by compaction of the de Bruijn graph's windows at their minimizers.
 
 The k-mers of the graph are windows of 35 words. A chain of consecutive windows that share their minimizer (the
 least hash among the 12-word sequences inside a window) is compacted into one row, as disk-based assemblers do:
-equal windows have equal minimizers, so all that can repeat meets at the minimizer.
+equal windows have equal minimizers, so all that can repeat meets at the minimizer. This takes the place of an edge
+table with degrees, which would have a row for each word of the corpus.
 
 * A minimizer that occurs once belongs to no repeated window.
 * One whose chains all have the same content is a nonbranching path: all of its windows repeat.
 * Any other is a branching point. Equal chains repeat. The windows of the chains left, with one copy of those that
   repeat, are taken from the texts again by their source coordinates and compared one by one.
 
+Minimizers and contents come from two independent families of 64-bit word hashes, so chains count as equal when both
+agree; what separates windows of one minimizer is the second hash. The texts are written once, dealt by a row key, and
+the two later joins read them where they lie.
+
 Hot passages are many rows of one minimizer; they meet in pre-aggregated counts and in joins whose large
 partitions Spark can split, never in one group.
 """
@@ -16,6 +21,7 @@ partitions Spark can split, never in one group.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lightsieve.operators.skew import splittable_join
-from lightsieve.session import materialize
+from lightsieve.session import materialize, shared_path
 
 WINDOW = 35
 MINI = 12
@@ -38,16 +44,20 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class _WordHashes(dict):
+    def __init__(self, seed: int):
+        super().__init__()
+        self.seed = seed
+
     def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
         return h
 
 
 class WindowHashes:
-    """64-bit hashes of word sequences, from running sums of word hashes times powers of an odd base."""
+    """64-bit hashes of word sequences, from running sums of word hashes times powers of an odd base; a family a seed."""
 
-    def __init__(self):
-        self.cache = _WordHashes()
+    def __init__(self, seed: int):
+        self.cache = _WordHashes(seed)
         self.power = self.inverse = np.ones(1, np.uint64)
 
     def _powers(self, n: int) -> None:
@@ -76,23 +86,23 @@ class WindowHashes:
         return h ^ (h >> np.uint64(29))
 
 
-def chains(hashes: WindowHashes, words: list[bytes]) -> tuple[np.ndarray, ...]:
+def chains(hashes: tuple[WindowHashes, WindowHashes], words: list[bytes]) -> tuple[np.ndarray, ...]:
     """(start, n, minimizer, content) of the chains of a text: n windows from word ``start`` on share a minimizer.
 
     Of equal 12-word sequences in a window the leftmost counts, so equal windows have it at the same place.
     """
     n = len(words) - WINDOW + 1
-    sums = hashes.sums(words)
+    of_mini, of_content = hashes
     begin = np.arange(len(words) - MINI + 1)
-    mini = hashes.of(sums, begin, begin + MINI)
+    mini = of_mini.of(of_mini.sums(words), begin, begin + MINI)
     at = np.lib.stride_tricks.sliding_window_view(mini, WINDOW - MINI + 1).argmin(axis=1) + np.arange(n)
     start = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
     length = np.diff(np.append(start, n))
-    return start, length, mini[at[start]], hashes.of(sums, start, start + length - 1 + WINDOW)
+    return start, length, mini[at[start]], of_content.of(of_content.sums(words), start, start + length - 1 + WINDOW)
 
 
 def _chain_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WindowHashes()
+    hashes = WindowHashes(0), WindowHashes(1)
     for batch in batches:
         keys, parts = [], []
         for key, text in zip(batch["key"].to_pylist(), batch["text"]):
@@ -109,8 +119,8 @@ def _chain_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each window of the asked chains: two hashes of its words, where it starts, and whether it repeats for certain."""
-    hashes = WindowHashes()
+    """One row for each window of the asked chains: its minimizer, the hash of its words, where it starts, and whether it repeats for certain."""
+    hashes = WindowHashes(1)
     for batch in batches:
         rows: list[tuple] = []
         for key, text, asked in zip(batch["key"].to_pylist(), batch["text"], batch["asked"].to_pylist()):
@@ -142,16 +152,26 @@ def cut(text: bytes, spans: list[dict]) -> tuple[int, int, str, list[dict]]:
     return len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), [{"begin": b, "end": e} for b, e in turns.reshape(-1, 2).tolist()]
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows, written to the shared folder in buckets of their key: joins on the key shuffle the other side alone."""
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name, path = f"texts_{uuid.uuid4().hex}", shared_path(spark, "texts")
+    rows.repartition(n, "key").write.bucketBy(n, "key").option("path", path).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_words, n_removed, kept_sha256, removed), one row for each input row; removed: spans of words.
 
     A word goes when a window of 35 consecutive words that covers it also starts anywhere else, in the same text or
     another; windows are judged on the input. Null and wordless texts have no words, texts of fewer than 35 lose
-    none. A row that repeats id and text is one more place where its windows start. Other columns are ignored.
+    none. Rows that repeat id, text or both are rows of their own: each is one more place where its windows start.
+    Texts are cut whole, however long; an empty table gives no rows. Other columns are ignored, whatever their names.
     """
     id_kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.xxhash64(F.col(id_col), text).alias("key"), F.col(id_col).alias("id"), text.cast("binary").alias("text"))
+    rows = _dealt(docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), text.cast("binary").alias("text")))
     chain = materialize(rows.select("key", "text").mapInArrow(_chain_rows, "key long, start int, n int, mini long, content long"), "chains", "zstd")
 
     met = chain.groupBy("mini").agg(F.count("*").alias("times"), F.min("content").alias("least"), F.max("content").alias("most"))
