@@ -3,7 +3,8 @@
 The index is a table of segments in the shared folder: each task writes its documents as one segment or more, with
 the postings (ascending token positions) of every term. A test phrase is looked up in each segment from its rarest
 term on: positions are shifted by the term's offset in the phrase and intersected with the next rarest list until
-none is left or all terms agree. Proximity matches ask only that the rarest terms stand close together.
+none is left or all terms agree. Proximity matches start at the terms of a phrase that are rarest in the whole index
+and ask that most of its terms stand close by, whatever their order.
 
 Terms are stored as 64-bit hashes. Documents are POSITION_GAP positions apart, so no match runs across two of them.
 """
@@ -30,8 +31,8 @@ POSITION_GAP = 64
 SEGMENT_TOKENS = 2_000_000
 BLOCK_CHARS = 8_000_000
 
-SEGMENT_SCHEMA = "segment string, first_doc array<long>, doc_null array<boolean>, n_words array<int>, terms binary, counts binary, gaps binary"
-MATCH_SCHEMA = "segment string, doc int, doc_id long, n_words int, spans array<struct<begin:int,end:int>>, items array<string>, near array<string>"
+SEGMENT_SCHEMA = "segment string, doc_ids array<{id}>, n_words array<int>, terms binary, counts binary, gaps binary"
+MATCH_SCHEMA = "segment string, doc int, doc_id {id}, n_words int, spans array<struct<begin:int,end:int>>, items array<string>, near array<string>"
 
 
 def terms_of(text: bytes) -> list[bytes]:
@@ -54,29 +55,31 @@ class Segment(NamedTuple):
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_tokens: int = SEGMENT_TOKENS) -> DataFrame:
-    """One row a segment, at most segment_tokens tokens or one document. Null texts have no tokens."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    """One row a segment, at most segment_tokens tokens or one document. Null texts have no tokens; ids keep their type."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, done = TaskContext.get().partitionId(), 0
-        builder = _Builder()
+        task, done, builder = TaskContext.get().partitionId(), 0, None
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                builder = builder or _Builder(batch["doc_id"].type)
                 builder.add(doc_id, terms_of(text.as_py()))
                 if builder.size >= segment_tokens:
                     yield builder.row(f"{task}-{done}")
-                    builder, done = _Builder(), done + 1
-        if builder.ids:
+                    builder, done = None, done + 1
+        if builder:
             yield builder.row(f"{task}-{done}")
 
-    return materialize(rows.mapInArrow(segments, SEGMENT_SCHEMA), "index", "zstd")
+    return materialize(rows.mapInArrow(segments, SEGMENT_SCHEMA.format(id=kind)), "index", "zstd")
 
 
 class _Builder:
-    def __init__(self):
+    def __init__(self, id_type: pa.DataType):
+        self.id_type = id_type
         self.size, self.ids, self.lengths, self.tokens, self.local = 0, [], [], [], {}
 
-    def add(self, doc_id: int | None, terms: list[bytes]) -> None:
+    def add(self, doc_id: pa.Scalar, terms: list[bytes]) -> None:
         local = self.local
         self.tokens.append(np.fromiter((local.setdefault(t, len(local)) for t in terms), np.int32, len(terms)))
         self.ids.append(doc_id)
@@ -97,9 +100,10 @@ class _Builder:
         gaps = np.diff(position, prepend=0)
         gaps[np.cumsum(counts)[:-1]] = position[np.cumsum(counts)[:-1]]  # a term's first posting is absolute
         planes = np.ascontiguousarray(gaps.astype("<u4")).view(np.uint8).reshape(-1, 4).T  # high bytes are nearly all 0
-        arrays = [[name], [[i or 0 for i in self.ids]], [[i is None for i in self.ids]], [self.lengths], [hashes[order].tobytes()], [counts.tobytes()], [planes.tobytes()]]
-        kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(a, k) for a, k in zip(arrays, kinds)], names=["segment", "first_doc", "doc_null", "n_words", "terms", "counts", "gaps"])
+        arrays = [[name], None, [self.lengths], [hashes[order].tobytes()], [counts.tobytes()], [planes.tobytes()]]
+        kinds = [pa.string(), None, pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
+        columns = [pa.array(a, k) if k else pa.ListArray.from_arrays(pa.array([0, len(self.ids)], pa.int32()), pa.array(self.ids, self.id_type)) for a, k in zip(arrays, kinds)]
+        return pa.RecordBatch.from_arrays(columns, names=["segment", "doc_ids", "n_words", "terms", "counts", "gaps"])
 
 
 def open_segment(terms: bytes, counts: bytes, gaps: bytes) -> Segment:
@@ -136,7 +140,7 @@ def queries_of(items: list[tuple[str, bytes]], window: int = WINDOW) -> Queries:
             begin.append(at + i)
             length.append(size)
             item.append(len(names))
-            stride.append(i % size == 0)
+            stride.append(i % size == 0 or i == len(words) - size)
         names.append(name)
         hashes += map(term_hash, words)
         at += len(words)
@@ -172,32 +176,56 @@ def exact_matches(segment: Segment, queries: Queries) -> Iterator[tuple[int, np.
             yield int(q), starts
 
 
-def near_matches(segment: Segment, queries: Queries, slop: int, anchors: int = 3) -> Iterator[tuple[int, np.ndarray]]:
-    """(phrase, positions of its rarest term) where its ``anchors`` rarest different terms stand within its length plus slop.
+def frequencies(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """How often each term of a block of test items occurs in the whole index."""
 
-    Only the phrases that together cover an item once are asked, and only where all anchors occur in the segment.
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(vocabulary), np.int64)
+        for batch in batches:
+            for terms, counts in zip(batch["terms"], batch["counts"]):
+                terms, counts = np.frombuffer(terms.as_py(), np.uint64), np.frombuffer(counts.as_py(), np.int32)
+                if len(terms):
+                    place = np.minimum(np.searchsorted(terms, vocabulary), len(terms) - 1)
+                    total += np.where(terms[place] == vocabulary, counts[place], 0)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], names=["term", "n"])
+
+    out = np.zeros(len(vocabulary), np.int64)
+    if len(vocabulary):
+        for r in index.select("terms", "counts").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # terms of one block of items
+            out[r["term"]] = r["n"]
+    return out
+
+
+def near_matches(segment: Segment, queries: Queries, frequency: np.ndarray, slop: int, anchors: int = 3, least_share: float = 0.75) -> Iterator[tuple[int, np.ndarray]]:
+    """(phrase, positions of an anchor) where least_share of its different terms stand within its length plus slop.
+
+    Anchors are the terms of a phrase that are rarest in the whole index (``frequency``), those that occur nowhere
+    left aside, so the answer for a document does not depend on its segment. Only the phrases that together cover an
+    item are asked, its last one among them.
     """
     if not len(segment.terms) or not len(queries.begin):
         return
     place = np.minimum(np.searchsorted(segment.terms, queries.vocabulary), len(segment.terms) - 1)
-    found = segment.terms[place] == queries.vocabulary
-    frequency = np.where(found, np.diff(segment.starts)[place], 0)
+    here = segment.terms[place] == queries.vocabulary
     for q in np.flatnonzero(queries.stride):
         words = np.unique(queries.terms[queries.begin[q] : queries.begin[q] + queries.length[q]])
-        rarest = words[np.argsort(frequency[words], kind="stable")[:anchors]]
-        if frequency[rarest[0]] == 0:
+        least = math.ceil(least_share * len(words))
+        present = words[here[words]]
+        if len(present) < least:
             continue
+        occurring = words[frequency[words] > 0]
+        rarest = occurring[np.lexsort((occurring, frequency[occurring]))[:anchors]]
         reach = min(int(queries.length[q]) + slop, POSITION_GAP)
-        at = segment.postings(place[rarest[0]])
-        for word in rarest[1:]:
-            other = segment.postings(place[word])
-            right = np.searchsorted(other, at)
-            close = np.minimum(np.abs(other[np.minimum(right, len(other) - 1)] - at), np.abs(at - other[np.maximum(right - 1, 0)]))
-            at = at[close < reach]
-            if not len(at):
-                break
-        if len(at):
-            yield int(q), at
+        for anchor in rarest[here[rarest]]:
+            at = segment.postings(place[anchor])
+            close = np.zeros(len(at), np.int64)
+            for word in present:
+                other = segment.postings(place[word])
+                right = np.searchsorted(other, at)
+                close += np.minimum(np.abs(other[np.minimum(right, len(other) - 1)] - at), np.abs(at - other[np.maximum(right - 1, 0)])) < reach
+            if (close >= least).any():
+                yield int(q), at[close >= least]
 
 
 def _merged(begin: np.ndarray, end: np.ndarray) -> list[dict]:
@@ -211,7 +239,7 @@ def _merged(begin: np.ndarray, end: np.ndarray) -> list[dict]:
     return out
 
 
-def search_segment(row: dict, queries: Queries, slop: int) -> list[dict]:
+def search_segment(row: dict, queries: Queries, frequency: np.ndarray, slop: int) -> list[dict]:
     """For each document of a segment: the word spans that phrases hit, and the items with exact and near matches."""
     segment = open_segment(row["terms"], row["counts"], row["gaps"])
     lengths = np.array(row["n_words"], np.int64)
@@ -224,13 +252,13 @@ def search_segment(row: dict, queries: Queries, slop: int) -> list[dict]:
         for d, s in zip(docs.tolist(), (starts - doc_start[docs]).tolist()):
             spans.setdefault(d, []).append((s, s + int(queries.length[q])))
             items.setdefault(d, set()).add(queries.names[queries.item[q]])
-    for q, at in near_matches(segment, queries, slop):
+    for q, at in near_matches(segment, queries, frequency, slop):
         for d in np.unique(np.searchsorted(doc_start, at, side="right") - 1).tolist():
             near.setdefault(d, set()).add(queries.names[queries.item[q]])
     out = []
-    for d, (doc_id, null, n) in enumerate(zip(row["first_doc"], row["doc_null"], row["n_words"])):
+    for d, n in enumerate(row["n_words"]):
         pairs = np.array(sorted(spans.get(d, ())), np.int64).reshape(-1, 2)
-        out.append({"segment": row["segment"], "doc": d, "doc_id": None if null else doc_id, "n_words": n, "spans": _merged(pairs[:, 0], pairs[:, 1]), "items": sorted(items.get(d, ())), "near": sorted(near.get(d, ()))})
+        out.append({"segment": row["segment"], "doc": d, "n_words": n, "spans": _merged(pairs[:, 0], pairs[:, 1]), "items": sorted(items.get(d, ())), "near": sorted(near.get(d, ()))})
     return out
 
 
@@ -241,7 +269,7 @@ def search(index: DataFrame, benchmark: DataFrame, item_col: str = "item_id", te
     large the test set is; the index stays and is searched once a block. Items without id are left out, those of
     equal id count as one item.
     """
-    spark = index.sparkSession
+    spark, kind = index.sparkSession, index.schema["doc_ids"].dataType.elementType.simpleString()
     named = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = named.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = max(1, math.ceil(total / block_chars))
@@ -251,8 +279,9 @@ def search(index: DataFrame, benchmark: DataFrame, item_col: str = "item_id", te
     found = None
     for block in range(n_blocks):
         items = [(r["item"], r["text"].encode()) for r in named.filter(F.col("block") == block).collect()]
-        sent = spark.sparkContext.broadcast(tuple(queries_of(items, window)))
-        part = index.mapInArrow(_searcher(sent, slop), MATCH_SCHEMA)
+        queries = queries_of(items, window)
+        sent = spark.sparkContext.broadcast((tuple(queries), frequencies(index, queries.vocabulary)))
+        part = index.mapInArrow(_searcher(sent, slop), MATCH_SCHEMA.format(id=kind))
         found = part if found is None else found.unionByName(part)
     if n_blocks == 1:
         return found
@@ -267,12 +296,13 @@ def search(index: DataFrame, benchmark: DataFrame, item_col: str = "item_id", te
 
 def _searcher(sent, slop: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = Queries(*sent.value)
-        kind = pa.schema([("segment", pa.string()), ("doc", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int32()), ("spans", pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string())), ("near", pa.list_(pa.string()))])
+        queries, frequency = Queries(*sent.value[0]), sent.value[1]
+        kind = [("segment", pa.string()), ("doc", pa.int32()), ("n_words", pa.int32()), ("spans", pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string())), ("near", pa.list_(pa.string()))]
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {name: batch[name][i].as_py() for name in batch.schema.names}
-                yield pa.RecordBatch.from_pylist(search_segment(row, queries, slop), kind)
+                row = {name: batch[name][i].as_py() for name in batch.schema.names if name != "doc_ids"}
+                found = pa.RecordBatch.from_pylist(search_segment(row, queries, frequency, slop), pa.schema(kind))
+                yield pa.RecordBatch.from_arrays([*found.columns[:2], batch["doc_ids"][i].values, *found.columns[2:]], names=["segment", "doc", "doc_id", *found.schema.names[2:]])
 
     return run
 
@@ -281,8 +311,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(id_col, n_words, n_hit, n_items, items, near_items, spans, contaminated), one row for each input row.
 
     A document is contaminated when words of it are hit and they make up least_share of its words or more. Null and
-    wordless texts have no words and are clean; so is everything when no test item has words. Repeated rows are
-    documents of their own. Other columns are ignored.
+    wordless texts have no words and are clean; so is everything when no test item has words. Repeated rows, and rows
+    without id, are documents of their own; ids keep their type. An empty table gives no rows. Texts are indexed whole:
+    a long one is a segment by itself. Test items without id are not asked. Other columns are ignored, whatever their
+    names.
     """
     found = search(build_index(docs, id_col, text_col), benchmark, window=window)
     union = F.aggregate(

@@ -67,9 +67,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def exact_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7's exact part, which SQL can express."""
+    return op7_decontamination(spark, sf_dir).drop("n_near_items")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_personal_data, op2_simhash, op3_mixing, op4_toxicity, op5_lm_score, op6_exact_dedup, op7_decontamination, op8_token_counts, op9_substring_dedup, op10_quality)
+    for f in (op1_personal_data, op2_simhash, op3_mixing, op4_toxicity, op5_lm_score, op6_exact_dedup, op7_decontamination, op8_token_counts, op9_substring_dedup, op10_quality, exact_phrases)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -99,6 +104,33 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, source, size, source_size, target,
                size * CAST(floor(e) + floor(u + (e - floor(e)) * rank) - floor(u + (e - floor(e)) * (rank - 1)) AS BIGINT) AS taken
         FROM r""",
+    "exact_phrases": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (
+            SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM benchmark WHERE item_id IS NOT NULL),
+        bw AS (
+            SELECT DISTINCT item, n, array_to_string(w[i : i + n - 1], ' ') AS g
+            FROM (SELECT item, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+        dw AS (
+            SELECT r, i, n, array_to_string(w[i : i + n - 1], ' ') AS g
+            FROM (SELECT r, w, s.n, unnest(range(1, len(w) - s.n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) s WHERE len(w) >= s.n)),
+        h AS (SELECT r, i, n, item FROM dw JOIN bw USING (n, g)),
+        words AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS j FROM h) GROUP BY r),
+        items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)""",
+    "op9_substring_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        win AS (SELECT r, i, array_to_string(w[i : i + 34], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+        again AS (SELECT g FROM win GROUP BY g HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS j FROM win JOIN again USING (g)),
+        pos AS (SELECT r, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS word FROM d),
+        kept AS (SELECT r, count(*) AS n_kept, string_agg(word, ' ' ORDER BY j) AS text FROM pos ANTI JOIN gone USING (r, j) GROUP BY r)
+        SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (r)""",
     "op6_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents

@@ -153,6 +153,17 @@ def test_decontamination_in_blocks_and_near(spark, both):
     assert {r["doc_id"]: (r["near_items"], r["items"]) for r in found.collect()} == {1: (["7"], []), 2: ([], []), 3: (["7"], ["7"])}
 
 
+def test_decontamination_near_does_not_depend_on_segments(spark):
+    """A changed word that occurs nowhere else is no veto, nor is where the segments are cut; string ids stay strings."""
+    words = long_text(40, 8).split()
+    changed = " ".join("unseen" if i % 13 == 5 else w for i, w in enumerate(words))
+    docs = spark.createDataFrame([("a", changed), ("b", long_text(40, 9)), (None, " ".join(words)), ("c", None)], "doc_id string, text string").coalesce(1)
+    items = spark.createDataFrame([("it", " ".join(words))], "item_id string, text string")
+    for size in (10, 1000):
+        found = {r["doc_id"]: (r["items"], r["near"]) for r in decontam.search(decontam.build_index(docs, segment_tokens=size), items).collect()}
+        assert found == {"a": ([], ["it"]), "b": ([], []), None: (["it"], ["it"]), "c": ([], [])}
+
+
 def test_tokens(both):
     import sentencepiece
 
