@@ -44,22 +44,30 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class _WordHashes(dict):
-    def __init__(self, seed: int):
-        super().__init__()
-        self.seed = seed
-
     def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Word hashes of another family: each bit depends on all bits of the first."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 class WindowHashes:
-    """64-bit hashes of word sequences, from running sums of word hashes times powers of an odd base; a family a seed."""
+    """64-bit hashes of word sequences, from running sums of word hashes times powers of an odd base."""
 
-    def __init__(self, seed: int):
-        self.cache = _WordHashes(seed)
+    def __init__(self):
+        self.cache = _WordHashes()
         self.power = self.inverse = np.ones(1, np.uint64)
 
+    def words(self, words: list[bytes]) -> np.ndarray:
+        if len(self.cache) > _CACHE_WORDS:
+            self.cache.clear()
+        return np.fromiter(map(self.cache.__getitem__, words), np.uint64, len(words))
+
     def _powers(self, n: int) -> None:
         if len(self.power) < n:
             n = max(n, 2 * len(self.power))
@@ -68,14 +76,11 @@ class WindowHashes:
                 steps[0] = 1
                 setattr(self, name, np.multiply.accumulate(steps))
 
-    def sums(self, words: list[bytes]) -> np.ndarray:
-        if len(self.cache) > _CACHE_WORDS:
-            self.cache.clear()
-        out = np.empty(len(words) + 1, np.uint64)
+    def sums(self, word_hashes: np.ndarray) -> np.ndarray:
+        self._powers(len(word_hashes) + 1)
+        out = np.empty(len(word_hashes) + 1, np.uint64)
         out[0] = 0
-        out[1:] = np.fromiter(map(self.cache.__getitem__, words), np.uint64, len(words))
-        self._powers(len(words) + 1)
-        out[1:] *= self.power[: len(words)]
+        np.multiply(word_hashes, self.power[: len(word_hashes)], out=out[1:])
         return np.cumsum(out, dtype=np.uint64)
 
     def of(self, sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -86,23 +91,23 @@ class WindowHashes:
         return h ^ (h >> np.uint64(29))
 
 
-def chains(hashes: tuple[WindowHashes, WindowHashes], words: list[bytes]) -> tuple[np.ndarray, ...]:
+def chains(hashes: WindowHashes, words: list[bytes]) -> tuple[np.ndarray, ...]:
     """(start, n, minimizer, content) of the chains of a text: n windows from word ``start`` on share a minimizer.
 
     Of equal 12-word sequences in a window the leftmost counts, so equal windows have it at the same place.
     """
     n = len(words) - WINDOW + 1
-    of_mini, of_content = hashes
+    each = hashes.words(words)
     begin = np.arange(len(words) - MINI + 1)
-    mini = of_mini.of(of_mini.sums(words), begin, begin + MINI)
+    mini = hashes.of(hashes.sums(each), begin, begin + MINI)
     at = np.lib.stride_tricks.sliding_window_view(mini, WINDOW - MINI + 1).argmin(axis=1) + np.arange(n)
     start = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
     length = np.diff(np.append(start, n))
-    return start, length, mini[at[start]], of_content.of(of_content.sums(words), start, start + length - 1 + WINDOW)
+    return start, length, mini[at[start]], hashes.of(hashes.sums(_mixed(each)), start, start + length - 1 + WINDOW)
 
 
 def _chain_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WindowHashes(0), WindowHashes(1)
+    hashes = WindowHashes()
     for batch in batches:
         keys, parts = [], []
         for key, text in zip(batch["key"].to_pylist(), batch["text"]):
@@ -120,12 +125,12 @@ def _chain_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each window of the asked chains: its minimizer, the hash of its words, where it starts, and whether it repeats for certain."""
-    hashes = WindowHashes(1)
+    hashes = WindowHashes()
     for batch in batches:
         rows: list[tuple] = []
         for key, text, asked in zip(batch["key"].to_pylist(), batch["text"], batch["asked"].to_pylist()):
             words = words_of(text.as_py())
-            sums = hashes.sums(words)
+            sums = hashes.sums(_mixed(hashes.words(words)))
             start = np.concatenate([np.arange(a["start"], a["start"] + a["n"]) for a in asked])
             known = np.repeat(np.array([a["known"] for a in asked]), [a["n"] for a in asked])
             mini = np.repeat(np.array([a["mini"] for a in asked], np.int64), [a["n"] for a in asked])
