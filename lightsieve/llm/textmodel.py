@@ -5,10 +5,11 @@ from __future__ import annotations
 import itertools
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -17,12 +18,13 @@ from pyspark.sql import functions as F
 
 DIMENSIONS = 1 << 18
 _CACHE_WORDS = 500_000
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 
-def word_features(word: str) -> list[int]:
-    """Places of a word's features: the word without case and outer marks, its beginnings, and its last characters as written."""
-    bare = word.strip(".,;:!?\"'()|").lower()
-    names = ["w" + bare, "e" + word[-3:], *("b" + bare[:n] for n in (4, 5, 6, 7) if len(bare) >= n)]
+def word_features(word: str, form: bool = True) -> list[int]:
+    """Places of a word's features: the word without case and outer marks and its beginnings; with ``form`` also its last characters as written."""
+    bare = word.strip(".,;:!?\"'()|" if form else _MARKS).lower()
+    names = ["w" + bare, *(["e" + word[-3:]] if form else []), *("b" + bare[:n] for n in (4, 5, 6, 7) if len(bare) >= n)]
     return [xxhash.xxh32_intdigest(n) % DIMENSIONS for n in names]
 
 
@@ -32,13 +34,13 @@ _LOG = [math.log1p(n) for n in range(4096)]
 class WordScores(dict):
     """Sum of a word's weights, computed once a word; cleared when it grows beyond a bound."""
 
-    def __init__(self, weights: np.ndarray):
-        self.weights = weights
+    def __init__(self, weights: np.ndarray, form: bool = True):
+        self.weights, self.form = weights, form
 
     def __missing__(self, word: str) -> float:
         if len(self) > _CACHE_WORDS:
             self.clear()
-        s = self[word] = float(self.weights[word_features(word)].sum())
+        s = self[word] = float(self.weights[word_features(word, self.form)].sum())
         return s
 
     def of(self, text: str) -> float:
@@ -65,10 +67,14 @@ class Sparse(NamedTuple):
 class _Places(dict):
     """Feature places of words, with a bound on how many are kept."""
 
+    def __init__(self, form: bool):
+        super().__init__()
+        self.form = form
+
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) > 100_000:
             self.clear()
-        found = self[word] = tuple(word_features(word))
+        found = self[word] = tuple(word_features(word, self.form))
         return found
 
 
@@ -84,24 +90,33 @@ def _row(text: str, places: _Places) -> tuple[np.ndarray, np.ndarray]:
     return place, (np.bincount(at, each) / sum(counts.values()) ** 0.25).astype(np.float32)
 
 
-def sparse_rows(texts: list[str], least_docs: int = 8) -> Sparse:
-    """Features that at least least_docs of the texts have; rarer ones would only be learned by heart.
+def sparse_features(text: Column, form: bool = True, prepare: Callable[[str], str] = str) -> Column:
+    """struct<place, value>, both binary: the features of whole texts, at most DIMENSIONS of them, built on executors."""
 
-    The texts are gone through twice, so that the rare features, most of all, are never held together.
-    """
-    places, seen = _Places(), np.zeros(DIMENSIONS, np.int32)
-    for text in texts:
-        seen[_row(text, places)[0]] += 1
+    @F.pandas_udf("struct<place:binary,value:binary>")
+    def build(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        places = _Places(form)
+        for texts in batches:
+            rows = [_row(prepare(t), places) for t in texts]
+            yield pd.DataFrame({"place": [p.astype(np.int32).tobytes() for p, _ in rows], "value": [v.tobytes() for _, v in rows]})
+
+    return build(text)
+
+
+def sparse_rows(place: list[bytes], value: list[bytes], least_docs: int = 8) -> Sparse:
+    """Features that at least least_docs of the rows have; rarer ones would only be learned by heart."""
+    seen = np.zeros(DIMENSIONS, np.int32)
+    for p in place:
+        seen[np.frombuffer(p, np.int32)] += 1
     parts, values, sizes = [], [], []
-    for text in texts:
-        place, value = _row(text, places)
-        often = seen[place] >= least_docs
-        parts.append(np.append(place[often], np.int32(0)))
-        values.append(np.append(value[often], np.float32(0)))
+    for p, v in zip(place, value):
+        p, v = np.frombuffer(p, np.int32), np.frombuffer(v, np.float32)
+        often = seen[p] >= least_docs
+        parts.append(np.append(p[often], np.int32(0)))
+        values.append(np.append(v[often], np.float32(0)))
         sizes.append(len(parts[-1]))
     begin = np.cumsum([0, *sizes[:-1]]).astype(np.int64)
-    place, value = np.concatenate(parts), np.concatenate(values)
-    return Sparse(place, value, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), begin)
+    return Sparse(np.concatenate(parts), np.concatenate(values), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), begin)
 
 
 def pieces(column: pa.Array, most: int) -> Iterator[slice]:

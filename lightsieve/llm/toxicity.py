@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lightsieve.llm.textmodel import WordScores, bounded_sample, fit_linear, fold, sigmoid, sparse_rows
+from lightsieve.llm.textmodel import WordScores, bounded_sample, fit_linear, fold, sigmoid, sparse_features, sparse_rows
 
 MOST_POSITIVE = 1500
 MOST_UNLABELLED = 3500
@@ -40,35 +40,32 @@ def nnpu_gradient(positive: np.ndarray, prior: float):
     return gradient
 
 
-def decision_level(scores: np.ndarray, positive: np.ndarray, confirmed: float) -> float:
-    """The level that maximises recall**2 / share of all rows above it; positives and unlabelled rows suffice for that.
-
-    confirmed: the share of the confirmed positives among all rows, which the unlabelled rows lack.
-    """
+def decision_level(scores: np.ndarray, positive: np.ndarray) -> float:
+    """The level that maximises recall**2 / share of all rows above it; positives and unlabelled rows suffice for that."""
     order = np.argsort(-scores, kind="stable")
     recall = np.cumsum(positive[order]) / positive.sum()
-    share = (np.cumsum(~positive[order]) + 1.0) / (~positive).sum() + confirmed * recall
+    share = (np.cumsum(~positive[order]) + 1.0) / (~positive).sum()
     best = int(np.argmax(recall**2 / share))
     following = scores[order[min(best + 1, len(order) - 1)]]
     return float((scores[order[best]] + following) / 2)
 
 
-def _fit(texts: list[str], y: np.ndarray, aside: np.ndarray, prior: float, confirmed: float) -> tuple[np.ndarray, float]:
-    """Weights and offset; the rows ``aside`` are not fitted but set the level that becomes the score 0.5."""
+def _fit(rows: pd.DataFrame, prior: float) -> tuple[np.ndarray, float]:
+    """Weights and offset; the rows of fold 1 are not fitted but set the level that becomes the score 0.5."""
+    y, aside = rows["y"].to_numpy(bool), (rows["fold"] == 1).to_numpy()
     fit = ~aside
     if not y[fit].any() or y[fit].all():
         return np.zeros(1), -30.0
-    weights, offset = fit_linear(sparse_rows([t for t, f in zip(texts, fit) if f]), nnpu_gradient(y[fit], prior))
+    weights, offset = fit_linear(sparse_rows(rows["place"][fit].tolist(), rows["value"][fit].tolist()), nnpu_gradient(y[fit], prior))
     if y[aside].any() and not y[aside].all():
-        words = WordScores(weights)
-        offset -= decision_level(np.array([offset + words.of(t) for t, a in zip(texts, aside) if a]), y[aside], confirmed)
+        offset -= decision_level(sparse_rows(rows["place"][aside].tolist(), rows["value"][aside].tolist(), 1).dot(weights) + offset, y[aside])
     return weights, offset
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> DataFrame:
     """(id_col, held_out, score, predicted), one row for each input row.
 
-    The fit uses at most most_positive confirmed and most_unlabelled other documents, none of them from the held-out
+    The fit uses at most most_positive confirmed documents and most_unlabelled of all, none of them from the held-out
     fold 0; fold 1 sets the level of 0.5. The class prior is the share of toxic among the labels of the other folds. Scores see the text alone. Null
     and empty texts get the score of the offset. Null labels count as none; without any positive all score 0. Null
     ids are held_out = false and never learned from. Rows that repeat an id are scored one by one.
@@ -80,10 +77,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     weights, offset = np.zeros(1), -30.0
     if toxic:
         positive = bounded_sample(known.filter("label = 1").select("id"), "id", most_positive, "positive")
-        others = bounded_sample(learn.join(known.filter("label = 1"), "id", "left_anti").select("id").distinct(), "id", most_unlabelled, "unlabelled")
+        # of all rows, confirmed ones too: the prior is theirs
+        others = bounded_sample(learn.distinct(), "id", most_unlabelled, "unlabelled")
         chosen = F.broadcast(positive.withColumn("y", F.lit(True)).unionByName(others.withColumn("y", F.lit(False))))  # bounded by the two limits
-        rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, "id").select("text", "y", fold(F.col("id")).alias("fold")).toPandas()
-        weights, offset = _fit(rows["text"].tolist(), rows["y"].to_numpy(bool), (rows["fold"] == 1).to_numpy(), toxic / total, toxic / max(learn.count(), toxic))
+        rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, "id").select("y", fold(F.col("id")).alias("fold"), sparse_features(F.col("text")).alias("words"))
+        weights, offset = _fit(rows.select("y", "fold", "words.place", "words.value").toPandas(), toxic / total)  # features alone; the texts stay on the executors
     model = spark.sparkContext.broadcast((weights.astype(np.float32), offset))
 
     @F.pandas_udf("double")
