@@ -1,7 +1,7 @@
 """Quality classifier by co-training of two views: the words of a text, and its page metadata.
 
-The metadata are the source, the language, the length and the layout (lines, marks, capitals, repeats). Each view is
-fitted on labelled documents; over some rounds it labels a pool of others and hands those it is most confident of to
+The metadata are the source, the language, the declared length and, of the page's frame, its size in bytes and lines;
+nothing of it depends on which words the text has. Each view is fitted on labelled documents; over some rounds it labels a pool of others and hands those it is most confident of to
 the other view. Both views are calibrated on labelled documents that neither was fitted on, and combined there.
 """
 
@@ -15,37 +15,45 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
-from lightsieve.llm.textmodel import WordScores, bounded_sample, fit_linear, fold, sigmoid, sparse_rows
+from lightsieve.llm.textmodel import Sparse, WordScores, bounded_sample, fit_linear, fold, sigmoid, sparse_features, sparse_rows
 
 MOST_LABELLED = 2500
 MOST_POOL = 1500
 ROUNDS = 3
-META_SIZE = 8 + 64 + 16
+LENGTH_STEPS = 16
+STEP_WEIGHT = 20
+META_SIZE = 8 + LENGTH_STEPS + 64 + 16
 _LETTERS_AND_SPACE = bytes(c for c in range(256) if c >= 0x80 or chr(c).isalnum() or chr(c).isspace())
 _CAPITALS = bytes(range(65, 91))
 
 
 def meta_features(text: str, lang: str | None, source: str | None, n_chars: float | None) -> np.ndarray:
+    """Logs of the page's sizes, shares of marks and capitals, the step of its length, source and language by hash."""
     raw = text.encode()
-    words = text.split()
-    size, n = max(len(raw), 1), max(len(words), 1)
+    size, lines = max(len(raw), 1), 1 + raw.count(b"\n")
+    declared = len(text) if n_chars is None or np.isnan(n_chars) else max(n_chars, 0)
+    marks, capitals = len(raw.translate(None, _LETTERS_AND_SPACE)) / size, (len(raw) - len(raw.translate(None, _CAPITALS))) / size
     x = np.zeros(META_SIZE, np.float32)
-    x[:8] = (
-        1.0,
-        np.log1p(len(text) if n_chars is None or np.isnan(n_chars) else max(n_chars, 0)) / 10,
-        np.log1p(text.count("\n")) / 5,
-        10 * len(raw.translate(None, _LETTERS_AND_SPACE)) / size,
-        4 * (len(raw) - len(raw.translate(None, _CAPITALS))) / size,
-        4 * sum(map(operator.eq, words, words[1:])) / n,
-        len(set(words)) / n,
-        len(text) / n / 10,
-    )
-    x[8 + zlib.crc32(f"s{source}".encode()) % 64] = 0.5
-    x[72 + zlib.crc32(f"l{lang}".encode()) % 16] = 0.5
+    x[:8] = 1.0, np.log1p(declared) / 10, np.log1p(lines) / 5, np.log1p(declared / lines) / 10, 10 * marks, marks > 0.06, 4 * capitals, capitals > 0.3
+    x[8 + min(LENGTH_STEPS - 1, int(np.log2(declared + 1)))] = 0.5
+    x[8 + LENGTH_STEPS + zlib.crc32(f"s{source}".encode()) % 64] = 0.5
+    x[72 + LENGTH_STEPS + zlib.crc32(f"l{lang}".encode()) % 16] = 0.5
     return x
 
 
+def content(text: str) -> str:
+    """The text with words of its own for how it repeats: shares of words equal to the one before, and of different words."""
+    words = text.split()
+    if not words:
+        return text
+    n = len(words)
+    doubled, different = sum(map(operator.eq, words, words[1:])) / n, len(set(words)) / n
+    steps = (f"\x01d{min(9, round(doubled * 40))}", f"\x01v{round(different * 10)}l{int(np.log2(n))}", f"\x01v{round(different * 10)}", f"\x01w{min(20, round(len(text) / n))}")
+    return f"{text} {' '.join(steps * STEP_WEIGHT)}"
+
+
 def fit_meta(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 400, rate: float = 0.5, decay: float = 1e-3) -> np.ndarray:
     """Logistic regression by full gradient steps with momentum."""
     w, move = np.zeros(x.shape[1]), np.zeros(x.shape[1])
@@ -60,9 +68,8 @@ def fit_words(rows, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, floa
     return fit_linear(rows, lambda s: weight * (sigmoid(s) - y) / weight.sum(), steps=80)
 
 
-def co_train(texts: list[str], meta: np.ndarray, y: np.ndarray, labelled: np.ndarray, rounds: int = ROUNDS, share: float = 0.1):
+def co_train(rows: Sparse, meta: np.ndarray, y: np.ndarray, labelled: np.ndarray, rounds: int = ROUNDS, share: float = 0.1):
     """((word weights, offset), metadata weights). y counts where ``labelled``; all other rows are the pool."""
-    rows = sparse_rows(texts)
     truth = [np.where(labelled, y, 0.0), np.where(labelled, y, 0.0)]  # what each view learns from
     weight = [labelled.astype(float), labelled.astype(float)]
     positive = y[labelled].mean()
@@ -94,13 +101,18 @@ def calibrate(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a / scale), float(b)
 
 
+@F.pandas_udf(BinaryType())
+def _meta_column(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.Series:
+    return pd.Series([meta_features(*r).tobytes() for r in zip(text, _plain(lang), _plain(source), n_chars)], dtype=object)
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", chars_col: str = "n_chars", label_col: str = "quality", most_labelled: int = MOST_LABELLED, most_pool: int = MOST_POOL, row_col: str | None = None) -> DataFrame:
     """(id_col, held_out, text_score, meta_score, score, keep), one row for each input row.
 
     Scores are probabilities of label 1; keep is score >= 0.5. The fit sees at most most_labelled labelled and
     most_pool other documents. Labels of fold 0 are held out, those of fold 1 serve calibration alone. Null and empty
-    texts are scored by their metadata and the words' offset; null metadata are values of their own. Without labels
-    of both kinds everything scores 1. Null ids are never learned from; rows that repeat an id are scored one by one.
+    texts are scored by their metadata and the words' offset; null metadata are values of their own. Without any
+    label everything scores 1; labels of one kind alone, in the fitted folds or in fold 1, raise a ValueError. Null ids are never learned from; rows that repeat an id are scored one by one.
     With ``row_col`` the whole input row is given out, too, as a struct of that name.
     """
     spark = docs.sparkSession
@@ -110,17 +122,19 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     picked = bounded_sample(known, "id", most_labelled, "labelled").select("id", F.col("label").cast("double").alias("y"))
     pool = bounded_sample(docs.select(F.col(id_col).alias("id")).filter(ident.isNotNull() & (fold(ident) != 0)).join(known, "id", "left_anti").distinct(), "id", most_pool, "pool")
     chosen = F.broadcast(picked.unionByName(pool.withColumn("y", F.lit(None).cast("double"))))  # bounded by the two limits
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), meta[0].alias("lang"), meta[1].alias("source"), meta[2].alias("n_chars")).join(chosen, "id").withColumn("fold", fold(ident)).toPandas()
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), meta[0].alias("lang"), meta[1].alias("source"), meta[2].alias("n_chars")).join(chosen, "id").withColumn("fold", fold(ident))
+    rows = rows.select("y", "fold", sparse_features(F.col("text"), False, content).alias("words"), _meta_column(F.col("text"), F.col("lang"), F.col("source"), F.col("n_chars")).alias("meta"))
+    rows = rows.select("y", "fold", "words.place", "words.value", "meta").toPandas()  # features alone; the texts stay on the executors
     model = spark.sparkContext.broadcast(_fit(rows))
 
     @F.pandas_udf("struct<text_score:double,meta_score:double,score:double>")
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         fitted = model.value
-        words = WordScores(fitted["words"]) if fitted else None
+        words = WordScores(fitted["words"], form=False) if fitted else None
         for texts, langs, sources, chars in batches:
             out = np.ones((len(texts), 3))
             if fitted:
-                w = fitted["offset"] + np.array([words.of(t) for t in texts], float)
+                w = fitted["offset"] + np.array([words.of(content(t)) for t in texts], float)
                 m = np.stack([meta_features(*r) for r in zip(texts, _plain(langs), _plain(sources), chars)]) @ fitted["meta"] if len(texts) else np.empty(0)
                 logits = [a * s + b for (a, b), s in zip(fitted["scale"], (w, m))]
                 out = sigmoid(np.stack([*logits, np.stack([*logits, np.ones(len(w))], axis=1) @ fitted["both"]], axis=1))
@@ -139,14 +153,14 @@ def _fit(rows: pd.DataFrame) -> dict | None:
     y = rows["y"].to_numpy(float)
     aside = (rows["fold"] == 1).to_numpy() & ~np.isnan(y)
     labelled = ~np.isnan(y) & ~aside
-    if len(set(y[labelled])) < 2 or len(set(y[aside])) < 2:
+    if not labelled.any() and not aside.any():
         return None
-    texts = rows["text"].tolist()
-    meta = np.stack([meta_features(*r) for r in zip(texts, _plain(rows["lang"]), _plain(rows["source"]), rows["n_chars"])])
+    if len(set(y[labelled])) < 2 or len(set(y[aside])) < 2:
+        raise ValueError("labels of both kinds are needed among the fitted rows and among those of fold 1")
+    meta = np.stack([np.frombuffer(m, np.float32) for m in rows["meta"]])
     use = ~aside
-    (weights, offset), metadata = co_train([t for t, u in zip(texts, use) if u], meta[use], y[use], labelled[use])
-    words = WordScores(weights)
-    views = (offset + np.array([words.of(t) for t, a in zip(texts, aside) if a]), meta[aside] @ metadata)
+    (weights, offset), metadata = co_train(sparse_rows(rows["place"][use].tolist(), rows["value"][use].tolist()), meta[use], y[use], labelled[use])
+    views = (sparse_rows(rows["place"][aside].tolist(), rows["value"][aside].tolist(), 1).dot(weights) + offset, meta[aside] @ metadata)
     scale = [calibrate(v, y[aside]) for v in views]
     logits = np.stack([*(a * v + b for (a, b), v in zip(scale, views)), np.ones(aside.sum())], axis=1)
     both = fit_meta(np.clip(logits, -8, 8), y[aside], np.ones(aside.sum()), rate=0.05)

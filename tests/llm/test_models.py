@@ -78,9 +78,49 @@ def test_odd_rows_and_missing_labels(spark, tables, odd):
     mine = spark.createDataFrame([(i, i % 2, i % 2) for i in range(28)] + [(1, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     for run in (toxicity.score_toxicity, quality.score_quality):
         for y in (mine, labels.limit(0), mine.filter("toxic = 0")):
+            if run is quality.score_quality and y is not mine and not y.isEmpty():
+                with pytest.raises(ValueError, match="both kinds"):  # one kind alone would keep everything
+                    run(odd, y)
+                continue
             found = run(odd, y)
             assert found.count() == odd.count() and found.filter("score is null or score not between 0 and 1 or held_out is null").count() == 0
-        assert run(odd.limit(0), mine).count() == 0
+        assert run(odd.limit(0), labels).count() == 0
+
+
+def plain_features(text, form, prepare=str):
+    """{place: value} by one loop over the words."""
+    words, out = prepare(text).split(), {}
+    for w, n in Counter(words).items():
+        for place in textmodel.word_features(w, form):
+            out[place] = out.get(place, 0.0) + np.log1p(min(n, 4095))
+    return {p: v / len(words) ** 0.25 for p, v in out.items()}
+
+
+def test_features_and_scores_against_plain_loops(spark, tables, odd, monkeypatch):
+    """Sparse rows built on executors, and the scores of whole tables, equal word-by-word sums with the fitted weights."""
+    docs, labels = tables
+    docs = docs.filter("doc_id < 1200")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.filter("doc_id < 150").collect()}
+    for form, prepare in ((True, str), (False, quality.content)):
+        column = textmodel.sparse_features(F.coalesce("text", F.lit("")), form, prepare)
+        for r in docs.filter("doc_id < 150").select("doc_id", column.alias("f")).collect():
+            found = dict(zip(np.frombuffer(r["f"]["place"], np.int32).tolist(), np.frombuffer(r["f"]["value"], np.float32).tolist()))
+            assert found == pytest.approx(plain_features(texts[r["doc_id"]], form, prepare), rel=1e-4)
+    for module, run in ((toxicity, toxicity.score_toxicity), (quality, quality.score_quality)):
+        kept, fit = {}, module._fit
+        monkeypatch.setattr(module, "_fit", lambda *a, fit=fit, kept=kept: kept.setdefault("model", fit(*a)))
+        scored = {r["doc_id"]: r for r in run(docs, labels).filter("doc_id < 150").collect()}
+        model = kept["model"]
+        meta = {r["doc_id"]: r for r in docs.filter("doc_id < 150").collect()}
+        for i, text in texts.items():
+            if module is toxicity:
+                expected = textmodel.sigmoid(model[1] + sum(model[0][p] * v for p, v in plain_features(text, True).items()))
+            else:
+                m = meta[i]
+                views = (model["offset"] + sum(model["words"][p] * v for p, v in plain_features(text, False, quality.content).items()), float(quality.meta_features(text, m["lang"], m["source"], m["n_chars"]) @ model["meta"]))
+                logits = [a * v + b for (a, b), v in zip(model["scale"], views)]
+                expected = textmodel.sigmoid(logits[0] * model["both"][0] + logits[1] * model["both"][1] + model["both"][2])
+            assert scored[i]["score"] == pytest.approx(expected, abs=2e-3), (module.__name__, i)
 
 
 def test_lm_scores(spark, tables, odd):
