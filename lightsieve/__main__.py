@@ -3,7 +3,9 @@
   scan DIR                     files by format and status
   features DIR OUT             technical features of the images under DIR
   select EVENTS OUT [--pct N]  tiered selection from an events table, partitioned by tier
-  audit DELIVERED GROUPS       duplicates that leaked into a delivery; exit code 1 if there are any
+  audit DELIVERED GROUPS CATEGORIES OUT [--scores TABLE] [--fix | --dry-run] [--json FILE]
+                               duplicates, orphans, missing categories and statistics of a delivery; exit code 1 on
+                               violations. --fix writes the delivery without surplus duplicates to OUT
   query NAME SF_DIR            a registered query
 """
 
@@ -13,7 +15,9 @@ import argparse
 import sys
 from dataclasses import replace
 
-from lightsieve import sinks
+from pyspark.sql import functions as F
+
+from lightsieve import config, sinks
 from lightsieve.config import Selection
 from lightsieve.functions import kernels
 from lightsieve.operators import audit, selection
@@ -25,12 +29,19 @@ from lightsieve.sources import photos
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="lightsieve", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, arguments in {"scan": ["dir"], "features": ["dir", "out"], "select": ["events", "out"], "audit": ["delivered", "groups"], "query": ["name", "sf_dir"]}.items():
+    for name, arguments in {"scan": ["dir"], "features": ["dir", "out"], "select": ["events", "out"], "audit": ["delivered", "groups", "categories", "out"], "query": ["name", "sf_dir"]}.items():
         sub = commands.add_parser(name)
         for a in arguments:
             sub.add_argument(a)
         if name == "select":
-            sub.add_argument("--pct", type=int, default=50)
+            sub.add_argument("--pct", type=int, default=None)
+            sub.add_argument("--config")
+        if name == "audit":
+            sub.add_argument("--scores")
+            sub.add_argument("--json")
+            acting = sub.add_mutually_exclusive_group()
+            acting.add_argument("--fix", action="store_true")
+            acting.add_argument("--dry-run", action="store_true")
     args = parser.parse_args(argv)
     spark = build_session()
     if args.command == "scan":
@@ -38,16 +49,35 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "features":
         kernels.features(photos.images(spark, args.dir)).write.mode("overwrite").parquet(args.out)
     elif args.command == "select":
-        chosen = selection.select_for_delivery(photos.photos_from_events(spark.read.parquet(args.events)), replace(Selection(), target_pct=args.pct))
+        settings = config.load(spark, args.config)[0] if args.config else Selection()
+        settings = settings if args.pct is None else replace(settings, target_pct=args.pct)
+        chosen = selection.select_for_delivery(photos.photos_from_events(spark.read.parquet(args.events)), settings)
         sinks.write_categories(chosen, args.out, "tier")
     elif args.command == "audit":
-        total, status = audit.status(audit.duplicate_leaks(spark.read.parquet(args.delivered), spark.read.parquet(args.groups), "path", "group_id"))
-        print(f"{status}: {total} violations")
-        return int(total > 0)
+        return _audit(spark, args)
     else:
         registry.QUERIES[args.name](spark, args.sf_dir).show(50, truncate=False)
     return 0
 
 
+def _audit(spark, args) -> int:
+    delivered, groups, categories = (spark.read.parquet(p) for p in (args.delivered, args.groups, args.categories))
+    found = audit.inspect(delivered, groups, categories, config.CATEGORIES)
+    counts = {r["check"]: r["count"] for r in found.groupBy("check").count().collect()}  # three checks
+    total = sum(counts.values())
+    print(f"{'FAIL' if total else 'PASS'}: {total} violations")
+    audit.statistics(categories, "category", config.CATEGORIES).orderBy("category").show(truncate=False)
+    found.orderBy("check", "item").show(50, truncate=False)
+    if args.fix or args.dry_run:
+        scores = spark.read.parquet(args.scores) if args.scores else delivered.select("path", F.lit(0.0).alias("score"))
+        removed = audit.to_remove(delivered, groups, scores, "path", "group_id", "score")
+        removed.show(50, truncate=False)
+        if args.fix:
+            audit.fix(delivered, removed, "path").write.mode("overwrite").parquet(args.out)
+    if args.json:
+        found.write.mode("overwrite").json(args.json)
+    return int(total > 0)
+
+
 if __name__ == "__main__":
     sys.exit(main())

@@ -47,5 +47,19 @@ def to_remove(delivered: DataFrame, groups: DataFrame, scores: DataFrame, key: s
     return scored.withColumn("place", F.row_number().over(w)).filter("place > 1").select(group, key, score)
 
 
+def inspect(delivered: DataFrame, groups: DataFrame, categories: DataFrame, expected: Iterable[str]) -> DataFrame:
+    """(check, item, n): all violations of a delivery as one table.
+
+    delivered: (path); groups: (path, group_id); categories: (path, category). Checks: duplicates (several delivered
+    members of a group), orphans (in no category and no group, also under the name BEST_<name>), missing categories.
+    """
+    leaks = duplicate_leaks(delivered, groups, "path", "group_id").select(F.lit("duplicates").alias("check"), F.col("group_id").cast("string").alias("item"), F.col("n_delivered").alias("n"))
+    plain = delivered.select(F.regexp_replace("path", r"(^|/)BEST_([^/]*)$", "$1$2").alias("path"), F.col("path").alias("item"))
+    known = [x.select(F.regexp_replace("path", r"(^|/)BEST_([^/]*)$", "$1$2").alias("path")) for x in (categories, groups)]
+    lost = orphans(plain, "path", *known).select(F.lit("orphans").alias("check"), "item", F.lit(1).cast("long").alias("n"))
+    missing = missing_categories(categories, "category", expected).select(F.lit("missing categories").alias("check"), F.col("category").alias("item"), F.lit(0).cast("long").alias("n"))
+    return leaks.unionByName(lost).unionByName(missing)
+
+
 def fix(delivered: DataFrame, removed: DataFrame, key: str) -> DataFrame:
     return delivered.join(removed.select(key), key, "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lightsieve.operators.similarity import cosine_pairs
+from lightsieve.operators.similarity import cosine, cosine_pairs
 from lightsieve.session import discard, materialize
 
 
@@ -107,3 +107,26 @@ def verified_groups(members: DataFrame, embeddings: DataFrame, threshold: float,
     named = led.select("id", "group", "face_count", "lead").unionByName(kept)
     order = numbered(named.select("lead").distinct(), "lead", "verified_id", start)
     return named.join(order, "lead").select("id", "group", "face_count", "verified_id")
+
+
+def group_statistics(members: DataFrame, group: str, count: str, score: str, vector: str) -> DataFrame:
+    """(group, size, average_count, quality), the largest group first in ``place``.
+
+    quality: 0.6 of the average score and 0.4 of the average of the vectors' means; what is missing counts as 0.
+    """
+    mean = F.when(F.size(vector) > 0, F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double")) / F.size(vector))
+    found = members.groupBy(group).agg(F.count("*").alias("size"), F.avg(count).alias("average_count"), (F.coalesce(F.avg(score), F.lit(0.0)) * 0.6 + F.coalesce(F.avg(mean), F.lit(0.0)) * 0.4).alias("quality"))
+    return numbered(found.withColumn("_order", F.struct((-F.col("size")).alias("n"), F.col(group).alias("g"))), "_order", "place").drop("_order")
+
+
+def group_similarity(members: DataFrame, group: str, vector: str, pairs: DataFrame) -> DataFrame:
+    """(group_a, group_b, similarity): of pairs (group_a, group_b) the greatest cosine between their members, 0 without any."""
+    side = lambda s: members.select(F.col(group).alias(f"group_{s}"), F.col(vector).alias(f"_v{s}"))
+    both = pairs.join(side("a"), "group_a", "left").join(side("b"), "group_b", "left")
+    return both.groupBy("group_a", "group_b").agg(F.coalesce(F.max(cosine(F.col("_va"), F.col("_vb"))), F.lit(0.0)).alias("similarity"))
+
+
+def duplicate_counts(files: DataFrame, path: str, group: str) -> DataFrame:
+    """(processed, in_groups, extra, unique): different files, those in a group, those beyond one a group, and the rest."""
+    each = files.groupBy(path).agg(F.min(group).alias("g"))
+    return each.agg(F.count("*").alias("processed"), F.count("g").alias("in_groups"), F.countDistinct("g").alias("_groups")).select("processed", "in_groups", (F.col("in_groups") - F.col("_groups")).alias("extra"), (F.col("processed") - F.col("in_groups") + F.col("_groups")).alias("unique"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,3 +27,13 @@ def excluding(rows: DataFrame, key: str, *excluded: DataFrame, allowed: DataFram
 def unprocessed(rows: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
     """What an incremental run has left to do."""
     return rows.join(manifest.select(key), key, "left_anti")
+
+
+def two_sources(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """Rows of the first source, then those of the second whose key the first has not; each row once."""
+    return first.unionByName(second.join(first.select(key), key, "left_anti").select(first.columns)).distinct()
+
+
+def scan_excluding(files: DataFrame, key: str, excluded: DataFrame, allowed: DataFrame, formats: Iterable[str]) -> DataFrame:
+    """Files of the given formats without those of an exclude list, unless they are allowed all the same."""
+    return excluding(files.filter(F.col("ext").isin(*formats)), key, excluded, allowed=allowed)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lightsieve.config import FOCUS_REJECTION_TERMS, NO_FACE_REASONS, QUALITY_REJECTION_TERMS, QUALITY_WEIGHTS, Rules
+from lightsieve.config import FINAL_REJECTION_TERMS, FOCUS_REJECTION_TERMS, NO_FACE_REASONS, QUALITY_REJECTION_TERMS, QUALITY_WEIGHTS, Rules
 
 
 def combined_blur(laplacian: Column, fft: Column) -> Column:
@@ -118,9 +118,39 @@ def exposure_score(mean_gray: Column) -> Column:
     return 1 - F.abs(127.5 - mean_gray) / 127.5
 
 
-def backoff_seconds(attempt: Column, first: float = 1.0, most: float = 60.0) -> Column:
-    """Delay before a retry, without jitter."""
-    return F.least(F.lit(first) * F.pow(F.lit(2.0), attempt - 1), F.lit(most))
+def backoff_seconds(attempt: Column, first: float = 1.0, most: float = 60.0, jitter_by: Column | None = None, jitter: float = 0.2) -> Column:
+    """Delay before a retry. With jitter_by it is longer by up to ``jitter`` of itself, the same for the same key and attempt."""
+    delay = F.least(F.lit(first) * F.pow(F.lit(2.0), attempt - 1), F.lit(most))
+    if jitter_by is None:
+        return delay
+    part = F.conv(F.substring(F.md5(F.concat_ws(":", jitter_by.cast("string"), attempt.cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    return delay + delay * jitter * part
+
+
+def confident_venues(is_venue: Column, confidence: Column, least: float = 90) -> Column:
+    """Venue photos that are sure enough to be set aside before the other stages."""
+    return is_venue & (confidence >= least)
+
+
+def best_decision(decision: Column, score: Column, from_in_focus: Column, rejected: Column, least: float = 75) -> Column:
+    """best_quality, rejected or other: photos of the in-focus stage count as BEST by their score alone."""
+    best = ((decision == "BEST") | (from_in_focus & (score >= least))) & (score >= least)
+    return F.when(F.coalesce(best, F.lit(False)) & rejected, "rejected").when(best, "best_quality").otherwise("other")
+
+
+def final_check(decision: Column, score: Column, detail: Column, least: float = 75, terms: Iterable[str] = FINAL_REJECTION_TERMS) -> Column:
+    """PASS with a high enough score and no term in the detail."""
+    return F.coalesce((F.trim(decision) == "PASS") & (score >= least) & ~any_term(detail, terms), F.lit(False))
+
+
+def disqualified_reason(duplicate: Column, is_best: Column, closed_eyes: Column, blurry: Column, off_focus: Column) -> Column:
+    """As exclusion_reason, in the older order: duplicates first."""
+    return F.when(duplicate & ~is_best, "duplicate").when(closed_eyes, "closed_eyes").when(blurry, "blurry").when(off_focus, "out_of_focus")
+
+
+def worth_logging(level: Column, message: Column, phrases: Iterable[str]) -> Column:
+    """Warnings and worse, and messages with one of the phrases."""
+    return level.isin("WARNING", "ERROR", "CRITICAL") | any_term(message, [p.lower() for p in phrases])
 
 
 def error_class(message: Column) -> Column:

@@ -47,7 +47,7 @@ def base_selection(photos: DataFrame, s: Selection = Selection()) -> DataFrame:
     photos = _scored(photos)
     good = photos.filter("ok")
     first = good.filter(F.col("score") >= s.tier_1)
-    second = _fill(good.filter((F.col("score") >= s.tier_2) & (F.col("score") < s.tier_1)), _room(targets(photos, s), first), "ord")
+    second = _fill(good.filter((F.col("score") >= s.tier_2) & (F.col("score") < s.tier_1)), _room(targets(photos, s), first), *([F.desc("score")] if s.tier_2_by_score else []), "ord")
     return first.withColumn("tier", F.lit("tier_1")).unionByName(second.withColumn("tier", F.lit("tier_2")))
 
 
@@ -129,6 +129,8 @@ def select_for_delivery(photos: DataFrame, s: Selection = Selection()) -> DataFr
     # each phase reads the selection of the phases before it many times over, so it is written once
     base = materialize(base_selection(photos, s), "base")
     recommended = recommendations(photos, base, s).filter(F.col("score") + F.col("boost") >= s.key_moment)
+    if s.strict_coverage:
+        recommended = recommended.join(photos.filter("ok").select("album", "ord"), ["album", "ord"], "left_semi")
     first = recommended.withColumn("_f", F.row_number().over(Window.partitionBy("album", "ord").orderBy("kind", "k", "r"))).filter("_f = 1").drop("_f")
     coverage = _fill(first, _room(target, base), "kind", "k", "r")
     columns = ["album", "ord", "score", "tier"]
@@ -139,6 +141,8 @@ def select_for_delivery(photos: DataFrame, s: Selection = Selection()) -> DataFr
     solo = photos.filter(F.size("faces") == 1).withColumn("person", F.element_at("faces", 1))
     shown = solo.join(chosen.select("album", "ord"), ["album", "ord"], "left_semi").select("album", "person").distinct()
     new = solo.filter(F.col("score") >= s.solo).join(chosen.select("album", "ord"), ["album", "ord"], "left_anti").join(shown, ["album", "person"], "left_anti")
+    if s.strict_coverage:
+        new = new.filter("ok")
     new = new.withColumn("_rn", F.row_number().over(Window.partitionBy("album", "person").orderBy("ord"))).filter("_rn = 1")
     return chosen.unionByName(new.withColumn("tier", F.lit("coverage")).select(columns))
 

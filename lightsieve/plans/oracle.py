@@ -217,7 +217,9 @@ ORACLE_SQL: dict[str, str] = {
         FROM tgt t LEFT JOIN delivered d ON d.album = t.album GROUP BY t.album""",
     "q50_json_props": """
         SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS INTEGER)) AS BIGINT) AS sum_k, max(CAST(json_extract_string(props, '$.k') AS INTEGER)) AS max_k, count(json_extract_string(props, '$.k')) AS n FROM events GROUP BY event_type""",
-    "q51_dir_group": f"SELECT regexp_replace({PATH}, '/?[^/]*$', '') AS dir, count(*) AS n, string_agg(CAST(page_id AS VARCHAR), ',' ORDER BY page_id) AS pages FROM pages GROUP BY 1",
+    "q51_dir_group": f"""
+        WITH p AS (SELECT page_id, regexp_replace({PATH}, '/?[^/]*$', '') AS dir FROM pages), r AS (SELECT *, (row_number() OVER (PARTITION BY dir ORDER BY page_id) - 1) // 25 AS part FROM p)
+        SELECT dir, CAST(part AS BIGINT) AS part, count(*) AS n, string_agg(CAST(page_id AS VARCHAR), ',' ORDER BY page_id) AS pages FROM r GROUP BY 1, 2""",
     "q52_mean_embedding": "SELECT label, CAST(dim AS INTEGER) AS dim, round(avg(x), 6) AS mean FROM (SELECT label, unnest(range(64)) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY 1, 2",
     "q53_components": f"""WITH RECURSIVE {PAIRS},
         edge AS (SELECT id_a AS a, id_b AS b FROM allpairs WHERE similarity >= 0.66 UNION SELECT id_b, id_a FROM allpairs WHERE similarity >= 0.66),
@@ -262,4 +264,45 @@ ORACLE_SQL: dict[str, str] = {
         v AS (SELECT a.grp AS group_a, b.grp AS group_b, avg(CASE WHEN 1 - bit_count(xor(a.h, b.h)) / 64.0::DOUBLE >= 0.5 THEN 1.0 ELSE 0.0 END) AS ratio FROM m a JOIN m b ON b.grp > a.grp GROUP BY 1, 2)
         SELECT group_a, group_b, round(ratio, 6) AS ratio FROM v WHERE ratio >= 0.7""",
     "q67_directory_counts": f"SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, count(*) AS n_files, count(DISTINCT regexp_replace({PATH}, '/?[^/]*$', '')) AS n_dirs FROM pages GROUP BY 1",
+    "q68_two_sources": """
+        WITH a AS (SELECT 'input' AS source, c_nationkey || '-' || CAST(floor(c_acctbal / 10) AS BIGINT) AS stem, c_custkey AS id FROM customer),
+        b AS (SELECT 'in_focus' AS source, s_nationkey || '-' || CAST(floor(s_acctbal / 10) AS BIGINT) AS stem, s_suppkey AS id FROM supplier)
+        SELECT * FROM a UNION SELECT * FROM b WHERE stem NOT IN (SELECT stem FROM a)""",
+    "q69_decisions": """
+        WITH e AS (SELECT *, user_id % 2 = 0 AS even, CASE event_type WHEN 'purchase' THEN 'BEST' WHEN 'click' THEN 'PASS' ELSE 'KEEP' END AS decision FROM events)
+        SELECT event_id, even AND value >= 90 AS venue,
+               CASE WHEN value >= 75 AND (decision = 'BEST' OR even) THEN CASE WHEN user_id % 5 = 0 THEN 'rejected' ELSE 'best_quality' END ELSE 'other' END AS best,
+               decision = 'PASS' AND value >= 50 AND user_id % 7 <> 0 AS passes,
+               CASE WHEN even AND user_id % 3 <> 0 THEN 'duplicate' WHEN value < 5 THEN 'closed_eyes' WHEN value < 20 THEN 'blurry' WHEN value < 45 THEN 'out_of_focus' END AS reason,
+               event_type = 'error' OR user_id % 7 = 0 AS logged
+        FROM e""",
+    "q70_group_candidate": """
+        SELECT l_orderkey, l_linenumber * 100000 + l_suppkey AS best, l_quantity * 2 AS best_score FROM lineitem WHERE l_discount <= 0.05 AND l_quantity * 2 >= 85
+        QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber * 100000 + l_suppkey) = 1""",
+    "q71_group_records": f"""WITH RECURSIVE {PAIRS}, {_leaders("g", "SELECT 0 AS block, rank, id FROM hashes", "SELECT rank_a, rank_b FROM allpairs WHERE similarity >= 0.66")},
+        m AS (SELECT dense_rank() OVER (ORDER BY lr) AS group_id, g.id, round(h.x[1], 4) AS score FROM g JOIN hashes h ON h.id = g.id),
+        b AS (SELECT group_id, id AS best FROM m QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY score DESC, id) = 1)
+        SELECT m.group_id, best, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) FILTER (WHERE id <> best) AS similar, string_agg(id || ':' || printf('%.4f', score), ',' ORDER BY id) AS scores, CAST(count(*) AS INTEGER) AS group_size
+        FROM m JOIN b ON b.group_id = m.group_id GROUP BY m.group_id, best""",
+    "q72_group_statistics": """
+        WITH e AS (SELECT label, vec_id % 4 AS n, vec_id % 100 AS score, list_avg(CAST(embedding AS DOUBLE[])) AS mean FROM embeddings)
+        SELECT row_number() OVER (ORDER BY count(*) DESC, label) AS place, label, count(*) AS size, round(avg(n), 6) AS average_count, round(avg(score) * 0.6::DOUBLE + avg(mean) * 0.4::DOUBLE, 6) AS quality FROM e GROUP BY label""",
+    "q73_duplicate_counts": f"""WITH {GROUPS}, d AS (SELECT doc_id, CASE WHEN group_size > 1 THEN text_hash END AS g FROM documents JOIN grp ON text_hash = md5(text))
+        SELECT count(*) AS processed, count(g) AS in_groups, count(g) - count(DISTINCT g) AS extra, count(*) - count(g) + count(DISTINCT g) AS "unique" FROM d""",
+    "q74_group_similarity": f"""WITH RECURSIVE {PAIRS}, {_leaders("g", "SELECT 0 AS block, rank, id FROM hashes", "SELECT rank_a, rank_b FROM allpairs WHERE similarity >= 0.66")},
+        m AS (SELECT dense_rank() OVER (ORDER BY lr) AS grp, h.* FROM g JOIN hashes h ON h.id = g.id),
+        t AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY rank) AS rn FROM m QUALIFY rn <= 3),
+        v AS (SELECT a.grp AS ga, b.grp AS gb FROM t a JOIN t b ON b.grp > a.grp GROUP BY 1, 2 HAVING avg(CASE WHEN 1 - bit_count(xor(a.h, b.h)) / 64.0::DOUBLE >= 0.56 THEN 1.0 ELSE 0.0 END) >= 0.7),
+        f AS (SELECT grp, avg(label) AS mean FROM m GROUP BY grp)
+        SELECT ga AS group_a, gb AS group_b, round(max({COS}), 6) AS similarity
+        FROM v JOIN f fa ON fa.grp = ga JOIN f fb ON fb.grp = gb AND abs(fa.mean - fb.mean) <= 1 JOIN m a ON a.grp = ga JOIN m b ON b.grp = gb GROUP BY 1, 2""",
+    "q75_retry_jitter": """
+        SELECT event_id, round(least(pow(2, event_id % 8), 60) * (1 + 0.2::DOUBLE * (('0x' || substr(md5(event_id || ':' || (event_id % 8 + 1)), 1, 8))::BIGINT / 4294967296.0::DOUBLE)), 6) AS delay FROM events""",
+    "q76_strict_selection": _select(25).replace("PARTITION BY p.album ORDER BY ord)", "PARTITION BY p.album ORDER BY score DESC, ord)").replace("FROM recs WHERE score + boost >= 35", "FROM recs WHERE score + boost >= 35 AND ord IN (SELECT ord FROM photos WHERE ok)").replace("WHERE score >= 40 AND NOT chosen", "WHERE score >= 40 AND ord IN (SELECT ord FROM photos WHERE ok) AND NOT chosen") + " SELECT album, ord, score, tier FROM delivered",
+    "q77_audit_report": f"""WITH {GROUPS},
+        d AS (SELECT CASE WHEN doc_id % 5 = 0 THEN 'BEST_' ELSE '' END || doc_id AS path, doc_id, best, group_size FROM documents JOIN grp ON text_hash = md5(text))
+        SELECT 'duplicates' AS "check", 'group_' || best AS item, count(*) AS n FROM d WHERE group_size > 1 GROUP BY best HAVING count(*) > 1
+        UNION ALL SELECT 'orphans', path, 1 FROM d WHERE group_size = 1 AND doc_id NOT IN (SELECT doc_id FROM labels)
+        UNION ALL SELECT 'missing categories', c, 0 FROM (VALUES ('best_quality'), ('duplicates'), ('closed_eyes'), ('blurry'), ('in_focus')) v(c)
+                  WHERE c NOT IN (SELECT CASE WHEN quality = 1 THEN 'best_quality' ELSE 'blurry' END FROM labels)""",
 }

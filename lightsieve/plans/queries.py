@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lightsieve.config import Rules, Selection
+from lightsieve.config import CATEGORIES, Rules, Selection
 from lightsieve.functions import kernels
 from lightsieve.operators import audit, clustering, lookup, pairs, rules, selection, similarity
 from lightsieve.operators.components import connected_components
@@ -393,7 +393,9 @@ def q50_json_props(spark, sf_dir):
 @query
 def q51_dir_group(spark, sf_dir):
     parts = sources.path_parts(F.regexp_replace("url", r"\?.*$", ""))
-    return table(spark, sf_dir, "pages").select("page_id", parts["dir"].alias("dir")).groupBy("dir").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.col("page_id"))), ",").alias("pages"))
+    place = F.row_number().over(Window.partitionBy("dir").orderBy("page_id")) - 1
+    listed = table(spark, sf_dir, "pages").select("page_id", parts["dir"].alias("dir")).withColumn("part", F.floor(place / 25))  # lists of 25 files at most
+    return listed.groupBy("dir", "part").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.col("page_id"))), ",").alias("pages"))
 
 
 @query
@@ -511,3 +513,94 @@ def q67_directory_counts(spark, sf_dir):
     path = F.regexp_replace("url", r"\?.*$", "")
     pages = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), sources.path_parts(path)["dir"].alias("dir"))
     return pages.groupBy("host").agg(F.count("*").alias("n_files"), F.countDistinct("dir").alias("n_dirs"))
+
+
+@query
+def q68_two_sources(spark, sf_dir):
+    """Customers, then suppliers whose nation and rounded balance no customer has."""
+    stem = lambda nation, balance: F.concat_ws("-", nation, F.floor(F.col(balance) / 10))
+    first = table(spark, sf_dir, "customer").select(F.lit("input").alias("source"), stem("c_nationkey", "c_acctbal").alias("stem"), F.col("c_custkey").alias("id"))
+    second = table(spark, sf_dir, "supplier").select(F.lit("in_focus").alias("source"), stem("s_nationkey", "s_acctbal").alias("stem"), F.col("s_suppkey").alias("id"))
+    return lookup.two_sources(first, second, "stem")
+
+
+@query
+def q69_decisions(spark, sf_dir):
+    """Venue confidence, legacy best decision, final check and the older order of reasons, over the events."""
+    e = table(spark, sf_dir, "events")
+    score, even = F.col("value"), F.col("user_id") % 2 == 0
+    decision = F.when(F.col("event_type") == "purchase", "BEST").when(F.col("event_type") == "click", "PASS").otherwise("KEEP")
+    detail = F.when(F.col("user_id") % 7 == 0, "Back to camera").otherwise("fine")
+    return e.select(
+        "event_id",
+        rules.confident_venues(even, score).alias("venue"),
+        rules.best_decision(decision, score, even, F.col("user_id") % 5 == 0).alias("best"),
+        rules.final_check(decision, score, detail, 50).alias("passes"),
+        rules.disqualified_reason(even, F.col("user_id") % 3 == 0, score < 5, score < 20, score < 45).alias("reason"),
+        rules.worth_logging(F.upper("event_type"), detail, ["to camera"]).alias("logged"),
+    )
+
+
+@query
+def q70_group_candidate(spark, sf_dir):
+    """The best candidate of each order's lines: BEST ones (full-priced) of a score of 85 at least."""
+    li = table(spark, sf_dir, "lineitem").withColumn("score", F.col("l_quantity") * 2).filter("l_discount <= 0.05 and score >= 85")
+    return clustering.best_of_group(li.withColumn("line", F.col("l_linenumber") * 100000 + F.col("l_suppkey")), "l_orderkey", "line", "score").select("l_orderkey", "best", "best_score")
+
+
+@query
+def q71_group_records(spark, sf_dir):
+    """One record a hash group: best, others, scores and size."""
+    hashes = _hashes(spark, sf_dir)
+    groups = clustering.leader_clusters(hashes, similarity.hash_pairs(hashes, 0.66)).join(hashes.select("id", F.round(F.element_at("vector", 1).cast("double"), 4).alias("score")), "id")
+    r = clustering.group_records(groups, "group_id", "id", "score")
+    scores = F.array_join(F.transform(F.array_sort(F.map_keys("scores")), lambda k: F.concat_ws(":", k.cast("string"), F.format_number(F.element_at("scores", k), 4))), ",")
+    return r.select("group_id", "best", F.array_join("similar", ",").alias("similar"), scores.alias("scores"), "group_size")
+
+
+@query
+def q72_group_statistics(spark, sf_dir):
+    """Groups by label, the largest first: average face count and joint quality."""
+    e = table(spark, sf_dir, "embeddings").select("label", (F.col("vec_id") % 4).alias("n"), (F.col("vec_id") % 100).alias("score"), F.col("embedding").alias("vector"))
+    found = clustering.group_statistics(e, "label", "n", "score", "vector")
+    return found.select("place", "label", "size", F.round("average_count", 6).alias("average_count"), F.round("quality", 6).alias("quality"))
+
+
+@query
+def q73_duplicate_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("h", F.md5(F.col("text").cast("binary")))
+    groups = clustering.text_groups(docs).filter("group_size > 1").select(F.col("text_hash").alias("h"), F.col("h").alias("g"))
+    return clustering.duplicate_counts(docs.join(groups, "h", "left"), "doc_id", "g")
+
+
+@query
+def q74_group_similarity(spark, sf_dir):
+    """Greatest cosine between the members of merge candidates whose average face counts differ by 1 at most."""
+    hashes = _hashes(spark, sf_dir)
+    members = materialize(clustering.leader_clusters(hashes, similarity.hash_pairs(hashes, 0.66)).join(hashes, "id").select("group_id", "rank", "hash", "vector", "label"), "grouped")
+    votes = pairs.merge_votes(members.select(F.col("group_id").alias("group"), F.col("rank").alias("ord"), "hash"), 0.56)
+    mean = lambda s: members.groupBy(F.col("group_id").alias(f"group_{s}")).agg(F.avg("label").alias(f"mean_{s}"))
+    near = votes.join(mean("a"), "group_a").join(mean("b"), "group_b").filter("abs(mean_a - mean_b) <= 1").select("group_a", "group_b")
+    return clustering.group_similarity(members, "group_id", "vector", near).withColumn("similarity", F.round("similarity", 6))
+
+
+@query
+def q75_retry_jitter(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("attempt", F.col("event_id") % 8 + 1)
+    return e.select("event_id", F.round(rules.backoff_seconds(F.col("attempt"), jitter_by=F.col("event_id")), 6).alias("delay"))
+
+
+@query
+def q76_strict_selection(spark, sf_dir):
+    """Tier 2 by score, and nothing that fails the basic checks comes in for coverage."""
+    return selection.select_for_delivery(_photos(spark, sf_dir), replace(AT_25, strict_coverage=True, tier_2_by_score=True))
+
+
+@query
+def q77_audit_report(spark, sf_dir):
+    """All violations of a delivery as one table."""
+    docs = table(spark, sf_dir, "documents").withColumn("path", F.concat(F.when(F.col("doc_id") % 5 == 0, "BEST_").otherwise(""), F.col("doc_id").cast("string")))
+    h = F.md5(F.col("text").cast("binary"))
+    groups = docs.withColumn("h", h).join(clustering.text_groups(docs).filter("group_size > 1").select(F.col("text_hash").alias("h"), "best"), "h").select("path", F.concat(F.lit("group_"), F.col("best")).alias("group_id"))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("path"), F.when(F.col("quality") == 1, "best_quality").otherwise("blurry").alias("category"))
+    return audit.inspect(docs.select("path"), groups, labels, CATEGORIES)

@@ -11,6 +11,11 @@ def write_categories(rows: DataFrame, path: str, column: str = "category", mode:
     rows.write.mode(mode).partitionBy(column).parquet(path)
 
 
+def write_groups(members: DataFrame, path: str, group: str = "group_id", best: str = "best") -> None:
+    """Partitioned by group; is_best marks the member that the group's best column names."""
+    members.withColumn("is_best", F.col("path") == F.col(best)).write.mode("overwrite").partitionBy(group).parquet(path)
+
+
 def report(rows: DataFrame, configuration: str = "{}") -> DataFrame:
     """(category, report): one JSON envelope for each category, without listing its rows in one place."""
     stats = rows.groupBy("category").agg(F.count("*").alias("total_processed"))
@@ -19,8 +24,9 @@ def report(rows: DataFrame, configuration: str = "{}") -> DataFrame:
 
 
 def write_report(rows: DataFrame, path: str, configuration: str = "{}") -> None:
-    """Reports beside their rows: JSON lines of the rows a category, and one envelope."""
-    rows.write.mode("overwrite").partitionBy("category").json(f"{path}/rows")
+    """Reports beside their rows, as reports.read_reports() reads them: JSON lines of one processed image each, and one envelope a category."""
+    envelope = rows.select("category", F.array(F.struct(F.col("path").alias("original_path"), "path", "category", *(["score"] if "score" in rows.columns else []))).alias("processed_images"))
+    envelope.write.mode("overwrite").partitionBy("category").json(f"{path}/rows")
     report(rows, configuration).write.mode("overwrite").json(f"{path}/reports")
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lightsieve import __main__, sinks
+from lightsieve import __main__, config, sinks
 from lightsieve.config import Rules
 from lightsieve.functions import kernels
 from lightsieve.operators import audit, rules, scoring
@@ -109,9 +109,15 @@ def test_reports_and_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).filter("category = 'blurry'").count() == 2
     sinks.write_report(rows, str(tmp_path / "r"))
     assert spark.read.json(str(tmp_path / "r/rows")).count() == 3
-    envelope = rows.agg(F.to_json(F.struct(F.lit("now").alias("process_date"), F.collect_list(F.struct(F.col("path").alias("original_path"), "category", "score")).alias("processed_images"))).alias("value"))
-    envelope.write.text(str(tmp_path / "e"))
-    assert reports.manifest(reports.read_reports(spark, str(tmp_path / "e")), rows).count() == 3
+    back = reports.read_reports(spark, str(tmp_path / "r/rows"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+    assert reports.manifest(back, rows).count() == 3
+    raw = spark.createDataFrame([("/x/c.NEF", "blurry", None)], "path string, category string, score double")
+    assert {tuple(r) for r in reports.names(raw.unionByName(rows.limit(1))).collect()} == {("blurry", "c.NEF"), ("blurry", "c.png"), ("blurry", "a.png")}
+    tree = reports.delivered_groups(spark.createDataFrame([("/o/duplicates/group_2/BEST_a.jpg",), ("/o/duplicates/group_2/b.jpg",), ("/o/other/c.jpg",)], "path string"))
+    assert sorted(map(tuple, tree.select("group_id", "name", "is_best").collect())) == [("group_2", "a.jpg", True), ("group_2", "b.jpg", False)]
+    sinks.write_groups(spark.createDataFrame([("a", 1, "a"), ("b", 1, "a")], "path string, group_id int, best string"), str(tmp_path / "g"))
+    assert spark.read.parquet(str(tmp_path / "g")).filter("is_best and path = 'a' and group_id = 1").count() == 1
     names = spark.createDataFrame([("group_3",), ("group_12",), ("other",)], "group string")
     assert reports.last_group_number(names).first()[0] == 12 and reports.last_group_number(names.limit(0)).first()[0] == 0
 
@@ -142,8 +148,18 @@ def test_stream_resumes_and_deduplicates(spark, tmp_path):
 def test_command_line(spark, tmp_path, sf_small, capsys):
     spark.createDataFrame([("a",), ("b",)], "path string").write.parquet(str(tmp_path / "d"))
     spark.createDataFrame([("a", "g"), ("b", "g")], "path string, group_id string").write.parquet(str(tmp_path / "g"))
-    assert __main__.main(["audit", str(tmp_path / "d"), str(tmp_path / "g")]) == 1
-    assert "FAIL: 1 violations" in capsys.readouterr().out
+    spark.createDataFrame([("a", "blurry")], "path string, category string").write.parquet(str(tmp_path / "c"))
+    run = ["audit", str(tmp_path / "d"), str(tmp_path / "g"), str(tmp_path / "c"), str(tmp_path / "fixed")]
+    assert __main__.main([*run, "--dry-run"]) == 1 and not (tmp_path / "fixed").exists()
+    assert "FAIL: 5 violations" in capsys.readouterr().out  # one leak, four missing categories
+    assert __main__.main([*run, "--fix", "--json", str(tmp_path / "j")]) == 1
+    assert [r[0] for r in spark.read.parquet(str(tmp_path / "fixed")).collect()] == ["a"] and spark.read.json(str(tmp_path / "j")).count() == 5
+    (tmp_path / "config.json").write_text('{"selection": {"target_pct": 20, "tier_2_by_score": true}, "rules": {"blur_confidence": 80}}')
+    chosen, rules = config.load(spark, str(tmp_path / "config.json"))
+    assert (chosen.target_pct, chosen.tier_2_by_score, chosen.tier_1, rules.blur_confidence) == (20, True, 80, 80)
+    (tmp_path / "bad.json").write_text('{"selection": {"target": 20}}')
+    with pytest.raises(ValueError, match="target"):
+        config.load(spark, str(tmp_path / "bad.json"))
     assert __main__.main(["select", f"{sf_small}/events.parquet", str(tmp_path / "s"), "--pct", "30"]) == 0
     assert spark.read.parquet(str(tmp_path / "s")).count() > 0
 
