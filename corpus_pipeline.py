@@ -8,16 +8,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lightsieve.llm import decontam, exact, mixing, quality, simhash
-from lightsieve.session import materialize, table
+from lightsieve.session import discard, materialize, table
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs, written once with a row key: decisions are of rows, since ids may repeat or be null."""
-    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    """docs with a row key, since decisions are of rows: ids may repeat or be null.
+
+    Rows of files are keyed by their file and place in it, which every reader of the files finds alike; other rows are
+    written once with a number.
+    """
+    try:
+        keyed = docs.select("*", F.concat(F.hex(F.xxhash64("_metadata.file_path")), F.lit(":"), F.col("_metadata.row_index")).alias("_row"))
+        keyed.schema  # resolves the columns
+        return keyed
+    except AnalysisException:
+        return materialize(docs.withColumn("_row", F.monotonically_increasing_id().cast("string")), "keyed")
 
 
 def _of(keyed: DataFrame, rows: DataFrame) -> DataFrame:
@@ -71,5 +81,6 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(before)  # the table itself is left alone
     return STAGES[-1][1](spark, docs, sf_dir)
