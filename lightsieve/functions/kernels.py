@@ -13,12 +13,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FEATURES = "laplacian double, fft double, combined double, focus double, contrast double, sharpness double, noise double, exposure double, overexposed double, resolution double, white double, edges double, phash long, dhash long"
+FEATURES = "laplacian double, fft double, combined double, focus double, contrast double, sharpness double, noise double, exposure double, overexposed double, resolution double, white double, edges double, phash long, dhash long, ahash long, whash long"
 
 
-def gray(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
-    pixels = np.frombuffer(data, np.uint8).reshape(height, width, channels).astype(np.float64)
-    if channels < 3:
+def planes(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
+    """height x width x channels, blue first."""
+    return np.frombuffer(data, np.uint8).reshape(height, width, channels).astype(np.float64)
+
+
+def gray(pixels: np.ndarray) -> np.ndarray:
+    if pixels.shape[2] < 3:
         return pixels[:, :, 0]
     return np.rint(pixels[:, :, 0] * 0.114 + pixels[:, :, 1] * 0.587 + pixels[:, :, 2] * 0.299)
 
@@ -124,13 +128,42 @@ def ahash(g: np.ndarray) -> int:
     return _packed(small > small.mean())
 
 
-def white_share(g: np.ndarray) -> float:
-    return float((g > 200).mean() * 100)
+def whash(g: np.ndarray) -> int:
+    """Signs of the 8 x 8 low band of the Haar transform, which are block means, against their median."""
+    low = area_resize(g, 8, 8)
+    return _packed(low > np.median(low))
+
+
+def white_share(pixels: np.ndarray, least_value: float = 180, most_saturation: float = 30) -> float:
+    """Percent of bright pixels without much colour (value and saturation up to 255)."""
+    colours = pixels[:, :, :3]
+    value = colours.max(axis=2)
+    saturation = np.divide(255 * (value - colours.min(axis=2)), value, out=np.zeros_like(value), where=value > 0)
+    return float(((value >= least_value) & (saturation <= most_saturation)).mean() * 100)
 
 
-def edge_share(g: np.ndarray, high: float = 150.0) -> float:
+def edges(g: np.ndarray, low: float = 50.0, high: float = 150.0) -> np.ndarray:
+    """Edge pixels: gradients that are largest across the edge, above high, or above low and connected to such."""
     gx, gy = sobel(g)
-    return float((np.abs(gx) + np.abs(gy) > high).mean() * 100)
+    strength = np.abs(gx) + np.abs(gy)
+    p = np.pad(strength, 1)
+    at = lambda dy, dx: p[1 + dy : p.shape[0] - 1 + dy, 1 + dx : p.shape[1] - 1 + dx]
+    ax, ay, slope = np.abs(gx), np.abs(gy), np.tan(np.pi / 8)
+    across = [(ay <= slope * ax, (0, 1)), (ax <= slope * ay, (1, 0)), (gx * gy > 0, (1, 1)), (np.ones_like(g, bool), (1, -1))]
+    before = np.select([c for c, _ in across], [at(-dy, -dx) for _, (dy, dx) in across])
+    after = np.select([c for c, _ in across], [at(dy, dx) for _, (dy, dx) in across])
+    ridge = (strength > before) & (strength >= after)
+    weak, found = ridge & (strength > low), ridge & (strength > high)
+    while True:
+        q = np.pad(found, 1)
+        grown = weak & np.logical_or.reduce([q[1 + dy : q.shape[0] - 1 + dy, 1 + dx : q.shape[1] - 1 + dx] for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
+        if (grown == found).all():
+            return found
+        found = grown
+
+
+def edge_share(g: np.ndarray) -> float:
+    return float(edges(g).mean() * 100)
 
 
 def region_focus(g: np.ndarray) -> tuple[float, float]:
@@ -140,11 +173,12 @@ def region_focus(g: np.ndarray) -> tuple[float, float]:
     return float(m.mean() * 0.8), float(m.var() * 1.2)
 
 
-def measure(g: np.ndarray) -> dict:
+def measure(pixels: np.ndarray) -> dict:
+    g = gray(pixels)
     laplacian, fft = laplacian_variance(g), fft_score(g)
     return {
         "laplacian": laplacian, "fft": fft, "combined": combined_blur(laplacian, fft), "focus": focus_score(g), "contrast": contrast(g), "sharpness": sharpness(g), "noise": noise(g),
-        "exposure": exposure(g), "overexposed": overexposed(g), "resolution": min(g.size / 6e6, 1.0), "white": white_share(g), "edges": edge_share(g), "phash": phash(g), "dhash": dhash(g),
+        "exposure": exposure(g), "overexposed": overexposed(g), "resolution": min(g.size / 6e6, 1.0), "white": white_share(pixels), "edges": edge_share(g), "phash": phash(g), "dhash": dhash(g), "ahash": ahash(g), "whash": whash(g),
     }
 
 
@@ -157,11 +191,11 @@ def features(images: DataFrame, ident: str = "path") -> DataFrame:
             rows = []
             for ident_, height, width, channels, data in zip(*(batch[c] for c in (ident, "height", "width", "channels", "data"))):
                 try:
-                    rows.append({ident: ident_} | measure(gray(data, height, width, channels)))
+                    rows.append({ident: ident_} | measure(planes(data, height, width, channels)))
                 except (ValueError, TypeError):
                     rows.append({ident: ident_} | dict.fromkeys(names))
             out = pd.DataFrame(rows, columns=[ident, *names])
-            for hashed in ("phash", "dhash"):
+            for hashed in ("phash", "dhash", "ahash", "whash"):
                 out[hashed] = out[hashed].astype("Int64")
             yield out
 

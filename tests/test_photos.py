@@ -57,12 +57,28 @@ def test_other_kernels():
     r = np.random.default_rng(0)
     base = kernels.area_resize(r.uniform(0, 250, (20, 30)), 200, 300)
     shifted = np.clip(base + 1, 0, 255)
-    for f in (kernels.phash, kernels.dhash, kernels.ahash):
+    for f in (kernels.phash, kernels.dhash, kernels.ahash, kernels.whash):
         assert (f(base) ^ f(shifted)).bit_count() <= 9
     assert kernels.thumbnail_size(1200, 800) == (512, 341) and kernels.thumbnail_size(200, 133) == (200, 133)
     assert kernels.area_resize(np.arange(12.0).reshape(3, 4), 1, 1)[0, 0] == pytest.approx(5.5)
 
 
+def test_white_and_edges():
+    pixels = np.zeros((40, 40, 3))
+    pixels[:10] = 200  # white
+    pixels[10:20] = (40, 60, 220)  # bright, but red
+    assert kernels.white_share(pixels) == 25
+    step = np.zeros((20, 20))
+    step[:, 10:] = 100
+    found = kernels.edges(step)
+    assert found.any(axis=1).all() and (found.sum(axis=1) == 1).all()  # one pixel wide
+    faint = np.zeros((20, 20))
+    faint[:, 10:] = 20  # between the two levels: alone no edge, together with a strong part one
+    assert not kernels.edges(faint).any()
+    faint[:5, 10:] = 100
+    assert kernels.edges(faint)[8:, 8:12].any(axis=1).all() and kernels.edge_share(np.zeros((5, 5))) == 0
+
+
 def test_scan_and_features(spark, tmp_path):
     (tmp_path / "a/b").mkdir(parents=True)
     (tmp_path / "one.PNG").write_bytes(png(board(64, 80, 8)))
