@@ -7,17 +7,19 @@ so what the unlabelled rows hold of positives is taken off again, and never belo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lightsieve.llm.textmodel import WordScores, bounded_sample, fit_linear, fold, sigmoid, sparse_features, sparse_rows
 
 MOST_POSITIVE = 1500
 MOST_UNLABELLED = 3500
+STEPS = 64  # bins a unit of the score, in which the level is sought
+FURTHEST = 30  # scores beyond are counted there
 
 
 def nnpu_gradient(positive: np.ndarray, prior: float):
@@ -40,56 +42,74 @@ def nnpu_gradient(positive: np.ndarray, prior: float):
     return gradient
 
 
-def decision_level(scores: np.ndarray, positive: np.ndarray) -> float:
-    """The level that maximises recall**2 / share of all rows above it; positives and unlabelled rows suffice for that."""
-    order = np.argsort(-scores, kind="stable")
-    recall = np.cumsum(positive[order]) / positive.sum()
-    share = (np.cumsum(~positive[order]) + 1.0) / (~positive).sum()
+def decision_level(bins: pd.DataFrame) -> float:
+    """The level that maximises recall**2 / share of all rows above it; 0 when that is not defined.
+
+    bins: (bin, n, positive), rows and confirmed examples whose score is in [bin / STEPS, (bin + 1) / STEPS).
+    """
+    bins = bins.sort_values("bin", ascending=False)
+    at, n, positive = (bins[c].to_numpy(float) for c in ("bin", "n", "positive"))
+    if not positive.sum() or positive.sum() == n.sum():
+        return 0.0
+    recall, share = np.cumsum(positive) / positive.sum(), (np.cumsum(n) + 1.0) / n.sum()
     best = int(np.argmax(recall**2 / share))
-    following = scores[order[min(best + 1, len(order) - 1)]]
-    return float((scores[order[best]] + following) / 2)
+    below = at[best + 1] + 1 if best + 1 < len(at) else at[best]
+    return float((at[best] + below) / 2 / STEPS)  # in the middle of the gap to the next bin
 
 
 def _fit(rows: pd.DataFrame, prior: float) -> tuple[np.ndarray, float]:
-    """Weights and offset; the rows of fold 1 are not fitted but set the level that becomes the score 0.5."""
-    y, aside = rows["y"].to_numpy(bool), (rows["fold"] == 1).to_numpy()
-    fit = ~aside
-    if not y[fit].any() or y[fit].all():
+    """Weights and offset."""
+    y = rows["y"].to_numpy(bool)
+    if not y.any() or y.all():
         return np.zeros(1), -30.0
-    weights, offset = fit_linear(sparse_rows(rows["place"][fit].tolist(), rows["value"][fit].tolist()), nnpu_gradient(y[fit], prior))
-    if y[aside].any() and not y[aside].all():
-        offset -= decision_level(sparse_rows(rows["place"][aside].tolist(), rows["value"][aside].tolist(), 1).dot(weights) + offset, y[aside])
-    return weights, offset
+    return fit_linear(sparse_rows(rows["place"].tolist(), rows["value"].tolist()), nnpu_gradient(y, prior))
+
+
+def _levelled(model: tuple[np.ndarray, float], bins: pd.DataFrame) -> tuple[np.ndarray, float]:
+    """The model with its offset moved so that the decision level scores 0.5."""
+    return model[0], model[1] - decision_level(bins)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> DataFrame:
     """(id_col, held_out, score, predicted), one row for each input row.
 
-    The fit uses at most most_positive confirmed documents and most_unlabelled of all, none of them from the held-out
-    fold 0; fold 1 sets the level of 0.5. The class prior is the share of toxic among the labels of the other folds. Scores see the text alone. Null
-    and empty texts get the score of the offset. Null labels count as none; without any positive all score 0. Null
-    ids are held_out = false and never learned from. Rows that repeat an id are scored one by one.
+    The fit uses at most most_positive confirmed documents and most_unlabelled of all, of folds 2 and up. The level of
+    0.5 comes from counts over all rows of fold 1, the class prior from all labels of the folds but 0: it is the share
+    of toxic among them. Fold 0 is held out. Scores see the text alone. Null and empty texts get the score of the
+    offset, long ones are scored whole. Null labels count as none; without any positive all score 0. Null ids are
+    held_out = false and never learned from. Rows that repeat an id are scored one by one; an empty table gives no
+    rows. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
-    learn = docs.select(F.col(id_col).alias("id")).filter(F.col("id").isNotNull() & (fold(F.col("id")) != 0))
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).filter(F.col("label").isNotNull() & F.col("id").isNotNull() & (fold(F.col("id")) != 0)).groupBy("id").agg(F.max("label").alias("label"))
+    ident, text = F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))
+    learn = docs.select(ident.alias("id"), text.alias("text")).filter(F.col("id").isNotNull()).withColumn("fold", fold(F.col("id"))).filter("fold <> 0")
+    known = labels.select(ident.alias("id"), F.col(label_col).alias("label")).filter(F.col("label").isNotNull() & F.col("id").isNotNull()).withColumn("fold", fold(F.col("id"))).filter("fold <> 0").groupBy("id", "fold").agg(F.max("label").alias("label"))
     total, toxic = known.agg(F.count("*"), F.sum("label")).first()
-    weights, offset = np.zeros(1), -30.0
+    fitted = (np.zeros(1), -30.0)
     if toxic:
-        positive = bounded_sample(known.filter("label = 1").select("id"), "id", most_positive, "positive")
+        positive = bounded_sample(known.filter("label = 1 and fold > 1").select("id"), "id", most_positive, "positive")
         # of all rows, confirmed ones too: the prior is theirs
-        others = bounded_sample(learn.distinct(), "id", most_unlabelled, "unlabelled")
+        others = bounded_sample(learn.filter("fold > 1").select("id").distinct(), "id", most_unlabelled, "unlabelled")
         chosen = F.broadcast(positive.withColumn("y", F.lit(True)).unionByName(others.withColumn("y", F.lit(False))))  # bounded by the two limits
-        rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, "id").select("y", fold(F.col("id")).alias("fold"), sparse_features(F.col("text")).alias("words"))
-        weights, offset = _fit(rows.select("y", "fold", "words.place", "words.value").toPandas(), toxic / total)  # features alone; the texts stay on the executors
-    model = spark.sparkContext.broadcast((weights.astype(np.float32), offset))
+        rows = learn.join(chosen, "id").select("y", sparse_features(F.col("text")).alias("words"))
+        fitted = _fit(rows.select("y", "words.place", "words.value").toPandas(), toxic / total)  # features alone; the texts stay on the executors
+        aside = learn.filter("fold = 1").select("id", _scores(spark, fitted)(F.col("text")).alias("s"))
+        confirmed = known.filter("label = 1 and fold = 1").select("id", F.lit(1).alias("y"))
+        bins = aside.join(confirmed, "id", "left").groupBy(F.floor(F.greatest(F.least("s", F.lit(FURTHEST)), F.lit(-FURTHEST)) * STEPS).alias("bin"))
+        fitted = _levelled(fitted, bins.agg(F.count("*").alias("n"), F.count("y").alias("positive")).toPandas())  # at most 2 * FURTHEST * STEPS + 1 rows
+    score = F.lit(1.0) / (1 + F.exp(-F.greatest(F.least(_scores(spark, fitted)(text), F.lit(30.0)), F.lit(-30.0))))
+    scored = docs.select(ident, F.coalesce(fold(ident) == 0, F.lit(False)).alias("held_out"), score.alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def _scores(spark: SparkSession, fitted: tuple[np.ndarray, float]) -> Callable[[Column], Column]:
+    model = spark.sparkContext.broadcast((fitted[0].astype(np.float32), fitted[1]))
 
     @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         weights, offset = model.value
         words = WordScores(weights) if len(weights) > 1 else None
         for texts in batches:
-            yield pd.Series(sigmoid(np.array([offset + (words.of(t) if words is not None else 0.0) for t in texts], float)))
+            yield pd.Series([offset + (words.of(t) if words is not None else 0.0) for t in texts], dtype=float)
 
-    scored = docs.select(F.col(id_col), F.coalesce(fold(F.col(id_col)) == 0, F.lit(False)).alias("held_out"), score(F.coalesce(F.col(text_col), F.lit(""))).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return scores
