@@ -9,21 +9,24 @@ from __future__ import annotations
 
 import operator
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from lightsieve.llm.textmodel import Sparse, WordScores, bounded_sample, fit_linear, fold, sigmoid, sparse_features, sparse_rows
 
-MOST_LABELLED = 2500
+MOST_LABELLED = 2000
 MOST_POOL = 1500
 ROUNDS = 3
 LENGTH_STEPS = 16
 STEP_WEIGHT = 20
+STEPS = 4  # bins a unit of a view's score, in which calibration counts its rows
+FURTHEST = 40  # scores beyond are counted there
+BOTH_KINDS = "labels of both kinds are needed among the fitted rows and among those of fold 1"
 META_SIZE = 8 + LENGTH_STEPS + 64 + 16
 _LETTERS_AND_SPACE = bytes(c for c in range(256) if c >= 0x80 or chr(c).isalnum() or chr(c).isspace())
 _CAPITALS = bytes(range(65, 91))
@@ -93,11 +96,11 @@ def co_train(rows: Sparse, meta: np.ndarray, y: np.ndarray, labelled: np.ndarray
     return words, metadata
 
 
-def calibrate(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Platt scaling: (a, b) so that sigmoid(a * score + b) is a probability."""
+def calibrate(score: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Platt scaling: (a, b) so that sigmoid(a * score + b) is a probability. n: how many rows each entry stands for."""
     x = np.stack([score, np.ones(len(score))], axis=1)
-    scale = max(1.0, float(np.abs(score).std()))
-    a, b = fit_meta(x / [scale, 1.0], y, np.ones(len(y)), decay=1e-4)
+    scale = max(1.0, float(np.sqrt(np.average((np.abs(score) - np.average(np.abs(score), weights=n)) ** 2, weights=n))))
+    a, b = fit_meta(x / [scale, 1.0], y, n, decay=1e-4)
     return float(a / scale), float(b)
 
 
@@ -109,40 +112,66 @@ def _meta_column(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: p
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", chars_col: str = "n_chars", label_col: str = "quality", most_labelled: int = MOST_LABELLED, most_pool: int = MOST_POOL, row_col: str | None = None) -> DataFrame:
     """(id_col, held_out, text_score, meta_score, score, keep), one row for each input row.
 
-    Scores are probabilities of label 1; keep is score >= 0.5. The fit sees at most most_labelled labelled and
-    most_pool other documents. Labels of fold 0 are held out, those of fold 1 serve calibration alone. Null and empty
-    texts are scored by their metadata and the words' offset; null metadata are values of their own. Without any
-    label everything scores 1; labels of one kind alone, in the fitted folds or in fold 1, raise a ValueError. Null ids are never learned from; rows that repeat an id are scored one by one.
-    With ``row_col`` the whole input row is given out, too, as a struct of that name.
+    Scores are probabilities of label 1; keep is score >= 0.5. The fit sees at most most_labelled labelled documents of
+    folds 2 and up and most_pool others. Labels of fold 0 are held out, all those of fold 1 serve calibration alone.
+    Null and empty texts are scored by their metadata and the words' offset, long ones whole; null metadata are values
+    of their own. Without any label everything scores 1; labels of one kind alone, in the fitted folds or in fold 1,
+    raise a ValueError. Null ids are never learned from; rows that repeat an id are scored one by one. An empty table
+    gives no rows; other columns are ignored, whatever their names. With ``row_col`` the whole input row is given out,
+    too, as a struct of that name.
     """
     spark = docs.sparkSession
     text, meta = F.coalesce(F.col(text_col), F.lit("")), (F.col(lang_col), F.col(source_col), F.col(chars_col).cast("double"))
     ident = F.col("id")
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).filter(ident.isNotNull() & F.col("label").isNotNull() & (fold(ident) != 0)).groupBy("id").agg(F.max("label").alias("label"))
-    picked = bounded_sample(known, "id", most_labelled, "labelled").select("id", F.col("label").cast("double").alias("y"))
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).filter(ident.isNotNull() & F.col("label").isNotNull() & (fold(ident) != 0)).groupBy("id").agg(F.max("label").cast("double").alias("y"))
+    picked = bounded_sample(known.filter(fold(ident) > 1), "id", most_labelled, "labelled")
     pool = bounded_sample(docs.select(F.col(id_col).alias("id")).filter(ident.isNotNull() & (fold(ident) != 0)).join(known, "id", "left_anti").distinct(), "id", most_pool, "pool")
     chosen = F.broadcast(picked.unionByName(pool.withColumn("y", F.lit(None).cast("double"))))  # bounded by the two limits
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), meta[0].alias("lang"), meta[1].alias("source"), meta[2].alias("n_chars")).join(chosen, "id").withColumn("fold", fold(ident))
-    rows = rows.select("y", "fold", sparse_features(F.col("text"), False, content).alias("words"), _meta_column(F.col("text"), F.col("lang"), F.col("source"), F.col("n_chars")).alias("meta"))
-    rows = rows.select("y", "fold", "words.place", "words.value", "meta").toPandas()  # features alone; the texts stay on the executors
-    model = spark.sparkContext.broadcast(_fit(rows))
+    learn = docs.select(F.col(id_col).alias("id"), text.alias("text"), meta[0].alias("lang"), meta[1].alias("source"), meta[2].alias("n_chars"))
+    places = ("text", "lang", "source", "n_chars")
+    rows = learn.join(chosen, "id").select("y", sparse_features(F.col("text"), False, content).alias("words"), _meta_column(*map(F.col, places)).alias("meta"))
+    fitted = _fit(rows.select("y", "words.place", "words.value", "meta").toPandas())  # features alone; the texts stay on the executors
+    aside = learn.filter(fold(ident) == 1).join(known.filter(fold(ident) == 1), "id")
+    if fitted is None and not aside.isEmpty():
+        raise ValueError(BOTH_KINDS)
+    raw = None
+    if fitted is not None:
+        raw = _views(spark, fitted)
+        bin_of = lambda view: F.floor(F.greatest(F.least(F.col(view), F.lit(FURTHEST)), F.lit(-FURTHEST)) * STEPS)
+        bins = aside.select("y", raw(*map(F.col, places)).alias("v")).select("y", "v.*").groupBy("y", bin_of("words"), bin_of("meta"))
+        # at most 2 * (2 * FURTHEST * STEPS + 1) ** 2 rows, of which scores fill few
+        fitted = _calibrated(fitted, bins.agg(F.count("*").alias("n"), F.avg("words").alias("words"), F.avg("meta").alias("meta")).select("y", "n", "words", "meta").toPandas())
+
+    def probability(logit: Column) -> Column:
+        return F.lit(1.0) / (1 + F.exp(-F.greatest(F.least(logit, F.lit(30.0)), F.lit(-30.0))))
+
+    def scores(view: str) -> Column:
+        if fitted is None:
+            return F.struct(*(F.lit(1.0).alias(c) for c in ("text_score", "meta_score", "score")))
+        logits = [F.lit(a) * F.col(f"{view}.{c}") + F.lit(b) for (a, b), c in zip(fitted["scale"], ("words", "meta"))]
+        both = [float(x) for x in fitted["both"]]
+        return F.struct(probability(logits[0]).alias("text_score"), probability(logits[1]).alias("meta_score"), probability(logits[0] * both[0] + logits[1] * both[1] + both[2]).alias("score"))
 
-    @F.pandas_udf("struct<text_score:double,meta_score:double,score:double>")
-    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+    whole = [F.struct(*docs.columns).alias(row_col)] if row_col else []
+    scored = docs.select(F.col(id_col), F.coalesce(fold(F.col(id_col)) == 0, F.lit(False)).alias("held_out"), (raw(text, *meta) if raw else F.lit(None)).alias("v"), *whole)
+    scored = scored.select(id_col, "held_out", scores("v").alias("s"), *([row_col] if row_col else []))
+    return scored.select(id_col, "held_out", "s.*", *([row_col] if row_col else [])).withColumn("keep", F.col("score") >= 0.5)
+
+
+def _views(spark: SparkSession, fitted: dict) -> Callable[..., Column]:
+    """The raw scores of both views for (text, lang, source, n_chars)."""
+    model = spark.sparkContext.broadcast(fitted)
+
+    @F.pandas_udf("struct<words:double,meta:double>")
+    def views(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         fitted = model.value
-        words = WordScores(fitted["words"], form=False) if fitted else None
+        words = WordScores(fitted["words"], form=False)
         for texts, langs, sources, chars in batches:
-            out = np.ones((len(texts), 3))
-            if fitted:
-                w = fitted["offset"] + np.array([words.of(content(t)) for t in texts], float)
-                m = np.stack([meta_features(*r) for r in zip(texts, _plain(langs), _plain(sources), chars)]) @ fitted["meta"] if len(texts) else np.empty(0)
-                logits = [a * s + b for (a, b), s in zip(fitted["scale"], (w, m))]
-                out = sigmoid(np.stack([*logits, np.stack([*logits, np.ones(len(w))], axis=1) @ fitted["both"]], axis=1))
-            yield pd.DataFrame(out, columns=["text_score", "meta_score", "score"])
+            w = [fitted["offset"] + words.of(content(t)) for t in texts]
+            m = [float(meta_features(*r) @ fitted["meta"]) for r in zip(texts, _plain(langs), _plain(sources), chars)]
+            yield pd.DataFrame({"words": w, "meta": m}, dtype=float)
 
-    whole = [F.struct(*docs.columns).alias(row_col)] if row_col else []
-    scored = docs.select(F.col(id_col), F.coalesce(fold(F.col(id_col)) == 0, F.lit(False)).alias("held_out"), score(text, *meta).alias("s"), *whole)
-    return scored.select(id_col, "held_out", "s.*", *([row_col] if row_col else [])).withColumn("keep", F.col("score") >= 0.5)
+    return views
 
 
 def _plain(values: pd.Series) -> list:
@@ -150,18 +179,24 @@ def _plain(values: pd.Series) -> list:
 
 
 def _fit(rows: pd.DataFrame) -> dict | None:
+    """Both views' weights; None without any label."""
     y = rows["y"].to_numpy(float)
-    aside = (rows["fold"] == 1).to_numpy() & ~np.isnan(y)
-    labelled = ~np.isnan(y) & ~aside
-    if not labelled.any() and not aside.any():
+    labelled = ~np.isnan(y)
+    if not labelled.any():
         return None
-    if len(set(y[labelled])) < 2 or len(set(y[aside])) < 2:
-        raise ValueError("labels of both kinds are needed among the fitted rows and among those of fold 1")
+    if len(set(y[labelled])) < 2:
+        raise ValueError(BOTH_KINDS)
     meta = np.stack([np.frombuffer(m, np.float32) for m in rows["meta"]])
-    use = ~aside
-    (weights, offset), metadata = co_train(sparse_rows(rows["place"][use].tolist(), rows["value"][use].tolist()), meta[use], y[use], labelled[use])
-    views = (sparse_rows(rows["place"][aside].tolist(), rows["value"][aside].tolist(), 1).dot(weights) + offset, meta[aside] @ metadata)
-    scale = [calibrate(v, y[aside]) for v in views]
-    logits = np.stack([*(a * v + b for (a, b), v in zip(scale, views)), np.ones(aside.sum())], axis=1)
-    both = fit_meta(np.clip(logits, -8, 8), y[aside], np.ones(aside.sum()), rate=0.05)
-    return {"words": weights.astype(np.float32), "offset": offset, "meta": metadata, "scale": scale, "both": both}
+    (weights, offset), metadata = co_train(sparse_rows(rows["place"].tolist(), rows["value"].tolist()), meta, y, labelled)
+    return {"words": weights.astype(np.float32), "offset": offset, "meta": metadata}
+
+
+def _calibrated(fitted: dict, bins: pd.DataFrame) -> dict:
+    """The model with what makes probabilities of its views, alone and together. bins: (y, n, words, meta), n rows with mean scores."""
+    y, n = bins["y"].to_numpy(float), bins["n"].to_numpy(float)
+    if len(set(y)) < 2:
+        raise ValueError(BOTH_KINDS)
+    views = [bins[c].to_numpy(float) for c in ("words", "meta")]
+    scale = [calibrate(v, y, n) for v in views]
+    logits = np.stack([*(a * v + b for (a, b), v in zip(scale, views)), np.ones(len(y))], axis=1)
+    return fitted | {"scale": scale, "both": fit_meta(np.clip(logits, -8, 8), y, n, rate=0.05)}

@@ -55,6 +55,24 @@ def test_nnpu_gradient_is_that_of_the_risk():
     assert np.allclose(toxicity.nnpu_gradient(positive, prior)(s), numeric, atol=1e-4)
 
 
+def test_the_level_counts_all_rows_of_fold_1(tables, monkeypatch):
+    """The level from bins is that of a plain search over every row of fold 1, within the width of a bin."""
+    docs, labels = tables
+    kept, finish = {}, toxicity._levelled
+    monkeypatch.setattr(toxicity, "_levelled", lambda fitted, bins: kept.setdefault("out", (fitted, bins, finish(fitted, bins)))[2])
+    toxicity.score_toxicity(docs, labels)
+    (weights, offset), bins, (_, moved) = kept["out"]
+    words = textmodel.WordScores(weights.astype(np.float32))
+    toxic = {r["doc_id"] for r in labels.filter("toxic = 1").collect()}
+    rows = docs.filter(textmodel.fold(F.col("doc_id")) == 1).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect()
+    assert bins["n"].sum() == len(rows) and bins["positive"].sum() == sum(r["doc_id"] in toxic for r in rows)
+    score = np.array([offset + words.of(r["text"]) for r in rows])
+    y = np.array([r["doc_id"] in toxic for r in rows])
+    merit = lambda level: (y[score >= level].sum() / y.sum()) ** 2 / (((score >= level).sum() + 1) / len(y))
+    best = max(merit(level) for level in score)
+    assert merit(offset - moved) > 0.95 * best
+
+
 def test_quality_on_held_out_documents(tables):
     docs, labels = tables
     found = quality.score_quality(docs, labels)
@@ -107,8 +125,8 @@ def test_features_and_scores_against_plain_loops(spark, tables, odd, monkeypatch
             found = dict(zip(np.frombuffer(r["f"]["place"], np.int32).tolist(), np.frombuffer(r["f"]["value"], np.float32).tolist()))
             assert found == pytest.approx(plain_features(texts[r["doc_id"]], form, prepare), rel=1e-4)
     for module, run in ((toxicity, toxicity.score_toxicity), (quality, quality.score_quality)):
-        kept, fit = {}, module._fit
-        monkeypatch.setattr(module, "_fit", lambda *a, fit=fit, kept=kept: kept.setdefault("model", fit(*a)))
+        kept, last = {}, "_levelled" if module is toxicity else "_calibrated"
+        monkeypatch.setattr(module, last, lambda *a, finish=getattr(module, last), kept=kept: kept.setdefault("model", finish(*a)))
         scored = {r["doc_id"]: r for r in run(docs, labels).filter("doc_id < 150").collect()}
         model = kept["model"]
         meta = {r["doc_id"]: r for r in docs.filter("doc_id < 150").collect()}
