@@ -43,18 +43,23 @@ def nnpu_gradient(positive: np.ndarray, prior: float):
 
 
 def decision_level(bins: pd.DataFrame) -> float:
-    """The level that maximises recall**2 / share of all rows above it; 0 when that is not defined.
+    """Where recall**2 / share of all rows above is largest; 0 when that is not defined.
 
-    bins: (bin, n, positive), rows and confirmed examples whose score is in [bin / STEPS, (bin + 1) / STEPS).
+    The middle of all levels that are within a standard error of the best, since few confirmed rows make the curve
+    rugged. bins: (bin, n, positive), rows and confirmed ones whose score is in [bin / STEPS, (bin + 1) / STEPS).
     """
     bins = bins.sort_values("bin", ascending=False)
     at, n, positive = (bins[c].to_numpy(float) for c in ("bin", "n", "positive"))
-    if not positive.sum() or positive.sum() == n.sum():
+    confirmed = positive.sum()
+    if not confirmed or confirmed == n.sum():
         return 0.0
-    recall, share = np.cumsum(positive) / positive.sum(), (np.cumsum(n) + 1.0) / n.sum()
-    best = int(np.argmax(recall**2 / share))
-    below = at[best + 1] + 1 if best + 1 < len(at) else at[best]
-    return float((at[best] + below) / 2 / STEPS)  # in the middle of the gap to the next bin
+    recall, share = np.cumsum(positive) / confirmed, (np.cumsum(n) + 1.0) / n.sum()
+    merit = recall**2 / share
+    best = int(np.argmax(merit))
+    error = 2 * np.sqrt(max(1 - recall[best], 1 / confirmed) / (recall[best] * confirmed))
+    near = np.flatnonzero(merit >= (1 - error) * merit[best])
+    below = at[near[-1] + 1] + 1 if near[-1] + 1 < len(at) else at[near[-1]]
+    return float((at[near[0]] + (at[near[-1]] + below) / 2) / 2 / STEPS)
 
 
 def _fit(rows: pd.DataFrame, prior: float) -> tuple[np.ndarray, float]:
