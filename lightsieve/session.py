@@ -46,16 +46,19 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session that names none (tests on one machine) gets a temporary folder, removed at exit. Executors of
     a cluster could not see such a folder, so there the setting must be given.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _local_dirs.get(spark.sparkContext.applicationId)
     if not root:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="spark-shared-")
+        root = _local_dirs[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="spark-shared-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
+#: by application: the temporary folder of a local session; the setting itself is fixed once a session runs
+_local_dirs: dict[str, str] = {}
+
+
 def _run_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/lightsieve/{spark.sparkContext.applicationId}"
 
