@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lightsieve.llm import decontam, exact, lmscore, mixing, pii, quality, simhash, substrings, tokens, toxicity
+from lightsieve.llm import decontam, exact, lmscore, mixing, pii, quality, simhash, substrings, tokens, toxicity, variants
 from lightsieve.session import table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -67,6 +67,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def exact_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7's exact part, which SQL can express."""
     return op7_decontamination(spark, sf_dir).drop("n_near_items")
@@ -74,7 +78,7 @@ def exact_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_personal_data, op2_simhash, op3_mixing, op4_toxicity, op5_lm_score, op6_exact_dedup, op7_decontamination, op8_token_counts, op9_substring_dedup, op10_quality, exact_phrases)
+    for f in (op1_personal_data, op2_simhash, op3_mixing, op4_toxicity, op5_lm_score, op6_exact_dedup, op7_decontamination, op8_token_counts, op9_substring_dedup, op10_quality, op11_spelling_variants, exact_phrases)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -131,6 +135,35 @@ ORACLE_SQL: dict[str, str] = {
         kept AS (SELECT r, count(*) AS n_kept, string_agg(word, ' ' ORDER BY j) AS text FROM pos ANTI JOIN gone USING (r, j) GROUP BY r)
         SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (r)""",
+    "op11_spelling_variants": r"""
+        WITH RECURSIVE runs AS (
+            SELECT id, run, len(run) AS len, count(*) AS c
+            FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents)
+            WHERE len(run) >= 7 GROUP BY id, run),
+        steps AS (
+            SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END) ORDER BY i) AS step
+            FROM range(256) r(i)),
+        summed AS (
+            SELECT run, len, c, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, len(bytes), 2), lambda k: CAST('0x' || substr(bytes, k, 2) AS BIGINT))),
+                lambda a, b: xor(step[(xor(a, b) & 255) + 1], a >> 8))) AS h
+            FROM (SELECT *, hex(encode(id || ':' || run)) AS bytes FROM runs), steps),
+        words AS (
+            SELECT word, CAST(sum(c) AS BIGINT) AS n
+            FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % len) || substr(run, h % len + 2) ELSE run END AS word, c FROM summed)
+            GROUP BY word HAVING len(word) >= 7 AND sum(c) >= 2),
+        cuts AS (SELECT word, n, k, substr(word, 1, k - 1) || substr(word, k + 1) AS rest FROM (SELECT *, unnest(range(1, len(word) + 1)) AS k FROM words)),
+        near AS (
+            SELECT a.word, a.n, b.word AS form, b.n AS form_n FROM cuts a JOIN cuts b USING (k, rest) WHERE a.word <> b.word
+            UNION SELECT c.word, c.n, w.word, w.n FROM cuts c JOIN words w ON c.rest = w.word
+            UNION SELECT w.word, w.n, c.word, c.n FROM cuts c JOIN words w ON c.rest = w.word),
+        counts AS (SELECT word, count(*) AS n_near FROM near GROUP BY word),
+        forms AS (SELECT word, form, form_n FROM near WHERE form_n >= 10 * n QUALIFY row_number() OVER (PARTITION BY word ORDER BY form_n DESC, form) = 1),
+        paths AS (
+            SELECT word, form AS root, 1 AS depth FROM forms
+            UNION ALL SELECT p.word, f.form, depth + 1 FROM paths p JOIN forms f ON f.word = p.root),
+        roots AS (SELECT word, arg_max(root, depth) AS root FROM paths GROUP BY word)
+        SELECT word, n, form, coalesce(root, word) AS root, coalesce(n_near, 0) AS n_near, form_n
+        FROM words LEFT JOIN counts USING (word) LEFT JOIN forms USING (word) LEFT JOIN roots USING (word)""",
     "op6_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents

@@ -138,3 +138,41 @@ def mix_targets(sizes):
             left -= 3 * sizes[s]
         open_ -= over
     return target
+
+
+def spelling_variants(docs):
+    """All pairs of words through their letters, one by one."""
+    import zlib
+
+    n = defaultdict(int)
+    for i, text in docs:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", text or ""):
+            w = run.translate(LOWER)
+            h = zlib.crc32(f"{'' if i is None else i}:{w}".encode())
+            if h % 31 == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1 :]
+            n[w] += 1
+    n = {w: c for w, c in n.items() if len(w) >= 7 and c >= 2}
+    places = defaultdict(set)  # a word with one letter taken out, where, and whether it was taken out
+    for w in n:
+        places[w, None].add(w)
+        for k in range(len(w)):
+            places[w[:k] + w[k + 1 :], k].add(w)
+    near = {w: set() for w in n}
+    for (rest, k), found in places.items():
+        for w in found:
+            near[w] |= found - {w}
+            if k is not None and rest in n:
+                near[w].add(rest)
+                near[rest].add(w)
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda o: (-n[o], o.encode()), default=None)
+        form[w] = best if best and n[best] >= 10 * n[w] else None
+    out = {}
+    for w in n:
+        root = w
+        while form[root]:
+            root = form[root]
+        out[w] = (n[w], form[w], root, len(near[w]), n.get(form[w]))
+    return out
