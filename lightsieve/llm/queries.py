@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lightsieve.llm import decontam, exact, lmscore, mixing, pii, quality, simhash, substrings, tokens, toxicity, variants
+from lightsieve.llm import alignment, decontam, exact, lmscore, mixing, pii, quality, simhash, substrings, tokens, toxicity, variants
 from lightsieve.session import table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -71,6 +71,11 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.cross_align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path())
+    return found.withColumn("groups_sha256", F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")).drop("groups")
+
+
 def exact_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7's exact part, which SQL can express."""
     return op7_decontamination(spark, sf_dir).drop("n_near_items")
@@ -78,7 +83,7 @@ def exact_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_personal_data, op2_simhash, op3_mixing, op4_toxicity, op5_lm_score, op6_exact_dedup, op7_decontamination, op8_token_counts, op9_substring_dedup, op10_quality, op11_spelling_variants, exact_phrases)
+    for f in (op1_personal_data, op2_simhash, op3_mixing, op4_toxicity, op5_lm_score, op6_exact_dedup, op7_decontamination, op8_token_counts, op9_substring_dedup, op10_quality, op11_spelling_variants, op12_cross_tokenizer, exact_phrases)
 }
 
 ORACLE_SQL: dict[str, str] = {

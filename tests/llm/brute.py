@@ -1,6 +1,7 @@
 """Plain versions of the contracts, one document after the other, for small inputs."""
 
 import hashlib
+import itertools
 import re
 from collections import defaultdict
 
@@ -176,3 +177,52 @@ def spelling_variants(docs):
             root = form[root]
         out[w] = (n[w], form[w], root, len(near[w]), n.get(form[w]))
     return out
+
+
+def cross_align(docs, a_path, b_path):
+    """Whole texts by the libraries, ends by sums, groups by sets of ends."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a_model, b_model = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
+    a_model.encode_special_tokens = True
+    keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    to_byte, extra = {chr(b): b for b in keep}, 256
+    for b in range(256):
+        if b not in keep:
+            to_byte[chr(extra)] = b
+            extra += 1
+    rows = []
+    for i, text in docs:
+        groups = []
+        if text:
+            a = a_model.encode(" " + text, add_special_tokens=False).ids
+            b = b_model.encode(text)
+            a_bytes = [bytes(to_byte[c] for c in a_model.id_to_token(x)) for x in a]
+            b_bytes = [bytes([int(b_model.id_to_piece(x)[3:5], 16)]) if b_model.is_byte(x) else b_model.id_to_piece(x).replace("\u2581", " ").encode() for x in b]
+            if b"".join(a_bytes) == b"".join(b_bytes) == (" " + text).encode():
+                a_ends, b_ends = (list(itertools.accumulate(map(len, tokens))) for tokens in (a_bytes, b_bytes))
+                common, at_a, at_b = sorted(set(a_ends) & set(b_ends)), 0, 0
+                for e in common:
+                    group = ([], [])
+                    while at_a < len(a) and a_ends[at_a] <= e:
+                        group[0].append(a[at_a])
+                        at_a += 1
+                    while at_b < len(b) and b_ends[at_b] <= e:
+                        group[1].append(b[at_b])
+                        at_b += 1
+                    groups.append(group)
+        rows.append((i, groups))
+    n = defaultdict(int)
+    for _, groups in rows:
+        for x, y in groups:
+            n[x[-1], y[-1]] += 1
+    highest = defaultdict(int)
+    for (_, y), c in n.items():
+        highest[y] = max(highest[y], c)
+    out = {}
+    for i, groups in rows:
+        counts = [(n[x[-1], y[-1]], highest[y[-1]]) for x, y in groups]
+        text = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+        out[i] = (sum(len(x) for x, _ in groups), sum(len(y) for _, y in groups), len(groups), len(groups), sum(c == h for c, h in counts), sum(c for c, _ in counts), text)
+    return out
