@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lightsieve.llm import alignment, decontam, exact, lmscore, mixing, pii, quality, simhash, substrings, tokens, toxicity, variants
+from lightsieve.llm import alignment, decontam, exact, lmscore, mixing, pii, quality, simhash, substrings, tokens, toxicity, variants, warc
 from lightsieve.session import table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -76,6 +76,10 @@ def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("groups_sha256", F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")).drop("groups")
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 def exact_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7's exact part, which SQL can express."""
     return op7_decontamination(spark, sf_dir).drop("n_near_items")
@@ -83,7 +87,7 @@ def exact_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_personal_data, op2_simhash, op3_mixing, op4_toxicity, op5_lm_score, op6_exact_dedup, op7_decontamination, op8_token_counts, op9_substring_dedup, op10_quality, op11_spelling_variants, op12_cross_tokenizer, exact_phrases)
+    for f in (op1_personal_data, op2_simhash, op3_mixing, op4_toxicity, op5_lm_score, op6_exact_dedup, op7_decontamination, op8_token_counts, op9_substring_dedup, op10_quality, op11_spelling_variants, op12_cross_tokenizer, op13_warc, exact_phrases)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -169,6 +173,15 @@ ORACLE_SQL: dict[str, str] = {
         roots AS (SELECT word, arg_max(root, depth) AS root FROM paths GROUP BY word)
         SELECT word, n, form, coalesce(root, word) AS root, coalesce(n_near, 0) AS n_near, form_n
         FROM words LEFT JOIN counts USING (word) LEFT JOIN forms USING (word) LEFT JOIN roots USING (word)""",
+    "op13_warc": """
+        WITH p AS (SELECT row_number() OVER () AS r, page_id, encode(coalesce(html, '')) AS body FROM pages),
+        q AS (
+            SELECT *, first_value(r) OVER g AS first_r, first_value(page_id) OVER g AS first_id
+            FROM p WINDOW g AS (PARTITION BY body ORDER BY page_id NULLS LAST, r ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+        k AS (SELECT *, octet_length(body) >= 100 AND r <> first_r AS again FROM q)
+        SELECT page_id, CAST(octet_length(body) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest,
+               CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first_id END AS refers_to
+        FROM k""",
     "op6_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents
