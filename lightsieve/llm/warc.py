@@ -34,6 +34,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 ARCHIVE_BYTES = 16 << 20
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_BYTES = 2 << 20
+_SAMPLE_PART = 256
+_LEAST_PARTS = 8
 _READ_BYTES = 1 << 16
 INDEX_SCHEMA = "archive string, offset long, length long, record_id string, record_type string, payload_digest string"
 RECORD_SCHEMA = "archive string, offset long, length long, record_id string, record_type string, page_id string, url string, payload_digest string, refers_to_record string, payload binary"
@@ -78,7 +80,7 @@ def page_record(row: dict, date: str) -> bytes:
 
 
 def build_dictionary(records: list[bytes]):
-    """A dictionary from records spread evenly over those of an archive, at most SAMPLE_BYTES of them; None where they are too few."""
+    """A dictionary from records spread evenly over those of an archive, SAMPLE_BYTES of them at most; None for a few hundred bytes."""
     import zstandard
 
     total = sum(map(len, records))
@@ -87,9 +89,12 @@ def build_dictionary(records: list[bytes]):
         if so_far + len(r) <= SAMPLE_BYTES:  # of very large records those that fit
             sample.append(r)
             so_far += len(r)
+    parts = [r[at : at + _SAMPLE_PART] for r in sample for at in range(0, len(r), _SAMPLE_PART)]  # few records are enough so
+    if len(parts) < _LEAST_PARTS:
+        return None
     try:
-        return zstandard.train_dictionary(min(DICTIONARY_BYTES, so_far // 8), sample, k=1024, d=8)
-    except (zstandard.ZstdError, ValueError):
+        return zstandard.train_dictionary(max(256, min(DICTIONARY_BYTES, so_far // 8)), parts, k=200, d=8)
+    except zstandard.ZstdError:  # nothing repeats in them
         return None
 
 
@@ -210,7 +215,7 @@ def write_archives(
             file = f"{context.partitionId():05d}-{context.taskAttemptId()}-{part:05d}-{run[:8]}.warc.zst"
             info = record("warcinfo", [("WARC-Record-ID", f"<urn:uuid:{hashlib.md5(file.encode()).hexdigest()}>"), ("WARC-Date", date), ("WARC-Filename", file), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
             frames, at, found = archive([info, *(raw for raw, _ in waiting)]), 0, []
-            with store.open_output_stream(f"{path}/{file}") as out:
+            with store.open_output_stream(f"{path}/{file}", compression=None) as out:
                 for k, frame in enumerate(frames):
                     out.write(frame)
                     if k > 1:  # after the dictionary and the archive's own record
@@ -249,7 +254,7 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for file in batch["archive"].to_pylist():
                 rows, size = [], 0
-                with store.open_input_stream(f"{path}/{file}") as stream:
+                with store.open_input_stream(f"{path}/{file}", compression=None) as stream:
                     for found in scan(stream):
                         if found.kind not in ("response", "revisit"):
                             continue
