@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lightsieve.operators import tiles
+from lightsieve.operators.skew import splittable_join
+from lightsieve.session import discard, materialize
 
 
 def weighted_hash_similarity(a: Column, d: Column, w: Column) -> Column:
@@ -83,14 +85,17 @@ def greedy_matches(left: Column, right: Column, similarity: Callable[[Column, Co
     return F.when((F.size(left) > 0) & (F.size(right) > 0), F.size(matched)).otherwise(0)
 
 
-def merge_votes(groups: DataFrame, least_similarity: float, samples: int = 3, ratio_min: float = 0.70, tile_rows: int = tiles.TILE_ROWS) -> DataFrame:
-    """(group_a, group_b, ratio) of all pairs of groups whose samples, at most 3 x 3 a pair, agree often enough.
+def _samples(members: DataFrame, samples: int) -> DataFrame:
+    """The first members of each group by ord; Spark keeps no more than these of a group in any task before it shuffles."""
+    return members.withColumn("_rn", F.row_number().over(Window.partitionBy("group").orderBy("ord"))).filter(F.col("_rn") <= samples)
 
-    groups: (group, ord, hash); a group's samples are its first members by ord. Two samples agree when enough of
-    their bits do. All groups meet all groups, in tiles.
-    """
-    first = groups.withColumn("_rn", F.row_number().over(Window.partitionBy("group").orderBy("ord"))).filter(F.col("_rn") <= samples)
-    rows = first.groupBy(F.col("group").alias("id")).pivot("_rn", list(range(1, samples + 1))).agg(F.first("hash"))
+
+def _voters(first: DataFrame, samples: int) -> DataFrame:
+    """(id, hashes of the samples): one row a group."""
+    return first.groupBy(F.col("group").alias("id")).pivot("_rn", list(range(1, samples + 1))).agg(F.first("hash"))
+
+
+def _vote_kernel(samples: int, least_similarity: float, ratio_min: float) -> tiles.Kernel:
     names = [str(k) for k in range(1, samples + 1)]
 
     def kernel(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
@@ -110,6 +115,59 @@ def merge_votes(groups: DataFrame, least_similarity: float, samples: int = 3, ra
         i, j, (found,) = tiles.pairs_where(left, right, same, ratio, lambda r: r >= ratio_min) if left.num_rows and right.num_rows else ([], [], ([],))
         return pa.table([left["id"].take(pa.array(i, pa.int64())), right["id"].take(pa.array(j, pa.int64())), pa.array(found, pa.float64())], names=["group_a", "group_b", "ratio"])
 
+    return kernel
+
+
+def _by_number(votes: DataFrame) -> DataFrame:
+    return votes.select(F.least("group_a", "group_b").alias("group_a"), F.greatest("group_a", "group_b").alias("group_b"), "ratio")
+
+
+def merge_votes(groups: DataFrame, least_similarity: float, samples: int = 3, ratio_min: float = 0.70, tile_rows: int = tiles.TILE_ROWS) -> DataFrame:
+    """(group_a, group_b, ratio) of all pairs of groups whose samples, at most 3 x 3 a pair, agree often enough.
+
+    groups: (group, ord, hash); a group's samples are its first members by ord. Two samples agree when enough of
+    their bits do. All groups meet all groups, in tiles.
+    """
+    rows = _voters(_samples(groups, samples), samples)
     kind = rows.schema["id"].dataType.simpleString()
-    near = tiles.self_pairs(rows, kernel, f"group_a {kind}, group_b {kind}, ratio double", tile_rows=tile_rows)
-    return near.select(F.least("group_a", "group_b").alias("group_a"), F.greatest("group_a", "group_b").alias("group_b"), "ratio")
+    return _by_number(tiles.self_pairs(rows, _vote_kernel(samples, least_similarity, ratio_min), f"group_a {kind}, group_b {kind}, ratio double", tile_rows=tile_rows))
+
+
+def merge_groups(members: DataFrame, least_similarity: float, samples: int = 3, ratio_min: float = 0.70, tile_rows: int = tiles.TILE_ROWS) -> DataFrame:
+    """(group, merged, size): the group that each group ends up in, and that one's members, when no vote passes any more.
+
+    members: (group, ord, hash). The larger group comes first, of equal ones the smaller number. In each round the
+    groups vote by their samples. A group that votes with no earlier one takes in those that vote with it; each of
+    these goes to the first such group. A group that has grown draws new samples, the first of all its members, and
+    votes with all others again; other votes stand. Rounds end when no vote passes. Each of them takes in one group at
+    least, and they work on one row a group and its samples, never on members again: the first members of a merged
+    group are among the first ones of its parts.
+    """
+    kind = members.schema["group"].dataType.simpleString()
+    kernel, schema = _vote_kernel(samples, least_similarity, ratio_min), f"group_a {kind}, group_b {kind}, ratio double"
+    sampled = materialize(_samples(members.select("group", "ord", "hash"), samples), "samples")
+    sizes = materialize(members.groupBy("group").agg(F.count("*").alias("size")), "sizes")
+    placed = materialize(sizes.select("group", F.col("group").alias("merged")), "merged")
+    votes = materialize(_by_number(tiles.self_pairs(_voters(sampled, samples), kernel, schema, tile_rows=tile_rows)), "votes")
+    while not votes.isEmpty():
+        side = lambda s: sizes.select(F.col("group").alias(f"group_{s}"), F.col("size").alias(f"size_{s}"))
+        a_first = F.col("size_a") >= F.col("size_b")  # group_a is the smaller number
+        pairs = votes.join(side("a"), "group_a").join(side("b"), "group_b").select(
+            F.when(a_first, F.col("group_a")).otherwise(F.col("group_b")).alias("first"), F.when(a_first, F.col("group_b")).otherwise(F.col("group_a")).alias("later"), F.greatest("size_a", "size_b").alias("size")
+        )
+        free = pairs.join(pairs.select(F.col("later").alias("first")).distinct(), "first", "left_anti")
+        moves = materialize(free.groupBy(F.col("later").alias("group")).agg(F.min_by("first", F.struct(-F.col("size"), F.col("first"))).alias("into")), "moves")
+        old = (sampled, sizes, placed, votes)
+        goes = lambda rows, column: splittable_join(rows, moves.withColumnRenamed("group", column), [column], "left").withColumn(column, F.coalesce("into", column)).drop("into")
+        placed = materialize(goes(placed, "merged").select("group", "merged"), "merged")
+        sizes = materialize(goes(sizes, "group").groupBy("group").agg(F.sum("size").alias("size")), "sizes")
+        sampled = materialize(_samples(goes(sampled.drop("_rn"), "group"), samples), "samples")
+        grown = moves.select(F.col("into").alias("id")).distinct()
+        touched = grown.unionByName(moves.select(F.col("group").alias("id")))
+        standing = votes.join(touched.withColumnRenamed("id", "group_a"), "group_a", "left_anti").join(touched.withColumnRenamed("id", "group_b"), "group_b", "left_anti")
+        voters = materialize(_voters(sampled, samples), "voters")
+        anew, others = voters.join(grown, "id", "left_semi"), voters.join(grown, "id", "left_anti")
+        fresh = tiles.self_pairs(anew, kernel, schema, tile_rows=tile_rows).unionByName(tiles.cross_pairs(anew, others, kernel, schema, tile_rows=tile_rows))
+        votes = materialize(standing.unionByName(_by_number(fresh)), "votes")
+        discard(*old, moves, voters)
+    return splittable_join(placed, sizes.withColumnRenamed("group", "merged"), ["merged"]).select("group", "merged", "size")
