@@ -3,8 +3,8 @@
 The index is a table of segments in the shared folder: each task writes its documents as one segment or more, with
 the postings (ascending token positions) of every term. A test phrase is looked up in each segment from its rarest
 term on: positions are shifted by the term's offset in the phrase and intersected with the next rarest list until
-none is left or all terms agree. Proximity matches start at the terms of a phrase that are rarest in the whole index
-and ask that most of its terms stand close by, whatever their order.
+none is left or all terms agree. Proximity matches start at the terms of a phrase that are rarest in the whole index,
+as many as it takes to miss none, and ask that most of its terms stand close by, whatever their order.
 
 Terms are stored as 64-bit hashes. Documents are POSITION_GAP positions apart, so no match runs across two of them.
 """
@@ -197,12 +197,13 @@ def frequencies(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     return out
 
 
-def near_matches(segment: Segment, queries: Queries, frequency: np.ndarray, slop: int, anchors: int = 3, least_share: float = 0.75) -> Iterator[tuple[int, np.ndarray]]:
-    """(phrase, positions of an anchor) where least_share of its different terms stand within its length plus slop.
+def near_matches(segment: Segment, queries: Queries, frequency: np.ndarray, slop: int, least_share: float = 0.75) -> Iterator[tuple[int, np.ndarray]]:
+    """(phrase, positions in matches): where least_share of its different terms stand among as many words as it has plus slop.
 
-    Anchors are the terms of a phrase that are rarest in the whole index (``frequency``), those that occur nowhere
-    left aside, so the answer for a document does not depend on its segment. Only the phrases that together cover an
-    item are asked, its last one among them.
+    A match lacks few terms, so one of any n - least + 1 of a phrase's n terms is in it: those that are rarest in the
+    whole index (``frequency``) are the anchors, and none is missed. Around an anchor only the nearest place of each
+    term to the left and to the right counts. Only the phrases that together cover an item are asked, its last one
+    among them.
     """
     if not len(segment.terms) or not len(queries.begin):
         return
@@ -214,18 +215,29 @@ def near_matches(segment: Segment, queries: Queries, frequency: np.ndarray, slop
         present = words[here[words]]
         if len(present) < least:
             continue
-        occurring = words[frequency[words] > 0]
-        rarest = occurring[np.lexsort((occurring, frequency[occurring]))[:anchors]]
+        rarest = words[np.lexsort((words, frequency[words]))[: len(words) - least + 1]]
         reach = min(int(queries.length[q]) + slop, POSITION_GAP)
         for anchor in rarest[here[rarest]]:
             at = segment.postings(place[anchor])
-            close = np.zeros(len(at), np.int64)
-            for word in present:
-                other = segment.postings(place[word])
-                right = np.searchsorted(other, at)
-                close += np.minimum(np.abs(other[np.minimum(right, len(other) - 1)] - at), np.abs(at - other[np.maximum(right - 1, 0)])) < reach
-            if (close >= least).any():
-                yield int(q), at[close >= least]
+            lists = [segment.postings(place[word]) for word in present]
+            close = sum((_distance(at, other).min(0) < reach).astype(np.int64) for other in lists)
+            at = at[close >= least]
+            if len(at):
+                sides = [_distance(at, other) for other in lists]
+                # of the reach stretches that hold the anchor: the one that begins `back` words before it
+                full = [sum(((left <= back) | (right < reach - back)).astype(np.int64) for left, right in sides) >= least for back in range(reach)]
+                at = at[np.any(full, axis=0)]
+            if len(at):
+                yield int(q), at
+
+
+def _distance(at: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """How far the nearest of other lies to the left, itself included, and to the right of each position."""
+    right = np.searchsorted(other, at, side="right")
+    far = np.int64(1) << 40
+    before = np.where(right > 0, at - other[np.maximum(right - 1, 0)], far)
+    after = np.where(right < len(other), other[np.minimum(right, len(other) - 1)] - at, far)
+    return np.stack([before, after])
 
 
 def _merged(begin: np.ndarray, end: np.ndarray) -> list[dict]:
@@ -266,11 +278,11 @@ def search(index: DataFrame, benchmark: DataFrame, item_col: str = "item_id", te
     """One row for each indexed document: (segment, doc, doc_id, n_words, spans, items, near).
 
     The test items go out in blocks of about block_chars characters each, so what is broadcast stays bounded however
-    large the test set is; the index stays and is searched once a block. Items without id are left out, those of
-    equal id count as one item.
+    large the test set is; the index stays and is searched once a block. Items of equal id count as one item, and so
+    do those without id, whose name is the empty string.
     """
     spark, kind = index.sparkSession, index.schema["doc_ids"].dataType.elementType.simpleString()
-    named = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    named = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = named.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = max(1, math.ceil(total / block_chars))
     named = named.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)))
@@ -313,8 +325,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     A document is contaminated when words of it are hit and they make up least_share of its words or more. Null and
     wordless texts have no words and are clean; so is everything when no test item has words. Repeated rows, and rows
     without id, are documents of their own; ids keep their type. An empty table gives no rows. Texts are indexed whole:
-    a long one is a segment by itself. Test items without id are not asked. Other columns are ignored, whatever their
-    names.
+    a long one is a segment by itself. Test items without id are asked, too, and count as one item whose name is the
+    empty string. Other columns are ignored, whatever their names.
     """
     found = search(build_index(docs, id_col, text_col), benchmark, window=window)
     union = F.aggregate(

@@ -26,7 +26,15 @@ LENGTH_STEPS = 16
 STEP_WEIGHT = 20
 STEPS = 4  # bins a unit of a view's score, in which calibration counts its rows
 FURTHEST = 40  # scores beyond are counted there
-BOTH_KINDS = "labels of both kinds are needed among the fitted rows and among those of fold 1"
+
+
+class OneKindOfLabel(ValueError):
+    """Nothing tells documents apart."""
+
+    def __init__(self):
+        super().__init__("labels of both kinds are needed among the fitted rows and among those of fold 1")
+
+
 META_SIZE = 8 + LENGTH_STEPS + 64 + 16
 _LETTERS_AND_SPACE = bytes(c for c in range(256) if c >= 0x80 or chr(c).isalnum() or chr(c).isspace())
 _CAPITALS = bytes(range(65, 91))
@@ -109,14 +117,14 @@ def _meta_column(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: p
     return pd.Series([meta_features(*r).tobytes() for r in zip(text, _plain(lang), _plain(source), n_chars)], dtype=object)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", chars_col: str = "n_chars", label_col: str = "quality", most_labelled: int = MOST_LABELLED, most_pool: int = MOST_POOL, row_col: str | None = None) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", chars_col: str = "n_chars", label_col: str = "quality", most_labelled: int = MOST_LABELLED, most_pool: int = MOST_POOL, row_col: str | None = None, one_kind: str = "raise") -> DataFrame:
     """(id_col, held_out, text_score, meta_score, score, keep), one row for each input row.
 
     Scores are probabilities of label 1; keep is score >= 0.5. The fit sees at most most_labelled labelled documents of
     folds 2 and up and most_pool others. Labels of fold 0 are held out, all those of fold 1 serve calibration alone.
     Null and empty texts are scored by their metadata and the words' offset, long ones whole; null metadata are values
     of their own. Without any label everything scores 1; labels of one kind alone, in the fitted folds or in fold 1,
-    raise a ValueError. Null ids are never learned from; rows that repeat an id are scored one by one. An empty table
+    raise a ValueError, or with one_kind="keep" count as none. Null ids are never learned from; rows that repeat an id are scored one by one. An empty table
     gives no rows; other columns are ignored, whatever their names. With ``row_col`` the whole input row is given out,
     too, as a struct of that name.
     """
@@ -129,18 +137,25 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     chosen = F.broadcast(picked.unionByName(pool.withColumn("y", F.lit(None).cast("double"))))  # bounded by the two limits
     learn = docs.select(F.col(id_col).alias("id"), text.alias("text"), meta[0].alias("lang"), meta[1].alias("source"), meta[2].alias("n_chars"))
     places = ("text", "lang", "source", "n_chars")
-    rows = learn.join(chosen, "id").select("y", sparse_features(F.col("text"), False, content).alias("words"), _meta_column(*map(F.col, places)).alias("meta"))
-    fitted = _fit(rows.select("y", "words.place", "words.value", "meta").toPandas())  # features alone; the texts stay on the executors
+    # of rows that share a chosen id one is learned from, so what is fitted is bounded whatever ids repeat
+    rows = learn.join(chosen, "id").select("id", "y", F.xxhash64(*places).alias("h"), sparse_features(F.col("text"), False, content).alias("words"), _meta_column(*map(F.col, places)).alias("meta"))
+    rows = rows.groupBy("id").agg(F.min(F.struct("h", "y", "words", "meta")).alias("r")).select("r.y", "r.words.place", "r.words.value", "r.meta")
     aside = learn.filter(fold(ident) == 1).join(known.filter(fold(ident) == 1), "id")
-    if fitted is None and not aside.isEmpty():
-        raise ValueError(BOTH_KINDS)
     raw = None
-    if fitted is not None:
-        raw = _views(spark, fitted)
-        bin_of = lambda view: F.floor(F.greatest(F.least(F.col(view), F.lit(FURTHEST)), F.lit(-FURTHEST)) * STEPS)
-        bins = aside.select("y", raw(*map(F.col, places)).alias("v")).select("y", "v.*").groupBy("y", bin_of("words"), bin_of("meta"))
-        # at most 2 * (2 * FURTHEST * STEPS + 1) ** 2 rows, of which scores fill few
-        fitted = _calibrated(fitted, bins.agg(F.count("*").alias("n"), F.avg("words").alias("words"), F.avg("meta").alias("meta")).select("y", "n", "words", "meta").toPandas())
+    try:
+        fitted = _fit(rows.toPandas())  # features alone; the texts stay on the executors
+        if fitted is None and not aside.isEmpty():
+            raise OneKindOfLabel
+        if fitted is not None:
+            raw = _views(spark, fitted)
+            bin_of = lambda view: F.floor(F.greatest(F.least(F.col(view), F.lit(FURTHEST)), F.lit(-FURTHEST)) * STEPS)
+            bins = aside.select("y", raw(*map(F.col, places)).alias("v")).select("y", "v.*").groupBy("y", bin_of("words"), bin_of("meta"))
+            # at most 2 * (2 * FURTHEST * STEPS + 1) ** 2 rows, of which scores fill few
+            fitted = _calibrated(fitted, bins.agg(F.count("*").alias("n"), F.avg("words").alias("words"), F.avg("meta").alias("meta")).select("y", "n", "words", "meta").toPandas())
+    except OneKindOfLabel:
+        if one_kind != "keep":
+            raise
+        fitted = raw = None
 
     def probability(logit: Column) -> Column:
         return F.lit(1.0) / (1 + F.exp(-F.greatest(F.least(logit, F.lit(30.0)), F.lit(-30.0))))
@@ -152,7 +167,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         both = [float(x) for x in fitted["both"]]
         return F.struct(probability(logits[0]).alias("text_score"), probability(logits[1]).alias("meta_score"), probability(logits[0] * both[0] + logits[1] * both[1] + both[2]).alias("score"))
 
-    whole = [F.struct(*docs.columns).alias(row_col)] if row_col else []
+    whole = [F.struct("*").alias(row_col)] if row_col else []
     scored = docs.select(F.col(id_col), F.coalesce(fold(F.col(id_col)) == 0, F.lit(False)).alias("held_out"), (raw(text, *meta) if raw else F.lit(None)).alias("v"), *whole)
     scored = scored.select(id_col, "held_out", scores("v").alias("s"), *([row_col] if row_col else []))
     return scored.select(id_col, "held_out", "s.*", *([row_col] if row_col else [])).withColumn("keep", F.col("score") >= 0.5)
@@ -185,7 +200,7 @@ def _fit(rows: pd.DataFrame) -> dict | None:
     if not labelled.any():
         return None
     if len(set(y[labelled])) < 2:
-        raise ValueError(BOTH_KINDS)
+        raise OneKindOfLabel
     meta = np.stack([np.frombuffer(m, np.float32) for m in rows["meta"]])
     (weights, offset), metadata = co_train(sparse_rows(rows["place"].tolist(), rows["value"].tolist()), meta, y, labelled)
     return {"words": weights.astype(np.float32), "offset": offset, "meta": metadata}
@@ -195,7 +210,7 @@ def _calibrated(fitted: dict, bins: pd.DataFrame) -> dict:
     """The model with what makes probabilities of its views, alone and together. bins: (y, n, words, meta), n rows with mean scores."""
     y, n = bins["y"].to_numpy(float), bins["n"].to_numpy(float)
     if len(set(y)) < 2:
-        raise ValueError(BOTH_KINDS)
+        raise OneKindOfLabel
     views = [bins[c].to_numpy(float) for c in ("words", "meta")]
     scale = [calibrate(v, y, n) for v in views]
     logits = np.stack([*(a * v + b for (a, b), v in zip(scale, views)), np.ones(len(y))], axis=1)

@@ -96,8 +96,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         # of all rows, confirmed ones too: the prior is theirs
         others = bounded_sample(learn.filter("fold > 1").select("id").distinct(), "id", most_unlabelled, "unlabelled")
         chosen = F.broadcast(positive.withColumn("y", F.lit(True)).unionByName(others.withColumn("y", F.lit(False))))  # bounded by the two limits
-        rows = learn.join(chosen, "id").select("y", sparse_features(F.col("text")).alias("words"))
-        fitted = _fit(rows.select("y", "words.place", "words.value").toPandas(), toxic / total)  # features alone; the texts stay on the executors
+        # of rows that share a chosen id one is learned from, so what is fitted is bounded whatever ids repeat
+        rows = learn.join(chosen, "id").select("id", "y", F.xxhash64("text").alias("h"), sparse_features(F.col("text")).alias("words")).groupBy("id", "y").agg(F.min(F.struct("h", "words")).alias("r"))
+        fitted = _fit(rows.select("y", "r.words.place", "r.words.value").toPandas(), toxic / total)  # features alone; the texts stay on the executors
         aside = learn.filter("fold = 1").select("id", _scores(spark, fitted)(F.col("text")).alias("s"))
         confirmed = known.filter("label = 1 and fold = 1").select("id", F.lit(1).alias("y"))
         bins = aside.join(confirmed, "id", "left").groupBy(F.floor(F.greatest(F.least("s", F.lit(FURTHEST)), F.lit(-FURTHEST)) * STEPS).alias("bin"))

@@ -101,6 +101,19 @@ def decontaminate(docs, items):
     return out
 
 
+def near_items(text, items, slop=7, share=0.75):
+    """Items of which a phrase has most of its different words among as many words of the text as it is long, plus slop."""
+    words, found = (text or "").translate(LOWER).split(), set()
+    for item, body in items:
+        w = body.split()
+        n = min(13, len(w))
+        for i in {*range(0, len(w) - n + 1, n), len(w) - n}:
+            wanted, reach = set(w[i : i + n]), n + slop
+            if any(4 * len(wanted & set(words[s : s + reach])) >= 3 * len(wanted) for s in range(len(words))):
+                found.add(str(item))
+    return found
+
+
 def remove_repeats(docs, size=35):
     words = {i: WS_WORD.findall(t or "") for i, t in docs}
     seen = defaultdict(int)

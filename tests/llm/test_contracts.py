@@ -42,7 +42,7 @@ def both(spark, odd, sf_mid):
     items = spark.read.parquet(f"{sf_mid}/benchmark.parquet")
     pairs = lambda df, a, b: [(r[0], r[1]) for r in df.select(a, b).collect()]
     odd_items = spark.createDataFrame([(1, long_text(60, 1)), (2, "A!b"), (3, None), (10, "..."), (None, "a b"), (4, long_text(13, 9))], "item_id long, text string")
-    return [(docs, pairs(docs, "doc_id", "text"), items, pairs(items, "item_id", "text")), (odd, pairs(odd, "doc_id", "text"), odd_items, [(1, long_text(60, 1)), (2, "A!b"), (4, long_text(13, 9))])]
+    return [(docs, pairs(docs, "doc_id", "text"), items, pairs(items, "item_id", "text")), (odd, pairs(odd, "doc_id", "text"), odd_items, [(1, long_text(60, 1)), (2, "A!b"), ("", "a b"), (4, long_text(13, 9))])]
 
 
 def by_id(df, *cols):
@@ -153,6 +153,39 @@ def test_decontamination_in_blocks_and_near(spark, both):
     assert {r["doc_id"]: (r["near_items"], r["items"]) for r in found.collect()} == {1: (["7"], []), 2: ([], []), 3: (["7"], ["7"])}
 
 
+def test_decontamination_near_against_brute_force(spark):
+    """Phrases with words changed, moved and spread, beside documents that make any of their words rare or frequent."""
+    r = random.Random(11)
+    vocabulary = [f"v{i}" for i in range(40)]
+    items = [(i, " ".join(r.choice(vocabulary) for _ in range(r.choice((1, 3, 9, 13, 20, 31))))) for i in range(30)]
+    docs = []
+    for i in range(300):
+        words = r.choice(items)[1].split()
+        words = [r.choice(vocabulary + ["other"] * 20) if r.random() < r.choice((0.0, 0.1, 0.3)) else w for w in words]
+        for _ in range(r.randrange(12)):
+            words.insert(r.randrange(len(words) + 1), "between")
+        if r.random() < 0.5:
+            r.shuffle(words)
+        docs.append((i, " ".join(["w"] * r.randrange(30) + words)))
+    expected = {i: sorted(brute.near_items(t, items)) for i, t in docs}
+    frame, tests = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for size in (50, 100_000):
+        found = decontam.search(decontam.build_index(frame, segment_tokens=size), tests)
+        assert {x["doc_id"]: x["near"] for x in found.collect()} == expected
+    assert sum(map(bool, expected.values())) > 100
+
+
+def test_decontamination_near_does_not_depend_on_other_texts(spark):
+    """Ten of thirteen words are left of a phrase, and another document makes those that were changed the rarest."""
+    words = [f"w{i}" for i in range(13)]
+    changed = " ".join("x" if i in (2, 6, 9) else w for i, w in enumerate(words))
+    items = spark.createDataFrame([("it", " ".join(words))], "item_id string, text string")
+    for others in ([], ["w2 w6 w9"], [" ".join(w for i, w in enumerate(words) if i not in (2, 6, 9))] * 5 + ["w2 w6 w9"]):
+        docs = spark.createDataFrame([(0, changed), *((k + 1, t) for k, t in enumerate(others))], "doc_id long, text string")
+        found = {r["doc_id"]: r["near"] for r in decontam.search(decontam.build_index(docs), items).collect()}
+        assert found[0] == ["it"]
+
+
 def test_decontamination_near_does_not_depend_on_segments(spark):
     """A changed word that occurs nowhere else is no veto, nor is where the segments are cut; string ids stay strings."""
     words = long_text(40, 8).split()

@@ -72,3 +72,40 @@ def test_null_and_repeated_ids(spark, sf_small, name):
         assert kept == sorted((i or 0, t) for i, t in rows if t != item)
     else:
         assert kept == sorted([(0, words[0]), (0, words[1]), (5, words[2]), (7, words[3]), (7, item)])
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, _row string, key string, `a.b` string, doc struct<key: string>, `_key` int"
+
+
+@pytest.mark.parametrize("from_files", [True, False])
+def test_columns_of_any_name(spark, tmp_path, from_files):
+    """Row keys and whole rows stand apart from the columns, so none clashes and none is lost."""
+    text = "some words of a text that stays for all of the stages "
+    rows = [(i, text + w, "en", "s", 60, f"r{i}", "k", f"dot{i}", ("x",), i) for i, w in enumerate(["alpha beta", "gamma delta", "one two", "alpha beta"])]
+    docs = spark.createDataFrame(rows, CLASHING)
+    if from_files:
+        docs.write.parquet(f"{tmp_path}/docs")
+        docs = spark.read.parquet(f"{tmp_path}/docs")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        columns = docs.columns
+        docs = materialize(stage(spark, docs, "/root/testdata/sf0.001"), "stage")
+        assert docs.columns == columns
+    left = {r["doc_id"]: r for r in docs.collect()}
+    for i, r in left.items():
+        assert (r["_row"], r["a.b"], r["doc"]["key"]) == (f"r{i}", f"dot{i}", "x")
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").count() == len(left)
+
+
+def small_tables(spark, folder, rows, labels):
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "an item of the test set")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 1, 0)], [(i, 0, 0) for i in range(9)]])
+def test_tiny_and_empty_tables(spark, tmp_path, labels):
+    rows = [(1, "one text", "en", "s", 8), (2, "another text", "en", None, 12), (None, None, None, None, None)]
+    small_tables(spark, f"{tmp_path}/tiny", rows, labels)
+    assert sorted(str(r["doc_id"]) for r in corpus_pipeline.run(spark, f"{tmp_path}/tiny").collect()) == ["1", "2", "None"]
+    small_tables(spark, f"{tmp_path}/empty", [], labels)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").collect() == []
