@@ -17,48 +17,54 @@ from lightsieve.session import discard, materialize, table
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a row key, since decisions are of rows: ids may repeat or be null.
+    """(key, doc_id, text, doc): each row whole in ``doc``, whatever its columns are called, with a key of its own.
 
-    Rows of files are keyed by their file and place in it, which every reader of the files finds alike; other rows are
-    written once with a number.
+    Decisions are of rows, since ids may repeat or be null. Rows of files are keyed by their file and place in it,
+    which every reader of the files finds alike; other rows are written once with a number.
     """
+    parts = (F.col("doc_id"), F.col("text"), F.struct("*").alias("doc"))
     try:
-        keyed = docs.select("*", F.concat(F.hex(F.xxhash64("_metadata.file_path")), F.lit(":"), F.col("_metadata.row_index")).alias("_row"))
+        origin = docs.metadataColumn("_metadata")
+        keyed = docs.select(F.concat(F.hex(F.xxhash64(origin["file_path"])), F.lit(":"), origin["row_index"]).alias("key"), *parts)
         keyed.schema  # resolves the columns
         return keyed
     except AnalysisException:
-        return materialize(docs.withColumn("_row", F.monotonically_increasing_id().cast("string")), "keyed")
+        return materialize(docs.select(F.monotonically_increasing_id().cast("string").alias("key"), *parts), "keyed")
 
 
-def _of(keyed: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of keyed whose _row is among rows."""
-    return keyed.join(rows, "_row", "left_semi").drop("_row").select([c for c in keyed.columns if c != "_row"])
+def _of(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of keyed whose key is among keys, as they came."""
+    return keyed.join(keys, "key", "left_semi").select("doc.*")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the co-trained classifier rejects go; those of null or repeated id are scored one by one."""
-    scored = quality.score_quality(docs, table(spark, sf_dir, "labels"), row_col="_row")
+    """Rows that the co-trained classifier rejects go; those of null or repeated id are scored one by one.
+
+    Where the labels are too few to tell documents apart none goes.
+    """
+    scored = quality.score_quality(docs, table(spark, sf_dir, "labels"), row_col="_row", one_kind="keep")
     return scored.filter("keep").select("_row.*")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays: of the largest doc_id, null being the least, that of the largest row key."""
     keyed = _keyed(docs)
-    found = exact.deduplicate(keyed.withColumn("_key", F.struct("doc_id", "_row")), "_key")
-    return _of(keyed, found.filter("kept").select("_key._row"))
+    found = exact.deduplicate(keyed.select(F.struct("doc_id", "key").alias("at"), "text"), "at")
+    return _of(keyed, found.filter("kept").select("at.key"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies one row stays: of the smallest doc_id, null being the last, that of the smallest row key."""
     keyed = _keyed(docs)
-    found = simhash.near_duplicates(keyed.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")), "_key")
-    return _of(keyed, found.filter(F.col("_key").eqNullSafe(F.col("component_id"))).select("_key._row"))
+    found = simhash.near_duplicates(keyed.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key").alias("at"), "text"), "at")
+    return _of(keyed, found.filter(F.col("at").eqNullSafe(F.col("component_id"))).select("at.key"))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold too much of a benchmark item go, whatever other rows of their id hold."""
     keyed = _keyed(docs)
-    return _of(keyed, decontam.decontaminate(keyed, table(spark, sf_dir, "benchmark"), "_row").filter("not contaminated").select("_row"))
+    found = decontam.decontaminate(keyed.select("key", "text"), table(spark, sf_dir, "benchmark"), "key")
+    return _of(keyed, found.filter("not contaminated").select("key"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
