@@ -131,7 +131,7 @@ ORACLE_SQL: dict[str, str] = {
             FROM (SELECT r, w, s.n, unnest(range(1, len(w) - s.n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) s WHERE len(w) >= s.n)),
         h AS (SELECT r, i, n, item FROM dw JOIN bw USING (n, g)),
         words AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS j FROM h) GROUP BY r),
-        items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+        items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r),
         phrases AS (
             SELECT row_number() OVER () AS q, item, size, terms, len(terms) AS n, CAST(ceil(0.75::DOUBLE * len(terms)) AS BIGINT) AS least
             FROM (SELECT item, least(13, len(w)) AS size, list_distinct(w[i : i + least(13, len(w)) - 1]) AS terms
@@ -139,13 +139,13 @@ ORACLE_SQL: dict[str, str] = {
                   WHERE (i - 1) % least(13, len(w)) = 0 OR i = len(w) - least(13, len(w)) + 1)),
         terms AS (SELECT q, unnest(terms) AS term FROM phrases),
         places AS (SELECT r, unnest(w) AS term, unnest(range(1, len(w) + 1)) AS j FROM d),
-        some AS (
+        candidate AS (
             SELECT r, q, any_value(item) AS item, any_value(size) AS size, any_value(least) AS least
             FROM (SELECT DISTINCT r, term FROM places) JOIN terms USING (term) JOIN phrases USING (q) GROUP BY r, q HAVING count(*) >= any_value(least)),
-        occurring AS (SELECT r, q, j, term FROM some JOIN terms USING (q) JOIN places USING (r, term)),
+        occurring AS (SELECT r, q, j, term FROM candidate JOIN terms USING (q) JOIN places USING (r, term)),
         close AS (
             SELECT DISTINCT r, item
-            FROM (SELECT r, q, x.j, count(DISTINCT y.term) AS n FROM occurring x JOIN some USING (r, q) JOIN occurring y USING (r, q) WHERE y.j >= x.j AND y.j < x.j + size + 7 GROUP BY r, q, x.j) JOIN some USING (r, q)
+            FROM (SELECT r, q, x.j, count(DISTINCT y.term) AS n FROM occurring x JOIN candidate USING (r, q) JOIN occurring y USING (r, q) WHERE y.j >= x.j AND y.j < x.j + size + 7 GROUP BY r, q, x.j) JOIN candidate USING (r, q)
             WHERE n >= least),
         nears AS (SELECT r, count(*) AS n_near_items FROM close GROUP BY r)
         SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
