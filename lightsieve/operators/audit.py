@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lightsieve.operators.skew import splittable_join
+
 
 def duplicate_leaks(delivered: DataFrame, groups: DataFrame, key: str, group: str) -> DataFrame:
     """(group, n_delivered, first): groups with more than one delivered member."""
@@ -42,20 +44,26 @@ def status(*violations: DataFrame) -> tuple[int, str]:
 
 def to_remove(delivered: DataFrame, groups: DataFrame, scores: DataFrame, key: str, group: str, score: str) -> DataFrame:
     """Delivered members of a group other than its best: highest score (0 if unknown), the first key on ties."""
-    w = Window.partitionBy(group).orderBy(F.desc(score), key)
     scored = delivered.join(groups.select(key, group), key).join(scores.select(key, score), key, "left").fillna(0, [score])
-    return scored.withColumn("place", F.row_number().over(w)).filter("place > 1").select(group, key, score)
+    best = scored.groupBy(group).agg(F.min(F.struct((-F.col(score)).alias("lower"), key))[key].alias("_best"))
+    return splittable_join(scored, best, [group]).filter(F.col(key) != F.col("_best")).select(group, key, score)
+
+
+def _plain(path) -> Column:
+    """The path without the mark of a best photo."""
+    return F.regexp_replace(path, r"(^|/)BEST_([^/]*)$", "$1$2")
 
 
 def inspect(delivered: DataFrame, groups: DataFrame, categories: DataFrame, expected: Iterable[str]) -> DataFrame:
     """(check, item, n): all violations of a delivery as one table.
 
     delivered: (path); groups: (path, group_id); categories: (path, category). Checks: duplicates (several delivered
-    members of a group), orphans (in no category and no group, also under the name BEST_<name>), missing categories.
+    members of a group), orphans (in no category and no group), missing categories. A file named BEST_<name> is the
+    photo <name> in all of them.
     """
-    leaks = duplicate_leaks(delivered, groups, "path", "group_id").select(F.lit("duplicates").alias("check"), F.col("group_id").cast("string").alias("item"), F.col("n_delivered").alias("n"))
-    plain = delivered.select(F.regexp_replace("path", r"(^|/)BEST_([^/]*)$", "$1$2").alias("path"), F.col("path").alias("item"))
-    known = [x.select(F.regexp_replace("path", r"(^|/)BEST_([^/]*)$", "$1$2").alias("path")) for x in (categories, groups)]
+    plain = delivered.select(_plain("path").alias("path"), F.col("path").alias("item"))
+    leaks = duplicate_leaks(plain, groups.select(_plain("path").alias("path"), "group_id").distinct(), "path", "group_id").select(F.lit("duplicates").alias("check"), F.col("group_id").cast("string").alias("item"), F.col("n_delivered").alias("n"))
+    known = [x.select(_plain("path").alias("path")) for x in (categories, groups)]
     lost = orphans(plain, "path", *known).select(F.lit("orphans").alias("check"), "item", F.lit(1).cast("long").alias("n"))
     missing = missing_categories(categories, "category", expected).select(F.lit("missing categories").alias("check"), F.col("category").alias("item"), F.lit(0).cast("long").alias("n"))
     return leaks.unionByName(lost).unionByName(missing)

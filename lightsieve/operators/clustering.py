@@ -69,8 +69,8 @@ def group_records(members: DataFrame, group: str, ident: str, score: str) -> Dat
 
 
 def best_of_group(rows: DataFrame, group: str, ident: str, score: str) -> DataFrame:
-    """(group, best, best_score, group_size); the first id wins ties. Aggregated without sorting a group."""
-    at = F.max_by(F.struct(F.col(ident).alias("best"), F.col(score).alias("best_score")), F.struct(F.col(score), -F.col(ident)))
+    """(group, best, best_score, group_size); the first id, of any ordered type, wins ties, and a null score loses. Aggregated without sorting a group."""
+    at = F.min_by(F.struct(F.col(ident).alias("best"), F.col(score).alias("best_score")), F.struct(F.col(score).isNull(), -F.col(score), F.col(ident)))
     return rows.groupBy(group).agg(at.alias("b"), F.count("*").alias("group_size")).select(group, "b.best", "b.best_score", "group_size")
 
 

@@ -35,11 +35,11 @@ def touch(recent: OrderedDict[str, int], item: str, at: int, most: int, lifetime
 class RecentItems(StatefulProcessor):
     """State of one shard of a category: its most recent items, no more than ``most``."""
 
-    def __init__(self, most: int, lifetime: int | None, idle_ms: int | None, kinds: dict[str, str]):
-        self.most, self.lifetime, self.idle_ms, self.kinds = most, lifetime, idle_ms, kinds
+    def __init__(self, most: int, lifetime: int | None):
+        self.most, self.lifetime = most, lifetime
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("recent", STATE_SCHEMA, self.idle_ms)
+        self.state = handle.getValueState("recent", STATE_SCHEMA)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         held = self.state.get() if self.state.exists() else None
@@ -53,22 +53,22 @@ class RecentItems(StatefulProcessor):
         pass
 
 
-def recently_seen(events: DataFrame, most: int = 1000, shards: int = 8, lifetime: int | None = None, idle_ms: int | None = None, shard: Column | None = None) -> DataFrame:
+def recently_seen(events: DataFrame, most: int = 1000, shards: int = 8, lifetime: int | None = None, shard: Column | None = None) -> DataFrame:
     """(category, ord, item, seen, evicted): whether an item was processed before and is still remembered.
 
     events: stream of (category, ord, item, at), at in any whole unit of event time. A category remembers ``most``
     items, an equal part in each shard, which forgets its least recently used item when one more comes, and no item for
     longer than ``lifetime`` after its last use. ``evicted`` is the item that was forgotten for lack of room. Rows of
-    a micro-batch are taken by ord, the micro-batches as they come. ``idle_ms`` lets Spark drop the state of a shard
-    that nothing has used for so long by the clock. A null item is an item of its own; a null category too.
+    a micro-batch are taken by ord, the micro-batches as they come. A null item is an item of its own; a null category
+    too. Lifetimes are of event time, so a run that is repeated gives the same rows.
     """
     if most < shards:
         raise ValueError("a cache has room for one item a shard at least")
     rows = events.select("category", "ord", F.coalesce(F.col("item").cast("string"), F.lit("\0")).alias("item"), F.col("at").cast("long").alias("at"), (F.pmod(F.xxhash64("item"), F.lit(shards)) if shard is None else shard).cast("int").alias("shard"))
     kinds = dict(rows.dtypes)
-    processor = RecentItems(most // shards, lifetime, idle_ms, kinds)
+    processor = RecentItems(most // shards, lifetime)
     out = f"category {kinds['category']}, ord {kinds['ord']}, item string, seen boolean, evicted string"
-    found = rows.groupBy("category", "shard").transformWithStateInPandas(processor, out, "Append", "ProcessingTime" if idle_ms else "None")
+    found = rows.groupBy("category", "shard").transformWithStateInPandas(processor, out, "Append", "None")
     return found.select("category", "ord", F.nullif("item", F.lit("\0")).alias("item"), "seen", F.nullif("evicted", F.lit("\0")).alias("evicted"))
 
 
