@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -209,6 +210,7 @@ def near_matches(segment: Segment, queries: Queries, frequency: np.ndarray, slop
         return
     place = np.minimum(np.searchsorted(segment.terms, queries.vocabulary), len(segment.terms) - 1)
     here = segment.terms[place] == queries.vocabulary
+    blocks = _Blocks(segment)
     for q in np.flatnonzero(queries.stride):
         words = np.unique(queries.terms[queries.begin[q] : queries.begin[q] + queries.length[q]])
         least = math.ceil(least_share * len(words))
@@ -217,18 +219,36 @@ def near_matches(segment: Segment, queries: Queries, frequency: np.ndarray, slop
             continue
         rarest = words[np.lexsort((words, frequency[words]))[: len(words) - least + 1]]
         reach = min(int(queries.length[q]) + slop, POSITION_GAP)
-        for anchor in rarest[here[rarest]]:
-            at = segment.postings(place[anchor])
-            lists = [segment.postings(place[word]) for word in present]
-            close = sum((_distance(at, other).min(0) < reach).astype(np.int64) for other in lists)
-            at = at[close >= least]
-            if len(at):
-                sides = [_distance(at, other) for other in lists]
-                # of the reach stretches that hold the anchor: the one that begins `back` words before it
-                full = [sum(((left <= back) | (right < reach - back)).astype(np.int64) for left, right in sides) >= least for back in range(reach)]
-                at = at[np.any(full, axis=0)]
-            if len(at):
-                yield int(q), at
+        at = np.sort(np.concatenate([np.empty(0, np.int64), *(segment.postings(place[anchor]) for anchor in rarest[here[rarest]])]))
+        at = at[blocks.count(at, place[present], reach) >= least]
+        if len(at):
+            sides = [_distance(at, segment.postings(place[word])) for word in present]
+            # of the reach stretches that hold the anchor: the one that begins `back` words before it
+            full = [sum(((left <= back) | (right < reach - back)).astype(np.int64) for left, right in sides) >= least for back in range(reach)]
+            at = at[np.any(full, axis=0)]
+        if len(at):
+            yield int(q), at
+
+
+class _Blocks:
+    """Which terms stand in or next to a block of a segment's positions; those of the terms asked last are kept."""
+
+    def __init__(self, segment: Segment, most: int = 500):
+        self.segment, self.near = segment, lru_cache(most)(self._near)
+        self.end = int(segment.positions.max(initial=0))
+
+    def _near(self, term: int, width: int) -> np.ndarray:
+        own = np.zeros(self.end // width + 3, bool)
+        own[self.segment.postings(term) // width + 1] = True
+        return own[:-2] | own[1:-1] | own[2:]
+
+    def count(self, at: np.ndarray, terms: np.ndarray, reach: int) -> np.ndarray:
+        """For each position how many of the terms stand near it, none of those missing that stand within reach."""
+        width = 32 if reach <= 32 else POSITION_GAP
+        block, found = at // width, np.zeros(len(at), np.int16)
+        for term in terms.tolist():
+            found += self.near(term, width)[block]
+        return found
 
 
 def _distance(at: np.ndarray, other: np.ndarray) -> np.ndarray:
