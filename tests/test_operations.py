@@ -47,9 +47,9 @@ def test_cache_over_restarts(spark, most, lifetime):
     assert cache.replay(events.limit(0), 3, most=4, shards=1).count() == 0
 
 
-def test_cache_needs_room(spark):
+def test_cache_needs_room(spark, tmp_path):
     with pytest.raises(ValueError):
-        cache.recently_seen(spark.readStream.schema(EVENTS).parquet("/tmp"), most=2, shards=4)
+        cache.recently_seen(spark.readStream.schema(EVENTS).parquet(str(tmp_path)), most=2, shards=4)
 
 
 def plain_merge(members, least, samples=3, ratio_min=0.7):
