@@ -130,7 +130,7 @@ def mutual_nearest(left: DataFrame, right: DataFrame, tile_rows: int = tiles.TIL
             return pa.table({"side": pa.array([], pa.int32()), "id": left["id"].slice(0, 0), "other": left["id"].slice(0, 0), "cosine": pa.array([], pa.float64())})
         best_b, value_b = np.empty(len(a), int), np.empty(len(a))
         best_a, value_a = np.zeros(len(b), int), np.full(len(b), -2.0)
-        for rows in tiles.chunks(len(a)):
+        for rows in tiles.chunks(len(a), len(b)):
             s = np.round(a[rows] @ b.T, 12)
             best_b[rows], value_b[rows] = s.argmax(axis=1), s.max(axis=1)
             better = s.max(axis=0) > value_a
@@ -156,7 +156,7 @@ def without_near(new: DataFrame, existing: DataFrame, most_differing: int, tile_
         a, b = tiles.sign_matrix(left["hash"]), tiles.sign_matrix(right["hash"])
         near = np.zeros(len(a), bool)
         if len(b):
-            for rows in tiles.chunks(len(a)):
+            for rows in tiles.chunks(len(a), len(b)):
                 near[rows] = (a[rows] @ b.T).max(axis=1) >= BITS - 2 * most_differing
         return pa.table([left["id"].filter(pa.array(near))], names=["id"])
 
@@ -166,50 +166,63 @@ def without_near(new: DataFrame, existing: DataFrame, most_differing: int, tile_
     return new.join(near, "id", "left_anti")
 
 
+WORD_CHUNKS = (1 << 14, 1 << 7)  # a place in a string is found from its start, so long words are cut twice
+GRAMS = (1, 2, 4, 8, 16)
+
+
 def containing(docs: DataFrame, items: DataFrame, text_col: str = "text", item_text: str = "text", anchor_words: int = 3) -> DataFrame:
     """Documents whose text contains the text of some item, as an equi join on anchors; rows that repeat stay.
 
     The words of an item after its first and before its last stand in a document between the same spaces. Items with
     anchor_words such words meet documents at the first of them, shorter ones at a single word; the substring test
-    decides. Items of one or two words have none: each is bound to the start or end of document words, so they meet
-    at a document's words by the characters that they begin with (one word: anywhere in it). The empty item is in
-    every text.
+    decides. Items of one or two words have none: of two, the first ends a document's word, which is met by its last
+    characters; one lies inside a word, which is met by grams. Both are of a few fixed lengths, so a document gives as
+    many anchors as it has characters, times a constant, however long its words are. The empty item is in every text.
     """
     words = F.split(F.col(item_text), " ")
-    n = F.size(words)
-    anchor = F.when(n >= anchor_words + 2, F.array_join(F.slice(words, 2, anchor_words), " ")).when(n >= 3, F.element_at(words, 2))
-    marked = items.filter(F.col(item_text).isNotNull()).select(F.col(item_text).alias("_item"), F.when(n >= anchor_words + 2, "many").when(n >= 3, "one").when(n == 2, "two").otherwise("part").alias("_how"), anchor.alias("_anchor")).distinct()
-    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
+    n, size = F.size(words), F.length(item_text)
+    first = F.element_at(words, 1)
+    gram = F.greatest(*[F.when(size >= g, g) for g in GRAMS])
+    how = F.when(size == 0, "empty").when(n >= anchor_words + 2, "many").when(n >= 3, "one").when(n == 2, "two").otherwise("part")
+    anchor = F.when(n >= anchor_words + 2, F.array_join(F.slice(words, 2, anchor_words), " ")).when(n >= 3, F.element_at(words, 2)).when(n == 2, F.right(first, F.lit(GRAMS[-1]))).otherwise(F.substring(F.col(item_text), F.lit(1), gram))
+    marked = items.filter(F.col(item_text).isNotNull()).select(F.col(item_text).alias("_item"), how.alias("_how"), anchor.alias("_anchor")).distinct()
+    keyed = docs.filter(F.col(text_col).isNotNull()).withColumn("_row", F.monotonically_increasing_id())
+    kinds = {r["_how"] for r in marked.select("_how").distinct().collect()}  # five values at most
+    if "empty" in kinds:
+        return keyed.select(docs.columns)
     spots = F.split(F.col(text_col), " ")
     sequences = spots  # word by word: each split array is walked once, not once a place
     for k in range(1, anchor_words):
         sequences = F.zip_with(sequences, F.slice(spots, k + 1, F.size(spots)), lambda a, b: F.concat(a, F.lit(" "), b))
-    sequences = F.filter(sequences, lambda x: x.isNotNull())
-    kinds = {r["_how"] for r in marked.select("_how").distinct().collect()}  # four values at most
-    parts = []
-    if "many" in kinds:
-        parts.append(_at(keyed, F.array_distinct(sequences), marked.filter("_how = 'many'"), text_col))
-    if "one" in kinds:
-        parts.append(_at(keyed, F.array_distinct(spots), marked.filter("_how = 'one'"), text_col))
-    if "two" in kinds:
-        # "b c" crosses one space: the document has adjacent words of which the first ends in b, the second begins with c
-        tails = F.flatten(F.transform(F.array_distinct(spots), lambda w: F.transform(F.sequence(F.lit(0), F.length(w)), lambda k: F.substring(w, F.length(w) - k + 1, k))))
-        two = marked.filter("_how = 'two'").withColumn("_anchor", F.element_at(F.split("_item", " "), 1))
-        parts.append(_at(keyed, F.array_distinct(tails), two, text_col))
-    if "part" in kinds:
-        # an item without a space lies inside one word; grams of its own length are cut from the different words
-        part = marked.filter("_how = 'part'").withColumn("_anchor", F.col("_item"))
-        lengths = [r[0] for r in part.select(F.length("_item")).distinct().collect()]  # as many as items have lengths
-        of_length = lambda w, k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - k + 1)), lambda i: F.substring(w, i, F.lit(k)))
-        grams = F.flatten(F.transform(F.array_distinct(spots), lambda w: F.flatten(F.array(*[of_length(w, k) for k in lengths]))))
-        parts.append(_at(keyed, F.array_distinct(grams), part, text_col))
+    anchors = {"many": lambda: _exploded(keyed, F.filter(sequences, lambda x: x.isNotNull())), "one": lambda: _exploded(keyed, spots), "two": lambda: _suffixes(keyed, spots), "part": lambda: _word_grams(keyed, spots)}
     found = None
-    for part in parts:
-        found = part if found is None else found.unionByName(part)
-    return keyed.join(found.distinct(), "_row", "left_semi").select(docs.columns) if found is not None else docs.limit(0)
-
-
-def _at(keyed: DataFrame, spots: Column, items: DataFrame, text_col: str) -> DataFrame:
-    """(_row) of the documents that contain an item whose anchor is among their spots."""
-    at = keyed.select("_row", text_col, F.explode(spots).alias("_anchor")).join(items.select("_item", "_anchor"), "_anchor")
-    return at.filter(F.contains(F.col(text_col), F.col("_item"))).select("_row")
+    for kind in sorted(kinds):
+        met = anchors[kind]().join(marked.filter(F.col("_how") == kind), "_anchor").select("_row", "_item").distinct()
+        found = met if found is None else found.unionByName(met)
+    if found is None:
+        return docs.limit(0)
+    inside = keyed.select("_row", text_col).join(found, "_row").filter(F.contains(F.col(text_col), F.col("_item"))).select("_row").distinct()
+    return keyed.join(inside, "_row", "left_semi").select(docs.columns)
+
+
+def _exploded(keyed: DataFrame, spots: Column) -> DataFrame:
+    return keyed.select("_row", F.explode(F.array_distinct(spots)).alias("_anchor"))
+
+
+def _suffixes(keyed: DataFrame, spots: Column) -> DataFrame:
+    """The last characters of each different word, none to as many as the longest gram has."""
+    lengths = [F.when(F.length("_word") >= k, F.right("_word", F.lit(k))) for k in range(GRAMS[-1] + 1)]
+    word = keyed.select("_row", F.explode(F.array_distinct(spots)).alias("_word"))
+    return word.select("_row", F.explode(F.array(*lengths)).alias("_anchor")).filter("_anchor is not null").distinct()
+
+
+def _word_grams(keyed: DataFrame, spots: Column) -> DataFrame:
+    """Grams of the few lengths at every place of each different word; long words are cut into overlapping parts."""
+    word = keyed.select("_row", F.explode(F.array_distinct(spots)).alias("_word")).filter("_word <> ''")
+    part = word.withColumnRenamed("_word", "_part")
+    for size in WORD_CHUNKS:
+        begin = F.explode(F.sequence(F.lit(1), F.length("_part"), F.lit(size))).alias("_begin")
+        part = part.select("_row", "_part", begin).select("_row", F.substring(F.col("_part"), F.col("_begin"), F.lit(size + GRAMS[-1] - 1)).alias("_part"))
+    part = part.distinct()
+    cut = lambda g: F.when(F.length("_part") >= g, F.transform(F.sequence(F.lit(1), F.length("_part") - g + 1), lambda i: F.substring(F.col("_part"), i, F.lit(g)))).otherwise(F.array().cast("array<string>"))
+    return part.select("_row", F.explode(F.array_distinct(F.concat(*map(cut, GRAMS)))).alias("_anchor")).distinct()

@@ -1,8 +1,9 @@
 """Exact all-pairs work in bounded tiles, for thresholds too wide for bands.
 
-Rows are dealt to tiles by a hash of their id, about ``tile_rows`` a tile, and every two tiles of a key meet in one
-group that numpy multiplies out. A group never holds more than two tiles, whatever a key's share of the rows, and
-gives out only what its kernel keeps. A key's work grows with the square of its rows, as any exact comparison of
+Rows are dealt to tiles by a hash of their id, and every two tiles of a key meet in one group that numpy multiplies
+out. A key gets a tile for each ``tile_rows`` rows up to TILES of them, enough to keep a cluster's cores busy; beyond
+that its tiles grow, up to ``most_rows`` rows, since every row is sent to as many groups as its key has tiles. A group
+never holds more than two tiles, whatever a key's share of the rows, and gives out only what its kernel keeps. A key's work grows with the square of its rows, as any exact comparison of
 all pairs does; the tiles spread it evenly. Tight thresholds belong to ``similarity.banded_pairs``.
 """
 
@@ -16,15 +17,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TILE_ROWS = 4000
-_CHUNK = 1024
+TILES = 64
+#: rows of 64 bits take 256 bytes in a kernel, a vector of 64 numbers 512
+MOST_ROWS = 1 << 16
+_CHUNK_PAIRS = 4 << 20
 
 #: (left rows, right rows, whether both are the same tile) to the rows that the group gives out
 Kernel = Callable[[pa.Table, pa.Table, bool], pa.Table]
 
 
-def _with_tiles(rows: DataFrame, keys: list[str], tile_rows: int) -> DataFrame:
+def _with_tiles(rows: DataFrame, keys: list[str], tile_rows: int, most_rows: int) -> DataFrame:
     """Adds the row's tile and the number of tiles of its key."""
-    counts = rows.groupBy(*keys).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / tile_rows)).cast("int").alias("_tiles"))
+    few = F.least(F.ceil(F.count("*") / tile_rows), F.lit(TILES))
+    counts = rows.groupBy(*keys).agg(F.greatest(F.lit(1), few, F.ceil(F.count("*") / most_rows)).cast("int").alias("_tiles"))
     return rows.join(counts, keys).withColumn("_tile", F.pmod(F.xxhash64(F.col("id")), F.col("_tiles")).cast("int"))
 
 
@@ -38,20 +43,20 @@ def _run(dealt: DataFrame, keys: list[str], kernel: Kernel, schema: str, same_si
     return dealt.groupBy(*keys, "_a", "_b").applyInArrow(meet, schema)
 
 
-def self_pairs(rows: DataFrame, kernel: Kernel, schema: str, keys: list[str] | None = None, tile_rows: int = TILE_ROWS) -> DataFrame:
+def self_pairs(rows: DataFrame, kernel: Kernel, schema: str, keys: list[str] | None = None, tile_rows: int = TILE_ROWS, most_rows: int = MOST_ROWS) -> DataFrame:
     """Each two rows of equal keys meet once. rows: (id, keys, what the kernel reads); rows with a null key meet none."""
     rows, keys = _keyed(rows, keys)
-    tiled = _with_tiles(rows, keys, tile_rows)
+    tiled = _with_tiles(rows, keys, tile_rows, most_rows)
     other = F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_other")
     dealt = tiled.select("*", other).select(*rows.columns, F.least("_tile", "_other").alias("_a"), F.greatest("_tile", "_other").alias("_b"), (F.col("_tile") > F.col("_other")).cast("int").alias("_side"))
     return _run(dealt, keys, kernel, schema, True)
 
 
-def cross_pairs(left: DataFrame, right: DataFrame, kernel: Kernel, schema: str, keys: list[str] | None = None, tile_rows: int = TILE_ROWS) -> DataFrame:
+def cross_pairs(left: DataFrame, right: DataFrame, kernel: Kernel, schema: str, keys: list[str] | None = None, tile_rows: int = TILE_ROWS, most_rows: int = MOST_ROWS) -> DataFrame:
     """Each row of left meets each row of right of equal keys once; both have the same columns."""
     left, names = _keyed(left, keys)
     right, names = _keyed(right.select(*[c for c in left.columns if c != "_all"]), keys)
-    a, b = _with_tiles(left, names, tile_rows), _with_tiles(right, names, tile_rows)
+    a, b = _with_tiles(left, names, tile_rows, most_rows), _with_tiles(right, names, tile_rows, most_rows)
     n_a, n_b = (x.select(*names, F.col("_tiles").alias("_n")).distinct() for x in (a, b))
     columns = left.columns
     to_b = a.join(n_b, names).select(*columns, F.col("_tile").alias("_a"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_b"), F.lit(0).alias("_side"))
@@ -92,14 +97,16 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
 
 
-def chunks(n: int):
-    return (slice(i, min(i + _CHUNK, n)) for i in range(0, n, _CHUNK))
+def chunks(n: int, others: int):
+    """Slices of n rows, each of which gives some million pairs with the others at most."""
+    step = max(1, min(1024, _CHUNK_PAIRS // max(1, others)))
+    return (slice(i, min(i + step, n)) for i in range(0, n, step))
 
 
 def pairs_where(left: pa.Table, right: pa.Table, same: bool, values: Callable[[slice], tuple], keep: Callable[..., np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """(rows of left, rows of right, values) of the kept pairs. values(rows of left) gives matrices, one row each."""
     found_a, found_b, found = [], [], []
-    for rows in chunks(left.num_rows):
+    for rows in chunks(left.num_rows, right.num_rows):
         mats = values(rows)
         mask = keep(*mats)
         if same:  # each two rows once

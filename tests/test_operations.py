@@ -4,12 +4,13 @@ import os
 import random
 from collections import OrderedDict, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lightsieve import delivery
 from lightsieve.functions import recommend
-from lightsieve.operators import audit, bloom, clustering, forest, lookup, merge, pairs, selection
+from lightsieve.operators import audit, bloom, clustering, forest, lookup, merge, pairs, selection, similarity, tiles
 from lightsieve.operators.metrics import StageStatistics
 from lightsieve.config import Selection
 from lightsieve.session import settings, shared_path
@@ -248,3 +249,25 @@ def test_settings_are_put_back(spark):
     with settings(spark, {key: "dynamic", "spark.lightsieve.none": "1"}):
         assert spark.conf.get(key) == "dynamic"
     assert spark.conf.get(key) == before and spark.conf.get("spark.lightsieve.none", None) is None
+
+
+def test_containment_in_long_words(spark):
+    """A word of a million characters gives anchors in proportion to its length; items lie anywhere in it, and across spaces."""
+    r = random.Random(7)
+    long_word = "".join(r.choice("abcdefgh") for _ in range(1_000_000))
+    texts = [long_word, "x " + long_word[:50_000] + " tail end", "ab", "", None, "abc abd", " lead", "trail ", "a  b"]
+    items = [long_word[700_000:700_040], long_word[49_990:50_000] + " tail", "q" * 20, "bc", "d", " l", "l ", "  ", "a", long_word[4090:4101], long_word[4080:4200], "c abd", "x " + long_word[:7], "nothing here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for wanted in (items, items[:3], items[7:8], ["zz"], [""], []):
+        found = similarity.containing(docs, spark.createDataFrame([(t,) for t in wanted], "text string"))
+        assert sorted(x["id"] for x in found.collect()) == [i for i, t in enumerate(texts) if t is not None and any(w in t for w in wanted)]
+
+
+def test_tiles_grow_with_a_key(spark):
+    """Beyond TILES tiles of a key these grow up to their bound; each pair still meets once."""
+    rows = spark.range(700).select("id", (F.col("id") * 0).cast("int").alias("k"))
+    for small, most, tiles_of_key in ((4, 1 << 16, tiles.TILES), (4, 5, 140), (1000, 1 << 16, 1), (100, 1 << 16, 7)):
+        assert [r["_tiles"] for r in tiles._with_tiles(rows, ["k"], small, most).select("_tiles").distinct().collect()] == [tiles_of_key]
+    kernel = lambda left, right, same: pa.table([pa.array([left.num_rows * (left.num_rows - 1) // 2 if same else left.num_rows * right.num_rows])], names=["n"])
+    found = tiles.self_pairs(rows, kernel, "n long", ["k"], 100).agg(F.sum("n"), F.count("*")).first()
+    assert tuple(found) == (700 * 699 // 2, 28)
