@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,3 +37,8 @@ def two_sources(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
 def scan_excluding(files: DataFrame, key: str, excluded: DataFrame, allowed: DataFrame, formats: Iterable[str]) -> DataFrame:
     """Files of the given formats without those of an exclude list, unless they are allowed all the same."""
     return excluding(files.filter(F.col("ext").isin(*formats)), key, excluded, allowed=allowed)
+
+
+def bare_path(path: str) -> Column:
+    """A path without the scheme of local files, by which scans and lists of paths may differ."""
+    return F.regexp_replace(path, "^file:/+", "/")

@@ -271,3 +271,29 @@ def test_tiles_grow_with_a_key(spark):
     kernel = lambda left, right, same: pa.table([pa.array([left.num_rows * (left.num_rows - 1) // 2 if same else left.num_rows * right.num_rows])], names=["n"])
     found = tiles.self_pairs(rows, kernel, "n long", ["k"], 100).agg(F.sum("n"), F.count("*")).first()
     assert tuple(found) == (700 * 699 // 2, 28)
+
+
+def test_commands_for_scans_and_repairs(spark, tmp_path, capsys, monkeypatch):
+    from lightsieve import __main__ as command
+
+    monkeypatch.setattr(command, "build_session", lambda: spark)
+    for name in ("a.jpg", "b.JPG", "c.arw", "d.png", "e.txt"):
+        (tmp_path / "photos").mkdir(exist_ok=True)
+        (tmp_path / "photos" / name).write_bytes(b"x")
+    paths = lambda names: spark.createDataFrame([(f"{tmp_path}/photos/{n}",) for n in names], "path string")
+    paths(["a.jpg", "b.JPG", "c.arw"]).write.parquet(f"{tmp_path}/exclude")
+    paths(["b.JPG"]).write.parquet(f"{tmp_path}/allow")
+    for extra, wanted in (([], "abcd"), (["--exclude", f"{tmp_path}/exclude"], "d"), (["--exclude", f"{tmp_path}/exclude", "--allow", f"{tmp_path}/allow"], "bd")):
+        assert command.main(["scan", f"{tmp_path}/photos", "--out", f"{tmp_path}/scanned", *extra]) == 0
+        assert sorted(r["stem"] for r in spark.read.parquet(f"{tmp_path}/scanned").collect()) == list(wanted)
+    rows = [("a", 1), ("b", 1), ("c", 2), ("d", None)]
+    spark.createDataFrame(rows, "path string, group_id int").select("path").write.parquet(f"{tmp_path}/rows")
+    spark.createDataFrame(rows[:3], "path string, group_id int").write.parquet(f"{tmp_path}/groups")
+    spark.createDataFrame([("d", c) for c in ("best_quality", "duplicates", "closed_eyes", "blurry", "in_focus")], "path string, category string").write.parquet(f"{tmp_path}/categories")
+    spark.createDataFrame([("b", 1.0)], "path string, score double").write.parquet(f"{tmp_path}/scores")
+    assert command.main(["deliver", f"{tmp_path}/rows", f"{tmp_path}/groups", f"{tmp_path}/delivery"]) == 0
+    audit_ = ["audit", f"{tmp_path}/delivery", f"{tmp_path}/groups", f"{tmp_path}/categories", f"{tmp_path}/fixed"]
+    assert command.main([*audit_, "--in-place", "--scores", f"{tmp_path}/scores"]) == 1
+    assert "removed 1 in 1 parts" in capsys.readouterr().out
+    assert sorted(r["path"] for r in delivery.read_delivery(spark, f"{tmp_path}/delivery").collect()) == ["b", "c", "d"]
+    assert command.main(audit_) == 0
