@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lightsieve.operators.skew import splittable_join
-from lightsieve.session import materialize
+from lightsieve.session import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,7 +34,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     for _ in range(most_rounds):
         if state[0] == 0:
             break
-        current = materialize(_small_star(_large_star(current)), "edges")
+        rounds, current = current, materialize(_small_star(_large_star(current)), "edges")
+        discard(rounds)
         before, state = state, _fingerprint(current)
         if before == state:
             break
