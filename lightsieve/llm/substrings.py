@@ -10,9 +10,9 @@ table with degrees, which would have a row for each word of the corpus.
 * Any other is a branching point. Equal chains repeat. The windows of the chains left, with one copy of those that
   repeat, are taken from the texts again by their source coordinates and compared one by one.
 
-Minimizers and contents come from two independent families of 64-bit word hashes, so chains count as equal when both
-agree; what separates windows of one minimizer is the second hash. The texts are written once, dealt by a row key, and
-the two later joins read them where they lie.
+Minimizers come from one half of each word's 128-bit hash and contents from the other, so words that collide in one do
+not in the other, and chains count as equal when minimizer and content agree. The texts are written once, dealt by a
+row key, and the two later joins read them where they lie.
 
 Hot passages are many rows of one minimizer; they meet in pre-aggregated counts and in joins whose large
 partitions Spark can split, never in one group.
@@ -44,18 +44,11 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+    def __missing__(self, word: bytes) -> bytes:
+        h = self[word] = xxhash.xxh3_128_digest(word)
         return h
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    """Word hashes of another family: each bit depends on all bits of the first."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 class WindowHashes:
     """64-bit hashes of word sequences, from running sums of word hashes times powers of an odd base."""
 
@@ -63,10 +56,12 @@ class WindowHashes:
         self.cache = _WordHashes()
         self.power = self.inverse = np.ones(1, np.uint64)
 
-    def words(self, words: list[bytes]) -> np.ndarray:
+    def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Two families of word hashes: the halves of a 128-bit one."""
         if len(self.cache) > _CACHE_WORDS:
             self.cache.clear()
-        return np.fromiter(map(self.cache.__getitem__, words), np.uint64, len(words))
+        both = np.frombuffer(b"".join(map(self.cache.__getitem__, words)), np.uint64).reshape(-1, 2)
+        return both[:, 0], both[:, 1]
 
     def _powers(self, n: int) -> None:
         if len(self.power) < n:
@@ -97,13 +92,13 @@ def chains(hashes: WindowHashes, words: list[bytes]) -> tuple[np.ndarray, ...]:
     Of equal 12-word sequences in a window the leftmost counts, so equal windows have it at the same place.
     """
     n = len(words) - WINDOW + 1
-    each = hashes.words(words)
+    first, second = hashes.words(words)
     begin = np.arange(len(words) - MINI + 1)
-    mini = hashes.of(hashes.sums(each), begin, begin + MINI)
+    mini = hashes.of(hashes.sums(first), begin, begin + MINI)
     at = np.lib.stride_tricks.sliding_window_view(mini, WINDOW - MINI + 1).argmin(axis=1) + np.arange(n)
     start = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
     length = np.diff(np.append(start, n))
-    return start, length, mini[at[start]], hashes.of(hashes.sums(_mixed(each)), start, start + length - 1 + WINDOW)
+    return start, length, mini[at[start]], hashes.of(hashes.sums(second), start, start + length - 1 + WINDOW)
 
 
 def _chain_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +125,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for key, text, asked in zip(batch["key"].to_pylist(), batch["text"], batch["asked"].to_pylist()):
             words = words_of(text.as_py())
-            sums = hashes.sums(_mixed(hashes.words(words)))
+            sums = hashes.sums(hashes.words(words)[1])
             start = np.concatenate([np.arange(a["start"], a["start"] + a["n"]) for a in asked])
             known = np.repeat(np.array([a["known"] for a in asked]), [a["n"] for a in asked])
             mini = np.repeat(np.array([a["mini"] for a in asked], np.int64), [a["n"] for a in asked])
@@ -163,7 +158,10 @@ def _dealt(rows: DataFrame) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name, path = f"texts_{uuid.uuid4().hex}", shared_path(spark, "texts")
     rows.repartition(n, "key").write.bucketBy(n, "key").option("path", path).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    dealt = spark.table(name)
+    dealt.schema  # resolves the table, so that its name can go again; the files stay
+    spark.sql(f"DROP TABLE {name}")
+    return dealt
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,8 +181,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     again = materialize(splittable_join(chain, met.filter("times > 1"), ["mini"]).select("key", "start", "n", "mini", "content", (F.col("least") == F.col("most")).alias("straight")), "repeated", "zstd")
 
     branching = again.filter("not straight").withColumn("ticket", F.xxhash64("key", "start"))
-    variants = branching.groupBy("content").agg(F.count("*").alias("times"), F.min("ticket").alias("first"))
-    judged = splittable_join(branching, variants, ["content"])
+    variants = branching.groupBy("mini", "content").agg(F.count("*").alias("times"), F.min("ticket").alias("first"))
+    judged = splittable_join(branching, variants, ["mini", "content"])
     known = again.filter("straight").select("key", "start", "n").unionByName(judged.filter("times > 1").select("key", "start", "n"))
     asked = (
         judged.filter("times = 1 or ticket = first")

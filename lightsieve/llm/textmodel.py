@@ -28,7 +28,17 @@ def word_features(word: str, form: bool = True) -> list[int]:
     return [xxhash.xxh32_intdigest(n) % DIMENSIONS for n in names]
 
 
-_LOG = [math.log1p(n) for n in range(4096)]
+class _Logs(dict):
+    """log(1 + n) by n."""
+
+    def __missing__(self, n: int) -> float:
+        v = math.log1p(n)
+        if n < 4096:  # the rest are computed each time
+            self[n] = v
+        return v
+
+
+_LOG = _Logs()
 
 
 class WordScores(dict):
@@ -46,7 +56,7 @@ class WordScores(dict):
     def of(self, text: str) -> float:
         """Sum over the different words of a whole text, each by the log of its count, damped by length; 0 for no words."""
         words = text.split()
-        return sum(self[w] * _LOG[min(n, 4095)] for w, n in Counter(words).items()) / len(words) ** 0.25 if words else 0.0
+        return sum(self[w] * _LOG[n] for w, n in Counter(words).items()) / len(words) ** 0.25 if words else 0.0
 
 
 class Sparse(NamedTuple):
@@ -85,7 +95,7 @@ def _row(text: str, places: _Places) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.int32), np.empty(0, np.float32)
     found = [places[w] for w in counts]
     place = np.fromiter(itertools.chain.from_iterable(found), np.int32)
-    each = np.repeat([_LOG[min(c, 4095)] for c in counts.values()], [len(f) for f in found])
+    each = np.repeat([_LOG[c] for c in counts.values()], [len(f) for f in found])
     place, at = np.unique(place, return_inverse=True)
     return place, (np.bincount(at, each) / sum(counts.values()) ** 0.25).astype(np.float32)
 
