@@ -1,6 +1,7 @@
 """The queries against plain versions of their contracts, on whole small tables and on odd rows."""
 
 import random
+import re
 
 import pyarrow as pa
 import pytest
@@ -68,12 +69,21 @@ def test_pii_learns_a_context(spark):
 
 
 def test_pii_finds_keys_in_other_writing(spark):
-    """Printed keys are seeds; what stands in their place elsewhere is found by the learned pattern."""
+    """Printed keys are seeds; what stands in their place, they themselves too, is found by the learned pattern alone."""
     r = random.Random(4)
     key = lambda: "".join(r.choice("0123456789abcdef") for _ in range(40))
-    rows = [(i, f'w{r.random()} and so token = "{key()}" it goes') for i in range(30)] + [(100, 'AND SO TOKEN = "AF90-77" it goes'), (101, "the year 2024 was long")]
+    rows = [(i, f'w{r.random()} and so token = "{key()}" it goes') for i in range(30)] + [(100, 'AND SO TOKEN = "AF90-77" it goes'), (101, "the year 2024 was long"), (102, f"alone {key()} here"), (103, "token: 'ZX-12/9'"), (104, f"{'w' * 90}token = 77q")]
     found = {x["doc_id"]: [(s["value"], pii.KINDS[s["kind"]]) for s in x["found"]] for x in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert found[100] == [("AF90-77", "secret")] and found[101] == [] and all(len(found[i]) == 1 and found[i][0][1] == "secret" for i in range(30))
+    assert found[100] == [("AF90-77", "secret")] and found[101] == found[102] == found[104] == [] and found[103] == [("ZX-12/9", "secret")] and all(len(found[i]) == 1 and found[i][0][1] == "secret" for i in range(30))
+
+
+def test_pii_discovers_keys_that_are_no_seeds(spark, sf_mid, monkeypatch):
+    """With half of the keys as seeds the learned pattern finds the other half, and nothing else."""
+    docs = spark.read.parquet(f"{sf_mid}/documents.parquet")
+    monkeypatch.setitem(pii.PATTERNS, "secret", r"(?<![0-9A-Za-z])(?=[0-7])(?=[0-9]*+[a-f])[0-9a-f]{32,}+(?![0-9A-Za-z])")
+    found = [s["value"] for r in pii.find_personal_data(docs, smoothing=1.0).collect() for s in r["found"]]
+    keys = [k for r in docs.select("text").collect() for k in re.findall(r'token = "([^"]*)"', r["text"] or "")]
+    assert sorted(found) == sorted(keys) and any(k[0] > "7" for k in keys)
 
 
 def test_pii_of_one_long_table(spark):
