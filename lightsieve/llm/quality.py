@@ -1,7 +1,6 @@
 """Quality classifier by co-training of two views: the words of a text, and its page metadata.
 
-The metadata are the source, the language, the declared length and, of the page's frame, its size in bytes and lines;
-nothing of it depends on which words the text has. Each view is fitted on labelled documents; over some rounds it labels a pool of others and hands those it is most confident of to
+The metadata are the source, the language and the declared length; nothing of it is taken from the text. Each view is fitted on labelled documents; over some rounds it labels a pool of others and hands those it is most confident of to
 the other view. Both views are calibrated on labelled documents that neither was fitted on, and combined there.
 """
 
@@ -22,7 +21,7 @@ from lightsieve.llm.textmodel import Sparse, WordScores, bounded_sample, fit_lin
 MOST_LABELLED = 2000
 MOST_POOL = 1500
 ROUNDS = 3
-LENGTH_STEPS = 16
+LENGTH_STEPS = 40  # two for each doubling
 STEP_WEIGHT = 20
 STEPS = 4  # bins a unit of a view's score, in which calibration counts its rows
 FURTHEST = 40  # scores beyond are counted there
@@ -35,33 +34,36 @@ class OneKindOfLabel(ValueError):
         super().__init__("labels of both kinds are needed among the fitted rows and among those of fold 1")
 
 
-META_SIZE = 8 + LENGTH_STEPS + 64 + 16
 _LETTERS_AND_SPACE = bytes(c for c in range(256) if c >= 0x80 or chr(c).isalnum() or chr(c).isspace())
 _CAPITALS = bytes(range(65, 91))
+META_SIZE = 3 + LENGTH_STEPS + 64 + 16
 
 
-def meta_features(text: str, lang: str | None, source: str | None, n_chars: float | None) -> np.ndarray:
-    """Logs of the page's sizes, shares of marks and capitals, the step of its length, source and language by hash."""
-    raw = text.encode()
-    size, lines = max(len(raw), 1), 1 + raw.count(b"\n")
-    declared = len(text) if n_chars is None or np.isnan(n_chars) else max(n_chars, 0)
-    marks, capitals = len(raw.translate(None, _LETTERS_AND_SPACE)) / size, (len(raw) - len(raw.translate(None, _CAPITALS))) / size
+def meta_features(lang: str | None, source: str | None, n_chars: float | None) -> np.ndarray:
+    """The page's declared length, its log and step, and source and language by hash. The text has no part in it."""
     x = np.zeros(META_SIZE, np.float32)
-    x[:8] = 1.0, np.log1p(declared) / 10, np.log1p(lines) / 5, np.log1p(declared / lines) / 10, 10 * marks, marks > 0.06, 4 * capitals, capitals > 0.3
-    x[8 + min(LENGTH_STEPS - 1, int(np.log2(declared + 1)))] = 0.5
-    x[8 + LENGTH_STEPS + zlib.crc32(f"s{source}".encode()) % 64] = 0.5
-    x[72 + LENGTH_STEPS + zlib.crc32(f"l{lang}".encode()) % 16] = 0.5
+    x[0] = 1.0
+    if n_chars is None or np.isnan(n_chars):
+        x[1] = 1.0
+    else:
+        declared = max(n_chars, 0)
+        x[2] = np.log1p(declared) / 10
+        x[3 + min(LENGTH_STEPS - 1, int(2 * np.log2(declared + 1)))] = 0.5
+    x[3 + LENGTH_STEPS + zlib.crc32(f"s{source}".encode()) % 64] = 0.5
+    x[67 + LENGTH_STEPS + zlib.crc32(f"l{lang}".encode()) % 16] = 0.5
     return x
 
 
 def content(text: str) -> str:
-    """The text with words of its own for how it repeats: shares of words equal to the one before, and of different words."""
+    """The text with words of its own for how it repeats and looks: shares of words equal to the one before, of different words, of marks and of capitals."""
     words = text.split()
     if not words:
         return text
     n = len(words)
     doubled, different = sum(map(operator.eq, words, words[1:])) / n, len(set(words)) / n
-    steps = (f"\x01d{min(9, round(doubled * 40))}", f"\x01v{round(different * 10)}l{int(np.log2(n))}", f"\x01v{round(different * 10)}", f"\x01w{min(20, round(len(text) / n))}")
+    raw = text.encode()
+    marks, capitals = len(raw.translate(None, _LETTERS_AND_SPACE)) / len(raw), (len(raw) - len(raw.translate(None, _CAPITALS))) / len(raw)
+    steps = (f"\x01m{min(20, round(marks * 100))}", f"\x01c{min(20, round(capitals * 40))}", f"\x01d{min(9, round(doubled * 40))}", f"\x01v{round(different * 10)}l{int(np.log2(n))}", f"\x01v{round(different * 10)}", f"\x01w{min(20, round(len(text) / n))}")
     return f"{text} {' '.join(steps * STEP_WEIGHT)}"
 
 
@@ -113,8 +115,8 @@ def calibrate(score: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, f
 
 
 @F.pandas_udf(BinaryType())
-def _meta_column(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.Series:
-    return pd.Series([meta_features(*r).tobytes() for r in zip(text, _plain(lang), _plain(source), n_chars)], dtype=object)
+def _meta_column(lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.Series:
+    return pd.Series([meta_features(*r).tobytes() for r in zip(_plain(lang), _plain(source), n_chars)], dtype=object)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", chars_col: str = "n_chars", label_col: str = "quality", most_labelled: int = MOST_LABELLED, most_pool: int = MOST_POOL, row_col: str | None = None, one_kind: str = "raise") -> DataFrame:
@@ -138,7 +140,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     learn = docs.select(F.col(id_col).alias("id"), text.alias("text"), meta[0].alias("lang"), meta[1].alias("source"), meta[2].alias("n_chars"))
     places = ("text", "lang", "source", "n_chars")
     # of rows that share a chosen id one is learned from, so what is fitted is bounded whatever ids repeat
-    rows = learn.join(chosen, "id").select("id", "y", F.xxhash64(*places).alias("h"), sparse_features(F.col("text"), False, content).alias("words"), _meta_column(*map(F.col, places)).alias("meta"))
+    rows = learn.join(chosen, "id").select("id", "y", F.xxhash64(*places).alias("h"), sparse_features(F.col("text"), False, content).alias("words"), _meta_column(*map(F.col, places[1:])).alias("meta"))
     rows = rows.groupBy("id").agg(F.min(F.struct("h", "y", "words", "meta")).alias("r")).select("r.y", "r.words.place", "r.words.value", "r.meta")
     aside = learn.filter(fold(ident) == 1).join(known.filter(fold(ident) == 1), "id")
     raw = None
@@ -183,7 +185,7 @@ def _views(spark: SparkSession, fitted: dict) -> Callable[..., Column]:
         words = WordScores(fitted["words"], form=False)
         for texts, langs, sources, chars in batches:
             w = [fitted["offset"] + words.of(content(t)) for t in texts]
-            m = [float(meta_features(*r) @ fitted["meta"]) for r in zip(texts, _plain(langs), _plain(sources), chars)]
+            m = [float(meta_features(*r) @ fitted["meta"]) for r in zip(_plain(langs), _plain(sources), chars)]
             yield pd.DataFrame({"words": w, "meta": m}, dtype=float)
 
     return views

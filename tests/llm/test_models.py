@@ -54,6 +54,21 @@ def test_nnpu_gradient_is_that_of_the_risk():
     numeric = np.array([(risk(s + 1e-6 * e)[0] - value) / 1e-6 for e in np.eye(40)])
     assert np.allclose(toxicity.nnpu_gradient(positive, prior)(s), numeric, atol=1e-4)
 
+    # below zero the step goes against the part that fell too low, and the positive part is left out
+    s = np.where(positive, 4.0, -3.0) + r.normal(0, 0.1, 40)
+    assert risk(s)[1] < 0
+    numeric = np.array([-(risk(s + 1e-6 * e)[1] - risk(s)[1]) / 1e-6 for e in np.eye(40)])
+    assert np.allclose(toxicity.nnpu_gradient(positive, prior)(s), numeric, atol=1e-4)
+
+
+def test_metadata_view_sees_no_text_and_counts_have_no_cap(spark):
+    rows = spark.createDataFrame([(1, "a b", "en", "s", 900), (2, "X ### Y" * 50, "en", "s", 900), (3, None, "en", "s", None)], "doc_id long, text string, lang string, source string, n_chars long")
+    seen = {r[0]: bytes(r[1]) for r in rows.select("doc_id", quality._meta_column("lang", "source", F.col("n_chars").cast("double"))).collect()}
+    assert seen[1] == seen[2] != seen[3]
+    scores = textmodel.WordScores(np.ones(textmodel.DIMENSIONS))
+    few, many = (scores.of("a " * n) * n**0.25 for n in (5000, 50_000))
+    assert many / few == pytest.approx(np.log1p(50_000) / np.log1p(5000))
+
 
 def test_the_level_counts_all_rows_of_fold_1(tables, monkeypatch):
     """All rows of fold 1 are counted, and no level of a plain search over them is better by more than its error."""
@@ -111,7 +126,7 @@ def plain_features(text, form, prepare=str):
     words, out = prepare(text).split(), {}
     for w, n in Counter(words).items():
         for place in textmodel.word_features(w, form):
-            out[place] = out.get(place, 0.0) + np.log1p(min(n, 4095))
+            out[place] = out.get(place, 0.0) + np.log1p(n)
     return {p: v / len(words) ** 0.25 for p, v in out.items()}
 
 
@@ -136,7 +151,7 @@ def test_features_and_scores_against_plain_loops(spark, tables, odd, monkeypatch
                 expected = textmodel.sigmoid(model[1] + sum(model[0][p] * v for p, v in plain_features(text, True).items()))
             else:
                 m = meta[i]
-                views = (model["offset"] + sum(model["words"][p] * v for p, v in plain_features(text, False, quality.content).items()), float(quality.meta_features(text, m["lang"], m["source"], m["n_chars"]) @ model["meta"]))
+                views = (model["offset"] + sum(model["words"][p] * v for p, v in plain_features(text, False, quality.content).items()), float(quality.meta_features(m["lang"], m["source"], m["n_chars"]) @ model["meta"]))
                 logits = [a * v + b for (a, b), v in zip(model["scale"], views)]
                 expected = textmodel.sigmoid(logits[0] * model["both"][0] + logits[1] * model["both"][1] + model["both"][2])
             assert scored[i]["score"] == pytest.approx(expected, abs=2e-3), (module.__name__, i)
