@@ -552,9 +552,11 @@ def q70_group_candidate(spark, sf_dir):
 def q71_group_records(spark, sf_dir):
     """One record a hash group: best, others, scores and size."""
     hashes = _hashes(spark, sf_dir)
-    groups = clustering.leader_clusters(hashes, similarity.hash_pairs(hashes, 0.66)).join(hashes.select("id", F.round(F.element_at("vector", 1).cast("double"), 4).alias("score")), "id")
+    x = F.element_at("vector", 1).cast("double")
+    score = F.when(x < 0, -F.round(-x, 4)).otherwise(F.round(x, 4))  # F.round loses the sign of what becomes zero
+    groups = clustering.leader_clusters(hashes, similarity.hash_pairs(hashes, 0.66)).join(hashes.select("id", score.alias("score")), "id")
     r = clustering.group_records(groups, "group_id", "id", "score")
-    scores = F.array_join(F.transform(F.array_sort(F.map_keys("scores")), lambda k: F.concat_ws(":", k.cast("string"), F.format_number(F.element_at("scores", k), 4))), ",")
+    scores = F.array_join(F.transform(F.array_sort(F.map_keys("scores")), lambda k: F.concat(k.cast("string"), F.lit(":"), F.when(F.element_at("scores", k).isNotNull(), F.format_string("%.4f", F.element_at("scores", k))))), ",")
     return r.select("group_id", "best", F.array_join("similar", ",").alias("similar"), scores.alias("scores"), "group_size")
 
 
