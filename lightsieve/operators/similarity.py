@@ -6,6 +6,8 @@ of d + 1 bands. Wide ones, for which nearly every pair would share a band, go by
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -43,10 +45,10 @@ def hash_pairs(hashes: DataFrame, threshold: float, least_width_ratio: float = 0
     Exact over all rows, in tiles. rank may be of any ordered type; null hashes are similar to none.
     """
 
-    def kernel(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
+    def kernel(left: pa.Table, right: pa.Table, same: bool) -> Iterator[pa.Table]:
         a, b = tiles.sign_matrix(left["hash"]), tiles.sign_matrix(right["hash"])
-        i, j, (found,) = tiles.pairs_where(left, right, same, lambda rows: ((a[rows] @ b.T).astype(float) / (2 * BITS) + 0.5,), lambda s: s >= threshold) if len(a) and len(b) else ([], [], ([],))
-        return pa.table([left["id"].take(pa.array(i, pa.int64())), right["id"].take(pa.array(j, pa.int64())), pa.array(found, pa.float64())], names=["id_a", "id_b", "similarity"])
+        found = tiles.found_where(left, right, same, lambda rows: ((a[rows] @ b.T).astype(float) / (2 * BITS) + 0.5,), lambda s: s >= threshold)
+        return tiles.pair_tables(left, right, found, ["id_a", "id_b", "similarity"])
 
     kind = hashes.schema["id"].dataType.simpleString()
     rows = hashes.filter("hash is not null")
@@ -106,10 +108,10 @@ def token_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def cosine_pairs(vectors: DataFrame, threshold: float, keys: list[str] | None = None, tile_rows: int = tiles.TILE_ROWS) -> DataFrame:
     """(id_a, id_b, cosine) of all pairs of equal keys, id_a < id_b, exact and in tiles; null vectors are similar to none."""
 
-    def kernel(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
+    def kernel(left: pa.Table, right: pa.Table, same: bool) -> Iterator[pa.Table]:
         a, b = tiles.unit(tiles.matrix(left["vector"])), tiles.unit(tiles.matrix(right["vector"]))
-        i, j, (found,) = tiles.pairs_where(left, right, same, lambda rows: (a[rows] @ b.T,), lambda s: s >= threshold) if len(a) and len(b) else ([], [], ([],))
-        return pa.table([left["id"].take(pa.array(i, pa.int64())), right["id"].take(pa.array(j, pa.int64())), pa.array(found, pa.float64())], names=["id_a", "id_b", "cosine"])
+        found = tiles.found_where(left, right, same, lambda rows: (a[rows] @ b.T,), lambda s: s >= threshold)
+        return tiles.pair_tables(left, right, found, ["id_a", "id_b", "cosine"])
 
     kind = vectors.schema["id"].dataType.simpleString()
     rows = vectors.filter("vector is not null").select("id", "vector", *(keys or []))

@@ -9,7 +9,7 @@ all pairs does; the tiles spread it evenly. Tight thresholds belong to ``similar
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +21,10 @@ TILES = 64
 #: rows of 64 bits take 256 bytes in a kernel, a vector of 64 numbers 512
 MOST_ROWS = 1 << 16
 _CHUNK_PAIRS = 4 << 20
+_BATCH_ROWS = 1 << 16
 
-#: (left rows, right rows, whether both are the same tile) to the rows that the group gives out
-Kernel = Callable[[pa.Table, pa.Table, bool], pa.Table]
+#: (left rows, right rows, whether both are the same tile) to the rows that the group gives out, as one table or in parts
+Kernel = Callable[[pa.Table, pa.Table, bool], pa.Table | Iterator[pa.Table]]
 
 
 def _with_tiles(rows: DataFrame, keys: list[str], tile_rows: int, most_rows: int) -> DataFrame:
@@ -34,13 +35,19 @@ def _with_tiles(rows: DataFrame, keys: list[str], tile_rows: int, most_rows: int
 
 
 def _run(dealt: DataFrame, keys: list[str], kernel: Kernel, schema: str, same_side: bool) -> DataFrame:
-    def meet(part: pa.Table) -> pa.Table:
+    """Groups are of a struct of the keys: by the keys alone, Spark leaves all tiles of a key in the task where the join with the key's counts has put them."""
+
+    def meet(batches):
+        part = pa.Table.from_batches(batches)
         side = part["_side"].to_numpy()
         left, right = part.filter(pa.array(side == 0)), part.filter(pa.array(side == 1))
         same = same_side and part["_a"][0].as_py() == part["_b"][0].as_py()
-        return kernel(left, left if same else right, same)
+        found = kernel(left, left if same else right, same)
+        for table in [found] if isinstance(found, pa.Table) else found:
+            yield from table.combine_chunks().to_batches(max_chunksize=_BATCH_ROWS)
 
-    return dealt.groupBy(*keys, "_a", "_b").applyInArrow(meet, schema)
+    meet.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return dealt.withColumn("_key", F.struct(*keys)).drop(*keys).groupBy("_key", "_a", "_b").applyInArrow(meet, schema)
 
 
 def self_pairs(rows: DataFrame, kernel: Kernel, schema: str, keys: list[str] | None = None, tile_rows: int = TILE_ROWS, most_rows: int = MOST_ROWS) -> DataFrame:
@@ -52,11 +59,11 @@ def self_pairs(rows: DataFrame, kernel: Kernel, schema: str, keys: list[str] | N
     return _run(dealt, keys, kernel, schema, True)
 
 
-def cross_pairs(left: DataFrame, right: DataFrame, kernel: Kernel, schema: str, keys: list[str] | None = None, tile_rows: int = TILE_ROWS, most_rows: int = MOST_ROWS) -> DataFrame:
-    """Each row of left meets each row of right of equal keys once; both have the same columns."""
+def cross_pairs(left: DataFrame, right: DataFrame, kernel: Kernel, schema: str, keys: list[str] | None = None, tile_rows: int = TILE_ROWS, most_rows: int = MOST_ROWS, right_tile_rows: int | None = None) -> DataFrame:
+    """Each row of left meets each row of right of equal keys once; both have the same columns. ``right_tile_rows``: for another size of the right tiles."""
     left, names = _keyed(left, keys)
     right, names = _keyed(right.select(*[c for c in left.columns if c != "_all"]), keys)
-    a, b = _with_tiles(left, names, tile_rows, most_rows), _with_tiles(right, names, tile_rows, most_rows)
+    a, b = _with_tiles(left, names, tile_rows, most_rows), _with_tiles(right, names, right_tile_rows or tile_rows, most_rows)
     n_a, n_b = (x.select(*names, F.col("_tiles").alias("_n")).distinct() for x in (a, b))
     columns = left.columns
     to_b = a.join(n_b, names).select(*columns, F.col("_tile").alias("_a"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_b"), F.lit(0).alias("_side"))
@@ -103,18 +110,27 @@ def chunks(n: int, others: int):
     return (slice(i, min(i + step, n)) for i in range(0, n, step))
 
 
-def pairs_where(left: pa.Table, right: pa.Table, same: bool, values: Callable[[slice], tuple], keep: Callable[..., np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(rows of left, rows of right, values) of the kept pairs. values(rows of left) gives matrices, one row each."""
-    found_a, found_b, found = [], [], []
-    for rows in chunks(left.num_rows, right.num_rows):
+def found_where(left: pa.Table, right: pa.Table, same: bool, values: Callable[[slice], tuple], keep: Callable[..., np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(rows of left, rows of right, values) of the kept pairs, chunk by chunk. values(rows of left) gives matrices, one row each."""
+    for rows in chunks(left.num_rows, right.num_rows) if right.num_rows else ():
         mats = values(rows)
         mask = keep(*mats)
         if same:  # each two rows once
             mask &= np.arange(right.num_rows)[None, :] > np.arange(rows.start, rows.stop)[:, None]
         a, b = np.nonzero(mask)
-        found_a.append(a + rows.start)
-        found_b.append(b)
-        found.append([m[a, b] for m in mats])
-    if not found:
+        yield a + rows.start, b, [m[a, b] for m in mats]
+
+
+def pairs_where(left: pa.Table, right: pa.Table, same: bool, values: Callable[[slice], tuple], keep: Callable[..., np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """found_where in one piece, for kernels that keep few pairs."""
+    parts = list(found_where(left, right, same, values, keep))
+    if not parts:
         return np.empty(0, int), np.empty(0, int), []
+    found_a, found_b, found = zip(*parts)
     return np.concatenate(found_a), np.concatenate(found_b), [np.concatenate(x) for x in zip(*found)]
+
+
+def pair_tables(left: pa.Table, right: pa.Table, found: Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]], names: list[str]) -> Iterator[pa.Table]:
+    """The ids and values of found_where, under names, a table a chunk."""
+    for i, j, values in found:
+        yield pa.table([left["id"].take(pa.array(i, pa.int64())), right["id"].take(pa.array(j, pa.int64())), *(pa.array(x, pa.float64()) for x in values)], names=names)

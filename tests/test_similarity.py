@@ -5,7 +5,9 @@ import random
 import duckdb
 import pytest
 
+from lightsieve.operators import tiles
 from lightsieve.plans import registry
+from lightsieve.session import settings
 
 
 def embeddings(spark, path, rows):
@@ -33,3 +35,22 @@ def test_records_keep_the_sign_of_a_score_that_rounds_to_zero(spark, tmp_path):
     found = registry.QUERIES["q71_group_records"](spark, path).collect()
     assert [r["scores"] for r in found] == ["0:-0.0000,1:0.0000,2:-0.0001,3:2345.5000,4:-1234.5000"]
     assert same(spark, path, "q71_group_records")
+
+
+@pytest.mark.parametrize("name", ["q22_cosine_pairs", "q27_mutual_nearest"])
+def test_tiles_of_one_key_are_spread_over_tasks(spark, tmp_path, name, monkeypatch):
+    """Also when the key's counts are joined by a shuffle, which puts a key into one task."""
+    r = random.Random(1)
+    path = embeddings(spark, tmp_path, [(k, [r.gauss(0, 1) for _ in range(64)], k % 10) for k in range(400)])
+    run, plans = tiles._run, []
+
+    def watched(*args):
+        out = run(*args)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(tiles, "_run", watched)
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        assert same(spark, path, name)
+    exchange = plans[0].split("FlatMapGroupsInArrow", 1)[1].split("Exchange hashpartitioning(", 1)[1].split(")")[0]
+    assert "_a#" in exchange and "_b#" in exchange
