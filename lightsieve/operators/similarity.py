@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lightsieve.operators import tiles
+from lightsieve.operators.leaders import Alike
 
 BITS = 64
 
@@ -60,6 +61,42 @@ def hash_pairs(hashes: DataFrame, threshold: float, least_width_ratio: float = 0
     return both.filter(widths >= least_width_ratio).select(F.when(first, F.col("id_a")).otherwise(F.col("id_b")).alias("id_a"), F.when(first, F.col("id_b")).otherwise(F.col("id_a")).alias("id_b"), "similarity")
 
 
+def least_product(threshold: float) -> int:
+    """The least product of two rows of signs whose similarity reaches the threshold; 65 if none does."""
+    return next((d for d in range(-BITS, BITS + 1) if d / (2 * BITS) + 0.5 >= threshold), BITS + 1)
+
+
+def width_ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smaller of each two widths by the larger one; not a number where one is missing."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.minimum(a[:, None] / b[None, :], b[None, :] / a[:, None])
+
+
+def _hash_arrays(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    return tiles.sign_matrix(rows["hash"]), rows["width"].cast(pa.float64()).to_numpy()
+
+
+def alike_hashes(threshold: float, least_width_ratio: float = 0.5) -> Alike:
+    """The pairs of hash_pairs, for rows with hash and width; hashes are not null."""
+    least = least_product(threshold)
+    return Alike(["hash", "width"], _hash_arrays, lambda a, b: (a[0] @ b[0].T >= least) & (width_ratio(a[1], b[1]) >= least_width_ratio))
+
+
+def _vector_arrays(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    return tiles.padded(rows["vector"])
+
+
+def alike_vectors(threshold: float) -> Alike:
+    """The pairs of cosine_pairs, for rows with a vector that is not null."""
+    return Alike(["vector"], _vector_arrays, lambda a, b: (a[0] @ b[0].T >= threshold) & (a[1][:, None] == b[1][None, :]) if len(a[0]) and a[0].shape[1] == b[0].shape[1] else _unequal(a, b, threshold))
+
+
+def _unequal(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], threshold: float) -> np.ndarray:
+    """Two sides whose longest vectors are not equally long."""
+    size = min(a[0].shape[1], b[0].shape[1])
+    return (a[0][:, :size] @ b[0][:, :size].T >= threshold) & (a[1][:, None] == b[1][None, :])
+
+
 def covering_masks(radius: int) -> list[int]:
     """2 ** (radius + 1) - 1 masks of about half the bits each; any ``radius`` positions lie outside one of them.
 

@@ -92,6 +92,17 @@ def matrix(vectors: pa.ChunkedArray) -> np.ndarray:
     return out
 
 
+def padded(vectors: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors as doubles of length 1 with zeros behind them, their sizes)."""
+    array = vectors.combine_chunks()
+    array = array.chunk(0) if isinstance(array, pa.ChunkedArray) else array
+    sizes = array.value_lengths().to_numpy(zero_copy_only=False).astype(int)
+    flat = array.flatten().to_numpy(zero_copy_only=False).astype(float)
+    out = np.zeros((len(sizes), int(sizes.max(initial=0))))
+    out[np.arange(out.shape[1])[None, :] < sizes[:, None]] = flat
+    return unit(out), sizes
+
+
 def sign_matrix(hashes: pa.ChunkedArray) -> np.ndarray:
     """64-bit hashes as rows of -1 and 1: a product of two rows is 64 less twice the differing bits."""
     bits = np.unpackbits(hashes.to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8), axis=1)

@@ -14,7 +14,7 @@ from lightsieve.session import materialize
 def q78_merged_groups(spark, sf_dir):
     """Hash groups that take in others by votes of three samples until no vote passes; larger groups first."""
     hashes = _hashes(spark, sf_dir)
-    groups = materialize(clustering.leader_clusters(hashes, similarity.hash_pairs(hashes, 0.66)).join(hashes, "id").select(F.col("group_id").alias("group"), F.col("rank").alias("ord"), "hash"), "grouped")
+    groups = materialize(clustering.hash_clusters(hashes, 0.66).join(hashes, "id").select(F.col("group_id").alias("group"), F.col("rank").alias("ord"), "hash"), "grouped")
     return pairs.merge_groups(groups, 0.55)
 
 

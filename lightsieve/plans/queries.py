@@ -196,7 +196,7 @@ def q22_cosine_pairs(spark, sf_dir):
 @query
 def q23_leader_clusters(spark, sf_dir):
     hashes = _hashes(spark, sf_dir)
-    return clustering.leader_clusters(hashes, similarity.hash_pairs(hashes, 0.66)).select("id", "leader", "group_id", "group_size")
+    return clustering.hash_clusters(hashes, 0.66).select("id", "leader", "group_id", "group_size")
 
 
 @query
@@ -454,7 +454,7 @@ def q59_exposure_routing(spark, sf_dir):
 def q60_verified_groups(spark, sf_dir):
     """Hash groups, confirmed by faces: the label's parity stands for the face count, unknown where the second dimension is above 1.5; label 9 has no face embedding."""
     hashes = _hashes(spark, sf_dir)
-    groups = clustering.leader_clusters(hashes, similarity.hash_pairs(hashes, 0.62)).select("id", F.col("group_id").alias("group"))
+    groups = clustering.hash_clusters(hashes, 0.62).select("id", F.col("group_id").alias("group"))
     faces = F.when(F.element_at("vector", 2) > 1.5, -1).otherwise(F.col("label") % 2)
     members = materialize(groups.join(hashes.select("id", "rank", faces.alias("face_count")), "id"), "members")
     return clustering.verified_groups(members, hashes.filter("label <> 9").select("id", "vector"), 0.1)
@@ -503,7 +503,7 @@ def q65_batch_statistics(spark, sf_dir):
 def q66_group_merge_votes(spark, sf_dir):
     """Pairs of hash groups that samples of three vote to merge."""
     hashes = _hashes(spark, sf_dir)
-    groups = clustering.leader_clusters(hashes, similarity.hash_pairs(hashes, 0.66)).join(hashes, "id")
+    groups = clustering.hash_clusters(hashes, 0.66).join(hashes, "id")
     return pairs.merge_votes(groups.select(F.col("group_id").alias("group"), F.col("rank").alias("ord"), "hash"), 0.5).withColumn("ratio", F.round("ratio", 6))
 
 
@@ -554,7 +554,7 @@ def q71_group_records(spark, sf_dir):
     hashes = _hashes(spark, sf_dir)
     x = F.element_at("vector", 1).cast("double")
     score = F.when(x < 0, -F.round(-x, 4)).otherwise(F.round(x, 4))  # F.round loses the sign of what becomes zero
-    groups = clustering.leader_clusters(hashes, similarity.hash_pairs(hashes, 0.66)).join(hashes.select("id", score.alias("score")), "id")
+    groups = clustering.hash_clusters(hashes, 0.66).join(hashes.select("id", score.alias("score")), "id")
     r = clustering.group_records(groups, "group_id", "id", "score")
     scores = F.array_join(F.transform(F.array_sort(F.map_keys("scores")), lambda k: F.concat(k.cast("string"), F.lit(":"), F.when(F.element_at("scores", k).isNotNull(), F.format_string("%.4f", F.element_at("scores", k))))), ",")
     return r.select("group_id", "best", F.array_join("similar", ",").alias("similar"), scores.alias("scores"), "group_size")
@@ -579,7 +579,7 @@ def q73_duplicate_counts(spark, sf_dir):
 def q74_group_similarity(spark, sf_dir):
     """Greatest cosine between the members of merge candidates whose average face counts differ by 1 at most."""
     hashes = _hashes(spark, sf_dir)
-    members = materialize(clustering.leader_clusters(hashes, similarity.hash_pairs(hashes, 0.66)).join(hashes, "id").select("group_id", "rank", "hash", "vector", "label"), "grouped")
+    members = materialize(clustering.hash_clusters(hashes, 0.66).join(hashes, "id").select("group_id", "rank", "hash", "vector", "label"), "grouped")
     votes = pairs.merge_votes(members.select(F.col("group_id").alias("group"), F.col("rank").alias("ord"), "hash"), 0.56)
     mean = lambda s: members.groupBy(F.col("group_id").alias(f"group_{s}")).agg(F.avg("label").alias(f"mean_{s}"))
     near = votes.join(mean("a"), "group_a").join(mean("b"), "group_b").filter("abs(mean_a - mean_b) <= 1").select("group_a", "group_b")

@@ -5,7 +5,7 @@ import random
 import duckdb
 import pytest
 
-from lightsieve.operators import tiles
+from lightsieve.operators import clustering, leaders, similarity, tiles
 from lightsieve.plans import registry
 from lightsieve.session import settings
 
@@ -54,3 +54,31 @@ def test_tiles_of_one_key_are_spread_over_tasks(spark, tmp_path, name, monkeypat
         assert same(spark, path, name)
     exchange = plans[0].split("FlatMapGroupsInArrow", 1)[1].split("Exchange hashpartitioning(", 1)[1].split(")")[0]
     assert "_a#" in exchange and "_b#" in exchange
+
+
+def test_leaders_without_pairs_equal_those_of_the_pairs(spark):
+    """In blocks smaller than the table, with tiny tiles; null hashes and widths, equal hashes and rows alone."""
+    r = random.Random(3)
+    rows = [(k, r.randrange(200), None if k % 41 == 0 else r.getrandbits(64) - 2**63 if k % 9 else 77, None if k % 37 == 0 else r.choice([100, 150, 300])) for k in range(700)]
+    hashes = spark.createDataFrame(rows, "id int, r int, hash long, width int").selectExpr("id", "struct(r, id) rank", "hash", "width")
+    plain = clustering.leader_clusters(hashes.filter("hash is not null"), similarity.hash_pairs(hashes, 0.62))
+    found = clustering.hash_clusters(hashes, 0.62, block_rows=50, tile_rows=60)
+    columns = ("id", "leader", "group_id", "group_size")
+    assert sorted(map(tuple, found.select(*columns).collect())) == sorted(map(tuple, plain.select(*columns).collect()))
+    vectors = spark.createDataFrame([(k, r.randrange(1000), r.randrange(3), [r.gauss(0, 1) for _ in range(4 if k % 7 else 3)]) for k in range(300)], "id int, r int, key int, vector array<float>").selectExpr("id", "struct(r, id) rank", "key", "vector")
+    clusters = lambda found: {tuple(x) for x in found.select("id", "leader").collect()}
+    expected = clusters(clustering.leader_clusters(vectors, similarity.cosine_pairs(vectors, 0.8, ["key"])))
+    keyed = clusters(leaders.leaders(vectors, similarity.alike_vectors(0.8), ["key"], block_rows=20, tile_rows=30))
+    assert {x for x in keyed if x in expected or x[0] != x[1]} == expected and len(keyed) == 300
+
+
+def test_clusters_of_hash_groups_make_no_table_of_pairs(spark, tmp_path, monkeypatch):
+    """Near rows are many: their pairs would be 40 times the rows."""
+    r = random.Random(4)
+    path = embeddings(spark, tmp_path, [(k, [r.gauss(1, 1) for _ in range(64)], k % 3) for k in range(400)])
+    made = []
+    pairs_of = similarity.hash_pairs
+    monkeypatch.setattr(similarity, "hash_pairs", lambda *a, **k: made.append(1) or pairs_of(*a, **k))
+    for name in ("q60_verified_groups", "q66_group_merge_votes", "q78_merged_groups"):
+        assert same(spark, path, name)
+    assert not made
