@@ -7,10 +7,17 @@ be linked by many edges; only the best of each two goes on, so a round's table h
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lightsieve.operators import tiles
 from lightsieve.operators.components import connected_components
+from lightsieve.operators.similarity import BITS, hash_arrays, least_product, width_ratio
 from lightsieve.operators.skew import splittable_join
 from lightsieve.session import discard, materialize
 
@@ -57,6 +64,111 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     return current.select("id_a", "id_b", "weight") if forest is None else forest
 
 
+LINKS_A_ROW = 16
+SAMPLE_ROWS = 4096
+FOREST_TILE_ROWS = 1 << 14
+
+
+def hash_forest(hashes: DataFrame, threshold: float, least_width_ratio: float = 0.5, links_a_row: float = LINKS_A_ROW, tile_rows: int = tiles.TILE_ROWS, far_tile_rows: int = FOREST_TILE_ROWS) -> DataFrame:
+    """spanning_forest of the pairs of hash_pairs, from (id, hash, width), without a table of all of them.
+
+    Pairs at a tighter threshold, some links a row, are an edge table, and their forest is the part of the whole one
+    that its weights reach. From there on each component but the largest looks for its best edge to another one in
+    tiles, a row for each row and tile, until none finds any. How tight the threshold is comes from a sample; it bears
+    on the work alone. Where copies make links many even at equal hashes, there is no table at all.
+    """
+    rows = materialize(hashes.filter("hash is not null and width is not null").select("id", "hash", "width"), "forest-rows")
+    kind = rows.schema["id"].dataType.simpleString()
+    least, tight = least_product(threshold), _tight_product(rows, least_width_ratio, links_a_row)
+    forest = placed = None
+    if tight is not None:
+        forest = spanning_forest(_links(rows, kind, max(least, tight), least_width_ratio, tile_rows))
+        if tight <= least:
+            return forest
+        placed = rows.join(connected_components(forest, "id_a", "id_b").withColumnRenamed("node", "id"), "id", "left")
+    placed = materialize((placed or rows.withColumn("component", F.col("id"))).withColumn("component", F.coalesce("component", "id")), "forest-placed")
+    while True:
+        largest = placed.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1).select("component")
+        outside = placed.join(largest, "component", "left_anti").select(placed.columns)
+        found = tiles.cross_pairs(outside, placed, _best_kernel(least, least_width_ratio), f"node {kind}, to {kind}, id_a {kind}, id_b {kind}, weight double", tile_rows=tile_rows, right_tile_rows=far_tile_rows)
+        best = found.groupBy("node").agg(F.min(F.struct(_key().alias("key"), "to", "weight")).alias("m")).select("node", "m.to", F.col("m.key.a").alias("id_a"), F.col("m.key.b").alias("id_b"), "m.weight")
+        best = materialize(best, "forest-best")
+        if best.isEmpty():
+            discard(placed, rows)
+            return rows.sparkSession.createDataFrame([], f"id_a {kind}, id_b {kind}, weight double") if forest is None else forest
+        taken = materialize(best.select("id_a", "id_b", "weight").distinct(), "forest")
+        forest = taken if forest is None else forest.unionByName(taken)
+        joined = connected_components(best, "node", "to").select(F.col("node").alias("component"), F.col("component").alias("_into"))
+        before, placed = placed, materialize(splittable_join(placed, joined, ["component"], "left").select("id", "hash", "width", F.coalesce("_into", "component").alias("component")), "forest-placed")
+        discard(before, best)
+
+
+def _tight_product(rows: DataFrame, least_width_ratio: float, links_a_row: float) -> int | None:
+    """The least product at which rows have links_a_row links on average, by the pairs of a sample; None if equal hashes alone have more."""
+
+    def count(part: pa.Table) -> pa.Table:
+        a, width = hash_arrays(part)
+        n = np.zeros(2 * BITS + 1, np.int64)
+        for chunk in tiles.chunks(len(a), len(a)):
+            n += np.bincount((a[chunk] @ a.T)[width_ratio(width[chunk], width) >= least_width_ratio].astype(int) + BITS, minlength=2 * BITS + 1)
+        return pa.table({"product": np.arange(-BITS, BITS + 1), "n": n})
+
+    total = rows.count()
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
+    counts = np.zeros(2 * BITS + 1)
+    for r in sample.withColumn("_one", F.lit(0)).groupBy("_one").applyInArrow(count, "product long, n long").collect():  # 129 rows
+        counts[r["product"] + BITS] = r["n"]
+    seen = min(total, SAMPLE_ROWS)
+    counts[-1] -= seen  # a row with itself
+    links = np.cumsum(counts[::-1])[::-1] / max(1, seen) * total / max(1, seen)
+    fine = np.flatnonzero(links <= links_a_row)
+    return int(fine[0]) - BITS if len(fine) else None
+
+
+def _links(rows: DataFrame, kind: str, least: int, least_width_ratio: float, tile_rows: int) -> DataFrame:
+    def kernel(left: pa.Table, right: pa.Table, same: bool) -> Iterator[pa.Table]:
+        (a, wide_a), (b, wide_b) = hash_arrays(left), hash_arrays(right)
+
+        def near(rows: slice) -> tuple[np.ndarray]:
+            return (a[rows] @ b.T / np.float32(2 * BITS) + np.float32(0.5),)  # exact: multiples of 1/64
+
+        def wide(found: Iterator) -> Iterator:
+            for i, j, (weight,) in found:
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    fine = np.minimum(wide_a[i] / wide_b[j], wide_b[j] / wide_a[i]) >= least_width_ratio
+                yield i[fine], j[fine], [weight[fine]]
+
+        found = tiles.found_where(left, right, same, near, lambda w: w >= least / (2 * BITS) + 0.5)
+        return tiles.pair_tables(left, right, wide(found), ["id_a", "id_b", "weight"])
+
+    return tiles.self_pairs(rows, kernel, f"id_a {kind}, id_b {kind}, weight double", tile_rows=tile_rows)
+
+
+def _best_kernel(least: int, least_width_ratio: float) -> tiles.Kernel:
+    """The best edge of each left row into another component: of equal products the partner of the least id, which makes the least pair."""
+
+    def kernel(left: pa.Table, right: pa.Table, same: bool) -> Iterator[pa.Table]:
+        right = right.sort_by("id")
+        if not left.num_rows or not right.num_rows:
+            return
+        (a, wide_a), (b, wide_b) = hash_arrays(left), hash_arrays(right)
+        names = pa.concat_arrays([*left["component"].chunks, *right["component"].chunks]).dictionary_encode().indices.to_numpy()
+        of_a, of_b = names[: len(a)], names[len(a) :]
+        for rows in tiles.chunks(len(a), len(b)):
+            product = a[rows] @ b.T
+            product[(of_a[rows][:, None] == of_b[None, :]) | ~(width_ratio(wide_a[rows], wide_b) >= least_width_ratio)] = -2 * BITS
+            best = product.argmax(axis=1)
+            value = product[np.arange(len(best)), best]
+            hit = np.flatnonzero(value >= least)
+            i, j = pa.array(hit + rows.start, pa.int64()), pa.array(best[hit], pa.int64())
+            one, other = left["id"].take(i).combine_chunks(), right["id"].take(j).combine_chunks()
+            first = pc.less(one, other)
+            ends = pc.if_else(first, one, other), pc.if_else(first, other, one)
+            yield pa.table([left["component"].take(i), right["component"].take(j), *ends, pa.array(value[hit].astype(float) / (2 * BITS) + 0.5)], names=["node", "to", "id_a", "id_b", "weight"])
+
+    return kernel
+
+
 def components_at(forest: DataFrame, threshold: float) -> DataFrame:
     """(node, component) of all edges of at least the threshold, from the forest alone: it holds a best path between any two nodes."""
     return connected_components(forest.filter(F.col("weight") >= threshold), "id_a", "id_b")

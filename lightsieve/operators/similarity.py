@@ -72,14 +72,15 @@ def width_ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.minimum(a[:, None] / b[None, :], b[None, :] / a[:, None])
 
 
-def _hash_arrays(rows: pa.Table) -> tuple[np.ndarray, ...]:
+def hash_arrays(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    """(signs, widths)."""
     return tiles.sign_matrix(rows["hash"]), rows["width"].cast(pa.float64()).to_numpy()
 
 
 def alike_hashes(threshold: float, least_width_ratio: float = 0.5) -> Alike:
     """The pairs of hash_pairs, for rows with hash and width; hashes are not null."""
     least = least_product(threshold)
-    return Alike(["hash", "width"], _hash_arrays, lambda a, b: (a[0] @ b[0].T >= least) & (width_ratio(a[1], b[1]) >= least_width_ratio))
+    return Alike(["hash", "width"], hash_arrays, lambda a, b: (a[0] @ b[0].T >= least) & (width_ratio(a[1], b[1]) >= least_width_ratio))
 
 
 def _vector_arrays(rows: pa.Table) -> tuple[np.ndarray, ...]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lightsieve.operators import clustering, forest, pairs, similarity
+from lightsieve.operators import clustering, forest, pairs
 from lightsieve.plans.oracle import PAIRS, _leaders
 from lightsieve.plans.queries import _hashes, query
 from lightsieve.session import materialize
@@ -19,8 +19,7 @@ def q78_merged_groups(spark, sf_dir):
 
 
 def _forest(spark, sf_dir):
-    edges = similarity.hash_pairs(_hashes(spark, sf_dir), 0.64).withColumnRenamed("similarity", "weight")
-    return forest.spanning_forest(edges)
+    return forest.hash_forest(_hashes(spark, sf_dir), 0.64)
 
 
 @query

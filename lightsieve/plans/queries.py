@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from lightsieve.config import CATEGORIES, Rules, Selection
 from lightsieve.functions import kernels
-from lightsieve.operators import audit, clustering, lookup, pairs, rules, selection, similarity
-from lightsieve.operators.components import connected_components
+from lightsieve.operators import audit, clustering, forest, lookup, pairs, rules, selection, similarity
 from lightsieve.sources import photos as sources
 from lightsieve.session import materialize, table
 from lightsieve.streaming import photos as streaming
@@ -406,8 +405,7 @@ def q52_mean_embedding(spark, sf_dir):
 
 @query
 def q53_components(spark, sf_dir):
-    pairs = similarity.hash_pairs(_hashes(spark, sf_dir), 0.66)
-    return connected_components(pairs, "id_a", "id_b")
+    return forest.components_at(forest.hash_forest(_hashes(spark, sf_dir), 0.66), 0.66)
 
 
 @query

@@ -4,8 +4,9 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from lightsieve.operators import clustering, leaders, similarity, tiles
+from lightsieve.operators import clustering, forest, leaders, similarity, tiles
 from lightsieve.plans import registry
 from lightsieve.session import settings
 
@@ -82,3 +83,15 @@ def test_clusters_of_hash_groups_make_no_table_of_pairs(spark, tmp_path, monkeyp
     for name in ("q60_verified_groups", "q66_group_merge_votes", "q78_merged_groups"):
         assert same(spark, path, name)
     assert not made
+
+
+@pytest.mark.parametrize("links", [0, 0.5, 1000])
+def test_forest_of_hashes_equals_that_of_all_pairs(spark, links):
+    """From no table of tight links (equal hashes are many), from a small one and from all."""
+    r = random.Random(5)
+    rows = [(k * 7 % 401, None if k % 50 == 0 else 12345 if k % 13 == 0 else r.getrandbits(64) - 2**63, None if k % 61 == 0 else r.choice([100, 150, 300])) for k in range(401)]
+    hashes = spark.createDataFrame(rows, "id int, hash long, width int").withColumn("rank", F.col("id"))
+    edges = lambda found: {tuple(x) for x in found.select("id_a", "id_b", "weight").collect()}
+    expected = edges(forest.spanning_forest(similarity.hash_pairs(hashes, 0.66).withColumnRenamed("similarity", "weight")))
+    found = forest.hash_forest(hashes, 0.66, links_a_row=links, tile_rows=90, far_tile_rows=130)
+    assert expected and edges(found) == expected
