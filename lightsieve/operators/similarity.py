@@ -1,11 +1,12 @@
 """Similarity joins over hashes, embeddings and texts.
 
-All rows are compared. Tight thresholds go by bands, an equi join: hashes that differ in d bits at most agree in one
-of d + 1 bands. Wide ones, for which nearly every pair would share a band, go by tiles.
+All rows are compared. Tight thresholds go by bands: hashes that differ in d bits at most agree in one of d + 1 bands,
+so only those that do are compared. Wide ones, for which nearly every pair would share a band, go by tiles alone.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +16,12 @@ from pyspark.sql import functions as F
 
 from lightsieve.operators import tiles
 from lightsieve.operators.leaders import Alike
+from lightsieve.session import materialize
 
 BITS = 64
+BUCKET_ROWS = 1000
+_CHUNK_PAIRS = 1 << 17  # so that a chunk stays in a core's cache
+_BATCH_PAIRS = 1 << 16
 
 
 def sign_bits(embedding: Column) -> Column:
@@ -98,33 +103,57 @@ def _unequal(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], threshold: fl
     return (a[0][:, :size] @ b[0][:, :size].T >= threshold) & (a[1][:, None] == b[1][None, :])
 
 
-def covering_masks(radius: int) -> list[int]:
-    """2 ** (radius + 1) - 1 masks of about half the bits each; any ``radius`` positions lie outside one of them.
+def band_masks(most_differing: int, rows: int) -> list[int]:
+    """most_differing + 1 masks of different bits: whoever differs in most_differing bits at most agrees in one of them.
 
-    Each position gets a nonzero vector of radius + 1 bits; the mask of a vector v holds the positions whose vector
-    has an odd inner product with v. The vectors of ``radius`` positions do not span the space, so some v is
-    orthogonal to all of them.
+    A mask has as many bits as leave about BUCKET_ROWS of so many rows to one of its values, if there are so many bits.
     """
-    vectors = range(1, 1 << (radius + 1))
-    dealt = [vectors[i * 0x9E3779B1 % len(vectors)] for i in range(BITS)]
-    return [sum(1 << i for i in range(BITS) if (dealt[i] & v).bit_count() % 2) for v in vectors]
+    bands = most_differing + 1
+    size = min(BITS // bands, max(0, math.ceil(math.log2(max(1, rows) / BUCKET_ROWS))))
+    return [((1 << size) - 1) << (size * k) for k in range(bands)] if size else [0]
 
 
-def banded_pairs(hashes: DataFrame, most_differing: int) -> DataFrame:
+def banded_pairs(hashes: DataFrame, most_differing: int, tile_rows: int = tiles.TILE_ROWS) -> DataFrame:
     """(hash_a, hash_b, differing) of different hashes, hash_a < hash_b, that differ in most_differing bits at most.
 
-    Pairs of hash values, so that copies of a hash, however many, count once; join the rows back by hash. The bands
-    are covering masks: each keeps about 32 bits, so a bucket holds few values even among many millions, and no pair
-    within the radius is missed.
+    Pairs of hash values, so that copies of a hash, however many, count once; join the rows back by hash; nulls are in
+    no pair. A hash is dealt to its value in each band and meets the others there in tiles, so a bucket of many close
+    hashes is bounded as well. A pair leaves the first band in which it agrees alone, so pairs are never shuffled.
+    Spark takes rows that are dealt to bands for as few as the hashes and would broadcast them through the driver, so
+    the hint has them shuffled.
     """
-    masks = [m - (1 << BITS) if m >> (BITS - 1) else m for m in covering_masks(most_differing)]
-    tables = F.array(*[F.struct(F.lit(t).alias("band"), F.lit(m).alias("mask")) for t, m in enumerate(masks)])
-    dealt = hashes.select("hash").distinct().select("hash", F.explode(tables).alias("b")).select("hash", "b.band", F.col("hash").bitwiseAND(F.col("b.mask")).alias("bits"))
-    shared = dealt.groupBy("band", "bits").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    dealt = dealt.join(shared, ["band", "bits"])
-    a, b = dealt.withColumnRenamed("hash", "hash_a"), dealt.withColumnRenamed("hash", "hash_b")
-    near = a.join(b, ["band", "bits"]).filter((F.col("hash_a") < F.col("hash_b")) & (hamming(F.col("hash_a"), F.col("hash_b")) <= most_differing))
-    return near.select("hash_a", "hash_b", hamming(F.col("hash_a"), F.col("hash_b")).alias("differing")).distinct()
+    distinct = materialize(hashes.select("hash").filter("hash is not null").distinct(), "hashes")
+    masks = band_masks(most_differing, distinct.count())
+    own = np.array(masks, np.uint64)
+
+    def kernel(left: pa.Table, right: pa.Table, same: bool) -> Iterator[pa.Table]:
+        a, b = (np.sort(t["id"].to_numpy()) for t in (left, right))
+        band, kept, n_kept = left["_key"][0].as_py()["band"] if len(a) else 0, [], 0
+        step = max(1, _CHUNK_PAIRS // max(1, len(b)))
+        for begin in range(0, len(a), step):
+            rows = a[begin : begin + step]
+            apart = (rows[:, None] ^ b[None, :]).view(np.uint64)
+            near = np.bitwise_count(apart) <= most_differing
+            if same:  # each two rows once
+                near &= np.arange(len(b))[None, :] > np.arange(begin, begin + len(rows))[:, None]
+            i, j = np.nonzero(near)
+            apart = apart[i, j]
+            first = np.ones(len(i), bool)
+            for mask in own[:band]:
+                first &= (apart & mask) != 0
+            x, y = rows[i[first]], b[j[first]]
+            kept.append(pa.table([np.minimum(x, y), np.maximum(x, y), np.bitwise_count(apart[first]).astype(np.int32)], names=["hash_a", "hash_b", "differing"]))
+            n_kept += len(x)
+            if n_kept >= _BATCH_PAIRS:
+                yield pa.concat_tables(kept)
+                kept, n_kept = [], 0
+        if kept:
+            yield pa.concat_tables(kept)
+
+    signed = lambda m: F.lit(m - (1 << BITS) if m >> (BITS - 1) else m).cast("long")
+    bands = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.col("hash").bitwiseAND(signed(m)).alias("bits")) for k, m in enumerate(masks)])).alias("b")
+    dealt = distinct.select(F.col("hash").alias("id"), bands).select("id", "b.band", "b.bits")
+    return tiles.self_pairs(dealt.hint("merge"), kernel, "hash_a long, hash_b long, differing int", ["band", "bits"], tile_rows)
 
 
 def token_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -110,3 +110,40 @@ def test_group_similarity_multiplies_tiles(spark):
     found = clustering.group_similarity(members, "g", "v", wanted, tile_rows=20)
     assert "cogroup" in found._jdf.queryExecution().optimizedPlan().toString().lower()
     assert {tuple(x)[:2]: pytest.approx(x["similarity"]) for x in found.collect()} == expected
+
+
+@pytest.mark.parametrize("most, tile_rows", [(6, 100), (6, 4000), (2, 50), (0, 50)])
+def test_banded_pairs_equal_those_of_all_hashes(spark, monkeypatch, most, tile_rows):
+    """Close hashes around a few, copies, a null; buckets of many tiles."""
+    monkeypatch.setattr(similarity, "BUCKET_ROWS", 60)
+    r = random.Random(7)
+    centers = [r.getrandbits(64) for _ in range(8)]
+    near = [r.choice(centers) ^ sum(1 << i for i in r.sample(range(64), r.randrange(7))) for _ in range(700)]
+    values = [x - (1 << 64) if x >> 63 else x for x in near + [r.getrandbits(64) for _ in range(200)] + [0, 1, (1 << 64) - 1]]
+    rows = spark.createDataFrame([(x,) for x in values + values[:50] + [None]], "hash long")
+    found = [tuple(x) for x in similarity.banded_pairs(rows, most, tile_rows=tile_rows).collect()]
+    apart = lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count()
+    different = sorted(set(values))
+    expected = [(a, b, apart(a, b)) for i, a in enumerate(different) for b in different[i + 1 :] if apart(a, b) <= most]
+    assert sorted(found) == expected
+
+
+def executed(plan):
+    """The nodes of a plan that has run."""
+    yield plan
+    name = plan.nodeName()
+    inside = [plan.executedPlan()] if name == "AdaptiveSparkPlan" else [plan.plan()] if name.endswith("QueryStage") else []
+    for child in inside + [plan.children().apply(i) for i in range(plan.children().size())]:
+        yield from executed(child)
+
+
+def test_banded_pairs_broadcast_no_rows(spark):
+    """Rows dealt to bands are many times the hashes, which Spark does not see; they must not go through the driver."""
+    r = random.Random(8)
+    centers = [r.getrandbits(63) for _ in range(40)]
+    hashes = spark.createDataFrame([(r.choice(centers) ^ 1 << r.randrange(63) ^ 1 << r.randrange(63),) for _ in range(2000)], "hash long").repartition(4)
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "10m"}):
+        found = similarity.banded_pairs(hashes, 6)
+        assert len(found.collect()) > 2000
+    sent = [n.metrics().apply("numOutputRows").value() for n in executed(found._jdf.queryExecution().executedPlan()) if n.nodeName() == "BroadcastExchange"]
+    assert sum(sent) <= 2000
