@@ -64,9 +64,84 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     return current.select("id_a", "id_b", "weight") if forest is None else forest
 
 
+FOREST_TILE_ROWS = 1 << 14
+FIRST_BLOCK_ROWS = 1 << 12
+BLOCK_GROWTH = 8
+_HASH_PARTS = 1 << 30
+
+
+def hash_components(hashes: DataFrame, threshold: float, least_width_ratio: float = 0.5, first_block_rows: int = FIRST_BLOCK_ROWS, tile_rows: int = tiles.TILE_ROWS, far_tile_rows: int = FOREST_TILE_ROWS) -> DataFrame:
+    """(node, component) as connected_components of the pairs of hash_pairs, from (id, hash, width), without pairs or a forest.
+
+    All rows meet a small block of them, which leaves most in one component, the core, where rows are alike at all. In
+    further rounds those outside the core meet the next, larger block, until they have met all rows. Two rows that never
+    met are both in the core, which only grows, so nothing is lost; at worst every two rows meet, once from each side.
+    """
+    rows = hashes.filter("id is not null and hash is not null and width is not null").select("id", "hash", "width")
+    kind = rows.schema["id"].dataType.simpleString()
+    placed = materialize(rows.withColumn("component", F.col("id")).withColumn("_part", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(_HASH_PARTS))), "linked-placed")
+    kernel, core = _link_kernel(least_product(threshold), least_width_ratio), None
+    begin, end = 0, max(1, _HASH_PARTS * first_block_rows // max(1, placed.count()))
+    while begin < _HASH_PARTS:
+        outside = placed if core is None else placed.join(core, "component", "left_anti").select(placed.columns)
+        if outside.isEmpty():
+            break
+        block = placed.filter((F.col("_part") >= begin) & (F.col("_part") < end))
+        links = tiles.cross_pairs(outside, block, kernel, f"node {kind}, to {kind}", tile_rows=tile_rows, right_tile_rows=far_tile_rows)
+        joined = connected_components(links, "node", "to").select(F.col("node").alias("component"), F.col("component").alias("_into"))
+        before, placed = placed, materialize(splittable_join(placed, joined, ["component"], "left").select("id", "hash", "width", F.coalesce("_into", "component").alias("component"), "_part"), "linked-placed")
+        if core is None:
+            core = placed.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1).select("component")
+        else:  # a component's name is one of its rows
+            core = placed.join(core.select(F.col("component").alias("id")), "id").select("component").distinct()
+        core = materialize(core, "linked-core")
+        discard(before)
+        begin, end = end, end * BLOCK_GROWTH
+    several = placed.groupBy("component").agg((F.min("id") < F.max("id")).alias("several")).filter("several").select("component")
+    return splittable_join(placed, several, ["component"]).select(F.col("id").alias("node"), "component").distinct()
+
+
+def _link_kernel(least: int, least_width_ratio: float) -> tiles.Kernel:
+    """Components that rows of left and right link, as links of each to one of them: no more than there are components, however many pairs are alike."""
+
+    def kernel(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
+        (a, wide_a), (b, wide_b) = hash_arrays(left), hash_arrays(right)
+        names = pa.chunked_array([*left["component"].chunks, *right["component"].chunks]).combine_chunks().dictionary_encode()
+        codes = names.indices.to_numpy()
+        of_a, of_b, root = codes[: len(a)], codes[len(a) :], np.arange(len(names.dictionary))
+        for rows in tiles.chunks(len(a), len(b)):
+            i, j = np.nonzero(a[rows] @ b.T >= least)
+            i += rows.start
+            apart = root[of_a[i]] != root[of_b[j]]
+            i, j = i[apart], j[apart]
+            fine = _pair_ratio(wide_a[i], wide_b[j]) >= least_width_ratio
+            root = _united(root, of_a[i[fine]], of_b[j[fine]])
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table([names.dictionary.take(pa.array(x, pa.int64())) for x in (moved, root[moved])], names=["node", "to"])
+
+    return kernel
+
+
+def _pair_ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """width_ratio of each a with the b at its place alone."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.minimum(a / b, b / a)
+
+
+def _united(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The least node of each node's set after the links (u, v), from those before."""
+    while len(u):
+        root = root.copy()
+        np.minimum.at(root, np.maximum(root[u], root[v]), np.minimum(root[u], root[v]))
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[u] != root[v]
+        u, v = u[apart], v[apart]
+    return root
+
+
 LINKS_A_ROW = 16
 SAMPLE_ROWS = 4096
-FOREST_TILE_ROWS = 1 << 14
 
 
 def hash_forest(hashes: DataFrame, threshold: float, least_width_ratio: float = 0.5, links_a_row: float = LINKS_A_ROW, tile_rows: int = tiles.TILE_ROWS, far_tile_rows: int = FOREST_TILE_ROWS) -> DataFrame:

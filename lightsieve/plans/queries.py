@@ -405,7 +405,7 @@ def q52_mean_embedding(spark, sf_dir):
 
 @query
 def q53_components(spark, sf_dir):
-    return forest.components_at(forest.hash_forest(_hashes(spark, sf_dir), 0.66), 0.66)
+    return forest.hash_components(_hashes(spark, sf_dir), 0.66)
 
 
 @query

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lightsieve.operators import clustering, forest, leaders, similarity, tiles
+from lightsieve.operators import clustering, components, forest, leaders, similarity, tiles
 from lightsieve.plans import registry
 from lightsieve.session import settings
 
@@ -97,6 +97,36 @@ def test_forest_of_hashes_equals_that_of_all_pairs(spark, links):
     assert expected and edges(found) == expected
 
 
+@pytest.mark.parametrize("threshold, first_block_rows", [(0.62, 20), (0.66, 3), (0.70, 20), (0.80, 40), (0.66, 4096)])
+def test_components_of_hashes_equal_those_of_all_pairs(spark, threshold, first_block_rows):
+    """With and without a core; nulls, equal hashes, rows that repeat and rows alone."""
+    r = random.Random(9)
+    rows = [(k * 7 % 401, None if k % 50 == 0 else 12345 if k % 13 == 0 else r.getrandbits(64) - 2**63, None if k % 61 == 0 else r.choice([100, 150, 300])) for k in range(401)]
+    hashes = spark.createDataFrame(rows + rows[:30] + [(None, 12345, 100)], "id int, hash long, width int").withColumn("rank", F.col("id"))
+    placed = lambda found: sorted(map(tuple, found.select("node", "component").collect()))
+    expected = placed(components.connected_components(similarity.hash_pairs(hashes, threshold), "id_a", "id_b"))
+    assert expected and placed(forest.hash_components(hashes, threshold, first_block_rows=first_block_rows, tile_rows=90, far_tile_rows=130)) == expected
+    assert not forest.hash_components(hashes.limit(0), threshold).count()
+
+
+def test_components_of_hashes_compare_rows_once(spark, tmp_path, monkeypatch):
+    """Copies make links many, so there is no tight table to begin with; rows must not meet all others in every round."""
+    r = random.Random(10)
+    copy = [r.gauss(0, 1) for _ in range(64)]
+    n = 500
+    path = embeddings(spark, tmp_path, [(k, copy if k % 5 == 0 else [r.gauss(0, 1) for _ in range(64)], 4) for k in range(n)])
+    run, met = tiles._run, []
+
+    def watched(dealt, *args):
+        sides = dealt.groupBy("_a", "_b").agg(F.sum(1 - F.col("_side")).alias("l"), F.sum("_side").alias("r"))
+        met.append(sides.agg(F.sum(F.col("l") * F.col("r"))).first()[0] or 0)
+        return run(dealt, *args)
+
+    monkeypatch.setattr(tiles, "_run", watched)
+    assert same(spark, path, "q53_components")
+    assert 0 < sum(met) <= n * n
+
+
 def test_group_similarity_multiplies_tiles(spark):
     """Groups of many parts, rows without vector or of another length, groups without members."""
     r = random.Random(6)
