@@ -7,17 +7,15 @@ be linked by many edges; only the best of each two goes on, so a round's table h
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lightsieve.operators import tiles
 from lightsieve.operators.components import connected_components
-from lightsieve.operators.similarity import BITS, hash_arrays, least_product, width_ratio
+from lightsieve.operators.similarity import BITS, hash_arrays, least_product
 from lightsieve.operators.skew import splittable_join
 from lightsieve.session import discard, materialize
 
@@ -48,7 +46,12 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     """
     a, b = F.col("id_a"), F.col("id_b")
     plain = edges.filter(a != b).filter("weight is not null").groupBy(F.least(a, b).alias("id_a"), F.greatest(a, b).alias("id_b")).agg(F.max("weight").alias("weight"))
-    current = materialize(plain.select(F.col("id_a").alias("u"), F.col("id_b").alias("v"), "id_a", "id_b", "weight"), "forest-edges")
+    return _spanning(plain.select(F.col("id_a").alias("u"), F.col("id_b").alias("v"), "id_a", "id_b", "weight"))
+
+
+def _spanning(edges: DataFrame) -> DataFrame:
+    """(id_a, id_b, weight): of edges (u, v, id_a, id_b, weight), each between two components u and v, those of the maximum spanning forest."""
+    current = materialize(edges, "forest-edges")
     forest = None
     while not current.isEmpty():
         ends = current.select(F.col("u").alias("node"), F.col("v").alias("to"), "id_a", "id_b", "weight").unionByName(current.select(F.col("v").alias("node"), F.col("u").alias("to"), "id_a", "id_b", "weight"))
@@ -106,9 +109,8 @@ def _link_kernel(least: int, least_width_ratio: float) -> tiles.Kernel:
 
     def kernel(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
         (a, wide_a), (b, wide_b) = hash_arrays(left), hash_arrays(right)
-        names = pa.chunked_array([*left["component"].chunks, *right["component"].chunks]).combine_chunks().dictionary_encode()
-        codes = names.indices.to_numpy()
-        of_a, of_b, root = codes[: len(a)], codes[len(a) :], np.arange(len(names.dictionary))
+        names, of_a, of_b = _coded(left["component"], right["component"])
+        root = np.arange(len(names))
         for rows in tiles.chunks(len(a), len(b)):
             i, j = np.nonzero(a[rows] @ b.T >= least)
             i += rows.start
@@ -117,11 +119,21 @@ def _link_kernel(least: int, least_width_ratio: float) -> tiles.Kernel:
             fine = _pair_ratio(wide_a[i], wide_b[j]) >= least_width_ratio
             root = _united(root, of_a[i[fine]], of_b[j[fine]])
         moved = np.flatnonzero(root != np.arange(len(root)))
-        return pa.table([names.dictionary.take(pa.array(x, pa.int64())) for x in (moved, root[moved])], names=["node", "to"])
+        return pa.table([names.take(pa.array(x, pa.int64())) for x in (moved, root[moved])], names=["node", "to"])
 
     return kernel
 
 
+def _coded(left: pa.ChunkedArray, right: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(the different values in order, the place of each value of left among them, that of each of right)."""
+    both = pa.chunked_array([*left.chunks, *right.chunks]).combine_chunks().dictionary_encode()
+    order = pc.sort_indices(both.dictionary)
+    place = np.empty(len(order), int)
+    place[order.to_numpy()] = np.arange(len(order))
+    codes = place[both.indices.to_numpy()]
+    return both.dictionary.take(order), codes[: len(left)], codes[len(left) :]
+
+
 def _pair_ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """width_ratio of each a with the b at its place alone."""
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -140,110 +152,150 @@ def _united(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return root
 
 
-LINKS_A_ROW = 16
-SAMPLE_ROWS = 4096
+LINKS_A_ROW = 2
+SAMPLE_ROWS = 1024
+_SAMPLE_SHARE = 0.9
+_FEW_OUTSIDE = 8
+_KEPT_EDGES = 1 << 20
 
 
 def hash_forest(hashes: DataFrame, threshold: float, least_width_ratio: float = 0.5, links_a_row: float = LINKS_A_ROW, tile_rows: int = tiles.TILE_ROWS, far_tile_rows: int = FOREST_TILE_ROWS) -> DataFrame:
-    """spanning_forest of the pairs of hash_pairs, from (id, hash, width), without a table of all of them.
+    """spanning_forest of the pairs of hash_pairs, from (id, hash, width), without a table of them.
 
-    Pairs at a tighter threshold, some links a row, are an edge table, and their forest is the part of the whole one
-    that its weights reach. From there on each component but the largest looks for its best edge to another one in
-    tiles, a row for each row and tile, until none finds any. How tight the threshold is comes from a sample; it bears
-    on the work alone. Where copies make links many even at equal hashes, there is no table at all.
+    Rows of equal hash and width but the first are leaves of the forest. The others meet in tiles, and each two tiles
+    give out the forest of their own pairs alone: what is not in that is not in the whole one. At first only pairs at a
+    tight threshold count, at which most rows have a few links. They mostly make one large component; the rows outside
+    it then meet all rows, for their links to other components. If it is not that large, a next threshold comes
+    between. Thresholds come from a sample, which bears on the work alone; how few rows there are outside, too.
     """
-    rows = materialize(hashes.filter("hash is not null and width is not null").select("id", "hash", "width"), "forest-rows")
+    rows = materialize(hashes.filter("id is not null and hash is not null and width is not null").select("id", "hash", F.col("width").cast("double").alias("width")), "forest-rows")
     kind = rows.schema["id"].dataType.simpleString()
-    least, tight = least_product(threshold), _tight_product(rows, least_width_ratio, links_a_row)
-    forest = placed = None
-    if tight is not None:
-        forest = spanning_forest(_links(rows, kind, max(least, tight), least_width_ratio, tile_rows))
-        if tight <= least:
-            return forest
-        placed = rows.join(connected_components(forest, "id_a", "id_b").withColumnRenamed("node", "id"), "id", "left")
-    placed = materialize((placed or rows.withColumn("component", F.col("id"))).withColumn("component", F.coalesce("component", "id")), "forest-placed")
+    schema, least = f"u {kind}, v {kind}, id_a {kind}, id_b {kind}, weight double", least_product(threshold)
+    several, leaves = _leaves(rows, least_width_ratio)
+    forest = materialize(leaves if least <= BITS else leaves.limit(0), "forest")
+    placed = materialize(several.withColumn("component", F.col("id")), "forest-placed")
+    discard(rows)
+    outside, n, n_outside = placed, placed.count(), None
     while True:
-        largest = placed.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1).select("component")
-        outside = placed.join(largest, "component", "left_anti").select(placed.columns)
-        found = tiles.cross_pairs(outside, placed, _best_kernel(least, least_width_ratio), f"node {kind}, to {kind}, id_a {kind}, id_b {kind}, weight double", tile_rows=tile_rows, right_tile_rows=far_tile_rows)
-        best = found.groupBy("node").agg(F.min(F.struct(_key().alias("key"), "to", "weight")).alias("m")).select("node", "m.to", F.col("m.key.a").alias("id_a"), F.col("m.key.b").alias("id_b"), "m.weight")
-        best = materialize(best, "forest-best")
-        if best.isEmpty():
-            discard(placed, rows)
-            return rows.sparkSession.createDataFrame([], f"id_a {kind}, id_b {kind}, weight double") if forest is None else forest
-        taken = materialize(best.select("id_a", "id_b", "weight").distinct(), "forest")
-        forest = taken if forest is None else forest.unionByName(taken)
-        joined = connected_components(best, "node", "to").select(F.col("node").alias("component"), F.col("component").alias("_into"))
+        level = least if n_outside is not None and n_outside * _FEW_OUTSIDE <= n else max(least, _next_product(outside, placed, least, least_width_ratio, links_a_row, tile_rows, far_tile_rows))
+        kernel = _forest_kernel(level, least_width_ratio)
+        if n_outside is None:
+            found = tiles.self_pairs(placed, kernel, schema, tile_rows=tile_rows)
+        else:
+            found = tiles.cross_pairs(outside, placed, kernel, schema, tile_rows=tile_rows, right_tile_rows=far_tile_rows)
+        taken = materialize(_spanning(found), "forest")
+        forest = forest.unionByName(taken)
+        if level <= least:
+            discard(placed)
+            return forest
+        ends = lambda x: placed.select(F.col("id").alias(f"id_{x}"), F.col("component").alias(x))
+        joined = connected_components(taken.join(ends("a"), "id_a").join(ends("b"), "id_b"), "a", "b").select(F.col("node").alias("component"), F.col("component").alias("_into"))
         before, placed = placed, materialize(splittable_join(placed, joined, ["component"], "left").select("id", "hash", "width", F.coalesce("_into", "component").alias("component")), "forest-placed")
-        discard(before, best)
+        discard(before)
+        core = materialize(placed.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1).select("component"), "forest-core")
+        outside = placed.join(core, "component", "left_anti").select(placed.columns)
+        n_outside = outside.count()
 
 
-def _tight_product(rows: DataFrame, least_width_ratio: float, links_a_row: float) -> int | None:
-    """The least product at which rows have links_a_row links on average, by the pairs of a sample; None if equal hashes alone have more."""
+def _leaves(rows: DataFrame, least_width_ratio: float) -> tuple[DataFrame, DataFrame]:
+    """(rows without the later ones of equal hash and width, edges of those).
 
-    def count(part: pa.Table) -> pa.Table:
-        a, width = hash_arrays(part)
-        n = np.zeros(2 * BITS + 1, np.int64)
-        for chunk in tiles.chunks(len(a), len(a)):
-            n += np.bincount((a[chunk] @ a.T)[width_ratio(width[chunk], width) >= least_width_ratio].astype(int) + BITS, minlength=2 * BITS + 1)
-        return pa.table({"product": np.arange(-BITS, BITS + 1), "n": n})
+    Each later one is alike to whom the first is. So whatever links it to another but the first of all that have its
+    hash and a width that goes with it closes a ring of edges that come before, and it is a leaf at that one.
+    Rows whose width doesn't go with itself are all left.
+    """
+    own = F.coalesce(F.try_divide("width", "width") == 1.0, F.lit(False))
+    first = rows.filter(own).groupBy("hash", "width").agg(F.min("id").alias("id"), F.max("id").alias("_last"))
+    left = materialize(first.select("id", "hash", "width", "_last").unionByName(rows.filter(~own).withColumn("_last", F.col("id"))), "forest-rows")
+    ratio = F.least(F.try_divide("width", "_width"), F.try_divide("_width", "width"))
+    other = left.filter(~F.isnan("width")).select("hash", F.col("width").alias("_width"), F.col("id").alias("_first"))
+    to = left.filter("_last > id").select("id", "hash", "width").join(other, "hash").filter(ratio >= least_width_ratio).groupBy("hash", "width").agg(F.min("_first").alias("id_a"))
+    later = splittable_join(rows.filter(own), first.filter("_last > id").select("hash", "width", F.col("id").alias("_first")), ["hash", "width"]).filter("id > _first").distinct()
+    edges = splittable_join(later, to, ["hash", "width"]).select("id_a", F.col("id").alias("id_b"), F.lit(1.0).alias("weight"))
+    return left.select("id", "hash", "width"), edges
 
-    total = rows.count()
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
-    counts = np.zeros(2 * BITS + 1)
-    for r in sample.withColumn("_one", F.lit(0)).groupBy("_one").applyInArrow(count, "product long, n long").collect():  # 129 rows
-        counts[r["product"] + BITS] = r["n"]
-    seen = min(total, SAMPLE_ROWS)
-    counts[-1] -= seen  # a row with itself
-    links = np.cumsum(counts[::-1])[::-1] / max(1, seen) * total / max(1, seen)
-    fine = np.flatnonzero(links <= links_a_row)
-    return int(fine[0]) - BITS if len(fine) else None
 
+def _next_product(outside: DataFrame, placed: DataFrame, least: int, least_width_ratio: float, links_a_row: float, tile_rows: int, far_tile_rows: int) -> int:
+    """The greatest product at which most of a sample of the rows outside have links_a_row links to other components; least if there is none."""
+    kind = placed.schema["id"].dataType.simpleString()
 
-def _links(rows: DataFrame, kind: str, least: int, least_width_ratio: float, tile_rows: int) -> DataFrame:
-    def kernel(left: pa.Table, right: pa.Table, same: bool) -> Iterator[pa.Table]:
+    def kernel(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
         (a, wide_a), (b, wide_b) = hash_arrays(left), hash_arrays(right)
+        _, of_a, of_b = _coded(left["component"], right["component"])
+        n = np.zeros((len(a), BITS + 1), np.int64)
+        for rows in tiles.chunks(len(a), len(b)):
+            product = a[rows] @ b.T
+            i, j = np.nonzero(product >= max(0, least))
+            fine = (of_a[i + rows.start] != of_b[j]) & (_pair_ratio(wide_a[i + rows.start], wide_b[j]) >= least_width_ratio)
+            i, j = i[fine], j[fine]
+            n[rows] += np.bincount(i * (BITS + 1) + product[i, j].astype(int), minlength=(rows.stop - rows.start) * (BITS + 1)).reshape(-1, BITS + 1)
+        i, at = np.nonzero(n)
+        return pa.table([left["id"].take(pa.array(i, pa.int64())), pa.array(at), pa.array(n[i, at])], names=["id", "product", "n"])
+
+    sample = materialize(outside.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS), "forest-sample")
+    counts = tiles.cross_pairs(sample, placed, kernel, "id " + kind + ", product long, n long", tile_rows=tile_rows, right_tile_rows=far_tile_rows).groupBy("id", "product").agg(F.sum("n").alias("n"))
+    links = F.sum("n").over(Window.partitionBy("id").orderBy(F.desc("product")))
+    levels = counts.withColumn("links", links).filter(F.col("links") >= links_a_row).groupBy("id").agg(F.max("product").alias("product"))
+    wanted, rows_at = _SAMPLE_SHARE * sample.count(), {r["product"]: r["n"] for r in levels.groupBy("product").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
+    discard(sample)
+    seen = 0
+    for product in sorted(rows_at, reverse=True):
+        seen += rows_at[product]
+        if seen >= wanted:
+            return product
+    return least
+
+
+def _forest_kernel(least: int, least_width_ratio: float) -> tiles.Kernel:
+    """The maximum spanning forest of the components of two tiles by the pairs between these: fewer edges than there are components."""
 
-        def near(rows: slice) -> tuple[np.ndarray]:
-            return (a[rows] @ b.T / np.float32(2 * BITS) + np.float32(0.5),)  # exact: multiples of 1/64
-
-        def wide(found: Iterator) -> Iterator:
-            for i, j, (weight,) in found:
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    fine = np.minimum(wide_a[i] / wide_b[j], wide_b[j] / wide_a[i]) >= least_width_ratio
-                yield i[fine], j[fine], [weight[fine]]
-
-        found = tiles.found_where(left, right, same, near, lambda w: w >= least / (2 * BITS) + 0.5)
-        return tiles.pair_tables(left, right, wide(found), ["id_a", "id_b", "weight"])
-
-    return tiles.self_pairs(rows, kernel, f"id_a {kind}, id_b {kind}, weight double", tile_rows=tile_rows)
-
-
-def _best_kernel(least: int, least_width_ratio: float) -> tiles.Kernel:
-    """The best edge of each left row into another component: of equal products the partner of the least id, which makes the least pair."""
-
-    def kernel(left: pa.Table, right: pa.Table, same: bool) -> Iterator[pa.Table]:
-        right = right.sort_by("id")
-        if not left.num_rows or not right.num_rows:
-            return
+    def kernel(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
         (a, wide_a), (b, wide_b) = hash_arrays(left), hash_arrays(right)
-        names = pa.concat_arrays([*left["component"].chunks, *right["component"].chunks]).dictionary_encode().indices.to_numpy()
-        of_a, of_b = names[: len(a)], names[len(a) :]
+        names, of_a, of_b = _coded(left["component"], right["component"])
+        ids, id_a, id_b = _coded(left["id"], right["id"])
+        parts, n_parts = [np.empty((3, 0), np.int64)], 0
         for rows in tiles.chunks(len(a), len(b)):
             product = a[rows] @ b.T
-            product[(of_a[rows][:, None] == of_b[None, :]) | ~(width_ratio(wide_a[rows], wide_b) >= least_width_ratio)] = -2 * BITS
-            best = product.argmax(axis=1)
-            value = product[np.arange(len(best)), best]
-            hit = np.flatnonzero(value >= least)
-            i, j = pa.array(hit + rows.start, pa.int64()), pa.array(best[hit], pa.int64())
-            one, other = left["id"].take(i).combine_chunks(), right["id"].take(j).combine_chunks()
-            first = pc.less(one, other)
-            ends = pc.if_else(first, one, other), pc.if_else(first, other, one)
-            yield pa.table([left["component"].take(i), right["component"].take(j), *ends, pa.array(value[hit].astype(float) / (2 * BITS) + 0.5)], names=["node", "to", "id_a", "id_b", "weight"])
+            i, j = np.nonzero(product >= least)
+            lighter = BITS - product[i, j].astype(np.int64)
+            i += rows.start
+            fine = (of_a[i] != of_b[j]) & (_pair_ratio(wide_a[i], wide_b[j]) >= least_width_ratio)
+            if same:  # each two rows once
+                fine &= j > i
+            i, j, lighter = i[fine], j[fine], lighter[fine]
+            x, y = np.minimum(id_a[i], id_b[j]), np.maximum(id_a[i], id_b[j])
+            key = (lighter * len(ids) + x) * len(ids) + y  # best first: heaviest, then by the ids
+            parts.append(np.stack([key, of_a[i], of_b[j]]))
+            n_parts += len(key)
+            if n_parts > _KEPT_EDGES:
+                parts = [_forest_of(np.concatenate(parts, axis=1), len(names))]
+                n_parts = 0
+        key, u, v = _forest_of(np.concatenate(parts, axis=1), len(names))
+        key, y = np.divmod(key, max(1, len(ids)))
+        lighter, x = np.divmod(key, max(1, len(ids)))
+        columns = [values.take(pa.array(at, pa.int64())) for values, at in ((names, u), (names, v), (ids, x), (ids, y))]
+        return pa.table([*columns, pa.array((BITS - lighter) / (2 * BITS) + 0.5)], names=["u", "v", "id_a", "id_b", "weight"])
 
     return kernel
 
 
+def _forest_of(edges: np.ndarray, nodes: int) -> np.ndarray:
+    """Of edges (key, u, v), the columns of a matrix, those of the forest of least keys; no two edges have a key in common."""
+    edges = edges[:, np.argsort(edges[0])]
+    _, u, v = edges
+    root, open_, taken = np.arange(nodes), np.arange(len(u)), []
+    while True:
+        open_ = open_[root[u[open_]] != root[v[open_]]]
+        if not len(open_):
+            return edges[:, np.sort(np.concatenate(taken))] if taken else edges[:, :0]
+        best = np.full(nodes, len(u))
+        np.minimum.at(best, root[u[open_]], open_)
+        np.minimum.at(best, root[v[open_]], open_)
+        best = np.unique(best[best < len(u)])
+        taken.append(best)
+        root = _united(root, u[best], v[best])
+
+
 def components_at(forest: DataFrame, threshold: float) -> DataFrame:
     """(node, component) of all edges of at least the threshold, from the forest alone: it holds a best path between any two nodes."""
     return connected_components(forest.filter(F.col("weight") >= threshold), "id_a", "id_b")

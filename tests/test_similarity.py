@@ -127,6 +127,28 @@ def test_components_of_hashes_compare_rows_once(spark, tmp_path, monkeypatch):
     assert 0 < sum(met) <= n * n
 
 
+def test_forest_of_hashes_compares_rows_in_few_rounds(spark, monkeypatch):
+    """Copies make links many, of several widths too; rows must not meet all others in every round of a forest."""
+    r = random.Random(11)
+    n = 500
+    rows = [(k * 7 % n, 12345 if k % 5 == 0 else r.getrandbits(64) - 2**63, 400 + 60 * (k % 15)) for k in range(n)]
+    hashes = spark.createDataFrame(rows, "id int, hash long, width int").withColumn("rank", F.col("id"))
+    edges = lambda found: {tuple(x) for x in found.select("id_a", "id_b", "weight").collect()}
+    expected = edges(forest.spanning_forest(similarity.hash_pairs(hashes, 0.64).withColumnRenamed("similarity", "weight")))
+    run, met = tiles._run, []
+
+    def watched(dealt, keys, kernel, schema, same_side):
+        sides = dealt.groupBy("_a", "_b").agg(F.sum(1 - F.col("_side")).alias("l"), F.sum("_side").alias("r"))
+        pairs = F.when(F.lit(same_side) & (F.col("_a") == F.col("_b")), F.col("l") * (F.col("l") - 1) / 2).otherwise(F.col("l") * F.col("r"))
+        met.append(sides.agg(F.sum(pairs)).first()[0] or 0)
+        return run(dealt, keys, kernel, schema, same_side)
+
+    monkeypatch.setattr(tiles, "_run", watched)
+    assert edges(forest.hash_forest(hashes, 0.64)) == expected
+    assert 0 < sum(met) <= 2 * n * n
+    assert not forest.hash_forest(hashes.limit(0), 0.64).count()
+
+
 def test_group_similarity_multiplies_tiles(spark):
     """Groups of many parts, rows without vector or of another length, groups without members."""
     r = random.Random(6)
